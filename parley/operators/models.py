@@ -38,12 +38,22 @@ class KeywordEmotions:
         "surprise": "wow suddenly surprised",
     }
 
+    def __init__(self, keywords: dict[str, str] | None = None):
+        self.label_of = {
+            word: label
+            for label, words in (keywords or self.KEYWORDS).items()
+            for word in words.split()
+        }
+        self.labels = list(keywords or self.KEYWORDS)
+
     def __call__(self, texts: list[str]) -> list[str]:
         return [self.label(t) for t in texts]
 
     def label(self, message: str) -> str:
-        words = message.lower().split()
-        hits = {k: sum(words.count(w) for w in v.split()) for k, v in self.KEYWORDS.items()}
+        hits = dict.fromkeys(self.labels, 0)
+        for word in message.lower().split():
+            if word in self.label_of:
+                hits[self.label_of[word]] += 1
         best = max(hits, key=hits.get)
         return best if hits[best] else "neutral"
 
