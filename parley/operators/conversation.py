@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
-from collections import deque
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions import prompts, text
 from parley.operators.sequence import (
     FOLD_ROWS,
-    Names,
+    Fold,
+    fold,
     framed,
     join_on,
     largest_group,
-    short_fold,
-    streamed,
+    last_known,
     with_position,
 )
 
@@ -75,85 +72,69 @@ def context_turns(
 # -- topic segments --------------------------------------------------------
 
 
-class TopicTracker:
-    """Finds topic segments one message at a time.
+def suffix_starts(
+    df: DataFrame,
+    conv: str,
+    position: str,
+    words: str,
+    min_words: int,
+    largest: int,
+    **window: int,
+) -> DataFrame:
+    """Adds ``_from``: where the shortest run of newest messages with
+    ``min_words`` words begins, null if there are not so many yet.
 
-    ``index`` is the first message not yet used. Only the messages of the
-    shortest suffix with enough words are kept.
+    Of messages with words, the last ``min_words`` always suffice; an empty
+    message has the beginning of the one before it.
     """
+    entry = F.struct(F.col(position).alias("at"), F.col(words).alias("words"))
+    nothing = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(None).cast("long").alias("at"))
+
+    def extended(found: Column, older: Column) -> Column:
+        total = found["sum"] + older["words"]
+        enough = found["at"].isNull() & (total >= min_words)
+        at = F.when(enough, older["at"]).otherwise(found["at"])
+        return F.struct(total.alias("sum"), at.alias("at"))
+
+    def build(w):
+        last = F.collect_list(entry).over(w.rowsBetween(1 - min_words, 0))
+        return {"_own": F.aggregate(F.reverse(last), nothing, extended)["at"]}
+
+    spoken = framed(
+        df.filter(F.col(words) > 0), [conv], [position], min_words - 1, 0, build,
+        largest=largest, **window,
+    )
+    silent = df.filter(F.col(words) == 0).withColumn("_own", F.lit(None).cast("long"))
+    both = spoken.unionByName(silent)
+    return last_known(both, [conv], [position], F.col("_own"), "_from", largest, **window).drop(
+        "_own"
+    )
 
-    def __init__(self, min_words: int, advance: str):
-        self.min_words, self.advance = min_words, advance
-        self.count = self.index = self.total = 0
-        self.suffix: deque[int] = deque()
-
-    def add(self, words: int) -> int:
-        """Length of the segment that ends with this message, or 0."""
-        self.count += 1
-        self.suffix.append(words)
-        self.total += words
-        while self.total - self.suffix[0] >= self.min_words:
-            self.total -= self.suffix.popleft()
-        length = len(self.suffix)
-        if self.total < self.min_words or length > self.count - self.index:
-            return 0
-        self.index = self.index + length if self.advance == "length" else self.count
-        return length
-
-
-class _TopicRows(TopicTracker):
-    def __init__(self, min_words: int, advance: str, position: str):
-        super().__init__(min_words, advance)
-        self.position = position
-
-    def feed(self, rows: pd.DataFrame) -> pd.DataFrame:
-        lengths = [self.add(w) for w in rows["_words"]]
-        found = rows.assign(length=lengths, end_pos=rows[self.position])
-        return found[found["length"] > 0]
-
-
-def _topic_step(min_words: int, advance: str):
-    """The same as ``TopicTracker`` on a struct of count, index and suffix."""
-
-    def step(state: Column, row: Column) -> Column:
-        grown = F.array(F.concat(state["suffix"], F.array(row["_words"])))
-        return F.transform(grown, lambda g: after(state, g))[0]
-
-    def total(words: Column) -> Column:
-        return F.aggregate(words, F.lit(0), lambda a, x: a + x)
 
-    def after(state: Column, grown: Column) -> Column:
-        trim = F.aggregate(
-            grown,
-            F.struct(
-                total(grown).alias("rest"), F.lit(0).alias("cut"), F.lit(True).alias("going")
-            ),
-            lambda a, x: F.when(
-                a["going"] & (a["rest"] - x >= min_words),
-                F.struct(
-                    (a["rest"] - x).alias("rest"),
-                    (a["cut"] + 1).alias("cut"),
-                    F.lit(True).alias("going"),
-                ),
-            ).otherwise(
-                F.struct(a["rest"].alias("rest"), a["cut"].alias("cut"), F.lit(False).alias("going"))
-            ),
-        )
-        return F.transform(F.array(trim), lambda t: moved(state, grown, t))[0]
+def lag_fold(length: str, advance: str, longest: int) -> Fold:
+    """How many messages the index lags behind, before and after a message.
 
-    def moved(state: Column, grown: Column, trim: Column) -> Column:
-        length = F.size(grown) - trim["cut"]
-        count = state["count"] + 1
-        found = (trim["rest"] >= min_words) & (length <= count - state["index"])
-        index = state["index"] + length if advance == "length" else count
-        return F.struct(
-            count.alias("count"),
-            F.when(found, index).otherwise(state["index"]).alias("index"),
-            F.when(found, length).otherwise(0).alias("length"),
-            F.slice(grown, trim["cut"] + 1, length).alias("suffix"),
-        )
+    A message that ends no segment has a run longer than the lag, and one that
+    does only lowers it, so the lag never exceeds the longest run: the states
+    are 0 to ``longest``, and a run of messages is a mapping of them. While
+    there are too few words the lag just grows; it is then no longer than the
+    first run, and is kept within the states.
+    """
 
-    return step
+    def moved(lag: Column, row: Column) -> Column:
+        found = row[length] <= lag + 1
+        after = lag + 1 - row[length] if advance == "length" else F.lit(0)
+        return F.when(found, after).otherwise(F.least(lag + 1, F.lit(longest)))
+
+    states = F.sequence(F.lit(0), F.lit(longest))
+    return Fold(
+        initial=F.lit(0),
+        step=moved,
+        identity=states,
+        element=lambda r: F.transform(states, lambda lag: moved(lag, r)),
+        compose=lambda f, g: F.transform(f, lambda lag: F.get(g, lag)),
+        apply=lambda f, lag: F.get(f, lag),
+    )
 
 
 def topic_segments(
@@ -173,43 +154,38 @@ def topic_segments(
     words is looked for, among the messages from the index on. If there is one
     it is a segment, and the index moves on by its length; with
     ``advance="end"`` it moves past the segment.
-
-    How far the index lags behind has no short summary, so a conversation above
-    ``limit`` streams through one task as (place, word count) pairs.
     """
     if advance not in ("length", "end"):
         raise ValueError(f"advance must be 'length' or 'end', not {advance!r}")
     largest = largest_group(df, [conv]) if largest is None else largest
     counted = df.select(conv, turn, text.word_count(F.col(message)).alias("_words"))
-    if largest <= limit:
-        start = F.struct(
-            F.lit(0).alias("count"),
-            F.lit(0).alias("index"),
-            F.lit(0).alias("length"),
-            F.array().cast("array<int>").alias("suffix"),
-        )
-        rows = short_fold(
-            counted, [conv], [turn], ["_words"], start, _topic_step(min_words, advance)
-        )
-        found = rows.select(
-            conv,
-            F.col("_after.length").alias("length"),
-            (F.col("_after.count") - 1).cast("long").alias("end_pos"),
-        ).filter("length > 0")
-    else:
-        numbered = with_position(counted, [conv], [turn], "_pos", largest, **window)
-        kind = df.schema[conv].dataType.simpleString()
-        found = streamed(
-            numbered.select(conv, "_pos", "_words"),
-            [conv],
-            ["_pos"],
-            f"{conv} {kind}, length int, end_pos long",
-            lambda: _TopicRows(min_words, advance, "_pos"),
-        )
-    started = found.select(
-        conv, (F.col("end_pos") - F.col("length") + 1).alias("start_pos"), "end_pos"
+    numbered = with_position(counted, [conv], [turn], "end_pos", largest, **window)
+    placed = suffix_starts(numbered, conv, "end_pos", "_words", min_words, largest, **window)
+    measured = placed.select(
+        conv,
+        "end_pos",
+        F.col("_from").alias("start_pos"),
+        (F.col("end_pos") - F.col("_from") + 1).cast("int").alias("_length"),
+    )
+    longest = 0
+    if largest > limit:
+        # Before there are enough words the lag is the message's place.
+        lag = F.coalesce(F.col("_length"), F.col("end_pos").cast("int") + 1)
+        longest = measured.agg(F.max(lag)).first()[0]
+    lags = fold(
+        measured,
+        [conv],
+        ["end_pos"],
+        ["start_pos", "_length"],
+        lag_fold("_length", advance, longest or 2**31 - 1),
+        largest=largest,
+        limit=limit,
+        dense="end_pos",
+    )
+    found = lags.filter(F.col("_length") <= F.col("_before") + 1)
+    return with_position(
+        found.select(conv, "start_pos", "end_pos"), [conv], ["end_pos"], "segment", largest, **window
     )
-    return with_position(started, [conv], ["end_pos"], "segment", largest, **window)
 
 
 def render_conversation(

@@ -10,15 +10,12 @@ knows the answer passes ``largest`` and skips it.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from functools import reduce
-from typing import Any
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from parley.session import pinned
 
@@ -328,34 +325,3 @@ def _chunk_starts(
     parents = rows.select(*by, composed.alias("_fn"))
     starts = _chunk_starts(parents, keys, parent, how, -(-count // limit), limit)
     return unrolled(join_on(rows, starts, by), by)
-
-
-def streamed(
-    df: DataFrame,
-    keys: Names,
-    order: Names,
-    schema: str,
-    tracker: Callable[[], Any],
-) -> DataFrame:
-    """Sequential work that has no short summary, in bounded memory.
-
-    Sorted partitions pass through Python batch by batch; ``tracker()`` makes
-    one small object per key, and its ``feed(frame)`` returns output rows. The
-    rows of a key are never held together, but one key is one task's work.
-    """
-    columns = StructType.fromDDL(schema).names
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current: Any = None
-        state: Any = None
-        for batch in batches:
-            run_id = batch[keys].ne(batch[keys].shift()).any(axis=1).cumsum()
-            for _, part in batch.groupby(run_id, sort=False):
-                key = tuple(part[keys].iloc[0])
-                if key != current:
-                    current, state = key, tracker()
-                result = state.feed(part)
-                if len(result):
-                    yield result[columns]
-
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)

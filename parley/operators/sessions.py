@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,8 +15,8 @@ from parley.operators.sequence import (
     largest_group,
     last_known,
     short_fold,
-    streamed,
 )
+from parley.session import pinned
 
 # The voices and faces there are; the first is the default.
 VOICES = ["af_bella"]
@@ -108,14 +109,20 @@ def fill_agent_defaults(
 def character_owner_join(
     characters: DataFrame, users: DataFrame, owner: str, user_id: str, keep_users: bool = False
 ) -> DataFrame:
-    """Characters with their owners; ``keep_users`` keeps owners of none.
+    """Characters with their owners; ``keep_users`` adds users who own none.
 
-    One user may own a large part of the characters: the user side is unique,
-    so AQE can split the busy partition of the other side.
+    One user may own a large part of the characters. In an inner join AQE can
+    split that user's partition; in an outer join that keeps the users it could
+    not, so users without characters are added from an anti join on owners.
     """
-    if keep_users:
-        return users.join(characters, F.col(user_id) == F.col(owner), "left")
-    return characters.join(users, F.col(owner) == F.col(user_id), "inner")
+    owned = characters.join(users, F.col(owner) == F.col(user_id), "inner")
+    if not keep_users:
+        return owned
+    owners = characters.select(owner).distinct()
+    without = users.join(owners, F.col(user_id) == F.col(owner), "left_anti")
+    return owned.select(*users.columns, *characters.columns).unionByName(
+        without, allowMissingColumns=True
+    )
 
 
 def ownership_semi_join(
@@ -250,22 +257,6 @@ def utterance_sessions(
     )
 
 
-class _Throttle:
-    """The emission rule one batch at a time; ``last`` is the only state."""
-
-    def __init__(self, interval: int):
-        self.interval, self.last = interval, None
-
-    def feed(self, rows: pd.DataFrame) -> pd.DataFrame:
-        emitted = []
-        for us in rows["_us"]:
-            due = self.last is None or us - self.last >= self.interval
-            if due:
-                self.last = us
-            emitted.append(due)
-        return rows[emitted]
-
-
 def throttle_emit(
     df: DataFrame,
     keys: Names,
@@ -278,43 +269,19 @@ def throttle_emit(
 ) -> DataFrame:
     """Rows at least an interval after the last emitted row; the first always is.
 
-    A row that comes an interval or more after the row before it is emitted
-    whatever went before, so a busy key is cut there and its pieces run in
-    parallel. A piece that still exceeds ``limit`` streams through one task.
+    ``(ts, tie)`` identifies a row within its key.
     """
     largest = largest_group(df, keys) if largest is None else largest
     interval = int(interval_seconds * 1_000_000)
-    rows = df.select(*keys, tie, F.unix_micros(F.col(ts).cast("timestamp")).alias("_us"))
-    by = keys
-    if largest > limit:
-        since = framed(
-            rows,
-            keys,
-            ["_us", tie],
-            1,
-            0,
-            lambda w: {"_since": F.col("_us") - F.lag("_us").over(w)},
-            largest=largest,
-            **window,
-        )
-        opens = F.col("_since").isNull() | (F.col("_since") >= interval)
-        rows = last_known(
-            since,
-            keys,
-            ["_us", tie],
-            F.when(opens, F.struct("_us", tie)),
-            "_piece",
-            largest,
-            **window,
-        ).select(*keys, "_us", tie, F.col("_piece._us").alias("_p1"), F.col(f"_piece.{tie}").alias("_p2"))
-        by = [*keys, "_p1", "_p2"]
-        largest = largest_group(rows, by)
-
+    rows = df.select(*keys, F.unix_micros(F.col(ts).cast("timestamp")).alias("_us"), tie)
     if largest <= limit:
-        due = lambda last, now: last.isNull() | (now - last >= interval)
+
+        def due(last: Column, now: Column) -> Column:
+            return last.isNull() | (now - last >= interval)
+
         states = short_fold(
             rows,
-            by,
+            keys,
             ["_us", tie],
             [],
             F.lit(None).cast("long"),
@@ -322,15 +289,78 @@ def throttle_emit(
         )
         emitted = states.filter(due(F.col("_before"), F.col("_us")))
     else:
-        kinds = dict(rows.dtypes)
-        schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*by, "_us", tie])
-        emitted = streamed(rows, by, ["_us", tie], schema, lambda: _Throttle(interval))
+        emitted = _throttle_by_jumps(rows, keys, tie, interval, largest, **window)
     back = F.timestamp_micros("_us")
     if dict(df.dtypes)[ts] == "timestamp_ntz":
         back = back.cast("timestamp_ntz")
     return emitted.select(*keys, tie, back.alias(ts))
 
 
+def _throttle_by_jumps(
+    rows: DataFrame, keys: Names, tie: str, interval: int, largest: int, **window: int
+) -> DataFrame:
+    """The emitted rows of keys of any length, without walking along a key.
+
+    Each row points to the row that would be emitted after it. A row that
+    follows a pause of an interval is emitted whatever went before; from these
+    rows the pointers are followed, with pointers that double their reach in
+    each round. Rows meet by their own identity, so no key is hot, and the
+    number of rounds is the logarithm of the longest chain.
+    """
+    row = [*keys, "_us", tie]
+    here = F.struct("_us", tie)
+    since = framed(
+        rows,
+        keys,
+        ["_us", tie],
+        1,
+        0,
+        lambda w: {"_since": F.col("_us") - F.lag("_us").over(w)},
+        largest=largest,
+        **window,
+    )
+    opens = F.col("_since").isNull() | (F.col("_since") >= interval)
+    marked = since.select(*row, opens.alias("_opens"))
+
+    # Merged with the rows, each row's due time finds the first row from then on.
+    target = F.struct("_us", tie, "_opens")
+    stops = marked.select(*keys, F.col("_us").alias("_at"), F.lit(1).alias("_stop"), target.alias("_to"))
+    asks = marked.select(
+        *keys, (F.col("_us") + interval).alias("_at"), F.lit(0).alias("_stop"), here.alias("_row")
+    )
+    merged = stops.unionByName(asks, allowMissingColumns=True)
+    order = [F.col("_at").desc(), F.col("_stop").desc(), F.col(f"_to.{tie}").desc()]
+    found = last_known(merged, keys, order, F.col("_to"), "_next", 2 * largest, **window)
+    step = found.filter("_stop = 0 AND NOT _next._opens").select(
+        *keys,
+        F.col("_row._us").alias("_us"),
+        F.col(f"_row.{tie}").alias(tie),
+        F.col("_next._us").alias("_us2"),
+        F.col(f"_next.{tie}").alias(f"{tie}2"),
+    )
+
+    def follow(from_rows: DataFrame, jumps: DataFrame, at: dict[str, str]) -> DataFrame:
+        """``from_rows`` with the columns ``at`` moved along ``jumps``."""
+        away = jumps.withColumnsRenamed({"_us2": "_us3", f"{tie}2": f"{tie}3"})
+        away = away.withColumnsRenamed({k: f"_j_{k}" for k in row})
+        on = [F.col(at.get(k, k)).eqNullSafe(F.col(f"_j_{k}")) for k in row]
+        kept = [c for c in from_rows.columns if c not in at.values()]
+        return from_rows.join(away, on, "inner").select(
+            *kept, F.col("_us3").alias(at["_us"]), F.col(f"{tie}3").alias(at[tie])
+        )
+
+    reached = [marked.filter("_opens").select(*row)]
+    frontier, jumps = reached[0], pinned(step)
+    while True:
+        frontier = pinned(follow(frontier, jumps, {"_us": "_us", tie: tie}).select(*row))
+        if frontier.isEmpty():
+            break
+        reached.append(frontier)
+        frontier = reduce(DataFrame.unionByName, reached)
+        jumps = pinned(follow(jumps, jumps, {"_us": "_us2", tie: f"{tie}2"}))
+    return reduce(DataFrame.unionByName, reached)
+
+
 # -- stored sessions -------------------------------------------------------
 
 

@@ -33,7 +33,15 @@ def scan_dialogues(spark: SparkSession, sf: str) -> DataFrame:
     """Written as CSV and read back; an empty field reads as null."""
     path = new_folder(spark, "dialogues")
     rows = fx.dialogues(spark, sf).drop("dialogue_id")
-    rows.write.csv(path, header=True, escape='"', quoteAll=True)
+    rows.write.csv(
+        path,
+        header=True,
+        escape='"',
+        quoteAll=True,
+        emptyValue="",
+        ignoreLeadingWhiteSpace=False,
+        ignoreTrailingWhiteSpace=False,
+    )
     return files.scan_dialogues(spark, path)
 
 

@@ -26,12 +26,17 @@ EWMA = f"""{fx.TURNS}, smoothed AS (
   UNION ALL
   SELECT t.user_id, t.ts, t.event_id, t.n, s.ewma * 0.85::DOUBLE + t.latency_ms * 0.15::DOUBLE
   FROM smoothed s JOIN turns t ON t.user_id = s.user_id AND t.n = s.n + 1)"""
-EWMA_SQL = f"WITH RECURSIVE {EWMA} SELECT user_id, event_id, round(ewma, 6) AS ewma FROM smoothed"
+EWMA_SQL = f"WITH RECURSIVE {EWMA} SELECT user_id, event_id, ewma FROM smoothed"
+# Chunks add in another order, so the last bits differ. The shift keeps decimal
+# values that end in 5 from being rounded both ways.
+SHIFT = 1e-8 / 3
+EWMA_ROUNDED_SQL = f"""WITH RECURSIVE {EWMA}
+SELECT user_id, event_id, round(ewma + {SHIFT}::DOUBLE, 6) AS ewma FROM smoothed"""
 
 
 def smoothed(spark: SparkSession, sf: str, **how: int) -> DataFrame:
     rows = controller.ewma_latency(fx.turns(spark, sf), SESSION, fx.TURN_ORDER, "latency_ms", **how)
-    return fx.rounded(rows, 6, "ewma").select("user_id", "event_id", "ewma")
+    return rows.select("user_id", "event_id", "ewma")
 
 
 @query("ewma_latency", EWMA_SQL)
@@ -39,9 +44,10 @@ def ewma_latency(spark: SparkSession, sf: str) -> DataFrame:
     return smoothed(spark, sf)
 
 
-@query("ewma_latency_split_sessions", EWMA_SQL)
+@query("ewma_latency_split_sessions", EWMA_ROUNDED_SQL)
 def ewma_latency_split_sessions(spark: SparkSession, sf: str) -> DataFrame:
-    return smoothed(spark, sf, limit=16)
+    rows = smoothed(spark, sf, limit=16)
+    return fx.rounded(rows.withColumn("ewma", F.col("ewma") + SHIFT), 6, "ewma")
 
 
 RANKED = """ranked AS (

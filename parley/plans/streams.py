@@ -63,7 +63,7 @@ def stream_ewma_latency(spark: SparkSession, sf: str) -> DataFrame:
         return ops.response_mode(turns, ["user_id"], fx.TURN_ORDER, "latency_ms")
 
     rows = finished(spark, event_stream(spark, sf, shape))
-    return fx.rounded(rows.select("user_id", "event_id", "ewma"), 6, "ewma")
+    return rows.select("user_id", "event_id", "ewma")
 
 
 @query("stream_emotion_decay", ordered.DECAY_SQL)

@@ -14,7 +14,6 @@ from typing import Any
 import pandas as pd
 
 from parley.operators import controller as rules
-from parley.operators.conversation import TopicTracker
 
 
 class ModeTracker:
@@ -110,25 +109,39 @@ class ThrottleTracker:
 
 
 class SegmentTracker:
-    """``topic_segments``: the counters and the newest messages' word counts."""
+    """``topic_segments``: counters, and the words of the newest messages.
 
-    state = "count long, index long, segment long, suffix array<int>"
+    ``index`` is the first message not yet used. Only the messages of the
+    shortest run with enough words are kept.
+    """
+
+    state = "count long, index long, segment long, run array<int>"
 
     def __init__(self, saved: tuple | None, words: str, min_words: int, advance: str):
-        self.words = words
-        self.topic = TopicTracker(min_words, advance)
-        self.segment = 0
-        if saved:
-            self.topic.count, self.topic.index, self.segment, suffix = saved
-            self.topic.suffix = deque(int(w) for w in suffix)
-            self.topic.total = sum(self.topic.suffix)
+        self.words, self.min_words, self.advance = words, min_words, advance
+        self.count, self.index, self.segment, run = saved or (0, 0, 0, [])
+        self.run = deque(int(w) for w in run)
+        self.total = sum(self.run)
+
+    def add(self, words: int) -> int:
+        """Length of the segment that ends with this message, or 0."""
+        self.count += 1
+        self.run.append(words)
+        self.total += words
+        while self.total - self.run[0] >= self.min_words:
+            self.total -= self.run.popleft()
+        length = len(self.run)
+        if self.total < self.min_words or length > self.count - self.index:
+            return 0
+        self.index = self.index + length if self.advance == "length" else self.count
+        return length
 
     def feed(self, rows: pd.DataFrame) -> pd.DataFrame:
         results = []
         for place, words in enumerate(rows[self.words]):
-            length = self.topic.add(int(words))
+            length = self.add(int(words))
             if length:
-                end = self.topic.count - 1
+                end = self.count - 1
                 results.append((place, self.segment, end - length + 1, end))
                 self.segment += 1
         found = pd.DataFrame(results, columns=["_place", "segment", "start_pos", "end_pos"])
@@ -136,8 +149,7 @@ class SegmentTracker:
         return pd.concat([keys, found], axis=1)
 
     def dump(self) -> tuple:
-        topic = self.topic
-        return (topic.count, topic.index, self.segment, list(topic.suffix))
+        return (self.count, self.index, self.segment, list(self.run))
 
 
 class PairTracker:
