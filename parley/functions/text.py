@@ -44,8 +44,14 @@ def clean_dialogue(text: Column) -> Column:
 
 def normalize_text(text: Column) -> Column:
     """Lower case, no punctuation, single spaces: the form WER is taken on."""
-    kept = F.regexp_replace(F.lower(text), rf"(?U)[^\p{{L}}\p{{N}}_\s\x1c-\x1f]", "")
-    return strip(F.regexp_replace(kept, rf"(?U){SPACE}+", " "))
+    # The ASCII ranges come first because they settle most characters.
+    kept = F.regexp_replace(F.lower(text), r"(?U)[^a-z0-9_ \p{L}\p{N}\s\x1c-\x1f]+", "")
+    return strip(single_spaced(kept))
+
+
+def single_spaced(text: Column) -> Column:
+    """Runs of white space as one space each; single spaces are not touched."""
+    return F.regexp_replace(text, rf"(?U)[\s\x1c-\x1f&&[^ ]]{SPACE}*| {SPACE}+", " ")
 
 
 def ascii_lower(text: Column) -> Column:

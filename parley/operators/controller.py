@@ -102,10 +102,11 @@ def rolling_p80(
     """Of the last ``size`` latencies in ascending order, the one at 0.8 n, from 0."""
 
     def build(w):
-        last = F.sort_array(F.collect_list(latency).over(w.rowsBetween(1 - size, 0)))
-        return {out: F.get(last, F.floor(F.size(last) * 4 / 5).cast("int"))}
+        return {"_last": F.collect_list(latency).over(w.rowsBetween(1 - size, 0))}
 
-    return framed(df, keys, order, size - 1, 0, build, **how)
+    rows = framed(df, keys, order, size - 1, 0, build, **how)
+    place = F.floor(F.size("_last") * 4 / 5).cast("int")
+    return rows.withColumn(out, F.get(F.sort_array("_last"), place)).drop("_last")
 
 
 # -- mode ------------------------------------------------------------------

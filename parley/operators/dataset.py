@@ -24,18 +24,23 @@ def limit_samples(df: DataFrame, order: str, count: int | None) -> DataFrame:
 
 
 def answer_length_quantiles(df: DataFrame, length: str) -> DataFrame:
-    """One row: the lengths that separate short, medium and long answers."""
-    return quantiles(df, [], length, {"q1": SHORT, "q2": MEDIUM})
+    """One row: the lengths that separate short, medium and long answers.
+
+    Lengths are whole numbers no greater than the longest answer, so there are
+    few distinct ones however many rows; they are not estimated first.
+    """
+    return quantiles(df, [], length, {"q1": SHORT, "q2": MEDIUM}, distinct=0)
 
 
 def with_answer_type(df: DataFrame, length: str, out: str = "answer_type") -> DataFrame:
     """Bin each answer by the quantiles of the whole column.
 
-    The two numbers enter as scalar subqueries, so the big side is not joined.
+    The two numbers enter as a scalar subquery, so the big side is not joined.
     """
-    bounds = answer_length_quantiles(df, length)
-    q1, q2 = bounds.select("q1").scalar(), bounds.select("q2").scalar()
-    return df.withColumn(out, text.answer_type(F.col(length), q1, q2))
+    bounds = answer_length_quantiles(df, length).select(F.struct("q1", "q2")).scalar()
+    binned = df.withColumn("_bounds", bounds)
+    kind = text.answer_type(F.col(length), F.col("_bounds.q1"), F.col("_bounds.q2"))
+    return binned.withColumn(out, kind).drop("_bounds")
 
 
 def length_histogram(df: DataFrame, length: str, bins: int = BINS) -> DataFrame:
@@ -61,10 +66,11 @@ def length_histogram(df: DataFrame, length: str, bins: int = BINS) -> DataFrame:
             "upper": F.col("_low") + F.col("bin") * (F.col("_high") - F.col("_low")) / bins,
         }
     )
-    low, high = edges.select("_low").scalar(), edges.select("_high").scalar()
+    low, high = F.col("_range._low"), F.col("_range._high")
     guess = F.floor((F.col("_x") - low) * bins / (high - low)).cast("int") + 1
     filled = (
-        counts.withColumn("bin", F.least(guess, F.lit(bins)))
+        counts.withColumn("_range", edges.select(F.struct("_low", "_high")).scalar())
+        .withColumn("bin", F.least(guess, F.lit(bins)))
         .groupBy("bin")
         .agg(F.sum("_n").alias("_count"))
     )

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions import text
-from parley.operators.quantiles import quantiles
+from parley.operators.quantiles import aggregate_with_quantiles, quantiles
 from parley.operators.sequence import Names, join_on
 
 LATENCY_LEVELS = {
@@ -202,36 +202,23 @@ def row_real_time_factor(df: DataFrame, processing: str, audio: str) -> DataFram
     return df.withColumn("rtf", ratio)
 
 
-def latency_stats(df: DataFrame, by: Names, latency: str) -> DataFrame:
+def latency_stats(df: DataFrame, by: Names, latency: str, **how: int | None) -> DataFrame:
     """Mean, range and percentiles, nulls dropped.
 
     The raw values stay rows of ``df``; they are not gathered per group.
     """
-    simple = (
-        df.filter(F.col(latency).isNotNull())
-        .groupBy(*by)
-        .agg(
-            F.avg(latency).alias("mean"),
-            F.min(latency).alias("min"),
-            F.max(latency).alias("max"),
-            F.count(latency).alias("n"),
-        )
-    )
-    return _beside(simple, quantiles(df, by, latency, LATENCY_LEVELS), by)
-
+    simple = {
+        "mean": F.avg(latency),
+        "min": F.min(latency),
+        "max": F.max(latency),
+        "n": F.count(latency),
+    }
+    return aggregate_with_quantiles(df, by, latency, simple, LATENCY_LEVELS, **how)
 
-def _beside(left: DataFrame, right: DataFrame, by: Names) -> DataFrame:
-    """Two tables with one row per group, side by side."""
-    if by:
-        return join_on(left, right, by)
-    return left.withColumns({c: right.select(c).scalar() for c in right.columns})
 
-
-def tts_latency_summary(df: DataFrame, by: Names, latency: str) -> DataFrame:
-    simple = (
-        df.filter(F.col(latency).isNotNull()).groupBy(*by).agg(F.avg(latency).alias("mean"))
-    )
-    return _beside(simple, quantiles(df, by, latency, {"p50": 0.5, "p95": 0.95}), by)
+def tts_latency_summary(df: DataFrame, by: Names, latency: str, **how: int | None) -> DataFrame:
+    levels = {"p50": 0.5, "p95": 0.95}
+    return aggregate_with_quantiles(df, by, latency, {"mean": F.avg(latency)}, levels, **how)
 
 
 def trend_line(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -244,14 +231,12 @@ def trend_line(df: DataFrame, x: str, y: str) -> DataFrame:
 
 def length_latency_trend(df: DataFrame, length: str, latency: str) -> DataFrame:
     """Adds the fitted latency of each row."""
-    line = trend_line(df, length, latency)
-    slope, intercept = line.select("slope").scalar(), line.select("intercept").scalar()
-    return df.withColumns(
-        {
-            "slope": slope,
-            "intercept": intercept,
-            "fitted": F.col(length) * slope + intercept,
-        }
+    line = trend_line(df, length, latency).select(F.struct("slope", "intercept")).scalar()
+    return df.withColumn("_line", line).select(
+        *df.columns,
+        "_line.slope",
+        "_line.intercept",
+        (F.col(length) * F.col("_line.slope") + F.col("_line.intercept")).alias("fitted"),
     )
 
 

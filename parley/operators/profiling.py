@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley.operators.quantiles import quantiles
-from parley.operators.sequence import Names, framed, join_on
+from parley.operators.quantiles import aggregate_with_quantiles
+from parley.operators.sequence import Names, framed
 
 TOTAL = "total"
 WATERFALL = "array<struct<component: string, time: double>>"
@@ -86,14 +86,9 @@ def stage_deltas(
 
 def component_summary(df: DataFrame, by: str = "component", value: str = "latency_ms") -> DataFrame:
     """Mean, median, sample deviation and maximum per component, slowest first."""
-    simple = df.groupBy(by).agg(
-        F.avg(value).alias("mean"),
-        F.stddev_samp(value).alias("std"),
-        F.max(value).alias("max"),
-    )
-    middle = quantiles(df, [by], value, {"median": 0.5})
-    table = join_on(simple, middle, [by]).select(by, "mean", "median", "std", "max")
-    return table.orderBy(F.desc("mean"), by)
+    simple = {"mean": F.avg(value), "std": F.stddev_samp(value), "max": F.max(value)}
+    table = aggregate_with_quantiles(df, [by], value, simple, {"median": 0.5})
+    return table.select(by, "mean", "median", "std", "max").orderBy(F.desc("mean"), by)
 
 
 def bottleneck(

@@ -32,20 +32,42 @@ def quantiles(
     limit: int = DISTINCT_VALUES,
 ) -> DataFrame:
     """One row per group with a column per entry of ``wanted``; nulls ignored."""
-    present = df.select(*by, F.col(value).cast("double").alias("_x")).filter(
-        F.col("_x").isNotNull()
-    )
-    distinct = most_distinct(present, by, "_x") if distinct is None else distinct
+    return aggregate_with_quantiles(df, by, value, {}, wanted, distinct, limit)
+
+
+def aggregate_with_quantiles(
+    df: DataFrame,
+    by: Names,
+    value: str,
+    others: dict[str, Column],
+    wanted: dict[str, float],
+    distinct: int | None = None,
+    limit: int = DISTINCT_VALUES,
+) -> DataFrame:
+    """Quantiles beside other aggregates of the rows whose value is not null."""
+    # Without groups there is one row either way, and aggregates skip nulls.
+    present = df.filter(F.col(value).isNotNull()) if by else df
+    distinct = most_distinct(present, by, value) if distinct is None else distinct
+    aggregates = [c.alias(name) for name, c in others.items()]
     if distinct <= limit:
-        levels = list(wanted.values())
-        found = present.groupBy(*by).agg(
-            F.percentile("_x", F.array(*[F.lit(p) for p in levels])).alias("_q")
-        )
-        return found.select(
-            *by, *[F.element_at("_q", i + 1).alias(name) for i, name in enumerate(wanted)]
-        )
-
-    counts = present.groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_n"))
+        levels = F.array(*[F.lit(float(p)) for p in wanted.values()])
+        found = present.groupBy(*by).agg(*aggregates, F.percentile(value, levels).alias("_q"))
+        picked = [F.element_at("_q", i + 1).alias(name) for i, name in enumerate(wanted)]
+        return found.select(*by, *others, *picked)
+
+    values = present.select(*by, F.col(value).cast("double").alias("_x"))
+    found = _by_rank(values.filter(F.col("_x").isNotNull()), by, wanted, limit)
+    if not others:
+        return found
+    simple = present.groupBy(*by).agg(*aggregates)
+    if by:
+        return join_on(simple, found, by)
+    row = found.select(F.struct(*wanted)).scalar()
+    return simple.withColumn("_found", row).select(*others, "_found.*")
+
+
+def _by_rank(values: DataFrame, by: Names, wanted: dict[str, float], limit: int) -> DataFrame:
+    counts = values.groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_n"))
     ranked = running_sum(counts, by, ["_x"], F.col("_n"), "_below", limit=limit)
     totals = counts.groupBy(*by).agg(F.sum("_n").alias("_total"))
     if by:

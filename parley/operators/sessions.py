@@ -399,7 +399,7 @@ def store_transcripts(sessions: DataFrame, transcripts: DataFrame, key: str) ->
 def pii_counts(df: DataFrame, key: str, message: str) -> DataFrame:
     """Entities found per document and type, where there are any."""
     counts = [
-        F.struct(F.lit(e).alias("entity"), F.size(privacy.found(F.col(message), e)).alias("n"))
+        F.struct(F.lit(e).alias("entity"), privacy.count_found(F.col(message), e).alias("n"))
         for e in privacy.ENTITIES
     ]
     return (

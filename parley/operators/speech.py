@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley.functions.labels import literal_map
 from parley.functions.text import WORD
 from parley.operators.sequence import Names, framed, largest_group, last_known, running_sum
 
@@ -37,9 +36,14 @@ PHONEME_TO_VISEME = {p: v for v, phonemes in VISEMES.items() for p in phonemes.s
 FRAME_CODES, FRAMES_PER_WINDOW, MAX_CODE = 7, 4, 4096
 
 
-def viseme(phoneme: Column) -> Column:
-    """The viseme of a phoneme; null for marks and unknown ones."""
-    return literal_map(PHONEME_TO_VISEME)[phoneme]
+def with_viseme(df: DataFrame, phoneme: str, out: str = "viseme") -> DataFrame:
+    """The viseme of each phoneme; null for marks and unknown ones.
+
+    The table is the constant above, which is what makes the broadcast safe.
+    """
+    entries = list(PHONEME_TO_VISEME.items())
+    table = df.sparkSession.createDataFrame(entries, f"_phoneme string, {out} string")
+    return df.join(F.broadcast(table), F.col(phoneme) == F.col("_phoneme"), "left").drop("_phoneme")
 
 
 def cumulative_timeline(
@@ -78,7 +82,8 @@ def viseme_timeline(
     timed = cumulative_timeline(
         df.select(*keys, index, phoneme, duration), keys, [index], duration, frame_rate,
         largest=largest, **window,
-    ).withColumn("viseme", viseme(F.col(phoneme)))
+    )
+    timed = with_viseme(timed, phoneme)
     shown = F.col("viseme").isNotNull()
     owned = last_known(
         timed, keys, [index], F.when(shown, F.col(index)), "_owner", largest, **window

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from parley.functions.labels import BASIC_EMOTION
 from parley.functions.prompts import END_OF_SEQUENCE, INSTRUCTION
 from parley.operators.conversation import turn_pairs
+from parley.session import spread
 
 # 2024-01-01, so that times in seconds keep their microseconds.
 ORIGIN_US = 1_704_067_200_000_000
@@ -23,6 +24,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table of texts, for work that is slow per text."""
+    return spread(table(spark, sf, name))
+
+
 def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from parley.functions.labels import FACE_EMOTIONS
 from parley.operators import controller, emotion, evaluation, sessions, speech
-from parley.operators import sequence as seq
 from parley.plans import fixtures as fx
 from parley.plans.registry import query
 
@@ -392,7 +391,7 @@ def phonemes(spark: SparkSession, sf: str) -> DataFrame:
         ),
     )
     rows = F.concat(F.array(letter), middle, F.array(tail))
-    return fx.table(spark, sf, "conversations").select(
+    return fx.texts(spark, sf, "conversations").select(
         *UTTERANCE, F.posexplode(rows).alias("i", "_r")
     ).select(*UTTERANCE, "i", "_r.phoneme", "_r.duration")
 
@@ -428,9 +427,23 @@ SELECT conv_id, turn, CAST(i AS INTEGER) AS i, viseme, CAST(greatest(start, 0) A
          AS vduration FROM grouped"""
 
 
+def longest_turn(spark: SparkSession, sf: str) -> int:
+    """Rows of the longest utterance, without making them."""
+    return fx.table(spark, sf, "conversations").agg(F.max(F.length("text"))).first()[0] + 2
+
+
 @query("viseme_timeline", VISEME_SQL)
 def viseme_timeline(spark: SparkSession, sf: str) -> DataFrame:
-    return speech.viseme_timeline(phonemes(spark, sf), UTTERANCE, "i", "phoneme", "duration")
+    return speech.viseme_timeline(
+        phonemes(spark, sf), UTTERANCE, "i", "phoneme", "duration", largest=longest_turn(spark, sf)
+    )
+
+
+@query("viseme_timeline_split_utterances", VISEME_SQL)
+def viseme_timeline_split_utterances(spark: SparkSession, sf: str) -> DataFrame:
+    return speech.viseme_timeline(
+        phonemes(spark, sf), UTTERANCE, "i", "phoneme", "duration", limit=64
+    )
 
 
 @query(
@@ -452,7 +465,9 @@ def viseme_timeline(spark: SparkSession, sf: str) -> DataFrame:
     JOIN timed y ON y.conv_id = s.conv_id AND y.turn = s.turn AND y.i = b + 1""",
 )
 def word_timeline(spark: SparkSession, sf: str) -> DataFrame:
-    timed = speech.cumulative_timeline(phonemes(spark, sf), UTTERANCE, ["i"], "duration")
+    timed = speech.cumulative_timeline(
+        phonemes(spark, sf), UTTERANCE, ["i"], "duration", largest=longest_turn(spark, sf)
+    )
     turns = fx.table(spark, sf, "conversations").withColumn("phonemes", F.length("text"))
     spans = speech.word_boundaries(turns, UTTERANCE, "text", "phonemes")
     return speech.word_timeline(timed, spans, UTTERANCE, "i")
@@ -469,19 +484,20 @@ def _latency_stats_sql() -> str:
 
 @query("latency_stats_split_groups", _latency_stats_sql())
 def latency_stats_split_groups(spark: SparkSession, sf: str) -> DataFrame:
-    from parley.operators.quantiles import quantiles
     from parley.plans.scores import STATS, sparse_latencies
 
     rows = sparse_latencies(spark, sf)
-    simple = (
-        rows.filter(F.col("latency_ms").isNotNull())
-        .groupBy("event_type")
-        .agg(
-            F.avg("latency_ms").alias("mean"),
-            F.min("latency_ms").alias("min"),
-            F.max("latency_ms").alias("max"),
-            F.count("latency_ms").alias("n"),
-        )
+    stats = evaluation.latency_stats(rows, ["event_type"], "latency_ms", limit=16)
+    return fx.rounded(stats, 6, *STATS)
+
+
+@query(
+    "tts_latency_summary_split",
+    """SELECT round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS p50,
+    round(quantile_cont(value, 0.95), 6) AS p95 FROM events""",
+)
+def tts_latency_summary_split(spark: SparkSession, sf: str) -> DataFrame:
+    rows = events(spark, sf).select("value")
+    return fx.rounded(
+        evaluation.tts_latency_summary(rows, [], "value", limit=16), 6, "mean", "p50", "p95"
     )
-    levels = quantiles(rows, ["event_type"], "latency_ms", evaluation.LATENCY_LEVELS, limit=16)
-    return fx.rounded(seq.join_on(simple, levels, ["event_type"]), 6, *STATS)

@@ -23,7 +23,7 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
     WHERE r.role = 'user' AND h.role = 'assistant'""",
 )
 def ref_hyp_join(spark: SparkSession, sf: str) -> DataFrame:
-    rows = fx.table(spark, sf, "conversations")
+    rows = fx.texts(spark, sf, "conversations")
     refs = rows.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("ref"))
     hyps = rows.filter("role = 'assistant'").select(
         "conv_id", (F.col("turn") - 1).cast("long").alias("turn"), F.col("text").alias("hyp")

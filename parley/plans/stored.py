@@ -330,7 +330,7 @@ def sink_session_summary(spark: SparkSession, sf: str) -> DataFrame:
 def sink_transcripts(spark: SparkSession, sf: str) -> DataFrame:
     path = new_folder(spark, "transcripts")
     stored = fx.table(spark, sf, "orders").select(F.col("o_orderkey").alias("conv_id"))
-    messages = fx.table(spark, sf, "conversations")
+    messages = fx.texts(spark, sf, "conversations")
     sinks.sink_transcripts(stored, messages, path, "conv_id", "turn", "role", "text")
     lines = F.transform(
         "transcripts", lambda m: F.concat(m["actor"], F.lit(": "), m["message"])

@@ -46,7 +46,7 @@ def clean_dialogue(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("normalize_text", f"SELECT doc_id, {fx.normalize_sql('text')} AS text FROM documents")
 def normalize_text(spark: SparkSession, sf: str) -> DataFrame:
-    return documents(spark, sf).select("doc_id", text.normalize_text(F.col("text")).alias("text"))
+    return fx.texts(spark, sf, "documents").select("doc_id", text.normalize_text(F.col("text")).alias("text"))
 
 
 @query(
@@ -136,7 +136,7 @@ def mask_sql(column: str) -> str:
 
 @query("mask_pii", f"SELECT doc_id, {mask_sql('text')} AS text FROM documents")
 def mask_pii(spark: SparkSession, sf: str) -> DataFrame:
-    return documents(spark, sf).select("doc_id", privacy.mask_pii(F.col("text")).alias("text"))
+    return fx.texts(spark, sf, "documents").select("doc_id", privacy.mask_pii(F.col("text")).alias("text"))
 
 
 def found_sql(entity: str, pattern: str) -> str:
@@ -153,7 +153,7 @@ def found_sql(entity: str, pattern: str) -> str:
     + ") WHERE n > 0",
 )
 def pii_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return sessions.pii_counts(documents(spark, sf), "doc_id", "text")
+    return sessions.pii_counts(fx.texts(spark, sf, "documents"), "doc_id", "text")
 
 
 # -- messages --------------------------------------------------------------
