@@ -17,6 +17,7 @@ from parley.operators.sequence import (
     fold,
     framed,
     largest_group,
+    table_fold,
     with_position,
 )
 
@@ -58,7 +59,7 @@ def smoothing(latency: str, target: float) -> Fold:
         initial=F.lit(float(target)),
         step=lambda e, r: e * KEEP + r[latency] * TAKE,
         identity=line(F.lit(1.0), F.lit(0.0)),
-        element=lambda r: line(F.lit(KEEP), r[latency] * TAKE),
+        extend=lambda f, r: line(f["a"] * KEEP, f["b"] * KEEP + r[latency] * TAKE),
         compose=lambda f, g: line(f["a"] * g["a"], f["b"] * g["a"] + g["b"]),
         apply=lambda f, e: f["a"] * e + f["b"],
     )
@@ -134,10 +135,7 @@ def next_state(state: int, asked: int) -> int:
 
 
 def hysteresis(asked: str) -> Fold:
-    """The rule as a table over 36 states and 4 inputs (the last: warm-up).
-
-    A run of rows is a mapping of the 36 states.
-    """
+    """The rule as a table over 36 states and 4 inputs (the last: warm-up)."""
     inputs = len(MODES) + 1
     table = F.array(
         *[F.lit(next_state(s, a)) for s in range(_STATES) for a in range(inputs)]
@@ -147,15 +145,7 @@ def hysteresis(asked: str) -> Fold:
     def move(state: Column, row: Column) -> Column:
         return F.get(table, state * inputs + row[asked])
 
-    states = F.array(*[F.lit(s) for s in range(_STATES)])
-    return Fold(
-        initial=F.lit(encode_state(start, start, 0)),
-        step=move,
-        identity=states,
-        element=lambda r: F.transform(states, lambda s: move(s, r)),
-        compose=lambda f, g: F.transform(f, lambda s: F.get(g, s)),
-        apply=lambda f, s: F.get(f, s),
-    )
+    return table_fold(encode_state(start, start, 0), _STATES, move)
 
 
 def mode_name(state: Column) -> Column:

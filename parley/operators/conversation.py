@@ -14,8 +14,11 @@ from parley.operators.sequence import (
     join_on,
     largest_group,
     last_known,
+    running_sum,
+    table_fold,
     with_position,
 )
+from parley.session import pinned
 
 TOPIC_WORDS = 50
 CONTEXT_TURNS = 2
@@ -81,34 +84,31 @@ def suffix_starts(
     largest: int,
     **window: int,
 ) -> DataFrame:
-    """Adds ``_from``: where the shortest run of newest messages with
-    ``min_words`` words begins, null if there are not so many yet.
+    """``conv, position`` and ``_from``: where the shortest run of newest
+    messages with ``min_words`` words begins, null if there are not so many yet.
 
-    Of messages with words, the last ``min_words`` always suffice; an empty
-    message has the beginning of the one before it.
+    That is the last message with at least ``min_words`` fewer words before it
+    than there are up to this one, so both kinds of sums are merged in order
+    and each message takes the last beginning it meets.
     """
-    entry = F.struct(F.col(position).alias("at"), F.col(words).alias("words"))
-    nothing = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(None).cast("long").alias("at"))
-
-    def extended(found: Column, older: Column) -> Column:
-        total = found["sum"] + older["words"]
-        enough = found["at"].isNull() & (total >= min_words)
-        at = F.when(enough, older["at"]).otherwise(found["at"])
-        return F.struct(total.alias("sum"), at.alias("at"))
-
-    def build(w):
-        last = F.collect_list(entry).over(w.rowsBetween(1 - min_words, 0))
-        return {"_own": F.aggregate(F.reverse(last), nothing, extended)["at"]}
-
-    spoken = framed(
-        df.filter(F.col(words) > 0), [conv], [position], min_words - 1, 0, build,
-        largest=largest, **window,
+    summed = running_sum(
+        df, [conv], [position], F.col(words), "_before", largest, dense=position, **window
     )
-    silent = df.filter(F.col(words) == 0).withColumn("_own", F.lit(None).cast("long"))
-    both = spoken.unionByName(silent)
-    return last_known(both, [conv], [position], F.col("_own"), "_from", largest, **window).drop(
-        "_own"
+    begins = summed.select(
+        conv, F.col("_before").alias("_at"), F.lit(0).alias("_asks"), F.col(position).alias("_start")
     )
+    asks = summed.select(
+        conv,
+        (F.col("_before") + F.col(words) - min_words).alias("_at"),
+        F.lit(1).alias("_asks"),
+        position,
+    )
+    merged = begins.unionByName(asks, allowMissingColumns=True)
+    order = ["_at", "_asks", F.coalesce("_start", position)]
+    filled = last_known(
+        merged, [conv], order, F.col("_start"), "_from", 2 * largest, **window
+    )
+    return filled.filter("_asks = 1").select(conv, position, "_from")
 
 
 def lag_fold(length: str, advance: str, longest: int) -> Fold:
@@ -116,9 +116,8 @@ def lag_fold(length: str, advance: str, longest: int) -> Fold:
 
     A message that ends no segment has a run longer than the lag, and one that
     does only lowers it, so the lag never exceeds the longest run: the states
-    are 0 to ``longest``, and a run of messages is a mapping of them. While
-    there are too few words the lag just grows; it is then no longer than the
-    first run, and is kept within the states.
+    are 0 to ``longest``. While there are too few words the lag just grows; it
+    is then no longer than the first run, and is kept within the states.
     """
 
     def moved(lag: Column, row: Column) -> Column:
@@ -126,15 +125,7 @@ def lag_fold(length: str, advance: str, longest: int) -> Fold:
         after = lag + 1 - row[length] if advance == "length" else F.lit(0)
         return F.when(found, after).otherwise(F.least(lag + 1, F.lit(longest)))
 
-    states = F.sequence(F.lit(0), F.lit(longest))
-    return Fold(
-        initial=F.lit(0),
-        step=moved,
-        identity=states,
-        element=lambda r: F.transform(states, lambda lag: moved(lag, r)),
-        compose=lambda f, g: F.transform(f, lambda lag: F.get(g, lag)),
-        apply=lambda f, lag: F.get(f, lag),
-    )
+    return table_fold(0, longest + 1, moved)
 
 
 def topic_segments(
@@ -169,6 +160,7 @@ def topic_segments(
     )
     longest = 0
     if largest > limit:
+        measured = pinned(measured)
         # Before there are enough words the lag is the message's place.
         lag = F.coalesce(F.col("_length"), F.col("end_pos").cast("int") + 1)
         longest = measured.agg(F.max(lag)).first()[0]
@@ -177,7 +169,7 @@ def topic_segments(
         [conv],
         ["end_pos"],
         ["start_pos", "_length"],
-        lag_fold("_length", advance, longest or 2**31 - 1),
+        lag_fold("_length", advance, longest or 2**31 - 2),
         largest=largest,
         limit=limit,
         dense="end_pos",

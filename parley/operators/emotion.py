@@ -45,8 +45,9 @@ def decay(alpha: str, observed: str, classes: int) -> Fold:
             s, r[observed], lambda p, o: (1.0 - r[alpha]) * p + r[alpha] * o
         ),
         identity=line(F.lit(1.0), zeros),
-        element=lambda r: line(
-            1.0 - r[alpha], F.transform(r[observed], lambda o: r[alpha] * o)
+        extend=lambda f, r: line(
+            f["a"] * (1.0 - r[alpha]),
+            F.zip_with(f["b"], r[observed], lambda s, o: (1.0 - r[alpha]) * s + r[alpha] * o),
         ),
         compose=lambda f, g: line(f["a"] * g["a"], moved(g["a"], f["b"], g["b"])),
         apply=lambda f, s: moved(f["a"], s, f["b"]),

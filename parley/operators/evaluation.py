@@ -83,11 +83,17 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
 
 def _best_cosines(batches: Iterator[pd.DataFrame], pair: Names) -> Iterator[pd.DataFrame]:
     for batch in batches:
+        parts: list[dict] = []
         for row in batch.to_dict("records"):
             cosines = _unit(row["_hyp_v"]) @ _unit(row["_ref_v"]).T
             for name, best in (("hyp", cosines.max(axis=1)), ("ref", cosines.max(axis=0))):
-                frame = pd.DataFrame({"side": name, "i": row[f"_{name}_i"], "best": best})
-                yield frame.assign(**{p: row[p] for p in pair})[[*pair, "side", "i", "best"]]
+                parts.append({"row": row, "side": name, "i": row[f"_{name}_i"], "best": best})
+        sizes = [len(p["i"]) for p in parts]
+        columns = {k: np.repeat([p["row"][k] for p in parts], sizes) for k in pair}
+        columns["side"] = np.repeat([p["side"] for p in parts], sizes)
+        for name in ("i", "best"):
+            columns[name] = np.concatenate([p[name] for p in parts]) if parts else []
+        yield pd.DataFrame(columns)
 
 
 def embedding_match_score(pairs: DataFrame, by: Names) -> DataFrame:

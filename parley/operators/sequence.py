@@ -22,7 +22,9 @@ from parley.session import pinned
 # Rows of one key that one task may sort and stream through a window.
 WINDOW_ROWS = 1_000_000
 # Rows of one key that one array may hold.
-FOLD_ROWS = 4_096
+FOLD_ROWS = 1_024
+# Rows of a chunk of a longer key. Output arrays grow by copying, so short is fast.
+FOLD_CHUNK = 256
 
 Names = list[str]
 
@@ -56,6 +58,7 @@ def running_sum(
     out: str,
     largest: int | None = None,
     limit: int = WINDOW_ROWS,
+    dense: str | None = None,
 ) -> DataFrame:
     """Sum of ``value`` over the rows of the key that come before this one.
 
@@ -63,7 +66,8 @@ def running_sum(
     one key over many tasks, summed within each partition, and raised by the
     total of the key's earlier partitions. That table has one row per key and
     partition. The partitioning is sampled, so it is pinned before it is used
-    twice.
+    twice. Where ``dense`` names a column with 0-based positions, these say
+    which part a row is in, and nothing has to be pinned.
     """
     largest = largest_group(df, keys) if largest is None else largest
     ordering = _columns(order)
@@ -72,12 +76,15 @@ def running_sum(
         w = Window.partitionBy(*keys).orderBy(*ordering).rowsBetween(Window.unboundedPreceding, -1)
         return df.withColumn(out, F.coalesce(F.sum(value).over(w), zero))
 
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = pinned(
-        df.repartitionByRange(parts, *_columns(keys), *ordering)
-        .withColumn("_part", F.spark_partition_id())
-        .withColumn("_value", value)
-    )
+    if dense:
+        ranged = df.withColumns({"_part": F.floor(F.col(dense) / limit), "_value": value})
+    else:
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        ranged = pinned(
+            df.repartitionByRange(parts, *_columns(keys), *ordering)
+            .withColumn("_part", F.spark_partition_id())
+            .withColumn("_value", value)
+        )
     within = (
         Window.partitionBy(*keys, "_part")
         .orderBy(*ordering)
@@ -217,18 +224,34 @@ class Fold:
     """A sequential computation whose chunks can be summarised.
 
     ``step(state, row)`` is the next state. A summary stands for the effect of
-    a run of rows on any state: ``element(row)`` is that of one row,
-    ``compose(f, g)`` that of f then g, ``apply(f, state)`` its effect.
+    a run of rows on any state: ``extend(f, row)`` is that of the run and one
+    row more, ``compose(f, g)`` that of f then g, ``apply(f, state)`` its
+    effect.
     """
 
     initial: Column
     step: Callable[[Column, Column], Column]
     identity: Column
-    element: Callable[[Column], Column]
+    extend: Callable[[Column, Column], Column]
     compose: Callable[[Column, Column], Column]
     apply: Callable[[Column, Column], Column]
 
 
+def table_fold(initial: int, states: int, step: Callable[[Column, Column], Column]) -> Fold:
+    """A fold whose state is one of the numbers 0 to ``states - 1``.
+
+    A run of rows is summarised by where it leads from each of them.
+    """
+    return Fold(
+        initial=F.lit(initial),
+        step=step,
+        identity=F.sequence(F.lit(0), F.lit(states - 1)),
+        extend=lambda f, row: F.transform(f, lambda s: step(s, row)),
+        compose=lambda f, g: F.transform(f, lambda s: F.get(g, s)),
+        apply=lambda f, s: F.get(f, s),
+    )
+
+
 def fold(
     df: DataFrame,
     keys: Names,
@@ -252,20 +275,20 @@ def fold(
     if largest <= limit:
         return short_fold(df, keys, order, values, how.initial, how.step, before, after)
 
+    size = min(limit, FOLD_CHUNK)
     row = F.struct(*order, *values)
     numbered = df if dense else with_position(df, keys, order, "_pos", largest)
-    chunked = numbered.withColumn("_chunk", F.floor(F.col(dense or "_pos") / limit))
+    chunked = numbered.withColumn("_chunk", F.floor(F.col(dense or "_pos") / size))
     by = [*keys, "_chunk"]
-    rows = chunked.groupBy(*by).agg(F.sort_array(F.collect_list(row)).alias("_rows"))
-    summaries = rows.select(*by, _summary(F.col("_rows"), how).alias("_fn"))
-    starts = _chunk_starts(summaries, keys, "_chunk", how, -(-largest // limit), limit)
+    # Read twice, for the summaries and for the states.
+    rows = pinned(chunked.groupBy(*by).agg(F.sort_array(F.collect_list(row)).alias("_rows")))
+    summary = F.aggregate("_rows", how.identity, how.extend).alias("_fn")
+    starts = _chunk_starts(
+        rows.select(*by, summary), keys, "_chunk", how, -(-largest // size), size
+    )
     return _unroll(join_on(rows, starts, by), by, how.step, before, after).drop("_chunk")
 
 
-def _summary(rows: Column, how: Fold) -> Column:
-    return F.aggregate(rows, how.identity, lambda f, r: how.compose(f, how.element(r)))
-
-
 def _unroll(
     rows: DataFrame, keys: Names, step: Callable[[Column, Column], Column], before: str, after: str
 ) -> DataFrame:

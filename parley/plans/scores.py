@@ -279,14 +279,14 @@ def length_latency_trend(spark: SparkSession, sf: str) -> DataFrame:
       FROM events JOIN boxes USING (event_type))
     SELECT event_type, round(avg(value), 6) AS mean, round(any_value(q1), 6) AS q1,
            round(any_value(median), 6) AS median, round(any_value(q3), 6) AS q3,
-           least(min(value) FILTER (WHERE inside), any_value(q1)) AS whisker_low,
-           greatest(max(value) FILTER (WHERE inside), any_value(q3)) AS whisker_high,
+           round(least(min(value) FILTER (WHERE inside), any_value(q1)), 6) AS whisker_low,
+           round(greatest(max(value) FILTER (WHERE inside), any_value(q3)), 6) AS whisker_high,
            count(*) FILTER (WHERE NOT inside) AS outliers
     FROM fenced GROUP BY event_type""",
 )
 def distribution_by_component(spark: SparkSession, sf: str) -> DataFrame:
     boxes = ops.box_plot(events(spark, sf), ["event_type"], "value")
-    return fx.rounded(boxes, 6, "mean", "q1", "median", "q3")
+    return fx.rounded(boxes, 6, "mean", "q1", "median", "q3", "whisker_low", "whisker_high")
 
 
 TOKEN_TIMES = """timed AS (
