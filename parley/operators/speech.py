@@ -5,8 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley.functions.text import WORD
-from parley.operators.sequence import Names, framed, largest_group, last_known, running_sum
+from parley.functions.text import WORD, strip
+from parley.operators.sequence import (
+    FOLD_ROWS,
+    Names,
+    fold,
+    framed,
+    largest_group,
+    last_known,
+    running_sum,
+    table_fold,
+)
 
 # The phonemes of each viseme.
 VISEMES = {
@@ -32,8 +41,10 @@ FRAME_RATE = 40
 
 PHONEME_TO_VISEME = {p: v for v, phonemes in VISEMES.items() for p in phonemes.split()}
 
-# Frames of 7 codes, 4 frames at a time, codes from 0 to 4096.
+# Frames of 7 codes, 4 frames at a time, codes from 0 to 4096; the
+# mark of a code in model output, and the number of the first code.
 FRAME_CODES, FRAMES_PER_WINDOW, MAX_CODE = 7, 4, 4096
+CODE_MARK, FIRST_CODE = "<custom_token_", 10
 
 
 def with_viseme(df: DataFrame, phoneme: str, out: str = "viseme") -> DataFrame:
@@ -154,6 +165,48 @@ def word_timeline(
     )
 
 
+def token_number(output: Column) -> Column:
+    """The number in the last code mark of a model output that ends with it."""
+    tail = F.substring_index(strip(output), CODE_MARK, -1)
+    number = F.regexp_extract(tail, r"^([+-]?[0-9]+)>$", 1)
+    marked = F.contains(output, F.lit(CODE_MARK)) & (number != "")
+    return F.when(marked, number.try_cast("long"))
+
+
+def token_codes(
+    df: DataFrame,
+    keys: Names,
+    order: Names,
+    number: str,
+    largest: int | None = None,
+    limit: int = FOLD_ROWS,
+) -> DataFrame:
+    """Audio codes out of token numbers; what is not a positive code is dropped.
+
+    Each place of a frame has its own range of numbers, and the place depends on
+    how many codes came before, so the place is a state with seven values.
+    """
+
+    def code(place: Column, value: Column) -> Column:
+        return value - FIRST_CODE - place * MAX_CODE
+
+    def moved(place: Column, row: Column) -> Column:
+        return F.when(code(place, row[number]) > 0, (place + 1) % FRAME_CODES).otherwise(place)
+
+    rows = fold(
+        df.filter(F.col(number).isNotNull()),
+        keys,
+        order,
+        [number],
+        table_fold(0, FRAME_CODES, moved),
+        before="place",
+        largest=largest,
+        limit=limit,
+    )
+    coded = rows.withColumn("code", code(F.col("place"), F.col(number)))
+    return coded.filter("code > 0").select(*keys, *order, "place", "code")
+
+
 def count_window(
     df: DataFrame,
     keys: Names,

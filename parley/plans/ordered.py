@@ -9,6 +9,7 @@ from parley.functions.labels import FACE_EMOTIONS
 from parley.operators import controller, emotion, evaluation, sessions, speech
 from parley.plans import fixtures as fx
 from parley.plans.registry import query
+from parley.plans.scores import LATENCY_STATS, STATS, sparse_latencies
 
 SESSION = ["user_id"]
 
@@ -342,6 +343,42 @@ def interleaved_codes(spark: SparkSession, sf: str) -> DataFrame:
     return split.withColumns({f"codes_{i}": listed(f"codes_{i}") for i in range(3)})
 
 
+# Every fourth output is noise; some numbers are out of the range of their place.
+TOKENS_SQL = """WITH RECURSIVE numbered AS (
+  SELECT user_id, event_id, CAST(event_id * 37 % 40000 AS BIGINT) AS number,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n
+  FROM events WHERE event_id % 4 <> 0),
+placed AS (
+  SELECT user_id, event_id, n, number, 0 AS place, number - 10 AS code FROM numbered WHERE n = 1
+  UNION ALL
+  SELECT user_id, event_id, n, number, place, number - 10 - place * 4096
+  FROM (SELECT t.user_id, t.event_id, t.n, t.number,
+               CASE WHEN p.code > 0 THEN (p.place + 1) % 7 ELSE p.place END AS place
+        FROM placed p JOIN numbered t ON t.user_id = p.user_id AND t.n = p.n + 1))
+SELECT user_id, event_id, CAST(place AS INTEGER) AS place, code FROM placed WHERE code > 0"""
+
+
+def tokens(spark: SparkSession, sf: str, **how: int) -> DataFrame:
+    number = (F.col("event_id") * 37 % 40000).cast("string")
+    output = F.when(F.col("event_id") % 4 == 0, "noise").otherwise(
+        F.concat(F.lit("<custom_token_1> <custom_token_"), number, F.lit("> "))
+    )
+    rows = events(spark, sf).select(
+        "user_id", "ts", "event_id", speech.token_number(output).alias("number")
+    )
+    return speech.token_codes(rows, SESSION, fx.TURN_ORDER, "number", **how).drop("ts")
+
+
+@query("token_codes", TOKENS_SQL)
+def token_codes(spark: SparkSession, sf: str) -> DataFrame:
+    return tokens(spark, sf)
+
+
+@query("token_codes_split_sessions", TOKENS_SQL)
+def token_codes_split_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    return tokens(spark, sf, limit=16)
+
+
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 TIMELINE_SQL = f"""WITH timed AS (
   SELECT *, coalesce(sum(l_quantity * 25.0) OVER (
@@ -476,16 +513,8 @@ def word_timeline(spark: SparkSession, sf: str) -> DataFrame:
 # -- quantiles without a group in one place --------------------------------
 
 
-def _latency_stats_sql() -> str:
-    from parley.plans.scores import LATENCY_STATS
-
-    return LATENCY_STATS
-
-
-@query("latency_stats_split_groups", _latency_stats_sql())
+@query("latency_stats_split_groups", LATENCY_STATS)
 def latency_stats_split_groups(spark: SparkSession, sf: str) -> DataFrame:
-    from parley.plans.scores import STATS, sparse_latencies
-
     rows = sparse_latencies(spark, sf)
     stats = evaluation.latency_stats(rows, ["event_type"], "latency_ms", limit=16)
     return fx.rounded(stats, 6, *STATS)

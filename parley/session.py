@@ -31,11 +31,14 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
     Every executor must be able to read it. A local temporary folder is used
-    only where the setting is absent, which is the case in local tests.
+    only where no checkpoint folder is set, which is the case in local tests.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    folder = (
+        spark.conf.get("spark.checkpoint.dir", None)
+        or context.getConf().get("spark.checkpoint.dir", None)
+        or context.getCheckpointDir()
+    )
     if folder is None:
         if not _own_folder:
             _own_folder.append(tempfile.mkdtemp(prefix="parley-"))
