@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 SPACE = r"[\s\x1c-\x1f]"
 NOT_SPACE = r"[^\s\x1c-\x1f]"
 WORD = r"[\p{L}\p{N}_]"
+SPACE_CHARACTERS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
 
 def word_count(text: Column) -> Column:
@@ -32,7 +33,7 @@ def words(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Remove white space of any kind at both ends."""
-    return F.regexp_replace(text, rf"(?U)\A{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(text, F.lit(SPACE_CHARACTERS))
 
 
 def clean_dialogue(text: Column) -> Column:
