@@ -20,10 +20,16 @@ OFFER = "SDP_OFFER"
 ANSWER = "SDP_ANSWER"
 
 
-def scan_dialogues(spark: SparkSession, path: str, schema: str = DIALOGUE) -> DataFrame:
-    """Dialogue CSV with a header; quoted fields may hold line breaks."""
+def scan_dialogues(
+    spark: SparkSession, path: str, schema: str = DIALOGUE, line_breaks: bool = True
+) -> DataFrame:
+    """Dialogue CSV with a header.
+
+    With ``line_breaks`` quoted fields may hold them, and a file is one task's
+    work; without, large files are split.
+    """
     return spark.read.csv(
-        path, schema=schema, header=True, multiLine=True, escape='"', enforceSchema=False
+        path, schema=schema, header=True, multiLine=line_breaks, escape='"', enforceSchema=False
     )
 
 

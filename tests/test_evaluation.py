@@ -3,7 +3,6 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from parley.operators import dataset, evaluation, models, profiling, speech
 from parley.operators.sequence import largest_group
