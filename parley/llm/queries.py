@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.llm.byte_bpe import decode, encode
-from parley.llm.common import table
+from parley.llm.common import fold_of, table
 from parley.llm.exact_dedup import exact_groups
+from parley.llm.language_id import learn, predict
 from parley.llm.mixing import copy_counts
+from parley.llm.quality_rules import judge
 from parley.llm.sharding import kd_shards
+from parley.llm.warc import archive_pages
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,6 +44,21 @@ def oracles() -> dict[str, str]:
     return dict(_oracles)
 
 
+@query("op2_quality_rules")
+def quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    judged = judge(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    return judged.select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        "kept",
+    )
+
+
 SQL_EXACT = f"""
 WITH rows AS (
   SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}') AS norm FROM documents)
@@ -55,6 +73,49 @@ def exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_groups(table(spark, sf, "documents"), keep="largest")
 
 
+@query("op4_language_id")
+def language_id(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    held_out = fold_of(F.col("doc_id"), 5) == 0
+    found = predict(docs, learn(docs, ~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+#: Base32 of the digest: four times 40 bits, eight characters each.
+SQL_BASE32 = " || ".join(
+    f"substr('{BASE32}', 1 + ((('0x' || substr(digest, {10 * part + 1}, 10))::BIGINT >> {bits}) & 31)::INT, 1)"
+    for part in range(4)
+    for bits in range(35, -1, -5)
+)
+SQL_WARC = rf"""
+WITH plain AS (
+  SELECT page_id, coalesce(html, '') AS payload,
+         regexp_replace(lower(coalesce(url, '')), '^[a-z][a-z0-9+.-]*://|#.*$', '', 'g') AS plain
+  FROM pages),
+rows AS (
+  SELECT page_id, payload, strlen(payload) AS payload_bytes, sha1(payload) AS digest,
+         CASE WHEN plain = '' THEN '' ELSE
+           array_to_string(list_reverse(string_split(regexp_replace(
+             regexp_extract(plain, '^([^/?]*)', 1), '^.*@|^www\.', '', 'g'), '.')), ',')
+           || ')' || regexp_extract(plain, '^[^/?]*(.*)$', 1) END AS url_key
+  FROM plain),
+firsts AS (SELECT *, min(page_id) OVER (PARTITION BY payload) AS first FROM rows)
+SELECT page_id, payload_bytes, {SQL_BASE32} AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to,
+       url_key, row_number() OVER (ORDER BY url_key, page_id) - 1 AS place
+FROM firsts
+"""
+
+
+@query("op5_warc_index", SQL_WARC)
+def warc_index(spark: SparkSession, sf: str) -> DataFrame:
+    return archive_pages(table(spark, sf, "pages"), least=0).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "place"
+    )
+
+
 @query("op7_kd_sharding")
 def kd_sharding(spark: SparkSession, sf: str) -> DataFrame:
     return kd_shards(table(spark, sf, "documents"), shards=16).select(
