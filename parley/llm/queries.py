@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from parley.llm.byte_bpe import decode, encode
 from parley.llm.common import fold_of, table
 from parley.llm.exact_dedup import exact_groups
+from parley.llm.hmm_lm import score_texts
+from parley.llm.jaccard_join import near_groups
 from parley.llm.language_id import learn, predict
 from parley.llm.mixing import copy_counts
 from parley.llm.quality_rules import judge
@@ -116,6 +118,11 @@ def warc_index(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("op6_ngram_jaccard")
+def ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    return near_groups(table(spark, sf, "documents"))
+
+
 @query("op7_kd_sharding")
 def kd_sharding(spark: SparkSession, sf: str) -> DataFrame:
     return kd_shards(table(spark, sf, "documents"), shards=16).select(
@@ -189,3 +196,8 @@ def byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2(decode(spark, F.col("ids"), path), 256).alias("decoded_sha256"),
     )
+
+
+@query("op10_hmm_scores")
+def hmm_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return score_texts(table(spark, sf, "documents"), folds=7, left_out=2, states=4, rounds=2)
