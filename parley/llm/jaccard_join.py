@@ -145,7 +145,7 @@ def ask(shards: DataFrame, buckets: int) -> DataFrame:
     return shards.groupBy("shard").applyInArrow(run, "bucket int, shard int, keys binary, counts binary")
 
 
-def answer(asked: DataFrame) -> DataFrame:
+def answer(asked: DataFrame, paired: int, tripled: int) -> DataFrame:
     """Rows (shard, bucket, classes): one byte for each token a shard asked about, in its order."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -153,7 +153,7 @@ def answer(asked: DataFrame) -> DataFrame:
         counts = [np.frombuffer(x.as_py(), np.uint32) for x in table.column("counts")]
         keys, inverse = np.unique(np.concatenate(parts), return_inverse=True)
         total = np.bincount(inverse, weights=np.concatenate(counts), minlength=len(keys))
-        classes = np.searchsorted([2, PAIRED, TRIPLED], total, "right").astype(np.uint8)[inverse]
+        classes = np.searchsorted([2, paired, tripled], total, "right").astype(np.uint8)[inverse]
         ends = np.cumsum([len(p) for p in parts])
         return pa.table(
             {
@@ -260,7 +260,13 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_groups(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    paired: int = PAIRED,
+    tripled: int = TRIPLED,
+) -> DataFrame:
     """One row per input row: id, ``n_shingles`` and ``component_id``.
 
     A text's set are its distinct five-word shingles, A-Z lower-cased (with fewer
@@ -270,7 +276,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     1. Equal sets are one node.
     2. Prefix tokens (in the order of their hashes) are counted over all sets; a
        token that no other set has is dropped, a rare one is indexed alone, the
-       more frequent ones in combinations of 2 or 3 (see ``modes``).
+       more frequent ones (in ``paired`` or ``tripled`` sets) in combinations of 2 or
+       3 (see ``modes``).
     3. In each list of the index all sets are compared with the smallest one: as
        many pairs as entries. Links give components.
     4. Lists that still hold several components have their remaining pairs across
@@ -284,7 +291,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     share = share_count(docs, text_col)
     shards = pieces(docs.withColumn(id_col, F.col(id_col).cast("long")), share, id_col, text_col)
-    answers = answer(ask(shards, share))
+    answers = answer(ask(shards, share), paired, tripled)
     found = pinned(indexed(shards, answers))
     key = ["key_a", "key_b", "n"]
     nodes = pinned(

@@ -16,6 +16,7 @@ from parley.llm.language_id import learn, predict
 from parley.llm.mixing import copy_counts
 from parley.llm.quality_rules import judge
 from parley.llm.sharding import kd_shards
+from parley.llm.suffix_dedup import repeated_passages
 from parley.llm.warc import archive_pages
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +47,11 @@ def oracles() -> dict[str, str]:
     return dict(_oracles)
 
 
+@query("op1_suffix_dedup")
+def suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return repeated_passages(table(spark, sf, "documents")).drop("spans")
+
+
 @query("op2_quality_rules")
 def quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     judged = judge(table(spark, sf, "documents"), table(spark, sf, "labels"))
