@@ -9,7 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.session import pinned
@@ -146,28 +146,18 @@ def known(counts: DataFrame, kind: Column, share: int):
     )
 
 
-def predict(
-    docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """One row per input row: id, ``lang_pred`` and ``score``, its share of the likelihood.
-
-    The whole text is read; nothing but the text decides.
-
-    Defined cases: a text that is null or has no letter is ``und`` with score 0,
-    and so is every text without a model; words without a known part say nothing,
-    and the most frequent language wins ties; an empty table gives an empty
-    result. Other columns are not read.
-    """
-    kind = dict(docs.dtypes)[id_col]
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def language_of(text: Column, model: Model | None) -> Column:
+    """Struct of ``lang_pred`` and ``score`` for whole texts; nothing but the text decides."""
+    shared = SparkSession.active().sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("lang_pred string, score double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = shared.value
         find = re.compile(r"[^\W\d_]+").findall
         memory: dict[str, np.ndarray] = {}
         for batch in batches:
             names, scores = [], []
-            for text in batch["text"]:
+            for text in batch:
                 counts = Counter(find(text.lower())) if own and text else None
                 if not counts or not any(map(str.isalpha, "".join(counts))):
                     names.append("und")
@@ -183,11 +173,22 @@ def predict(
                     rows.append(got)
                 total = own.prior + np.array(list(counts.values()), dtype=float) @ np.array(rows)
                 shares = np.exp(total - total.max())
-                best = int(np.argmax(total))
-                names.append(own.languages[best])
+                names.append(own.languages[int(np.argmax(total))])
                 scores.append(float(1 / shares.sum()))
-            yield pd.DataFrame({"id": batch["id"], "lang_pred": names, "score": scores})
+            yield pd.DataFrame({"lang_pred": names, "score": scores})
+
+    return run(text)
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    out = rows.mapInPandas(run, f"id {kind}, lang_pred string, score double")
-    return out.withColumnRenamed("id", id_col)
+
+def predict(
+    docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """One row per input row: id, ``lang_pred`` and ``score``, its share of the likelihood.
+
+    Defined cases: a text that is null or has no letter is ``und`` with score 0,
+    and so is every text without a model; words without a known part say nothing,
+    and the most frequent language wins ties; an empty table gives an empty
+    result. Other columns are not read.
+    """
+    rows = docs.select(id_col, language_of(F.col(text_col), model).alias("_found"))
+    return rows.select(id_col, "_found.lang_pred", "_found.score")

@@ -6,21 +6,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.llm.byte_bpe import encode
-from parley.llm.exact_dedup import exact_groups
+from parley.llm.common import fold_of
+from parley.llm.exact_dedup import without_copies
+from parley.llm.jaccard_join import near_groups
+from parley.llm.language_id import language_of, learn
 from parley.llm.mixing import mix
 from parley.llm.queries import vocabulary
 
+#: Share of the likelihood below which no language is taken as found.
+LEAST_SCORE = 0.5
 
-def keep_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose id is in ``ids``, one row per id."""
-    wanted = ids.select(F.col(id_col).alias("_keep")).distinct()
-    rows = docs.join(wanted, docs[id_col].eqNullSafe(F.col("_keep")), "left_semi")
-    return rows.dropDuplicates([id_col])
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Language ID: texts without a letter or without a clear language go."""
+    model = learn(docs, fold_of(F.col("doc_id"), 5) != 0)
+    found = docs.withColumn("_language", language_of(F.col("text"), model))
+    clear = (F.col("_language.lang_pred") != "und") & (F.col("_language.score") >= LEAST_SCORE)
+    return found.where(clear).drop("_language")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Exact dedup: of equal texts the row with the largest id stays."""
-    return keep_ids(docs, exact_groups(docs, keep="largest").where("kept"))
+    return without_copies(docs, keep="largest")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Jaccard join: of each group of linked texts the row with the smallest id stays."""
+    groups = near_groups(docs)
+    stay = groups.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(
+        F.col("doc_id").alias("_stays")
+    )
+    rows = docs.join(stay, docs["doc_id"].eqNullSafe(F.col("_stays")), "left_semi")
+    return rows.dropDuplicates(["doc_id"])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,14 +46,15 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte-level BPE: id, source, token ids and their number."""
+    """Byte-level BPE: id, token ids and their number."""
     path, pattern = vocabulary()
-    coded = encode(docs, path, pattern)
-    return coded.select("doc_id", "ids", F.size("ids").alias("n_tokens"))
+    return encode(docs, path, pattern).select("doc_id", "ids", F.size("ids").alias("n_tokens"))
 
 
 STAGES = [
+    ("language_id", known_language),
     ("exact_dedup", drop_copies),
+    ("ngram_jaccard", drop_near_copies),
     ("mix_sources", mix_sources),
     ("byte_bpe", encode_texts),
 ]
