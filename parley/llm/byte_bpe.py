@@ -13,114 +13,112 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-WORD_BITS = 64
-#: Encoded pre-tokens that a task remembers; when full, the memory starts anew.
-REMEMBERED = 1 << 18
+#: Encoded pre-tokens that a worker remembers between its tasks; when full, the memory starts anew.
+REMEMBERED = 1 << 19
+#: Token ids in one batch of results.
+BATCH_IDS = 1 << 20
+#: Bits of the rank that choose within a word of the lower bitmap.
+LOW, MASK = 8, 255
 
 
-class RankQueue:
-    """Positions in buckets by rank; the lowest rank is found by first set bits.
+class Encoder:
+    """Texts to token ids, each match of the pattern apart; remembers pre-tokens.
 
-    Bit r of the lowest bitmap says that bucket r holds entries; each bit of a
-    higher bitmap says that a word of the one below is not zero. A bucket gives
-    its positions from left to right.
+    The queue of a pre-token has a bucket per merge rank, which holds positions of
+    the linked list of parts: none, one, or a heap that gives them from left to
+    right. Bit r & 255 of ``bitmap[r >> 8]`` says that bucket r is not empty, bit w
+    of ``top`` that ``bitmap[w]`` is not zero, so the lowest rank is two
+    find-first-sets away. The queue is empty again after every pre-token.
     """
 
-    def __init__(self, ranks: int) -> None:
-        self.buckets: dict[int, list[int]] = {}
-        self.levels: list[list[int]] = []
-        size = ranks
-        while not self.levels or size > 1:
-            size = -(-size // WORD_BITS)
-            self.levels.append([0] * size)
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        place = rank
-        for words in self.levels:
-            place, bit = place >> 6, 1 << (place & 63)
-            held = words[place]
-            words[place] = held | bit
-            if held:
-                break
-
-    def pop(self) -> tuple[int, int] | None:
-        """The lowest rank with its leftmost position; None when empty."""
-        if not self.buckets:
-            return None
-        place = 0
-        for words in reversed(self.levels):
-            word = words[place]
-            place = (place << 6) | ((word & -word).bit_length() - 1)
-        bucket = self.buckets[place]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[place]
-            above = place
-            for words in self.levels:
-                above, bit = above >> 6, 1 << (above & 63)
-                words[above] &= ~bit
-                if words[above]:
-                    break
-        return place, position
-
-
-class Encoder:
-    """Texts to token ids, each match of the pattern apart; remembers pre-tokens."""
-
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.ranks = ranks
         self.find = regex.compile(pattern).findall
-        self.queue = RankQueue(max(ranks.values()) + 1)
+        size = max(ranks.values()) + 1
+        self.bitmap = [0] * ((size >> LOW) + 1)
+        self.buckets: list[int | list[int] | None] = [None] * size
+        self.bits = [1 << i for i in range(max(MASK + 1, len(self.bitmap)))]
+        self.pairs = [ranks.get(bytes((i >> 8, i & 255)), -1) for i in range(1 << 16)]
         self.memory: dict[str, list[int]] = {}
 
     def merge(self, piece: bytes) -> list[int]:
-        """Token ids of one pre-token.
+        """Token ids of one pre-token, by about n log n steps.
 
-        Parts form a linked list. The queue holds a position for every pair of
-        neighbours that has a rank; an entry whose pair has changed since is
-        stale and is skipped.
+        An entry whose pair of neighbours has another rank by now is stale and is
+        skipped. The pushes are written out: this is the inner loop of a corpus.
         """
         ranks = self.ranks
         whole = ranks.get(piece)
         if whole is not None:
             return [whole]
+        rank_of, buckets, bitmap, bits, pairs = ranks.get, self.buckets, self.bitmap, self.bits, self.pairs
         n = len(piece)
-        after = list(range(1, n + 1)) + [n]
-        before = list(range(-1, n))
-        current: list[int] = [-1] * (n + 1)
-        queue = self.queue
-        for i in range(n - 1):
-            rank = ranks.get(piece[i : i + 2])
-            if rank is not None:
-                current[i] = rank
-                queue.push(rank, i)
-        while (entry := queue.pop()) is not None:
-            rank, i = entry
+        after, before = list(range(1, n + 2)), list(range(-1, n))
+        current = [pairs[a << 8 | b] for a, b in zip(piece, piece[1:], strict=False)]
+        current.append(-1)
+        top = 0
+        for i, rank in enumerate(current):
+            if rank >= 0:
+                held = buckets[rank]
+                if held is None:
+                    buckets[rank] = i
+                    word = rank >> LOW
+                    bitmap[word] |= bits[rank & MASK]
+                    top |= bits[word]
+                elif held.__class__ is int:
+                    buckets[rank] = [held, i]
+                else:
+                    held.append(i)
+        while top:
+            word = (top & -top).bit_length() - 1
+            low = bitmap[word] & -bitmap[word]
+            rank = word << LOW | (low.bit_length() - 1)
+            i = buckets[rank]
+            if i.__class__ is not int:
+                heap, i = i, heappop(i)
+            if buckets[rank].__class__ is int or not heap:
+                buckets[rank] = None
+                bitmap[word] ^= low
+                if not bitmap[word]:
+                    top ^= bits[word]
             if current[i] != rank:
                 continue
             gone = after[i]
             end = after[gone]
             after[i] = end
-            current[gone] = -1
+            current[gone] = current[i] = -1
+            left = before[i]
             if end < n:
                 before[end] = i
-                new = ranks.get(piece[i : after[end]])
-                current[i] = -1 if new is None else new
+                new = rank_of(piece[i : after[end]])
                 if new is not None:
-                    queue.push(new, i)
-            else:
-                current[i] = -1
-            left = before[i]
+                    current[i] = new
+                    held = buckets[new]
+                    if held is None:
+                        buckets[new] = i
+                        word = new >> LOW
+                        bitmap[word] |= bits[new & MASK]
+                        top |= bits[word]
+                    elif held.__class__ is int:
+                        buckets[new] = [held, i] if held < i else [i, held]
+                    else:
+                        heappush(held, i)
             if left >= 0:
-                new = ranks.get(piece[left:end])
-                current[left] = -1 if new is None else new
-                if new is not None:
-                    queue.push(new, left)
+                new = rank_of(piece[left:end])
+                if new is None:
+                    current[left] = -1
+                    continue
+                current[left] = new
+                held = buckets[new]
+                if held is None:
+                    buckets[new] = left
+                    word = new >> LOW
+                    bitmap[word] |= bits[new & MASK]
+                    top |= bits[word]
+                elif held.__class__ is int:
+                    buckets[new] = [held, left] if held < left else [left, held]
+                else:
+                    heappush(held, left)
         out, i = [], 0
         while i < n:
             out.append(ranks[piece[i : after[i]]])
@@ -141,6 +139,17 @@ class Encoder:
         return out
 
 
+_encoders: dict[tuple[str, str], Encoder] = {}
+
+
+def encoder_of(ranks, path: str, pattern: str) -> Encoder:
+    """The worker's encoder for a vocabulary, kept between tasks with what it remembers."""
+    if (path, pattern) not in _encoders:
+        _encoders.clear()
+        _encoders[path, pattern] = Encoder(ranks.value, pattern)
+    return _encoders[path, pattern]
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     """The vocabulary of a rank file: one base64 token and its rank a line."""
     with open(path, "rb") as file:
@@ -164,13 +173,13 @@ def encode(
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(ranks.value, pattern)
+        encoder = encoder_of(ranks, path, pattern)
         for batch in batches:
             texts, at, values, offsets = batch.column(1), 0, [], [0]
             for i in range(len(texts)):
                 values += encoder.encode(texts[i].as_py() or "")
                 offsets.append(len(values))
-                if len(values) > 1 << 22 or i == len(texts) - 1:
+                if len(values) > BATCH_IDS or i == len(texts) - 1:
                     lists = pa.ListArray.from_arrays(
                         pa.array(offsets, pa.int32()), pa.array(values, pa.int32())
                     )
