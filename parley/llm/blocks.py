@@ -13,11 +13,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of text in a shard and a bucket, and the least number of either.
-SHARE_BYTES, LEAST = 16 << 20, 64
+#: Bytes of text to a shard and to a bucket, and the least number of either.
+SHARD_BYTES, BUCKET_BYTES, LEAST = 8 << 20, 16 << 20, 64
+#: Bytes of rows that are sorted by shard and packed at a time.
+HELD_BYTES = 32 << 20
 #: Bytes of text that are worked on at a time.
 BLOCK_BYTES = 2 << 20
 
@@ -25,10 +28,10 @@ PIECE = "shard int, piece binary"
 _OPTIONS = pa.ipc.IpcWriteOptions(compression="zstd")
 
 
-def share_count(docs: DataFrame, text_col: str) -> int:
-    """Shards (and buckets) for a table: a power of two that grows with its bytes."""
+def shares(docs: DataFrame, text_col: str, shard_bytes: int = SHARD_BYTES) -> tuple[int, int]:
+    """Shards and buckets for a table, both in proportion to its bytes; buckets a power of two."""
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    return max(LEAST, 1 << (total // SHARE_BYTES).bit_length())
+    return max(LEAST, total // shard_bytes), max(LEAST, 1 << (total // BUCKET_BYTES).bit_length())
 
 
 def pieces(docs: DataFrame, shards: int, id_col: str, text_col: str) -> DataFrame:
@@ -48,7 +51,7 @@ def pieces(docs: DataFrame, shards: int, id_col: str, text_col: str) -> DataFram
         for batch in batches:
             held.append(batch)
             size += batch.nbytes
-            if size > SHARE_BYTES:
+            if size > HELD_BYTES:
                 yield packed(held)
                 held, size = [], 0
         if held:
@@ -80,7 +83,7 @@ def unpacked(table: pa.Table) -> pa.Table:
         pa.ipc.open_stream(pa.py_buffer(p.as_py())).read_all() for p in table.column("piece")
     ]
     rows = pa.concat_tables(parts)
-    order = pa.compute.sort_indices(
+    order = pc.sort_indices(
         rows, sort_keys=[("id", "ascending"), ("text", "ascending")], null_placement="at_start"
     )
     return rows.take(order).combine_chunks()

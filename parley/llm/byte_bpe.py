@@ -6,10 +6,9 @@ import base64
 from collections.abc import Iterator
 from heapq import heappop, heappush
 
-import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,7 +38,7 @@ class Encoder:
         self.buckets: list[int | list[int] | None] = [None] * size
         self.bits = [1 << i for i in range(max(MASK + 1, len(self.bitmap)))]
         self.pairs = [ranks.get(bytes((i >> 8, i & 255)), -1) for i in range(1 << 16)]
-        self.memory: dict[str, list[int]] = {}
+        self.memory: dict[str, tuple[int, ...]] = {}
 
     def merge(self, piece: bytes) -> list[int]:
         """Token ids of one pre-token, by about n log n steps.
@@ -130,7 +129,7 @@ class Encoder:
         for piece in self.find(text):
             ids = memory.get(piece)
             if ids is None:
-                ids = self.merge(piece.encode("utf-8"))
+                ids = tuple(self.merge(piece.encode("utf-8")))
                 if len(piece) <= 64:
                     if len(memory) >= REMEMBERED:
                         memory.clear()
@@ -193,14 +192,24 @@ def encode(
     return out.withColumnRenamed("id", id_col)
 
 
-def decode(spark: SparkSession, ids: Column, path: str) -> Column:
-    """The bytes that token ids stand for (binary); null ids give null."""
+def decode(coded: DataFrame, path: str, ids_col: str = "ids", name: str = "decoded") -> DataFrame:
+    """``coded`` with the bytes its token ids stand for (binary); null ids give null."""
+    spark = coded.sparkSession
     tokens = spark.sparkContext.broadcast({rank: token for token, rank in read_ranks(path).items()})
+    place = coded.columns.index(ids_col)
 
-    @F.pandas_udf(T.BinaryType())
-    def joined(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = tokens.value.__getitem__
         for batch in batches:
-            yield batch.map(lambda x: None if x is None else b"".join(map(get, x.tolist())))
-
-    return joined(ids)
+            lists = batch.column(place)
+            values, at = lists.values.to_numpy(), lists.offsets.to_numpy()
+            out = [
+                b"".join(map(get, values[a:b].tolist())) if valid else None
+                for a, b, valid in zip(at[:-1], at[1:], lists.is_valid().to_pylist(), strict=True)
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, name]
+            )
+
+    schema = T.StructType([*coded.schema.fields, T.StructField(name, T.BinaryType())])
+    return coded.mapInArrow(run, schema)

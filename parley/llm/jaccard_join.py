@@ -8,7 +8,8 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm.blocks import (
@@ -18,7 +19,7 @@ from parley.llm.blocks import (
     pieces,
     prefix_sums,
     range_hashes,
-    share_count,
+    shares,
     text_blocks,
     unpacked,
     word_ranges,
@@ -31,10 +32,11 @@ SHINGLE = 5
 NUMERATOR, DENOMINATOR = 4, 5
 #: Sets of up to this size index single tokens only; the modes above it double.
 PLAIN = 30
-#: From so many sets on that hold a token in their prefix, 2 and 3 tokens are indexed together.
-PAIRED, TRIPLED = 8, 128
-#: Classes of a token as an answer gives them: no other set has it; 1, 2 or 3 together.
-ALONE = 0
+#: From so many sets on that hold a token in their prefix it is frequent, and indexed in
+#: combinations of so many tokens.
+FREQUENT, TOGETHER = 16, 3
+#: Classes of a token as an answer gives them: no other set has it, rare, frequent.
+ALONE, RARE, COMMON = 0, 1, 2
 
 _MIX = np.random.default_rng(5).integers(1, 1 << 63, 16, np.uint64) * np.uint64(2) + np.uint64(1)
 _ROUTE = np.uint64(0xD6E8FEB86659FD93)
@@ -78,17 +80,17 @@ def modes(n: int) -> list[tuple[int, int, int]]:
 
     Sets that may link meet in a mode: the larger one lies in it, and the smaller
     one has at least four fifths of its size. At most d = n - ceil(4n / 5) tokens
-    of a set are missing in a partner, so of the first d + 1 + 3 groups tokens at
-    least 1 + 3 groups are shared. If none of them is of class 1, then of the
-    ``groups`` groups of class 2 and of class 3 one has 2 or 3 shared ones.
+    of a set are missing in a partner, so of the first d + 1 + 2 groups tokens at
+    least 1 + 2 groups are shared. If none of them is rare, they are frequent, and
+    one of the ``groups`` groups of frequent tokens has 3 of them.
     """
     missing = n - -(-NUMERATOR * n // DENOMINATOR)
     out = [(0, 0, missing + 1)] if n <= PLAIN else []
     mode, low = 1, PLAIN
     while NUMERATOR * low <= DENOMINATOR * n:
         if n <= 2 * low:
-            groups = max(1, NUMERATOR * low // DENOMINATOR // 12)
-            out.append((mode, groups, min(n, missing + 1 + 3 * groups)))
+            groups = max(1, NUMERATOR * low // DENOMINATOR // 8)
+            out.append((mode, groups, min(n, missing + 1 + (TOGETHER - 1) * groups)))
         mode, low = mode + 1, 2 * low
     return out
 
@@ -145,7 +147,7 @@ def ask(shards: DataFrame, buckets: int) -> DataFrame:
     return shards.groupBy("shard").applyInArrow(run, "bucket int, shard int, keys binary, counts binary")
 
 
-def answer(asked: DataFrame, paired: int, tripled: int) -> DataFrame:
+def answer(asked: DataFrame, frequent: int) -> DataFrame:
     """Rows (shard, bucket, classes): one byte for each token a shard asked about, in its order."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -153,7 +155,7 @@ def answer(asked: DataFrame, paired: int, tripled: int) -> DataFrame:
         counts = [np.frombuffer(x.as_py(), np.uint32) for x in table.column("counts")]
         keys, inverse = np.unique(np.concatenate(parts), return_inverse=True)
         total = np.bincount(inverse, weights=np.concatenate(counts), minlength=len(keys))
-        classes = np.searchsorted([2, paired, tripled], total, "right").astype(np.uint8)[inverse]
+        classes = np.searchsorted([2, frequent], total, "right").astype(np.uint8)[inverse]
         ends = np.cumsum([len(p) for p in parts])
         return pa.table(
             {
@@ -174,30 +176,37 @@ def choices(n: int, k: int) -> np.ndarray:
 
 
 def signatures(tokens: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """What a set is indexed by: single tokens of class 1, combinations of 2 or 3 in a group else."""
+    """What a set is indexed by: rare tokens, and combinations of 3 frequent ones of a group."""
     out = []
     for mode, groups, length in modes(len(tokens)):
         own, kind = tokens[:length], classes[:length]
         if not groups:
             out.append(mixed(own[kind != ALONE] + salt(mode, 1)))
             continue
-        out.append(mixed(own[kind == 1] + salt(mode, 1)))
-        for k in (2, 3):
-            heavy = own[kind == k]
-            if len(heavy) < k:
-                continue
-            group = (mixed(heavy + _MIX[12]) % np.uint64(groups)).astype(np.int64)
-            order = np.argsort(group, kind="stable")
-            cuts = np.concatenate([[0], np.cumsum(np.bincount(group, minlength=groups))])
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                if b - a >= k:
-                    chosen = heavy[order[a:b]][choices(b - a, k)]
-                    out.append(mixed((chosen * _MIX[:k]).sum(1, dtype=np.uint64) + salt(mode, k)))
+        out.append(mixed(own[kind == RARE] + salt(mode, 1)))
+        heavy = own[kind == COMMON]
+        if len(heavy) < TOGETHER:
+            continue
+        group = (mixed(heavy + _MIX[12]) % np.uint64(groups)).astype(np.int64)
+        order = np.argsort(group, kind="stable")
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(group, minlength=groups))])
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if b - a >= TOGETHER:
+                chosen = heavy[order[a:b]][choices(b - a, TOGETHER)]
+                out.append(mixed((chosen * _MIX[:TOGETHER]).sum(1, dtype=np.uint64) + salt(mode, TOGETHER)))
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
+def ordered(token: np.uint64) -> int:
+    """An unsigned hash as a signed number of the same order."""
+    return int((token ^ np.uint64(1 << 63)).view(np.int64))
+
+
 def indexed(shards: DataFrame, answers: DataFrame) -> DataFrame:
-    """Per shard and distinct set: ids, size, key, signatures that others may share, and the set if any."""
+    """Per shard and distinct set: ids, size, key, what it is indexed by, and its prefix.
+
+    Of the prefix: its length, its last token, and the tokens that other sets have.
+    """
 
     def run(table: pa.Table, replies: pa.Table) -> pa.Table:
         rows = unpacked(table)
@@ -214,23 +223,26 @@ def indexed(shards: DataFrame, answers: DataFrame) -> DataFrame:
         empty = []
         for key, place in zip(rows.column("id").to_pylist(), of_text, strict=True):
             (ids[place] if place >= 0 else empty).append(key)
-        marks, held = [], []
+        marks, shared, last = [], [], []
         for i, tokens in enumerate(sets):
             own = kinds[bounds[i] : bounds[i + 1]]
-            marks.append(signatures(tokens, own).view(np.int64) if own.any() else None)
-            held.append(tokens.view(np.int64) if marks[-1] is not None and len(marks[-1]) else None)
+            mark = signatures(tokens, own) if own.any() else own[:0]
+            marks.append(mark.view(np.int64) if len(mark) else None)
+            shared.append(tokens[: len(own)][own != ALONE].view(np.int64) if len(mark) else None)
+            last.append(ordered(tokens[len(own) - 1]))
         key_of = list(places)
-        shard = table.column("shard")[0].as_py()
         n = len(sets)
         return pa.table(
             {
-                "shard": pa.array([shard] * (n + 1), pa.int32()),
+                "shard": pa.array([table.column("shard")[0].as_py()] * (n + 1), pa.int32()),
                 "ids": pa.array([*ids, empty], pa.list_(rows.schema.field("id").type)),
                 "n": pa.array([*(len(s) for s in sets), 0], pa.int64()),
                 "key_a": pa.array([*(k[0] for k in key_of), None], pa.int64()),
                 "key_b": pa.array([*(k[1] for k in key_of), None], pa.int64()),
                 "marks": pa.array([*marks, None], pa.list_(pa.int64())),
-                "tokens": pa.array([*held, None], pa.list_(pa.int64())),
+                "length": pa.array([*np.diff(bounds).tolist(), None], pa.int64()),
+                "last": pa.array([*last, None], pa.int64()),
+                "shared": pa.array([*shared, None], pa.list_(pa.int64())),
             }
         )
 
@@ -240,32 +252,126 @@ def indexed(shards: DataFrame, answers: DataFrame) -> DataFrame:
         .applyInArrow(
             run,
             "shard int, ids array<bigint>, n long, key_a long, key_b long, "
-            "marks array<bigint>, tokens array<bigint>",
+            "marks array<bigint>, length long, last long, shared array<bigint>",
+        )
+    )
+
+
+def sides(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
+    """Pairs (a, b) with the columns of both nodes, as a_... and b_..."""
+    out = pairs.select("a", "b")
+    for side in ("a", "b"):
+        own = table.select(F.col("node").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in columns])
+        out = out.join(own, side)
+    return out
+
+
+def possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs that may link by their prefixes: an upper bound of what they share reaches it.
+
+    All common tokens up to the smaller of the last prefix tokens are in both
+    prefixes; beyond it, the set whose prefix ends there has n - length tokens.
+    """
+    beyond = F.when(
+        F.col("a_last") <= F.col("b_last"), F.col("a_n") - F.col("a_length")
+    ).otherwise(F.col("b_n") - F.col("b_length"))
+    most = F.size(F.array_intersect("a_shared", "b_shared")) + beyond
+    enough = (NUMERATOR + DENOMINATOR) * most >= NUMERATOR * (F.col("a_n") + F.col("b_n"))
+    return sides(pairs, sets, ["n", "length", "last", "shared"]).where(enough).select("a", "b")
+
+
+def whole_sets(shards: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows (node, tokens) for the wanted rows (shard, node, key_a, key_b), out of their texts."""
+
+    def run(table: pa.Table, asked: pa.Table) -> pa.Table:
+        keys = {
+            (n, a, b)
+            for n, a, b in zip(*(asked.column(c).to_pylist() for c in ("node", "key_a", "key_b")), strict=True)
+        }
+        out: dict[int, np.ndarray] = {}
+        if keys and table.num_rows:
+            rows = unpacked(table)
+            some = pa.array(sorted({k[0] for k in keys}), rows.schema.field("id").type)
+            rows = rows.filter(pc.is_in(rows.column("id"), some)).combine_chunks()
+            for node, tokens in zip(rows.column("id").to_pylist(), shingle_sets(rows), strict=True):
+                if len(tokens) and (node, *set_key(tokens)) in keys:
+                    out[node] = tokens.view(np.int64)
+        return pa.table(
+            {
+                "node": pa.array(list(out), pa.int64()),
+                "tokens": pa.array(list(out.values()), pa.list_(pa.int64())),
+            }
         )
+
+    return (
+        shards.groupBy("shard")
+        .cogroup(wanted.groupBy("shard"))
+        .applyInArrow(run, "node long, tokens array<bigint>")
+    )
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, shards: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose whole sets reach the similarity."""
+    some = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = nodes.join(some, "node", "left_semi").select("shard", "node", "key_a", "key_b")
+    sets = pinned(whole_sets(shards, wanted))
+    common = F.size(F.array_intersect("a_tokens", "b_tokens"))
+    union = F.size("a_tokens") + F.size("b_tokens") - common
+    both = sides(pairs, sets, ["tokens"])
+    return pinned(both.where(DENOMINATOR * common >= NUMERATOR * union).select("a", "b"))
+
+
+def fits(x: Column, y: Column) -> Column:
+    """Whether sets of these sizes may link."""
+    return NUMERATOR * F.greatest(x, y) <= DENOMINATOR * F.least(x, y)
+
+
+def stars(entries: DataFrame) -> DataFrame:
+    """Pairs of each list's smallest node with its others: no more than there are entries."""
+    hubs = pinned(
+        entries.groupBy("mark")
+        .agg(F.min(F.struct("node", "n")).alias("hub"), F.count("*").alias("size"))
+        .where("size > 1")
+        .select("mark", F.col("hub.node").alias("a"), F.col("hub.n").alias("hub_n"))
+    )
+    return pinned(
+        entries.join(hubs, "mark")
+        .where((F.col("node") != F.col("a")) & fits(F.col("n"), F.col("hub_n")))
+        .select("a", F.col("node").alias("b"))
+        .distinct()
     )
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets reach the similarity."""
-    left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
-    common = F.size(F.array_intersect("x", "y"))
-    union = F.size("x") + F.size("y") - common
+def crossing(entries: DataFrame, links: DataFrame) -> DataFrame:
+    """Pairs of a list whose nodes the links do not join yet.
+
+    A list's most frequent component meets the others, but never itself.
+    """
+    placed = entries.join(components(links), "node", "left").withColumn(
+        "component", F.coalesce("component", "node")
+    )
+    main = pinned(
+        placed.groupBy("mark", "component")
+        .agg(F.count("*").alias("size"))
+        .groupBy("mark")
+        .agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count("*").alias("kinds"))
+        .where("kinds > 1")
+        .select("mark", "main")
+    )
+    rest = placed.join(main, "mark")
+    few = rest.where("component != main").select(
+        "mark", F.col("node").alias("x"), F.col("n").alias("x_n"), F.col("component").alias("x_component")
+    )
     return (
-        pairs.select("a", "b")
-        .join(left, "a")
-        .join(right, "b")
-        .where(DENOMINATOR * common >= NUMERATOR * union)
-        .select("a", "b")
+        few.join(rest, "mark")
+        .where((F.col("component") != F.col("x_component")) & fits(F.col("n"), F.col("x_n")))
+        .select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b"))
+        .distinct()
     )
 
 
 def near_groups(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    paired: int = PAIRED,
-    tripled: int = TRIPLED,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT
 ) -> DataFrame:
     """One row per input row: id, ``n_shingles`` and ``component_id``.
 
@@ -275,77 +381,45 @@ def near_groups(
 
     1. Equal sets are one node.
     2. Prefix tokens (in the order of their hashes) are counted over all sets; a
-       token that no other set has is dropped, a rare one is indexed alone, the
-       more frequent ones (in ``paired`` or ``tripled`` sets) in combinations of 2 or
-       3 (see ``modes``).
-    3. In each list of the index all sets are compared with the smallest one: as
-       many pairs as entries. Links give components.
-    4. Lists that still hold several components have their remaining pairs across
-       components compared too. So no link between components is lost, while a
-       large group of near copies never becomes all of its pairs.
+       token that no other set has is dropped, a rare one is indexed alone, one
+       that ``frequent`` sets have in combinations of 3 (see ``modes``).
+    3. In each list of the index all sets are paired with the smallest one: as
+       many pairs as entries. Pairs whose prefixes rule a link out go; of the
+       others the whole sets are taken from the texts and compared.
+    4. Lists that still hold several components give the pairs across them, which
+       are compared in the same way.
+
+    So no link between components is lost, while a large group of near copies
+    never becomes all of its pairs.
 
     Defined cases: null and empty texts have no shingles and are their own
     component; rows that repeat an id are one node with all their texts' links;
     null ids have the component of their equals, or null; an empty table gives an
-    empty result. Other columns are not read. Shingles are known by 64-bit hashes.
+    empty result. Ids are integers. Other columns are not read. Shingles are known
+    by 64-bit hashes.
     """
-    share = share_count(docs, text_col)
-    shards = pieces(docs.withColumn(id_col, F.col(id_col).cast("long")), share, id_col, text_col)
-    answers = answer(ask(shards, share), paired, tripled)
-    found = pinned(indexed(shards, answers))
+    count, buckets = shares(docs, text_col)
+    shards = pieces(docs.withColumn(id_col, F.col(id_col).cast("long")), count, id_col, text_col)
+    found = pinned(indexed(shards, answer(ask(shards, buckets), frequent)))
     key = ["key_a", "key_b", "n"]
+    place = F.min(F.struct(F.array_min("ids").alias("node"), "shard"))
     nodes = pinned(
-        found.where("n > 0")
+        found.where(F.array_min("ids").isNotNull() & (F.col("n") > 0))
         .groupBy(*key)
-        .agg(F.min(F.array_min("ids")).alias("node"), F.min("shard").alias("shard"))
-    )
-    sets = pinned(
-        found.where("tokens is not null")
-        .join(nodes, [*key, "shard"])
-        .where("node is not null")
-        .select("node", "n", "marks", "tokens")
-    )
-    entries = pinned(sets.select("node", "n", F.explode("marks").alias("mark")))
-    hubs = pinned(
-        entries.groupBy("mark")
-        .agg(F.min(F.struct("node", "n")).alias("hub"), F.count("*").alias("size"))
-        .where("size > 1")
-        .select("mark", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"))
+        .agg(place.alias("at"))
+        .select(*key, "at.node", "at.shard")
     )
-    fits = lambda x, y: NUMERATOR * F.greatest(x, y) <= DENOMINATOR * F.least(x, y)
-    stars = pinned(
-        entries.join(hubs, "mark")
-        .where((F.col("node") != F.col("hub")) & fits(F.col("n"), F.col("hub_n")))
-        .select(F.col("hub").alias("a"), F.col("node").alias("b"))
-        .distinct()
-    )
-    links = pinned(verified(stars, sets))
-    first = components(links)
-    placed = entries.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    placed = pinned(placed.join(hubs.select("mark"), "mark"))
-    open_lists = (
-        placed.groupBy("mark")
-        .agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        .where("low < high")
-        .select("mark")
-    )
-    rest = pinned(placed.join(open_lists, "mark"))
-    other = rest.select("mark", *[F.col(c).alias(f"_{c}") for c in ("node", "n", "component")])
-    crossing = (
-        rest.join(other, "mark")
-        .where("component != _component and node < _node")
-        .where(fits(F.col("n"), F.col("_n")))
-        .select(F.col("node").alias("a"), F.col("_node").alias("b"))
-        .distinct()
-        .join(stars, ["a", "b"], "left_anti")
-    )
-    more = pinned(verified(pinned(crossing), sets))
-    repeated = docs_with_several_sets(found, nodes, key)
-    final = components(links.unionByName(more).unionByName(repeated))
+    sets = found.where("marks is not null").join(nodes, [*key, "shard"])
+    entries = sets.select("node", "n", F.explode("marks").alias("mark"))
+    first = stars(entries)
+    links = verified(pinned(possible(first, sets)), nodes, shards)
+    others = crossing(entries, links).join(first, ["a", "b"], "left_anti")
+    links = links.unionByName(verified(pinned(possible(others, sets)), nodes, shards))
+    final = components(links.unionByName(docs_with_several_sets(found, nodes, key)))
     member = (
         found.where("n > 0")
         .select("n", "key_a", "key_b", F.explode("ids").alias("id"))
-        .join(nodes.select(*key, "node"), key)
+        .join(nodes.select(*key, "node"), key, "left")
         .join(final, "node", "left")
         .select("id", "n", F.coalesce("component", "node").alias("component"))
     )

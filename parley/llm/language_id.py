@@ -49,18 +49,22 @@ class Model:
         return np.zeros(len(self.languages))
 
 
+#: Share of the probability that names a language does not have get together.
+UNSEEN = 0.01
+
+
 def log_frequencies(
-    counts: list[tuple[str, str, int]], languages: list[str], totals: dict[str, int], seen: dict[str, int]
+    counts: list[tuple[str, str, int]], languages: list[str], totals: dict[str, int]
 ) -> tuple[dict[str, int], np.ndarray]:
-    """Rows of add-one log frequencies; what a language has not is one unseen count."""
+    """Rows of log frequencies; what a language has not has the same small one in all of them."""
     names = sorted({c[1] for c in counts})
     row = {name: i for i, name in enumerate(names)}
     table = np.zeros((len(names), len(languages)))
     column = {lang: j for j, lang in enumerate(languages)}
     for lang, name, n in counts:
         table[row[name], column[lang]] = n
-    whole = np.array([totals.get(x, 0) + seen.get(x, 0) + 1 for x in languages], dtype=float)
-    return row, np.log((table + 1) / whole)
+    whole = np.array([max(1, totals.get(x, 0)) for x in languages], dtype=float)
+    return row, np.log((1 - UNSEEN) * table / whole + UNSEEN / max(1, len(names)))
 
 
 def learn(
@@ -70,6 +74,7 @@ def learn(
     word_share: int = 10_000,
     gram_share: int = 5_000,
     language_share: int = 200,
+    gram_letters: int = 64,
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
@@ -81,7 +86,8 @@ def learn(
     language's words, an n-gram one in ``gram_share`` of that order's, a language
     one in ``language_share`` of the sampled rows; so a language has at most
     ``word_share`` words and four times ``gram_share`` n-grams, and the model that
-    reaches the driver and the tasks is bounded. None without such rows.
+    reaches the driver and the tasks is bounded. Words of more than ``gram_letters``
+    letters teach no n-grams. None without such rows.
     """
     rows = docs.where(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     n = rows.count()
@@ -112,7 +118,8 @@ def learn(
         for k in ORDERS
     ]
     grams = pinned(
-        words.select("lang", F.explode(F.concat(*cut)).alias("gram"))
+        words.where(F.length("word") <= gram_letters)
+        .select("lang", F.explode(F.concat(*cut)).alias("gram"))
         .groupBy("lang", "gram")
         .agg(F.count("*").alias("n"))
     )
@@ -122,28 +129,19 @@ def learn(
     return Model(
         languages,
         np.log([sampled[x] / total for x in languages]),
-        *log_frequencies(word_table[0], languages, *word_table[1:]),
-        *log_frequencies(gram_table[0], languages, *gram_table[1:]),
+        *log_frequencies(word_table[0], languages, word_table[1]),
+        *log_frequencies(gram_table[0], languages, gram_table[1]),
     )
 
 
-def known(counts: DataFrame, kind: Column, share: int):
-    """The names frequent enough, and per language the sum of counts and the number of names."""
-    sums = [
-        tuple(r)
-        for r in counts.groupBy("lang", kind.alias("kind")).agg(F.sum("n"), F.count("*")).collect()
-    ]
-    if not sums:
-        return [], {}, {}
+def known(counts: DataFrame, kind: Column, share: int) -> tuple[list[tuple[str, str, int]], dict[str, int]]:
+    """The names frequent enough in their language, and the largest sum of counts per language."""
+    sums = [tuple(r) for r in counts.groupBy("lang", kind.alias("kind")).agg(F.sum("n")).collect()]
     least = F.lit(None).cast("double")
-    for lang, order, n, _ in sums:
+    for lang, order, n in sums:
         least = F.when((F.col("lang") == lang) & (kind == order), n / share).otherwise(least)
     kept = [(r["lang"], r["name"], r["n"]) for r in counts.where(F.col("n") >= least).collect()]
-    return (
-        kept,
-        {lang: max(n for x, _, n, _ in sums if x == lang) for lang, *_ in sums},
-        {lang: max(m for x, _, _, m in sums if x == lang) for lang, *_ in sums},
-    )
+    return kept, {lang: max(n for x, _, n in sums if x == lang) for lang, _, _ in sums}
 
 
 def language_of(text: Column, model: Model | None) -> Column:

@@ -17,16 +17,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.blocks import bucket_slices, mixed, pieces, powers, prefix_sums, range_hashes, unpacked
+from parley.llm.blocks import (
+    bucket_slices,
+    mixed,
+    pieces,
+    powers,
+    prefix_sums,
+    range_hashes,
+    shares,
+    unpacked,
+)
 from parley.session import pinned
 
 #: Bytes of a window, of a k-mer, and k-mers in a window.
 LENGTH, KMER = 100, 32
 SPAN = LENGTH - KMER + 1
-#: Bytes of text in a shard and in a bucket, and the least number of either.
-SHARD_BYTES, BUCKET_BYTES, LEAST = 4 << 20, 16 << 20, 64
+#: Bytes of text to a shard.
+SHARD_BYTES = 4 << 20
 #: Occurrences from which an anchor is hot: its windows are then dealt one by one.
 HOT = 512
+#: Windows of a bucket that are compared at a time.
+PART = 1 << 19
 #: A byte that UTF-8 never has, between the pieces of text in a suffix array.
 GAP = 255
 
@@ -40,10 +51,11 @@ def shard_text(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def stretches(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with one anchor: first window, number of windows, hash of the anchor.
+    """Runs of windows with one anchor: first window, number of windows, key of the anchor.
 
     The anchor of a window is its leftmost k-mer of the smallest hash, so equal
-    windows have equal anchors at equal places. No window crosses a text's end.
+    windows have equal anchors at equal places. No window crosses a text's end. As
+    anchors have small hashes, their keys are mixed once more to fill all buckets.
     """
     n = len(data) - LENGTH + 1
     if n <= 0:
@@ -70,7 +82,7 @@ def stretches(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
     count = np.diff(np.append(first, n))
     good = valid[first]
     first, count = first[good], count[good]
-    return first, count, hashes[anchor[first]]
+    return first, count, mixed(hashes[anchor[first]] ^ _ROUTE)
 
 
 def suffix_array(text: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -314,6 +326,8 @@ def searched(shards: DataFrame, answers: DataFrame, buckets: int) -> DataFrame:
     return shards.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(run, SENT)
 
 
+#: Mixed into the hash of an anchor.
+_ROUTE = np.uint64(0xA0761D6478BD642F)
 _SECOND = np.random.default_rng(11).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -332,7 +346,7 @@ def joined(table: pa.Table, name: str, kind: type) -> tuple[np.ndarray, np.ndarr
 
 
 def not_first(runs: list[np.ndarray], order: np.ndarray) -> np.ndarray:
-    """Entries (run after run) whose key has an entry of lower ``order``; and each one's first.
+    """Per entry (run after run) the least ``order`` of an entry with its key.
 
     The runs' keys are merged to one sorted table; every run is placed in it by
     binary search.
@@ -354,26 +368,31 @@ def cross_repeats(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     data = joined(table, "data", np.uint8)[0]
     starts = np.concatenate([[0], np.cumsum(count + LENGTH - 1)])[:-1]
     total = int(count.sum())
-    ends = np.cumsum(count)
-    of = np.repeat(np.arange(len(count)), count)
-    step = np.arange(total) - np.repeat(ends - count, count)
-    at = starts[of] + step
-    hashes = range_hashes(prefix_sums(data), at, at + LENGTH)
+    of = np.repeat(np.arange(len(count), dtype=np.int32), count)
+    step = np.arange(total) - np.repeat(np.cumsum(count) - count, count)
+    at, step = starts[of] + step, step.astype(np.int32)
+    sums = prefix_sums(data)
+    hashes = np.empty(total, np.uint64)
+    for i in range(0, total, PART):
+        hashes[i : i + PART] = range_hashes(sums, at[i : i + PART], at[i : i + PART] + LENGTH)
     rank = np.empty(len(ids), np.int64)
     rank[np.lexsort((place, row, run, ids))] = np.arange(len(ids))
-    order = (rank[of] << 32) | step
-    edges = np.flatnonzero(np.diff(run)) + 1
-    cuts = [0, *ends[edges - 1].tolist(), total]
-    first = not_first([hashes[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], order)
-    found = np.flatnonzero(first != order)
-    stretch_of = np.empty(len(ids), np.int64)
-    stretch_of[rank] = np.arange(len(ids))
-    head = starts[stretch_of[first[found] >> 32]] + (first[found] & 0xFFFFFFFF)
-    wrong = differing(data, at[found], head)
+    stretch_of = np.argsort(rank)
     again = np.zeros(total, bool)
-    again[found] = True
-    if wrong.any():  # windows of one hash that are not equal: told apart by their bytes
-        again |= by_bytes(data, at, order, hashes, np.unique(hashes[found[wrong]]))
+    parts = total // PART + 1
+    for part in range(parts):
+        own = np.flatnonzero(hashes % np.uint64(parts) == part) if parts > 1 else np.arange(total)
+        some, where = hashes[own], at[own]
+        order = (rank[of[own]] << 32) | step[own]
+        cuts = np.searchsorted(run[of[own]], np.arange(1, int(run[-1]) + 1))
+        first = not_first(np.split(some, cuts), order)
+        found = np.flatnonzero(first != order)
+        head = starts[stretch_of[first[found] >> 32]] + (first[found] & 0xFFFFFFFF)
+        wrong = differing(data, where[found], head)
+        again[own[found]] = True
+        if wrong.any():  # windows of one hash that are not equal are told apart by their bytes
+            clash = np.flatnonzero(np.isin(some, some[found[wrong]]))
+            again[own[clash]] = by_bytes(data, where[clash], order[clash])
     begin, length = runs_of(again)
     return split_runs(begin, length, of, step, run, row, place)
 
@@ -406,15 +425,14 @@ def differing(data: np.ndarray, a: np.ndarray, b: np.ndarray, most: int = 1 << 1
     return out
 
 
-def by_bytes(data, at, order, hashes, clashing) -> np.ndarray:
-    """For the hashes that unequal windows share: which windows occur earlier, byte by byte."""
+def by_bytes(data: np.ndarray, at: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Which of the windows at ``at`` occur earlier in ``order``, byte by byte."""
     out = np.zeros(len(at), bool)
-    chosen = np.flatnonzero(np.isin(hashes, clashing))
-    first: dict[bytes, int] = {}
-    for i in chosen[np.argsort(order[chosen])].tolist():
+    seen: set[bytes] = set()
+    for i in np.argsort(order).tolist():
         window = data[at[i] : at[i] + LENGTH].tobytes()
-        out[i] = window in first
-        first.setdefault(window, i)
+        out[i] = window in seen
+        seen.add(window)
     return out
 
 
@@ -535,9 +553,7 @@ def repeated_passages(
     is a shard of its own; an empty table gives an empty result. Ids are integers.
     Other columns are not read.
     """
-    total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    shards = max(LEAST, total // SHARD_BYTES)
-    buckets = max(LEAST, 1 << (total // BUCKET_BYTES).bit_length())
+    shards, buckets = shares(docs, text_col, SHARD_BYTES)
     own = pieces(docs.withColumn(id_col, F.col(id_col).cast("long")), shards, id_col, text_col)
     answers = pinned(answered(counted(own, buckets), hot))
     found = merged(searched(own, answers, buckets))
