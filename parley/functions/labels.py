@@ -67,13 +67,9 @@ def harmonized_emotion(face: Column) -> Column:
 def label_lookup_join(
     df: DataFrame, label: str, out: str, mapping: dict[str, str] | None = None, default: str = ""
 ) -> DataFrame:
-    """Left join with the label table.
-
-    The table is a constant of this module or of the caller's source (a few
-    dozen rows), which is what makes the broadcast safe.
-    """
+    """Left join with the label table; Spark broadcasts it if its size allows."""
     spark: SparkSession = df.sparkSession
     entries = list((mapping or BASIC_EMOTION).items())
     table = spark.createDataFrame(entries, "_label string, _mapped string")
-    joined = df.join(F.broadcast(table), df[label] == table["_label"], "left")
+    joined = df.join(table, df[label] == table["_label"], "left")
     return joined.withColumn(out, F.coalesce("_mapped", F.lit(default))).drop("_label", "_mapped")

@@ -48,7 +48,8 @@ def embedding_match_pairs(
     ``side`` is ``hyp`` or ``ref``. Each hypothesis token takes its best cosine
     with a reference token (precision) and the other way round (recall). The
     tokens of a side are packed in blocks; each pair of blocks is one matrix
-    product, which yields only the best cosine per token.
+    product, which yields only the best cosine per token. A pair with tokens on
+    one side only scores 0.
     """
     packed = tokens.groupBy(*pair, side, F.floor(F.col(index) / block).alias("_block")).agg(
         F.collect_list(F.struct(F.col(index).alias("i"), F.col(vector).alias("v"))).alias("_tokens")
@@ -59,7 +60,7 @@ def embedding_match_pairs(
             *pair, F.col("_tokens.i").alias(f"_{name}_i"), F.col("_tokens.v").alias(f"_{name}_v")
         )
 
-    both = of("hyp").join(of("ref"), pair, "inner")
+    both = of("hyp").join(of("ref"), pair)
     kinds = {f.name: f.dataType.simpleString() for f in tokens.schema.fields}
     schema = ", ".join([*[f"{p} {kinds[p]}" for p in pair], "side string, i long, best double"])
     best = (
@@ -71,6 +72,14 @@ def embedding_match_pairs(
         F.avg(F.when(F.col("side") == "hyp", F.col("best"))).alias("precision"),
         F.avg(F.when(F.col("side") == "ref", F.col("best"))).alias("recall"),
     )
+    # A pair with an empty side has no cosine at all.
+    one_sided = (
+        tokens.groupBy(*pair)
+        .agg(F.count_if(F.col(side) == "hyp").alias("_h"), F.count_if(F.col(side) == "ref").alias("_r"))
+        .where("_h = 0 or _r = 0")
+        .select(*pair, F.lit(0.0).alias("precision"), F.lit(0.0).alias("recall"))
+    )
+    scores = scores.unionByName(one_sided)
     p, r = F.col("precision"), F.col("recall")
     return scores.withColumn("f1", F.when(p + r != 0, 2 * p * r / (p + r)).otherwise(0.0))
 
@@ -112,11 +121,15 @@ def confusion_counts(df: DataFrame, by: Names, ref: str, pred: str) -> DataFrame
 
 
 def confusion_matrix(df: DataFrame, ref: str, pred: str, classes: list) -> DataFrame:
-    """One row per reference class, one column per predicted class."""
-    table = df.groupBy(ref).pivot(pred, classes).agg(F.count(F.lit(1)))
-    return table.select(
-        F.col(ref).alias("ref"),
-        *[F.coalesce(F.col(f"`{c}`"), F.lit(0)).alias(f"pred_{c}") for c in classes],
+    """One row per reference class, one column per predicted class of the list.
+
+    ``pred_other`` counts the predictions that are not on it, null included, so
+    that the rows add up to all answers.
+    """
+    known = F.coalesce(F.col(pred).isin(classes), F.lit(False))
+    return df.groupBy(F.col(ref).alias("ref")).agg(
+        *[F.count_if(F.col(pred) == F.lit(c)).alias(f"pred_{c}") for c in classes],
+        F.count_if(~known).alias("pred_other"),
     )
 
 
@@ -177,11 +190,15 @@ def word_edits(ref_words: Column, hyp_words: Column) -> Column:
 
 
 def word_error_rate(df: DataFrame, by: Names, ref: str, hyp: str) -> DataFrame:
-    """Edits over reference words, summed over all pairs of normalised texts."""
+    """Edits over reference words, summed over all pairs of normalised texts.
+
+    A missing text is an empty one: without a hypothesis all reference words are
+    edits.
+    """
     worded = df.select(
         *by,
-        text.words(text.normalize_text(F.col(ref))).alias("_ref"),
-        text.words(text.normalize_text(F.col(hyp))).alias("_hyp"),
+        text.words(text.normalize_text(F.coalesce(F.col(ref), F.lit("")))).alias("_ref"),
+        text.words(text.normalize_text(F.coalesce(F.col(hyp), F.lit("")))).alias("_hyp"),
     )
     counted = worded.select(
         *by,

@@ -58,27 +58,38 @@ class KeywordEmotions:
         return best if hits[best] else "neutral"
 
 
+_loaded: dict[str, Model] = {}
+
+
+def loaded(model: Callable[[], Model]) -> Model:
+    """The process's model made by ``model``."""
+    name = f"{getattr(model, '__module__', '')}.{getattr(model, '__qualname__', '<')}"
+    if "<" in name:
+        return model()
+    if name not in _loaded:
+        _loaded[name] = model()
+    return _loaded[name]
+
+
 def apply_model(
     df: DataFrame,
     column: str,
     out: str,
     model: Callable[[], Model],
     batch: int = BATCH,
-    max_words: int | None = None,
 ) -> DataFrame:
     """Adds the model's result for ``column``; other columns pass through.
 
-    ``max_words`` cuts inputs a model cannot take whole.
+    Texts reach the model whole. A worker process makes a model once, whatever the
+    number of its tasks, if it is made by a function or class with a name.
     """
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        answer = model()
+        answer = loaded(model)
         for texts in batches:
             results: list[str] = []
             for at in range(0, len(texts), batch):
                 part = texts.iloc[at : at + batch].fillna("").tolist()
-                if max_words is not None:
-                    part = [" ".join(t.split()[:max_words]) for t in part]
                 results += answer(part)
             yield pd.Series(results, dtype="object")
 
@@ -93,10 +104,9 @@ def batch_generate(
     out: str = "pred",
     model: Callable[[], Model] = CountingModel,
     batch: int = BATCH,
-    max_words: int | None = None,
 ) -> DataFrame:
     """Predictions beside references and emotions."""
-    return apply_model(df, prompt, out, model, batch, max_words)
+    return apply_model(df, prompt, out, model, batch)
 
 
 def classify_emotion(

@@ -1,11 +1,12 @@
 """Ordered work within a key, when one key may hold a large part of all rows.
 
-Every operator here has two plans with the same result. If no key has more
-rows than a limit, an ordinary window or one array per key does the work. If
-one has more, its rows are split by position into chunks that are processed
-in parallel, and only a small summary per chunk crosses chunk borders. Which
-plan runs is decided by one counting job (``largest_group``); a caller who
-knows the answer passes ``largest`` and skips it.
+Positions and running sums are exact numbers, so how they are found does not
+change them: by an ordinary window where no key has more rows than a limit, and
+else by ranges of key and order that many tasks share. One counting job
+(``largest_group``) decides; a caller who knows the answer passes ``largest``.
+Sequential work is cut into chunks whose borders depend on the position within
+the key alone, so a key's results are the same, bit for bit, whatever other keys
+there are.
 """
 
 from __future__ import annotations
@@ -21,10 +22,9 @@ from parley.session import pinned
 
 # Rows of one key that one task may sort and stream through a window.
 WINDOW_ROWS = 1_000_000
-# Rows of one key that one array may hold.
-FOLD_ROWS = 1_024
-# Rows of a chunk of a longer key. Output arrays grow by copying, so short is fast.
-FOLD_CHUNK = 256
+# Rows of a chunk, which is one array. A key of one chunk has no summaries to
+# compose, and chunk n starts from the same state in every plan.
+FOLD_ROWS = 256
 
 Names = list[str]
 
@@ -266,16 +266,17 @@ def fold(
 ) -> DataFrame:
     """``short_fold`` for keys of any length.
 
-    Large keys: each chunk's summary is composed in parallel, the starting
-    state of each chunk follows from the summaries, and then all chunks run
-    from their own start. ``dense`` names a column with 0-based positions, if
-    there is one.
+    A key is cut into chunks of ``limit`` rows by position. Each chunk's summary
+    is composed in parallel, the starting state of each chunk follows from the
+    summaries, and then all chunks run from their own start. If no key has a
+    second chunk, that is a short fold. ``dense`` names a column with 0-based
+    positions, if there is one.
     """
     largest = largest_group(df, keys) if largest is None else largest
     if largest <= limit:
         return short_fold(df, keys, order, values, how.initial, how.step, before, after)
 
-    size = min(limit, FOLD_CHUNK)
+    size = limit
     row = F.struct(*order, *values)
     numbered = df if dense else with_position(df, keys, order, "_pos", largest)
     chunked = numbered.withColumn("_chunk", F.floor(F.col(dense or "_pos") / size))

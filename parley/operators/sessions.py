@@ -391,11 +391,6 @@ def masked_transcripts(
     return safe.groupBy(key, "part").agg(entries.alias("transcripts"))
 
 
-def store_transcripts(sessions: DataFrame, transcripts: DataFrame, key: str) -> DataFrame:
-    """Session rows with their transcript parts; sessions without keep null."""
-    return sessions.drop("transcripts").join(transcripts, key, "left")
-
-
 def pii_counts(df: DataFrame, key: str, message: str) -> DataFrame:
     """Entities found per document and type, where there are any."""
     counts = [

@@ -27,11 +27,10 @@ EWMA = f"""{fx.TURNS}, smoothed AS (
   SELECT t.user_id, t.ts, t.event_id, t.n, s.ewma * 0.85::DOUBLE + t.latency_ms * 0.15::DOUBLE
   FROM smoothed s JOIN turns t ON t.user_id = s.user_id AND t.n = s.n + 1)"""
 EWMA_SQL = f"WITH RECURSIVE {EWMA} SELECT user_id, event_id, ewma FROM smoothed"
-# Chunks add in another order, so the last bits differ. The shift keeps decimal
-# values that end in 5 from being rounded both ways.
-SHIFT = 1e-8 / 3
+# Chunks add in another order than the recursion, so the last bits differ; compared
+# in steps of 2^-20, whose midpoints are no values of decimal latencies.
 EWMA_ROUNDED_SQL = f"""WITH RECURSIVE {EWMA}
-SELECT user_id, event_id, round(ewma + {SHIFT}::DOUBLE, 6) AS ewma FROM smoothed"""
+SELECT user_id, event_id, CAST(round(ewma * 1048576) AS BIGINT) AS ewma_steps FROM smoothed"""
 
 
 def smoothed(spark: SparkSession, sf: str, **how: int) -> DataFrame:
@@ -47,7 +46,8 @@ def ewma_latency(spark: SparkSession, sf: str) -> DataFrame:
 @query("ewma_latency_split_sessions", EWMA_ROUNDED_SQL)
 def ewma_latency_split_sessions(spark: SparkSession, sf: str) -> DataFrame:
     rows = smoothed(spark, sf, limit=16)
-    return fx.rounded(rows.withColumn("ewma", F.col("ewma") + SHIFT), 6, "ewma")
+    steps = F.round(F.col("ewma") * 1048576).cast("long")
+    return rows.select("user_id", "event_id", steps.alias("ewma_steps"))
 
 
 RANKED = """ranked AS (
@@ -485,9 +485,11 @@ def viseme_timeline_split_utterances(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "word_timeline",
-    rf"""WITH {PHONEMES}, found AS (
-      SELECT conv_id, turn, p, regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+') AS w
-      FROM conversations JOIN counts USING (conv_id, turn)),
+    rf"""WITH {PHONEMES}, places AS MATERIALIZED (
+      SELECT conv_id, turn, list(start_ms ORDER BY i) AS begins FROM timed GROUP BY conv_id, turn),
+    found AS MATERIALIZED (
+      SELECT conv_id, turn, length(text) AS p, regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+') AS w
+      FROM conversations),
     words AS (
       SELECT conv_id, turn, p, len(w) AS n, unnest(w) AS word,
              CAST(generate_subscripts(w, 1) AS INTEGER) - 1 AS k FROM found),
@@ -496,10 +498,9 @@ def viseme_timeline_split_utterances(spark: SparkSession, sf: str) -> DataFrame:
              CASE WHEN k + 1 = n THEN p ELSE CAST(floor((k + 1) * (p / n)) AS BIGINT) END AS b
       FROM words)
     SELECT s.conv_id, s.turn, k AS word_index, word,
-           CAST(greatest(x.start_ms - 10, 0) AS DOUBLE) AS wtime,
-           CAST(greatest(y.start_ms + 10 - (x.start_ms - 10), 0) AS DOUBLE) AS wduration
-    FROM spans s JOIN timed x ON x.conv_id = s.conv_id AND x.turn = s.turn AND x.i = a + 1
-    JOIN timed y ON y.conv_id = s.conv_id AND y.turn = s.turn AND y.i = b + 1""",
+           CAST(greatest(begins[a + 2] - 10, 0) AS DOUBLE) AS wtime,
+           CAST(greatest(begins[b + 2] + 10 - (begins[a + 2] - 10), 0) AS DOUBLE) AS wduration
+    FROM spans s JOIN places x ON x.conv_id = s.conv_id AND x.turn = s.turn""",
 )
 def word_timeline(spark: SparkSession, sf: str) -> DataFrame:
     timed = speech.cumulative_timeline(

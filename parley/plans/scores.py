@@ -150,6 +150,7 @@ CLASSES = ["de", "en", "es", "fr", "it"]
     "confusion_matrix",
     "SELECT ref, "
     + ", ".join(f"count(*) FILTER (WHERE pred = '{c}') AS pred_{c}" for c in CLASSES)
+    + ", count(*) FILTER (WHERE pred IS NULL OR pred NOT IN ('de', 'en', 'es', 'fr', 'it')) AS pred_other"
     + f" FROM ({LANGS}) GROUP BY ref",
 )
 def confusion_matrix(spark: SparkSession, sf: str) -> DataFrame:
@@ -511,17 +512,10 @@ def distinct_components(spark: SparkSession, sf: str) -> DataFrame:
     return profiling.distinct_components(deltas(spark, sf))
 
 
-OVER_TIME = ["click->view", "view->click", "click->click", "total"]
-
-
 @query(
     "latency_over_time",
-    f"WITH {fx.DELTAS} SELECT user_id, day, "
-    + ", ".join(
-        f"round(max(latency_ms) FILTER (WHERE component = '{c}'), 6) AS \"{c}\"" for c in OVER_TIME
-    )
-    + " FROM deltas GROUP BY user_id, day",
+    f"WITH {fx.DELTAS} SELECT user_id, day, component, round(latency_ms, 6) AS latency_ms FROM deltas",
 )
 def latency_over_time(spark: SparkSession, sf: str) -> DataFrame:
-    table = profiling.latency_over_time(deltas(spark, sf), ["user_id", "day"], OVER_TIME)
-    return fx.rounded(table, 6, *OVER_TIME)
+    series = profiling.latency_over_time(deltas(spark, sf), ["user_id", "day"])
+    return fx.rounded(series, 6, "latency_ms")

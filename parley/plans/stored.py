@@ -320,11 +320,10 @@ def sink_session_summary(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "sink_transcripts",
     f"""WITH masked AS (
-      SELECT conv_id, turn // 1000 AS part,
-             string_agg(role || ': ' || {mask_sql("text")}, chr(10) ORDER BY turn) AS transcript,
+      SELECT conv_id, string_agg(role || ': ' || {mask_sql("text")}, chr(10) ORDER BY turn) AS transcript,
              CAST(count(*) AS INTEGER) AS messages
-      FROM conversations GROUP BY ALL)
-    SELECT o_orderkey AS conv_id, part, transcript, messages
+      FROM conversations GROUP BY conv_id)
+    SELECT o_orderkey AS conv_id, transcript, messages
     FROM orders LEFT JOIN masked ON conv_id = o_orderkey""",
 )
 def sink_transcripts(spark: SparkSession, sf: str) -> DataFrame:
@@ -335,9 +334,8 @@ def sink_transcripts(spark: SparkSession, sf: str) -> DataFrame:
     lines = F.transform(
         "transcripts", lambda m: F.concat(m["actor"], F.lit(": "), m["message"])
     )
-    return spark.read.parquet(path).select(
+    return sinks.read_transcripts(spark, path, "conv_id").select(
         "conv_id",
-        "part",
         F.array_join(lines, "\n").alias("transcript"),
         F.when(F.col("transcripts").isNotNull(), F.size("transcripts")).alias("messages"),
     )

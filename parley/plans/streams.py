@@ -28,15 +28,19 @@ def as_stream(spark: SparkSession, df: DataFrame, batch: Column) -> DataFrame:
     path = new_folder(spark, "stream-in")
     numbered = df.withColumn("_batch", F.least(batch, F.lit(BATCHES - 1)))
     for i in range(BATCHES):
-        part = numbered.filter(F.col("_batch") == i).drop("_batch")
+        part = numbered.filter(F.col("_batch") == i).drop("_batch").coalesce(1)
         part.write.mode("append").parquet(f"{path}/batch={i}")
-    reader = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 8)
+    reader = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1)
     return reader.parquet(f"{path}/*")
 
 
 def finished(spark: SparkSession, stream: DataFrame) -> DataFrame:
+    """What the stream wrote; fails unless its input came in several micro-batches."""
     path = new_folder(spark, "stream-out")
-    ops.run_to_table(stream, path, new_folder(spark, "stream-state"))
+    query = ops.run_to_table(stream, path, new_folder(spark, "stream-state"))
+    fed = sum(p["numInputRows"] > 0 for p in query.recentProgress)
+    if fed < BATCHES:
+        raise RuntimeError(f"input came in {fed} micro-batches")
     return spark.read.schema(stream.schema).parquet(path)
 
 
@@ -154,8 +158,10 @@ def stream_turn_pairs(spark: SparkSession, sf: str) -> DataFrame:
 def stream_messages(spark: SparkSession, sf: str) -> DataFrame:
     """JSON message files as a stream, one type kept."""
     path = new_folder(spark, "messages")
-    typed_messages(spark, sf).write.json(path)
-    stream = files.read_message_stream(spark, path, "event_id long, message string")
+    typed_messages(spark, sf).repartition(BATCHES).write.json(path)
+    stream = files.read_message_stream(
+        spark, path, "event_id long, message string", maxFilesPerTrigger="1"
+    )
     spoken = files.messages_of_type(
         stream, "message", files.SPEAK, "struct<user_id: long, value: double>", ["event_id"]
     )

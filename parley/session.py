@@ -23,6 +23,7 @@ def build_session(app: str = "parley", master: str | None = None, **conf: str) -
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **conf,
     }
     for name, value in settings.items():
@@ -33,8 +34,9 @@ def build_session(app: str = "parley", master: str | None = None, **conf: str) -
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    Every executor must be able to read it. A local temporary folder is used
-    only where no checkpoint folder is set, which is the case in local tests.
+    Every executor must be able to read it. Where none is set, a run in one process
+    (``local[n]``) gets a temporary folder; on a cluster that is an error, as each
+    machine would write to a disk of its own.
     """
     context = spark.sparkContext
     folder = (
@@ -43,6 +45,8 @@ def shared_folder(spark: SparkSession) -> str:
         or context.getCheckpointDir()
     )
     if folder is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if not _own_folder:
             _own_folder.append(tempfile.mkdtemp(prefix="parley-"))
         folder = _own_folder[0]

@@ -131,9 +131,10 @@ def messages_of_type(
 
 
 def message_json(kind: Column | str, data: Column) -> Column:
-    """``{"type": ..., "data": {...}}``."""
+    """``{"type": ..., "data": {...}}``; fields without a value are written as null."""
     kind = F.lit(kind) if isinstance(kind, str) else kind
-    return F.to_json(F.struct(kind.alias("type"), data.alias("data")))
+    whole = F.struct(kind.alias("type"), data.alias("data"))
+    return F.to_json(whole, {"ignoreNullFields": "false"})
 
 
 def read_message_stream(spark: SparkSession, path: str, schema: str, **options: str) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from parley.operators.sessions import masked_transcripts, store_transcripts
+from parley.operators.sessions import masked_transcripts
 
 SUMMARY = [
     "mean_latency_ms",
@@ -60,6 +60,18 @@ def sink_transcripts(
     actor: str,
     message: str,
 ) -> None:
-    """Write session rows with their masked transcripts to a new folder."""
+    """Write the session rows and their masked transcripts, two tables in a new folder.
+
+    ``sessions`` has one row per session, ``transcripts`` one per session and part.
+    Nothing that is there already is replaced.
+    """
+    sessions.drop("transcripts").write.parquet(f"{path}/sessions")
     safe = masked_transcripts(messages, key, turn, actor, message)
-    store_transcripts(sessions, safe, key).write.mode("overwrite").parquet(path)
+    safe.write.parquet(f"{path}/transcripts")
+
+
+def read_transcripts(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """What ``sink_transcripts`` wrote: a row per session, its parts in order, or null."""
+    parts = spark.read.parquet(f"{path}/transcripts")
+    whole = parts.groupBy(key).agg(F.flatten(F.sort_array(F.collect_list(F.struct("part", "transcripts")))["transcripts"]).alias("transcripts"))
+    return spark.read.parquet(f"{path}/sessions").join(whole, key, "left")

@@ -80,6 +80,9 @@ def test_message_json(spark):
         "type": "SPEECH_TRANSCRIPT",
         "data": {"actor": "user", "message": 'häß "x"'},
     }
+    none = F.struct(F.lit("user").alias("actor"), F.lit(None).cast("string").alias("message"))
+    row = spark.range(1).select(files.message_json(files.TRANSCRIPT, none).alias("m")).first()
+    assert json.loads(row.m)["data"] == {"actor": "user", "message": None}
 
 
 def test_splits_keep_text_unescaped(spark, tmp_path):
@@ -100,6 +103,20 @@ def test_transcripts_are_masked_and_cut_in_parts(spark, tmp_path):
     assert {m.message for r in out for m in r.transcripts} == {"mail <EMAIL_ADDRESS>"}
 
 
+def test_long_sessions_are_one_stored_row(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 3), (2, 4)], "s long, q int")
+    said = spark.range(2_500).select(
+        F.lit(1).cast("long").alias("s"), F.col("id").alias("t"), F.lit("user").alias("a"), F.col("id").cast("string").alias("m")
+    )
+    path = str(tmp_path / "out")
+    sinks.sink_transcripts(rows, said, path, "s", "t", "a", "m")
+    out = sinks.read_transcripts(spark, path, "s").orderBy("s").collect()
+    assert [(r.s, r.q) for r in out] == [(1, 3), (2, 4)] and out[1].transcripts is None
+    assert [m.message for m in out[0].transcripts] == [str(i) for i in range(2_500)]
+    with pytest.raises(Exception, match="already exists"):
+        sinks.sink_transcripts(rows, said, path, "s", "t", "a", "m")
+
+
 # -- stored rows -----------------------------------------------------------
 
 
