@@ -15,10 +15,8 @@ from parley.operators.sequence import (
     largest_group,
     last_known,
     running_sum,
-    table_fold,
     with_position,
 )
-from parley.session import pinned
 
 TOPIC_WORDS = 50
 CONTEXT_TURNS = 2
@@ -111,21 +109,65 @@ def suffix_starts(
     return filled.filter("_asks = 1").select(conv, position, "_from")
 
 
-def lag_fold(length: str, advance: str, longest: int) -> Fold:
+# Beyond any number of messages of a conversation.
+NO_END = 1 << 60
+
+
+def lag_fold(length: str, advance: str) -> Fold:
     """How many messages the index lags behind, before and after a message.
 
-    A message that ends no segment has a run longer than the lag, and one that
-    does only lowers it, so the lag never exceeds the longest run: the states
-    are 0 to ``longest``. While there are too few words the lag just grows; it
-    is then no longer than the first run, and is kept within the states.
+    A run of messages is summarised by the ranges of lags on which it acts alike:
+    from ``lo`` up to ``hi`` it gives ``keep`` (0 or 1) times the lag, plus ``add``.
+    A message cuts at most one range in two, where a segment begins to be found, so
+    a summary is no longer than its run, and a message without a segment cuts none.
     """
 
+    def piece(lo: Column, hi: Column, keep: Column, add: Column) -> Column:
+        cast = lambda c: c.cast("long")
+        return F.struct(cast(lo).alias("lo"), cast(hi).alias("hi"), cast(keep).alias("keep"), cast(add).alias("add"))
+
+    def present(pieces: Column) -> Column:
+        return F.filter(pieces, lambda p: p["lo"] < p["hi"])
+
+    def after(lag: Column, row: Column) -> Column:
+        return lag + 1 - row[length] if advance == "length" else F.lit(0).cast("long")
+
     def moved(lag: Column, row: Column) -> Column:
-        found = row[length] <= lag + 1
-        after = lag + 1 - row[length] if advance == "length" else F.lit(0)
-        return F.when(found, after).otherwise(F.least(lag + 1, F.lit(longest)))
+        return F.when(row[length] <= lag + 1, after(lag, row)).otherwise(lag + 1)
 
-    return table_fold(0, longest + 1, moved)
+    def split(p: Column, row: Column) -> Column:
+        # From which lag on a segment is found.
+        whole = F.when(p["add"] >= row[length] - 1, p["lo"]).otherwise(p["hi"])
+        at = F.when(p["keep"] == 1, row[length] - 1 - p["add"]).otherwise(whole)
+        at = F.coalesce(F.greatest(p["lo"], F.least(p["hi"], at)), p["hi"])
+        kept = p["keep"] if advance == "length" else F.lit(0)
+        found = F.coalesce(after(p["add"], row), F.lit(0))
+        return F.array(piece(p["lo"], at, p["keep"], p["add"] + 1), piece(at, p["hi"], kept, found))
+
+    def follow(f: Column, g: Column) -> Column:
+        # The part of f's range that f sends into g's.
+        inside = (g["lo"] <= f["add"]) & (f["add"] < g["hi"])
+        lo = F.when(f["keep"] == 1, F.greatest(f["lo"], g["lo"] - f["add"])).otherwise(f["lo"])
+        hi = F.when(f["keep"] == 1, F.least(f["hi"], g["hi"] - f["add"])).otherwise(
+            F.when(inside, f["hi"]).otherwise(f["lo"])
+        )
+        return piece(lo, hi, f["keep"] * g["keep"], g["keep"] * f["add"] + g["add"])
+
+    def apply(pieces: Column, lag: Column) -> Column:
+        own = F.get(F.filter(pieces, lambda p: (p["lo"] <= lag) & (lag < p["hi"])), F.lit(0))
+        return own["keep"] * lag + own["add"]
+
+    zero, one = F.lit(0), F.lit(1)
+    return Fold(
+        initial=F.lit(0).cast("long"),
+        step=moved,
+        identity=F.array(piece(zero, F.lit(NO_END), one, zero)),
+        extend=lambda f, row: present(F.flatten(F.transform(f, lambda p: split(p, row)))),
+        compose=lambda f, g: present(
+            F.flatten(F.transform(f, lambda p: F.transform(g, lambda q: follow(p, q))))
+        ),
+        apply=apply,
+    )
 
 
 def topic_segments(
@@ -156,20 +198,14 @@ def topic_segments(
         conv,
         "end_pos",
         F.col("_from").alias("start_pos"),
-        (F.col("end_pos") - F.col("_from") + 1).cast("int").alias("_length"),
-    )
-    longest = 0
-    if largest > limit:
-        measured = pinned(measured)
-        # Before there are enough words the lag is the message's place.
-        lag = F.coalesce(F.col("_length"), F.col("end_pos").cast("int") + 1)
-        longest = measured.agg(F.max(lag)).first()[0]
+        (F.col("end_pos") - F.col("_from") + 1).cast("long").alias("_length"),
+    )
     lags = fold(
         measured,
         [conv],
         ["end_pos"],
         ["start_pos", "_length"],
-        lag_fold("_length", advance, longest or 2**31 - 2),
+        lag_fold("_length", advance),
         largest=largest,
         limit=limit,
         dense="end_pos",
