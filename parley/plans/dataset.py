@@ -92,7 +92,7 @@ def scan_emotion_pairs(spark: SparkSession, sf: str) -> DataFrame:
     role = F.when(F.col("role") == "system", "").otherwise(F.col("role"))
     line = F.to_json(F.array(F.array(role, F.col("text"))))
     fx.table(spark, sf, "conversations").select(line).write.text(path)
-    return files.scan_emotion_pairs(spark, path)
+    return files.scan_emotion_pairs(spark, path, whole=False)
 
 
 @query(

@@ -23,14 +23,15 @@ ANSWER = "SDP_ANSWER"
 def scan_dialogues(
     spark: SparkSession, path: str, schema: str = DIALOGUE, line_breaks: bool = True
 ) -> DataFrame:
-    """Dialogue CSV with a header.
+    """Dialogue CSV with a header: the columns of ``schema`` by name, then any others as text.
 
     With ``line_breaks`` quoted fields may hold them, and a file is one task's
     work; without, large files are split.
     """
-    return spark.read.csv(
-        path, schema=schema, header=True, multiLine=line_breaks, escape='"', enforceSchema=False
-    )
+    rows = spark.read.csv(path, header=True, multiLine=line_breaks, escape='"')
+    wanted = StructType.fromDDL(schema)
+    others = [F.col(f"`{c}`") for c in rows.columns if c not in wanted.names]
+    return rows.select(*[F.col(f"`{f.name}`").cast(f.dataType) for f in wanted], *others)
 
 
 def in_file_order(df: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -88,11 +89,14 @@ def _emotion_or(emotion: Column, missing: str | None) -> Column:
 
 
 def scan_emotion_pairs(
-    spark: SparkSession, path: str, missing: str | None = "neutral", whole: bool = False
+    spark: SparkSession, path: str, missing: str | None = "neutral", whole: bool = True
 ) -> DataFrame:
-    """JSON ``[[emotion, text], ...]``, one array per line, or per file if ``whole``."""
-    files = spark.read.text(path, wholetext=whole)
-    pairs = F.from_json("value", "array<array<string>>")
+    """JSON ``[[emotion, text], ...]``: an array per file, or per line if not ``whole``.
+
+    A file (or line) that is no such array fails the read.
+    """
+    files = spark.read.text(path, wholetext=whole).where(strip(F.col("value")) != "")
+    pairs = F.from_json("value", "array<array<string>>", {"mode": "FAILFAST"})
     return files.select(F.explode(pairs).alias("_p")).select(
         _emotion_or(F.get("_p", F.lit(0)), missing).alias("emotion"),
         F.get("_p", F.lit(1)).alias("text"),
@@ -130,6 +134,12 @@ def messages_of_type(
     )
 
 
+def other_messages(df: DataFrame, message: str) -> DataFrame:
+    """The rows whose message has no type: what ``messages_of_type`` gives for no type at all."""
+    kind = F.get_json_object(F.col(message), "$.type")
+    return df.filter(kind.isNull())
+
+
 def message_json(kind: Column | str, data: Column) -> Column:
     """``{"type": ..., "data": {...}}``; fields without a value are written as null."""
     kind = F.lit(kind) if isinstance(kind, str) else kind

@@ -23,6 +23,14 @@ def test_dialogue_csv_with_line_breaks_and_quotes(spark, tmp_path):
     assert tuple(row) == ('a "b", c', "sad", "Customer : x\nAgent :", "ok")
 
 
+def test_dialogues_are_read_by_name(spark, tmp_path):
+    text = "id,labels,Situation,emotion,empathetic_dialogues,more\n7,ok,s,sad,d,x\n"
+    row = files.scan_dialogues(spark, write(tmp_path / "e.csv", text)).first()
+    assert row.asDict() == {
+        "Situation": "s", "emotion": "sad", "empathetic_dialogues": "d", "labels": "ok", "id": "7", "more": "x"
+    }
+
+
 def test_jsonl_limit_in_file_order(spark, tmp_path):
     lines = "".join(json.dumps({"text": f"t{i}"}) + "\n" for i in range(300))
     path = write(tmp_path / "s.jsonl", lines)
@@ -45,12 +53,25 @@ def test_transcript_lines(spark, tmp_path):
 
 def test_emotion_pairs(spark, tmp_path):
     path = write(tmp_path / "p.json", json.dumps([["joy", "a"], ["", "b"], [None, "c"]], indent=1))
-    out = files.scan_emotion_pairs(spark, path, whole=True).orderBy("text").collect()
+    out = files.scan_emotion_pairs(spark, path).orderBy("text").collect()
     assert [tuple(r) for r in out] == [("joy", "a"), ("neutral", "b"), ("neutral", "c")]
-    out = files.scan_emotion_pairs(spark, path, missing=None, whole=True).orderBy("text").collect()
+    out = files.scan_emotion_pairs(spark, path, missing=None).orderBy("text").collect()
     assert [r.emotion for r in out] == ["joy", None, None]
 
 
+def test_emotion_pairs_that_are_none_fail(spark, tmp_path):
+    path = write(tmp_path / "bad.json", '[["joy", "a"], \n')
+    with pytest.raises(Exception, match="MALFORMED|Malformed|malformed"):
+        files.scan_emotion_pairs(spark, path).collect()
+    indented = write(tmp_path / "good.json", json.dumps([["joy", "a"], ["", "b"]], indent=2))
+    assert files.scan_emotion_pairs(spark, indented).count() == 2
+
+
+def test_messages_without_a_type(spark):
+    df = spark.createDataFrame([("{",), ('{"a": 1}',), ('{"type": "X"}',), (None,)], "m string")
+    assert files.other_messages(df, "m").count() == 3
+
+
 def test_emotion_lines(spark):
     df = spark.createDataFrame([("joy: hi: you ",), (" : x",), (" plain ",)], "line string")
     out = files.parse_emotion_lines(df, "line").collect()
