@@ -33,22 +33,40 @@ def keyed(
     schema: str,
     state: str,
     make: Callable[[tuple | None], Any],
+    ts: str | None = None,
+    idle_seconds: float | None = None,
 ) -> DataFrame:
-    """Pass each key's rows, in order, through the tracker that ``make`` restores."""
+    """Pass each key's rows, in order, through the tracker that ``make`` restores.
+
+    With ``idle_seconds`` the state of a key goes when the stream's time, by
+    ``ts``, is so far past its last row, and it starts anew if it comes again. Rows
+    that are later than that are dropped; Spark counts them as
+    ``numRowsDroppedByWatermark``. Without, every key keeps its few numbers.
+    """
     columns = StructType.fromDDL(schema).names
+    if idle_seconds is not None:
+        event = F.col(ts).cast("timestamp")
+        df = df.withColumn("_event", event).withWatermark("_event", f"{idle_seconds} seconds")
 
     def run(
         key: tuple, batches: Iterator[pd.DataFrame], saved: GroupState
     ) -> Iterator[pd.DataFrame]:
+        if saved.hasTimedOut:
+            saved.remove()
+            return
         rows = pd.concat(list(batches), ignore_index=True).sort_values(order, ignore_index=True)
         tracker = make(saved.get if saved.exists else None)
         result = tracker.feed(rows)
         saved.update(tracker.dump())
+        if idle_seconds is not None:
+            last = int(rows["_event"].max().timestamp() * 1000)
+            saved.setTimeoutTimestamp(last + int(idle_seconds * 1000))
         yield result[columns]
 
-    return df.groupBy(*keys).applyInPandasWithState(
-        run, schema, state, "append", GroupStateTimeout.NoTimeout
+    timeout = (
+        GroupStateTimeout.NoTimeout if idle_seconds is None else GroupStateTimeout.EventTimeTimeout
     )
+    return df.groupBy(*keys).applyInPandasWithState(run, schema, state, "append", timeout)
 
 
 def _ddl(df: DataFrame, names: Names) -> str:
@@ -68,7 +86,10 @@ def response_mode(
     target: float = controller.TARGET_MS,
     upper: float = controller.UPPER,
     lower: float = controller.LOWER,
+    ts: str | None = None,
+    idle_seconds: float | None = None,
 ) -> DataFrame:
+    """As in batch; ``ts``, a column of ``order``, times the end of idle sessions."""
     rows = df.select(*keys, *order, F.col(latency).cast("double").alias(latency))
     schema = _ddl(rows, rows.columns) + ", session_turn long, ewma double, p80 double, mode string"
     return keyed(
@@ -78,6 +99,8 @@ def response_mode(
         schema,
         trackers.ModeTracker.state,
         lambda saved: trackers.ModeTracker(saved, latency, target, upper, lower),
+        ts,
+        idle_seconds,
     )
 
 
@@ -89,7 +112,9 @@ def emotion_decay(
     observed: str,
     decay_rate: float = emotion.DECAY_RATE,
     classes: int = len(FACE_EMOTIONS),
+    idle_seconds: float | None = None,
 ) -> DataFrame:
+    """As in batch; ``order`` begins with ``ts``."""
     rows = df.select(*keys, *order, observed, _micros(ts).alias("_us"))
     return keyed(
         rows,
@@ -98,12 +123,20 @@ def emotion_decay(
         _ddl(rows, [*keys, *order]) + ", scores array<double>",
         trackers.EmotionTracker.state,
         lambda saved: trackers.EmotionTracker(saved, observed, decay_rate, classes),
+        ts,
+        idle_seconds,
     )
 
 
 def throttle_emit(
-    df: DataFrame, keys: Names, ts: str, tie: str, interval_seconds: float
+    df: DataFrame,
+    keys: Names,
+    ts: str,
+    tie: str,
+    interval_seconds: float,
+    idle_seconds: float | None = None,
 ) -> DataFrame:
+    """As in batch; a key that was idle for longer than the interval emits either way."""
     rows = df.select(*keys, tie, ts, _micros(ts).alias("_us"))
     interval = int(interval_seconds * 1_000_000)
     return keyed(
@@ -113,6 +146,8 @@ def throttle_emit(
         _ddl(rows, [*keys, tie, ts]),
         trackers.ThrottleTracker.state,
         lambda saved: trackers.ThrottleTracker(saved, interval),
+        ts,
+        idle_seconds,
     )
 
 

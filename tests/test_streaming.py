@@ -57,6 +57,29 @@ def test_response_mode(spark, turns):
     same(out, controller.response_mode(turns, ["k"], ["t"], "ms"))
 
 
+DAY = 86_400
+
+
+def test_idle_sessions_go(spark):
+    """Once the stream's time has passed a session by, it starts anew; rows that late are counted."""
+    rows = [(0, "a", 0), (0, "a", 10), (1, "b", 1000), (2, "b", 2000), (2, "b", 2010), (3, "a", 2020), (3, "a", 5)]
+    df = spark.createDataFrame(rows, "part int, k string, t long").select(
+        "part", "k", F.timestamp_seconds(F.col("t") + DAY).alias("ts"), F.lit(1000.0).alias("ms")
+    )
+    stream = stream_of(spark, df, [f"part = {i}" for i in range(4)])
+    out = streams.response_mode(stream, ["k"], ["ts"], "ms", ts="ts", idle_seconds=100)
+    path = new_folder(spark, "out")
+    query = streams.run_to_table(out, path, new_folder(spark, "state"))
+    written = spark.read.schema(out.schema).parquet(path).orderBy("ts")
+    got = written.select("k", F.unix_seconds("ts") - DAY, "session_turn").collect()
+    assert [tuple(r) for r in got] == [
+        ("a", 0, 1), ("a", 10, 2), ("b", 1000, 1), ("b", 2000, 2), ("b", 2010, 3), ("a", 2020, 1)
+    ]
+    states = [p["stateOperators"][0] for p in query.recentProgress if p["stateOperators"]]
+    assert sum(s["numRowsDroppedByWatermark"] for s in states) == 1
+    assert sum(s["numRowsRemoved"] for s in states) >= 1
+
+
 def test_emotion_decay(spark, turns):
     stream = stream_of(spark, turns, PARTS)
     out = finished(spark, streams.emotion_decay(stream, ["k"], "ts", ["ts", "t"], "seen", 0.01))
