@@ -143,11 +143,15 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """A finaliser that spreads every bit over the word."""
-    x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    moved = x >> np.uint64(30)
+    x = x ^ moved
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    np.right_shift(x, np.uint64(27), out=moved)
+    x ^= moved
+    x *= np.uint64(0x94D049BB133111EB)
+    np.right_shift(x, np.uint64(31), out=moved)
+    x ^= moved
+    return x
 
 
 def prefix_sums(data: np.ndarray) -> np.ndarray:

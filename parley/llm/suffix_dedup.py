@@ -32,8 +32,8 @@ from parley.session import pinned
 #: Bytes of a window, of a k-mer, and k-mers in a window.
 LENGTH, KMER = 100, 32
 SPAN = LENGTH - KMER + 1
-#: Bytes of text to a shard.
-SHARD_BYTES = 4 << 20
+#: Bytes of text to a shard; its task takes about a hundred bytes of memory for each.
+SHARD_BYTES = 3 << 20
 #: Occurrences from which an anchor is hot: its windows are then dealt one by one.
 HOT = 512
 #: Windows of a bucket that are compared at a time.
@@ -61,16 +61,20 @@ def stretches(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     sums = prefix_sums(data)
-    at = np.arange(len(data) - KMER + 1)
     _, down = powers(len(sums))
-    hashes = mixed((sums[KMER:] - sums[:-KMER]) * down[: len(at)])
-    key = (hashes & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64)
+    hashes = sums[KMER:] - sums[:-KMER]
+    del sums
+    hashes *= down[: len(hashes)]
+    hashes = mixed(hashes)
+    key = hashes & np.uint64(0xFFFFFFFF00000000)
+    key |= np.arange(len(hashes), dtype=np.uint64)
     width = 1
     while 2 * width <= SPAN:
         key = np.minimum(key[:-width], key[width:])
         width *= 2
     key = np.minimum(key[: n], key[SPAN - width : SPAN - width + n])
-    anchor = (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    anchor = key.astype(np.uint32)
+    del key
     valid = np.zeros(n, bool)
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         valid[a : max(a, b - LENGTH + 1)] = True
@@ -93,25 +97,28 @@ def suffix_array(text: np.ndarray, words: np.ndarray) -> np.ndarray:
     doubles. Groups of one are never touched again.
     """
     m = len(text)
-    order = np.argsort(words[:m])
-    found = words[order]
+    kind = np.int32 if m < 1 << 30 else np.int64
+    order = np.argsort(words[:m]).astype(kind)
     fresh = np.ones(m, bool)
-    fresh[1:] = found[1:] != found[:-1]
-    place = np.arange(m)
-    rank = np.zeros(m + 1, np.int64)
-    rank[order] = np.maximum.accumulate(np.where(fresh, place, 0)) + 1
+    for i in range(1, m, 1 << 18):
+        some = words[order[i - 1 : i + (1 << 18)]]
+        fresh[i : i + len(some) - 1] = some[1:] != some[:-1]
+    rank = np.zeros(m + 1, kind)
+    rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(m, dtype=kind), 0)) + 1
     single = fresh & np.append(fresh[1:], True)
     where = np.flatnonzero(~single)
     h = 8
     while len(where):
         open_ = order[where]
-        key = (rank[open_] << 32) | rank[np.minimum(open_ + h, m)]
+        key = rank[open_].astype(np.int64)
+        key <<= 32
+        key |= rank[np.minimum(open_ + h, m)]
         by = np.argsort(key)
         open_, key = open_[by], key[by]
         order[where] = open_
         fresh = np.ones(len(where), bool)
         fresh[1:] = key[1:] != key[:-1]
-        rank[open_] = np.maximum.accumulate(np.where(fresh, where, 0)) + 1
+        rank[open_] = np.maximum.accumulate(np.where(fresh, where, 0)).astype(kind) + 1
         single = fresh & np.append(fresh[1:], True)
         where = where[~single]
         h *= 2
@@ -135,18 +142,18 @@ def common_prefixes(order: np.ndarray, words: np.ndarray, most: int = LENGTH) ->
     this one. The text is walked in many lanes at once, eight bytes a step.
     """
     m = len(order)
-    before = np.full(m, -1, np.int64)
+    before = np.full(m, -1, order.dtype)
     before[order[1:]] = order[:-1]
     lanes = max(1, min(m, 1 << 13))
     stride = -(-m // lanes)
-    out = np.zeros(m, np.int64)
+    out = np.zeros(m, np.int16)
     at = np.arange(lanes) * stride
     have = np.zeros(lanes, np.int64)
     for _ in range(stride):
         live = at < m
         if not live.all():
             at, have = at[live], have[live]
-        other = before[at]
+        other = before[at].astype(np.int64)
         have = np.where(other >= 0, np.maximum(have - 1, 0), most)
         todo = np.flatnonzero(have < most)
         while len(todo):
@@ -180,22 +187,21 @@ def repeats_inside(data: np.ndarray, windows: np.ndarray) -> np.ndarray:
     sizes = count + LENGTH  # the windows' bytes and a gap
     starts = np.concatenate([[0], np.cumsum(sizes)])
     text = np.full(int(starts[-1]), GAP, np.uint8)
-    origin = np.repeat(first - starts[:-1], sizes) + np.arange(starts[-1])
-    inside = np.ones(len(text), bool)
-    inside[starts[1:] - 1] = False
-    text[inside] = data[origin[inside]]
-    starting = np.zeros(len(text) + 1, np.int64)
-    np.add.at(starting, starts[:-1], 1)
-    np.add.at(starting, starts[:-1] + count, -1)
-    is_window = np.cumsum(starting[:-1]) > 0
+    is_window = np.zeros(len(text), bool)
+    for a, n, s in zip(first.tolist(), count.tolist(), starts.tolist(), strict=False):
+        text[s : s + n + LENGTH - 1] = data[a : a + n + LENGTH - 1]
+        is_window[s : s + n] = True
     words = packed_words(text)
     order = suffix_array(text, words)
-    group = np.cumsum(common_prefixes(order, words) < LENGTH)
+    group = np.cumsum(common_prefixes(order, words) < LENGTH, dtype=order.dtype)
+    del words
     chosen = is_window[order]
     order, group = order[chosen], group[chosen]
     heads = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
     least = np.repeat(np.minimum.reduceat(order, heads), np.diff(np.append(heads, len(order))))
-    out[origin[order[order != least]]] = True
+    again = order[order != least]
+    piece = np.searchsorted(starts, again, "right") - 1
+    out[first[piece] + (again - starts[piece])] = True
     return out
 
 
@@ -358,6 +364,19 @@ def not_first(runs: list[np.ndarray], order: np.ndarray) -> np.ndarray:
     return least[place]
 
 
+def stretch_hashes(data: np.ndarray, starts: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Hashes of all windows of the stretches, about a million bytes at a time."""
+    edges = np.unique(np.searchsorted(starts, np.arange(0, len(data), 1 << 20)))
+    edges = np.append(edges[edges < len(starts)], len(starts))
+    out = []
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        own, n = starts[a:b] - starts[a], count[a:b]
+        sums = prefix_sums(data[starts[a] : starts[b - 1] + n[-1] + LENGTH - 1])
+        at = np.repeat(own - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        out.append(range_hashes(sums, at, at + LENGTH))
+    return np.concatenate(out)
+
+
 def cross_repeats(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Windows of a bucket's stretches that occur earlier: run, row, place, number (run lengths)."""
     ids, run = joined(table, "id", np.int64)
@@ -371,10 +390,7 @@ def cross_repeats(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     of = np.repeat(np.arange(len(count), dtype=np.int32), count)
     step = np.arange(total) - np.repeat(np.cumsum(count) - count, count)
     at, step = starts[of] + step, step.astype(np.int32)
-    sums = prefix_sums(data)
-    hashes = np.empty(total, np.uint64)
-    for i in range(0, total, PART):
-        hashes[i : i + PART] = range_hashes(sums, at[i : i + PART], at[i : i + PART] + LENGTH)
+    hashes = stretch_hashes(data, starts, count)
     rank = np.empty(len(ids), np.int64)
     rank[np.lexsort((place, row, run, ids))] = np.arange(len(ids))
     stretch_of = np.argsort(rank)
