@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
-from itertools import combinations
+from functools import cache, reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,21 +29,20 @@ from parley.session import pinned
 #: Words of a shingle; similarity at least NUMERATOR / DENOMINATOR.
 SHINGLE = 5
 NUMERATOR, DENOMINATOR = 4, 5
-#: Sets of up to this size index single tokens only; the modes above it double.
-PLAIN = 30
-#: From so many sets on that hold a token in their prefix it is frequent, and indexed in
-#: combinations of so many tokens.
-FREQUENT, TOGETHER = 16, 3
+#: From so many sets on that hold a token it is frequent.
+FREQUENT = 8
 #: Classes of a token as an answer gives them: no other set has it, rare, frequent.
 ALONE, RARE, COMMON = 0, 1, 2
 
 _MIX = np.random.default_rng(5).integers(1, 1 << 63, 16, np.uint64) * np.uint64(2) + np.uint64(1)
 _ROUTE = np.uint64(0xD6E8FEB86659FD93)
+#: Bits of the filter that finds the texts whose whole sets are wanted.
+FILTER_BITS = 1 << 23
 
 
-def salt(mode: int, k: int) -> np.uint64:
-    """Keeps apart what is indexed in different modes or by different numbers of tokens."""
-    return np.uint64((4 * mode + k) * int(_MIX[13]) % (1 << 64))
+def salt(mode: int) -> np.uint64:
+    """Keeps apart what is indexed in different modes; 0 for single tokens."""
+    return np.uint64(mode * int(_MIX[13]) % (1 << 64))
 
 
 def shingle_sets(rows: pa.Table) -> Iterator[np.ndarray]:
@@ -75,23 +73,30 @@ def set_key(tokens: np.ndarray) -> tuple[int, int]:
     return int(a.astype(np.int64)), int(b.astype(np.int64))
 
 
+@cache
+def sizes(most: int) -> tuple[int, ...]:
+    """Borders of the modes: whole numbers that grow by a quarter, up to one beyond ``most``."""
+    out = [1]
+    while out[-1] <= most:
+        out.append(max(out[-1] + 1, out[-1] * DENOMINATOR // NUMERATOR))
+    return tuple(out)
+
+
 def modes(n: int) -> list[tuple[int, int, int]]:
-    """The modes in which a set of n tokens is indexed: (mode, groups, prefix length).
+    """The modes in which a set of n tokens is indexed: (mode, groups, differences).
 
-    Sets that may link meet in a mode: the larger one lies in it, and the smaller
-    one has at least four fifths of its size. At most d = n - ceil(4n / 5) tokens
-    of a set are missing in a partner, so of the first d + 1 + 2 groups tokens at
-    least 1 + 2 groups are shared. If none of them is rare, they are frequent, and
-    one of the ``groups`` groups of frequent tokens has 3 of them.
+    Sets that may link meet in a mode: the larger one lies between its borders, and
+    the smaller one has at least four fifths of its size. Two linked sets have at
+    most a ninth of their tokens in all that only one of them has; ``differences`` is
+    the most of these for a set of this size and a partner. There are more groups
+    than differences of any pair of the mode.
     """
-    missing = n - -(-NUMERATOR * n // DENOMINATOR)
-    out = [(0, 0, missing + 1)] if n <= PLAIN else []
-    mode, low = 1, PLAIN
-    while NUMERATOR * low <= DENOMINATOR * n:
-        if n <= 2 * low:
-            groups = max(1, NUMERATOR * low // DENOMINATOR // 8)
-            out.append((mode, groups, min(n, missing + 1 + (TOGETHER - 1) * groups)))
-        mode, low = mode + 1, 2 * low
+    borders = sizes(1 << max(8, (2 * n).bit_length()))
+    out = []
+    for mode, (low, high) in enumerate(zip(borders[:-1], borders[1:], strict=True)):
+        if NUMERATOR * low <= DENOMINATOR * n and n < high:
+            most = 2 * (high - 1) // (NUMERATOR + DENOMINATOR)
+            out.append((mode + 1, most + 3 + most // 8, (n + high - 1) // (NUMERATOR + DENOMINATOR)))
     return out
 
 
@@ -112,12 +117,10 @@ def shard_sets(rows: pa.Table) -> tuple[dict[tuple[int, int, int], int], list[np
     return places, sets, of_text
 
 
-def prefixes(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Routing keys of all prefix tokens, set after set, and where each set's begin (and the end)."""
-    lengths = [max(length for _, _, length in modes(len(s))) for s in sets]
-    tokens = [s[:n] for s, n in zip(sets, lengths, strict=True)]
-    keys = mixed(np.concatenate(tokens) ^ _ROUTE) if tokens else np.zeros(0, np.uint64)
-    return keys, np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+def routed(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Routing keys of all tokens, set after set, and where each set's begin (and the end)."""
+    keys = mixed(np.concatenate(sets) ^ _ROUTE) if sets else np.zeros(0, np.uint64)
+    return keys, np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int64)
 
 
 def short(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -127,11 +130,11 @@ def short(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def ask(shards: DataFrame, buckets: int) -> DataFrame:
-    """Rows (bucket, shard, keys, counts): prefix tokens and the shard's sets that have them."""
+    """Rows (bucket, shard, keys, counts): tokens and the number of the shard's sets that have them."""
 
     def run(table: pa.Table) -> pa.Table:
         _, sets, _ = shard_sets(unpacked(table))
-        keys, counts = np.unique(prefixes(sets)[0], return_counts=True)
+        keys, counts = np.unique(routed(sets)[0], return_counts=True)
         cuts = bucket_slices(keys, buckets)
         brief = short(keys, buckets)
         shard = table.column("shard")[0].as_py()
@@ -170,48 +173,72 @@ def answer(asked: DataFrame, frequent: int) -> DataFrame:
     return asked.groupBy("bucket").applyInArrow(run, "shard int, bucket int, classes binary")
 
 
-@cache
-def choices(n: int, k: int) -> np.ndarray:
-    return np.array(list(combinations(range(n), k)), np.int64).reshape(-1, k)
-
+def signatures(tokens: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """What a set is indexed by: rare tokens, and combinations of frequent ones; and its prefix length.
 
-def signatures(tokens: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """What a set is indexed by: rare tokens, and combinations of 3 frequent ones of a group."""
-    out = []
-    for mode, groups, length in modes(len(tokens)):
-        own, kind = tokens[:length], classes[:length]
-        if not groups:
-            out.append(mixed(own[kind != ALONE] + salt(mode, 1)))
-            continue
-        out.append(mixed(own[kind == RARE] + salt(mode, 1)))
-        heavy = own[kind == COMMON]
-        if len(heavy) < TOGETHER:
-            continue
-        group = (mixed(heavy + _MIX[12]) % np.uint64(groups)).astype(np.int64)
-        order = np.argsort(group, kind="stable")
-        cuts = np.concatenate([[0], np.cumsum(np.bincount(group, minlength=groups))])
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            if b - a >= TOGETHER:
-                chosen = heavy[order[a:b]][choices(b - a, TOGETHER)]
-                out.append(mixed((chosen * _MIX[:TOGETHER]).sum(1, dtype=np.uint64) + salt(mode, TOGETHER)))
-    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
+    ``tokens`` are in order: those that no other set has, rare ones, frequent ones,
+    each by hash. At most d = n - ceil(4n / 5) tokens of a set are missing in a
+    partner, so one of the first d + 1 is shared; and of two such prefixes the one
+    that ends first lies in the other, as far as it is shared. Shared rare tokens are
+    found in their lists. If the prefix reaches the frequent tokens, none of them may
+    be shared, and it is extended to the whole set: its tokens are dealt into more
+    groups than a partner can have differences, so one group is the same in both.
+    The combination of all tokens of a group is indexed if all are frequent. If so
+    many groups are empty that the one in common may be, the frequent tokens of the
+    prefix are indexed alone.
+    """
+    n = len(tokens)
+    length = n - -(-NUMERATOR * n // DENOMINATOR) + 1
+    own, kind = tokens[:length], classes[:length]
+    rare, common = np.unique(mixed(own[kind == RARE] + salt(0))), []
+    if kind[-1] == COMMON:
+        spread = mixed(tokens + _MIX[12])
+        for mode, groups, differences in modes(n):
+            group = (spread % np.uint64(groups)).astype(np.int64)
+            filled = np.bincount(group, minlength=groups)
+            whole = np.bincount(group[classes == COMMON], minlength=groups) == filled
+            sums = np.zeros(groups, np.uint64)
+            np.add.at(sums, group, spread * _MIX[mode % 8] + _MIX[9])
+            common.append(mixed(sums[whole & (filled > 0)] + salt(mode)))
+            if groups - differences - int((filled == 0).sum()) < 1:
+                common.append(mixed(own[kind == COMMON] + salt(mode) + _MIX[11]))
+    return rare, np.unique(np.concatenate(common)) if common else rare[:0], length
+
+
+def in_order(kind: int, token: int) -> int:
+    """The place of a token in the order as a signed number (62 bits of its hash)."""
+    return (kind << 62 | token >> 2) - (1 << 63)
+
+
+def parity(tokens: np.ndarray) -> np.ndarray:
+    """256 bits: of each part of the tokens, whether it holds an odd number of them.
+
+    Where the bits of two sets differ, at least one token is in one of them only.
+    """
+    parts = np.bincount((mixed(tokens ^ _MIX[10]) & np.uint64(255)).astype(np.int64), minlength=256)
+    return np.packbits((parts & 1).astype(np.uint8)).view(np.int64)
 
 
-def ordered(token: np.uint64) -> int:
-    """An unsigned hash as a signed number of the same order."""
-    return int((token ^ np.uint64(1 << 63)).view(np.int64))
+INDEXED = (
+    "node long, ids array<bigint>, n long, held long, often long, key_a long, key_b long, length long, last long, "
+    "shared array<int>, rare array<bigint>, common array<bigint>, parity array<bigint>"
+)
 
 
 def indexed(shards: DataFrame, answers: DataFrame) -> DataFrame:
-    """Per shard and distinct set: ids, size, key, what it is indexed by, and its prefix.
+    """Per shard and distinct set: its node (the least id), ids, size, key, and its index.
 
-    Of the prefix: its length, its last token, and the tokens that other sets have.
+    ``held`` is the number of its tokens that other sets have, ``often`` that of the
+    frequent ones: the most that a partner shares which shares a rare one, or none.
+    Of the prefix: its length, its last token, and 32 bits of the tokens that other
+    sets have. ``parity`` says for 256 parts of all tokens whether their number is odd.
+    Null where nothing can link.
     """
 
     def run(table: pa.Table, replies: pa.Table) -> pa.Table:
         rows = unpacked(table)
         places, sets, of_text = shard_sets(rows)
-        keys, bounds = prefixes(sets)
+        keys, bounds = routed(sets)
         order = np.argsort(replies.column("bucket").to_numpy())
         got = replies.column("classes")
         classes = np.concatenate([np.frombuffer(got[int(i)].as_py(), np.uint8) for i in order])
@@ -223,38 +250,39 @@ def indexed(shards: DataFrame, answers: DataFrame) -> DataFrame:
         empty = []
         for key, place in zip(rows.column("id").to_pylist(), of_text, strict=True):
             (ids[place] if place >= 0 else empty).append(key)
-        marks, shared, last = [], [], []
-        for i, tokens in enumerate(sets):
+        out: dict[str, list] = {f.split()[0]: [] for f in INDEXED.split(", ")}
+        for i, ((key_a, key_b, n), tokens) in enumerate(zip(places, sets, strict=True)):
             own = kinds[bounds[i] : bounds[i + 1]]
-            mark = signatures(tokens, own) if own.any() else own[:0]
-            marks.append(mark.view(np.int64) if len(mark) else None)
-            shared.append(tokens[: len(own)][own != ALONE].view(np.int64) if len(mark) else None)
-            last.append(ordered(tokens[len(own) - 1]))
-        key_of = list(places)
-        n = len(sets)
-        return pa.table(
-            {
-                "shard": pa.array([table.column("shard")[0].as_py()] * (n + 1), pa.int32()),
-                "ids": pa.array([*ids, empty], pa.list_(rows.schema.field("id").type)),
-                "n": pa.array([*(len(s) for s in sets), 0], pa.int64()),
-                "key_a": pa.array([*(k[0] for k in key_of), None], pa.int64()),
-                "key_b": pa.array([*(k[1] for k in key_of), None], pa.int64()),
-                "marks": pa.array([*marks, None], pa.list_(pa.int64())),
-                "length": pa.array([*np.diff(bounds).tolist(), None], pa.int64()),
-                "last": pa.array([*last, None], pa.int64()),
-                "shared": pa.array([*shared, None], pa.list_(pa.int64())),
+            by = np.argsort(own, kind="stable")
+            tokens, own = tokens[by], own[by]
+            rare, common, length = signatures(tokens, own)
+            some = len(rare) or len(common)
+            shared = tokens[:length][own[:length] != ALONE].astype(np.uint32)
+            values = {
+                "node": min((x for x in ids[i] if x is not None), default=None),
+                "ids": ids[i],
+                "n": n,
+                "held": int((own != ALONE).sum()),
+                "often": int((own == COMMON).sum()),
+                "key_a": key_a,
+                "key_b": key_b,
+                "length": length,
+                "last": in_order(int(own[length - 1]), int(tokens[length - 1])),
+                "shared": shared.view(np.int32) if some else None,
+                "rare": rare.view(np.int64) if len(rare) else None,
+                "common": common.view(np.int64) if len(common) else None,
+                "parity": parity(tokens) if len(common) else None,
             }
-        )
+            for name, value in values.items():
+                out[name].append(value)
+        for name, value in {"ids": empty, "n": 0}.items():
+            out[name].append(value)
+        for name in out.keys() - {"ids", "n"}:
+            out[name].append(None)
+        lists = {c: pa.int64() for c in ("ids", "rare", "common", "parity")} | {"shared": pa.int32()}
+        return pa.table({k: pa.array(v, pa.list_(lists[k]) if k in lists else pa.int64()) for k, v in out.items()})
 
-    return (
-        shards.groupBy("shard")
-        .cogroup(answers.groupBy("shard"))
-        .applyInArrow(
-            run,
-            "shard int, ids array<bigint>, n long, key_a long, key_b long, "
-            "marks array<bigint>, length long, last long, shared array<bigint>",
-        )
-    )
+    return shards.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(run, INDEXED)
 
 
 def sides(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
@@ -275,101 +303,157 @@ def possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     beyond = F.when(
         F.col("a_last") <= F.col("b_last"), F.col("a_n") - F.col("a_length")
     ).otherwise(F.col("b_n") - F.col("b_length"))
-    most = F.size(F.array_intersect("a_shared", "b_shared")) + beyond
+    # Tokens of a that fall together in 32 bits would be counted once.
+    merged = F.size("a_shared") - F.size(F.array_distinct("a_shared"))
+    most = F.size(F.array_intersect("a_shared", "b_shared")) + merged + beyond
     enough = (NUMERATOR + DENOMINATOR) * most >= NUMERATOR * (F.col("a_n") + F.col("b_n"))
     return sides(pairs, sets, ["n", "length", "last", "shared"]).where(enough).select("a", "b")
 
 
-def whole_sets(shards: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows (node, tokens) for the wanted rows (shard, node, key_a, key_b), out of their texts."""
-
-    def run(table: pa.Table, asked: pa.Table) -> pa.Table:
-        keys = {
-            (n, a, b)
-            for n, a, b in zip(*(asked.column(c).to_pylist() for c in ("node", "key_a", "key_b")), strict=True)
-        }
-        out: dict[int, np.ndarray] = {}
-        if keys and table.num_rows:
-            rows = unpacked(table)
-            some = pa.array(sorted({k[0] for k in keys}), rows.schema.field("id").type)
-            rows = rows.filter(pc.is_in(rows.column("id"), some)).combine_chunks()
-            for node, tokens in zip(rows.column("id").to_pylist(), shingle_sets(rows), strict=True):
-                if len(tokens) and (node, *set_key(tokens)) in keys:
-                    out[node] = tokens.view(np.int64)
-        return pa.table(
-            {
-                "node": pa.array(list(out), pa.int64()),
-                "tokens": pa.array(list(out.values()), pa.list_(pa.int64())),
-            }
-        )
+def chosen_bits(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of FILTER_BITS bits over the ids, two to an id; its size is fixed."""
+    places = F.explode(F.array(*bit_places(F.col("id")))).alias("at")
+    words = ids.select(places).groupBy(F.shiftright("at", 6).alias("word"))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(63).cast("int"))
+    out = np.zeros(FILTER_BITS >> 6, np.int64)
+    for r in words.agg(F.bit_or(one).alias("bits")).collect():
+        out[r["word"]] = r["bits"]
+    return out.view(np.uint64)
 
-    return (
-        shards.groupBy("shard")
-        .cogroup(wanted.groupBy("shard"))
-        .applyInArrow(run, "node long, tokens array<bigint>")
-    )
 
+def bit_places(key: Column) -> list[Column]:
+    return [F.pmod(F.xxhash64(key, F.lit(i)), F.lit(FILTER_BITS)) for i in range(2)]
+
+
+def whole_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows (node, tokens) of the texts with these ids, by a scan that moves no other text."""
+    shared = docs.sparkSession.sparkContext.broadcast(chosen_bits(ids))
+    first, second = bit_places(F.col("id"))
+    rows = docs.select("id", "text").withColumns({"first": first, "second": second})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+
+        def hit(column: pa.Array) -> np.ndarray:
+            at = column.to_numpy().astype(np.uint64)
+            return (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
-def verified(pairs: DataFrame, nodes: DataFrame, shards: DataFrame) -> DataFrame:
+        for batch in batches:
+            some = pa.Table.from_batches([batch.filter(pa.array(hit(batch.column(2)) & hit(batch.column(3))))])
+            tokens = [x.view(np.int64) for x in shingle_sets(some.select(["id", "text"]).combine_chunks())]
+            yield pa.RecordBatch.from_arrays(
+                [some.column("id").combine_chunks(), pa.array(tokens, pa.list_(pa.int64()))], ["node", "tokens"]
+            )
+
+    found = rows.mapInArrow(run, "node long, tokens array<bigint>")
+    return found.join(ids.withColumnRenamed("id", "node"), "node", "left_semi")
+
+
+def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose whole sets reach the similarity."""
-    some = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = nodes.join(some, "node", "left_semi").select("shard", "node", "key_a", "key_b")
-    sets = pinned(whole_sets(shards, wanted))
+    ids = pinned(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+    sets = pinned(whole_sets(docs, ids))
     common = F.size(F.array_intersect("a_tokens", "b_tokens"))
     union = F.size("a_tokens") + F.size("b_tokens") - common
     both = sides(pairs, sets, ["tokens"])
     return pinned(both.where(DENOMINATOR * common >= NUMERATOR * union).select("a", "b"))
 
 
-def fits(x: Column, y: Column) -> Column:
-    """Whether sets of these sizes may link."""
-    return NUMERATOR * F.greatest(x, y) <= DENOMINATOR * F.least(x, y)
+def fits(n: Column, held: Column, other_n: Column, other_held: Column) -> Column:
+    """Whether two sets may link by their sizes and by what they could share at most."""
+    return (NUMERATOR + DENOMINATOR) * F.least(held, other_held) >= NUMERATOR * (n + other_n)
+
 
+def named(rows: DataFrame) -> DataFrame:
+    """The entries with other names but for the mark, to meet themselves."""
+    return rows.withColumnsRenamed({c: f"x_{c}" for c in rows.columns if c != "mark"})
 
-def stars(entries: DataFrame) -> DataFrame:
-    """Pairs of each list's smallest node with its others: no more than there are entries."""
-    hubs = pinned(
-        entries.groupBy("mark")
-        .agg(F.min(F.struct("node", "n")).alias("hub"), F.count("*").alias("size"))
-        .where("size > 1")
-        .select("mark", F.col("hub.node").alias("a"), F.col("hub.n").alias("hub_n"))
+
+def all_pairs(sets: DataFrame) -> DataFrame:
+    """The pairs of every list of rare tokens; a list has fewer entries than a token is frequent from."""
+    short = sets.select("node", "n", "held", F.explode("rare").alias("mark"))
+    return (
+        short.join(named(short), "mark")
+        .where(F.col("node") < F.col("x_node"))
+        .where(fits(*map(F.col, ("n", "held", "x_n", "x_held"))))
+        .select(F.col("node").alias("a"), F.col("x_node").alias("b"))
+        .distinct()
     )
-    return pinned(
-        entries.join(hubs, "mark")
-        .where((F.col("node") != F.col("a")) & fits(F.col("n"), F.col("hub_n")))
-        .select("a", F.col("node").alias("b"))
+
+
+def stars(sets: DataFrame) -> DataFrame:
+    """Pairs of each long list's hub with its others: no more than there are entries.
+
+    The hub is the set with the fewest tokens that are not frequent: of near copies
+    the one with the fewest edits, to which most of them link.
+    """
+    long = sets.select("node", "n", "often", F.explode("common").alias("mark"))
+    hub = F.min(F.struct((F.col("n") - F.col("often")).alias("own"), "node", "n", "often"))
+    hubs = long.groupBy("mark").agg(hub.alias("hub"), F.count("*").alias("size")).where("size > 1")
+    hubs = hubs.select("mark", *[F.col(f"hub.{c}").alias(f"x_{c}") for c in ("node", "n", "often")])
+    return (
+        long.join(pinned(hubs), "mark")
+        .where("node != x_node")
+        .where(fits(*map(F.col, ("n", "often", "x_n", "x_often"))))
+        .select(F.least("node", "x_node").alias("a"), F.greatest("node", "x_node").alias("b"))
         .distinct()
     )
 
 
-def crossing(entries: DataFrame, links: DataFrame) -> DataFrame:
-    """Pairs of a list whose nodes the links do not join yet.
+def crossing(sets: DataFrame, links: DataFrame) -> DataFrame:
+    """Pairs of a long list whose nodes the links do not join yet.
 
-    A list's most frequent component meets the others, but never itself.
+    Lists of one component go first. Of the others the most frequent component
+    meets the rest, but never itself. A set comes here if its prefix reaches the
+    frequent tokens, so all its rare tokens are in it: sets that share one have met
+    in a short list, and the others share frequent tokens only. Linked sets differ in
+    at most a ninth of their tokens, so in no more bits of their parity.
     """
-    placed = entries.join(components(links), "node", "left").withColumn(
-        "component", F.coalesce("component", "node")
+    bits = [f"p{i}" for i in range(4)]
+    parts = [F.get("parity", F.lit(i)).alias(p) for i, p in enumerate(bits)]
+    placed = (
+        sets.where("common is not null")
+        .select("node", "n", "often", *parts, "common")
+        .join(components(links), "node", "left")
+        .withColumn("component", F.coalesce("component", "node"))
+        .select("node", "n", "often", *bits, "component", F.explode("common").alias("mark"))
     )
-    main = pinned(
-        placed.groupBy("mark", "component")
+    ends = placed.groupBy("mark").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    rest = pinned(placed.join(pinned(ends.where("low < high").select("mark")), "mark"))
+    main = (
+        rest.groupBy("mark", "component")
         .agg(F.count("*").alias("size"))
         .groupBy("mark")
-        .agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count("*").alias("kinds"))
-        .where("kinds > 1")
-        .select("mark", "main")
-    )
-    rest = placed.join(main, "mark")
-    few = rest.where("component != main").select(
-        "mark", F.col("node").alias("x"), F.col("n").alias("x_n"), F.col("component").alias("x_component")
+        .agg(F.max_by("component", F.struct("size", "component")).alias("main"))
     )
+    few = rest.join(pinned(main), "mark").where("component != main")
+    differ = reduce(add, [F.bit_count(F.col(p).bitwiseXOR(F.col(f"x_{p}"))) for p in bits])
     return (
-        few.join(rest, "mark")
-        .where((F.col("component") != F.col("x_component")) & fits(F.col("n"), F.col("x_n")))
-        .select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b"))
+        named(few.drop("main"))
+        .join(rest, "mark")
+        .where("component != x_component")
+        .where(fits(*map(F.col, ("n", "often", "x_n", "x_often"))))
+        .where((NUMERATOR + DENOMINATOR) * differ <= F.col("n") + F.col("x_n"))
+        .select(F.least("node", "x_node").alias("a"), F.greatest("node", "x_node").alias("b"))
         .distinct()
     )
 
 
+def equal_sets(found: DataFrame) -> DataFrame:
+    """Links of the nodes of one set in several shards."""
+    key = ["key_a", "key_b", "n"]
+    own = found.where("n > 0 and node is not null").select(*key, "node")
+    several = own.groupBy(*key).agg(F.min("node").alias("a"), F.count("*").alias("size")).where("size > 1")
+    return own.join(several, key).where("node != a").select("a", F.col("node").alias("b"))
+
+
+def equal_ids(found: DataFrame) -> DataFrame:
+    """Links of the nodes of an id that occurs with several texts; none as a rule."""
+    own = found.where("n > 0 and node is not null").select("node", F.explode("ids").alias("id"))
+    several = own.where("id is not null").groupBy("id").agg(F.collect_set("node").alias("all"))
+    return several.where(F.size("all") > 1).select(F.array_min("all").alias("a"), F.explode("all").alias("b"))
+
+
 def near_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT
 ) -> DataFrame:
@@ -379,15 +463,17 @@ def near_groups(
     words, all of them as one); sets link from a Jaccard similarity of 0.8 on;
     ``component_id`` is the smallest id that links reach.
 
-    1. Equal sets are one node.
-    2. Prefix tokens (in the order of their hashes) are counted over all sets; a
-       token that no other set has is dropped, a rare one is indexed alone, one
-       that ``frequent`` sets have in combinations of 3 (see ``modes``).
-    3. In each list of the index all sets are paired with the smallest one: as
-       many pairs as entries. Pairs whose prefixes rule a link out go; of the
-       others the whole sets are taken from the texts and compared.
-    4. Lists that still hold several components give the pairs across them, which
-       are compared in the same way.
+    1. Equal sets of a shard are one node; those of different shards are linked.
+    2. Tokens are counted over all sets, and every set is indexed by a prefix of its
+       tokens, rarest first (see ``signatures``): those that no other set has need no
+       entry, rare ones are entered alone, those that ``frequent`` sets have in
+       combinations, for which the prefix is extended.
+    3. All pairs of the short lists of rare tokens, and in each other list the pairs
+       with its hub, are candidates: in proportion to the entries. Those
+       whose prefixes rule a link out go; of the others the whole sets are taken
+       from the texts and compared.
+    4. Long lists that still hold several components give the pairs across them,
+       which are compared in the same way.
 
     So no link between components is lost, while a large group of near copies
     never becomes all of its pairs.
@@ -399,45 +485,22 @@ def near_groups(
     by 64-bit hashes.
     """
     count, buckets = shares(docs, text_col)
-    shards = pieces(docs.withColumn(id_col, F.col(id_col).cast("long")), count, id_col, text_col)
-    found = pinned(indexed(shards, answer(ask(shards, buckets), frequent)))
-    key = ["key_a", "key_b", "n"]
-    place = F.min(F.struct(F.array_min("ids").alias("node"), "shard"))
-    nodes = pinned(
-        found.where(F.array_min("ids").isNotNull() & (F.col("n") > 0))
-        .groupBy(*key)
-        .agg(place.alias("at"))
-        .select(*key, "at.node", "at.shard")
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     )
-    sets = found.where("marks is not null").join(nodes, [*key, "shard"])
-    entries = sets.select("node", "n", F.explode("marks").alias("mark"))
-    first = stars(entries)
-    links = verified(pinned(possible(first, sets)), nodes, shards)
-    others = crossing(entries, links).join(first, ["a", "b"], "left_anti")
-    links = links.unionByName(verified(pinned(possible(others, sets)), nodes, shards))
-    final = components(links.unionByName(docs_with_several_sets(found, nodes, key)))
+    shards = pieces(rows, count, "id", "text")
+    found = pinned(indexed(shards, answer(ask(shards, buckets), frequent)))
+    sets = found.where("node is not null and shared is not null")
+    first = pinned(all_pairs(sets).union(stars(sets)).distinct())
+    links = verified(pinned(possible(first, sets)), rows).unionByName(equal_sets(found))
+    others = crossing(sets, links).join(first, ["a", "b"], "left_anti")
+    links = links.unionByName(verified(pinned(possible(others, sets)), rows))
+    final = components(links.unionByName(equal_ids(found)))
     member = (
         found.where("n > 0")
-        .select("n", "key_a", "key_b", F.explode("ids").alias("id"))
-        .join(nodes.select(*key, "node"), key, "left")
+        .select("n", "node", F.explode("ids").alias("id"))
         .join(final, "node", "left")
         .select("id", "n", F.coalesce("component", "node").alias("component"))
     )
     none = found.where("n = 0").select(F.explode("ids").alias("id")).select("id", F.lit(0).cast("long"), "id")
     return member.union(none).toDF(id_col, "n_shingles", "component_id")
-
-
-def docs_with_several_sets(found: DataFrame, nodes: DataFrame, key: list[str]) -> DataFrame:
-    """Links between the nodes of an id that occurs with several texts; none as a rule."""
-    own = (
-        found.where("n > 0")
-        .select(*key, F.explode("ids").alias("id"))
-        .where("id is not null")
-        .join(nodes.select(*key, "node"), key)
-    )
-    return (
-        own.groupBy("id")
-        .agg(F.min("node").alias("a"), F.collect_set("node").alias("all"))
-        .where(F.size("all") > 1)
-        .select("a", F.explode("all").alias("b"))
-    )
