@@ -17,12 +17,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parley.llm.common import release_memory
+
 #: Bytes of text to a shard and to a bucket, and the least number of either.
-SHARD_BYTES, BUCKET_BYTES, LEAST = 8 << 20, 16 << 20, 64
+SHARD_BYTES, BUCKET_BYTES, LEAST = 4 << 20, 16 << 20, 64
 #: Bytes of rows that are sorted by shard and packed at a time.
-HELD_BYTES = 32 << 20
+HELD_BYTES = 16 << 20
 #: Bytes of text that are worked on at a time.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 PIECE = "shard int, piece binary"
 _OPTIONS = pa.ipc.IpcWriteOptions(compression="zstd")
@@ -79,6 +81,7 @@ def packed(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
 
 def unpacked(table: pa.Table) -> pa.Table:
     """All rows (id, text) of a shard in the order of id and text; null ids first."""
+    release_memory()
     parts = [
         pa.ipc.open_stream(pa.py_buffer(p.as_py())).read_all() for p in table.column("piece")
     ]

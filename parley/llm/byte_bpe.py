@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parley.llm.common import release_memory
+
 #: Encoded pre-tokens that a worker remembers between its tasks; when full, the memory starts anew.
-REMEMBERED = 1 << 19
+REMEMBERED = 3 << 17
 #: Token ids in one batch of results.
 BATCH_IDS = 1 << 20
 #: Bits of the rank that choose within a word of the lower bitmap.
@@ -172,6 +174,7 @@ def encode(
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         encoder = encoder_of(ranks, path, pattern)
         for batch in batches:
             texts, at, values, offsets = batch.column(1), 0, [], [0]
