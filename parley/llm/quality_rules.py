@@ -113,27 +113,32 @@ def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 @dataclass(frozen=True)
 class Test:
-    """``feature >= cut`` or ``feature < cut``, for the cut of that number."""
+    """``feature >= cut`` or ``feature <= cut``; both cover the cut itself."""
 
     feature: str
-    number: int
     cut: float
     above: bool
 
-    def on_bins(self) -> Column:
-        place = F.col(f"_bin_{self.feature}")
-        return place > self.number if self.above else place <= self.number
+    def on(self, value: Column) -> Column:
+        return value >= self.cut if self.above else value <= self.cut
+
+    def on_columns(self) -> Column:
+        return self.on(F.col(self.feature))
 
     def on_values(self) -> Column:
-        value = F.expr(FEATURES[self.feature])
-        return value >= self.cut if self.above else value < self.cut
+        return self.on(F.expr(FEATURES[self.feature]))
 
     def __str__(self) -> str:
-        return f"{self.feature} {'>=' if self.above else '<'} {self.cut:.6g}"
+        return f"{self.feature} {'>=' if self.above else '<='} {self.cut:.6g}"
 
 
 Rule = tuple[Test, ...]
 
+#: Shares of the bad rows cut off at either end, beside the evenly spaced quantiles.
+TAILS = [2.0**-k for k in range(6, 14)]
+#: Rules after which the rows they leave are stored anew.
+STORED = 8
+
 
 def both(tests: Sequence[Column]) -> Column:
     out = F.lit(True)
@@ -142,11 +147,14 @@ def both(tests: Sequence[Column]) -> Column:
     return out
 
 
+def covered(rule: Rule) -> Column:
+    return both([t.on_columns() for t in rule])
+
+
 def learn_rules(
     labelled: DataFrame,
     bad: str = "_bad",
     cuts: int = 49,
-    max_rules: int = 8,
     max_tests: int = 3,
     precision: float = 0.9,
     least: int = 3,
@@ -157,102 +165,179 @@ def learn_rules(
     Two thirds of them (by a hash) grow a rule: the threshold with the best
     information gain is added while it leaves good rows in. The rest prunes it to
     the prefix with the best (bad - good) / (bad + good) and must confirm the
-    ``precision``. A step is one aggregate into at most features times cuts sums;
-    only these reach the driver.
+    ``precision``. If it does not, rules that begin with the best test of each
+    other feature and side are grown together and the first that is confirmed is
+    taken; learning ends when none is. As a rule takes off at least ``least`` bad
+    rows, it does end.
+
+    Thresholds are values of the bad rows a rule still covers, found anew for each
+    test: ``cuts`` quantiles, finer ones at both ends, the ends, and the smallest
+    above 0. A step is one aggregate for these and one into at most two sums per
+    threshold and place between; only they reach the driver.
     """
-    values = labelled.select(
-        F.col(bad).alias("_bad"),
-        (F.pmod(F.xxhash64(*FEATURES_INPUT), F.lit(3)) == 0).alias("_prune"),
-        *[F.expr(e).alias(name) for name, e in FEATURES.items()],
-    )
-    points = [i / (cuts + 1) for i in range(1, cuts + 1)]
-    whole = values.agg(*[F.percentile_approx(name, points, 10_000).alias(name) for name in FEATURES]).first()
-    edges = {name: sorted(set(whole[name] or [])) for name in FEATURES}
-    rows = pinned(
-        values.select(
-            "_bad",
-            "_prune",
-            *[
-                sum((F.when(F.col(name) >= e, 1).otherwise(0) for e in edges[name]), F.lit(0)).alias(f"_bin_{name}")
-                for name in FEATURES
-            ],
+    left = pinned(
+        labelled.select(
+            F.col(bad).alias("_bad"),
+            (F.pmod(F.xxhash64(*FEATURES_INPUT), F.lit(3)) == 0).alias("_prune"),
+            *[F.expr(e).cast("double").alias(name) for name, e in FEATURES.items()],
         )
     )
     rules: list[Rule] = []
-    while len(rules) < max_rules:
-        left = rows.where(~any_of([both([t.on_bins() for t in r]) for r in rules]))
-        rule = pruned(left.where("_prune"), grown(left.where("not _prune"), edges, max_tests), precision, least)
+    while True:
+        rows, held = left.where("not _prune"), left.where("_prune")
+        starts = ranked(rows, [()], cuts)[0]
+        rule: Rule = ()
+        for group in (starts[:1], starts[1:]):
+            if group and not rule:
+                rule = confirmed(held, grown(rows, group, cuts, max_tests), precision, least)
         if not rule:
-            break
+            return rules
         rules.append(rule)
-    return rules
+        left = left.where(~covered(rule))
+        if len(rules) % STORED == 0:
+            left = pinned(left)
 
 
 FEATURES_INPUT = ("n_words", "word_chars", "n_symbols", "n_lines", "n_upper", "n_repeat_words")
 
 
-def any_of(tests: Sequence[Column]) -> Column:
-    out = F.lit(False)
-    for test in tests:
-        out = out | test
+def grown(rows: DataFrame, starts: list[Test], cuts: int, max_tests: int) -> list[Rule]:
+    """For each start the conjunction that grows by the test of the best gain while it covers good rows."""
+    rules: list[Rule] = [(test,) for test in starts]
+    growing = list(range(len(rules)))
+    for _ in range(max_tests - 1):
+        if not growing:
+            break
+        found = ranked(rows, [rules[i] for i in growing], cuts)
+        growing = [i for i, tests in zip(growing, found, strict=True) if tests]
+        for i, test in zip(growing, [tests[0] for tests in found if tests], strict=True):
+            rules[i] += (test,)
+    return rules
+
+
+def ranked(rows: DataFrame, rules: list[Rule], cuts: int) -> list[list[Test]]:
+    """Per rule the best test of each feature and side that improves it, best first.
+
+    A rule that covers no bad row has none, nor has one with tests and no good row.
+    """
+    edges = thresholds(rows, rules, cuts)
+    sums = histogram(rows, rules, edges)
+    out: list[list[Test]] = []
+    for number, rule in enumerate(rules):
+        best: dict[tuple[str, bool], tuple[float, Test]] = {}
+        for name in sorted(FEATURES):
+            bins = sums.get((number, name), {})
+            p, n = (sum(x[i] for x in bins.values()) for i in (0, 1))
+            if not p or (rule and not n):
+                continue
+            base = math.log2(p / (p + n))
+            before = [0, 0]
+            for place, cut in enumerate(edges[number, name]):
+                between, at = bins.get(2 * place, (0, 0)), bins.get(2 * place + 1, (0, 0))
+                before = [before[0] + between[0], before[1] + between[1]]
+                upto = [before[0] + at[0], before[1] + at[1]]
+                for above, (bp, bn) in ((False, upto), (True, [p - before[0], n - before[1]])):
+                    if not bp:
+                        continue
+                    gain = bp * (math.log2(bp / (bp + bn)) - base)
+                    if gain > best.get((name, above), (1e-9,))[0]:
+                        best[name, above] = (gain, Test(name, cut, above))
+                before = upto
+        out.append([test for _, test in sorted(best.values(), key=lambda x: (-x[0], str(x[1])))])
     return out
 
 
-def grown(rows: DataFrame, edges: dict[str, list[float]], max_tests: int) -> Rule:
-    """The conjunction that grows by the test of the best gain while it covers good rows."""
-    rule: Rule = ()
-    while len(rule) < max_tests:
-        sums = histogram(rows.where(both([t.on_bins() for t in rule])), edges)
-        first = next(iter(sums.values()), {})
-        p, n = (sum(x[i] for x in first.values()) for i in (0, 1))
-        if not p or (rule and not n):
-            break
-        base = math.log2(p / (p + n))
-        best, gain = None, 1e-9
-        for name in sorted(sums):
-            below = [0, 0]
-            for number, cut in enumerate(edges[name]):
-                here = sums[name].get(number, (0, 0))
-                below = [below[0] + here[0], below[1] + here[1]]
-                for above, (bp, bn) in ((False, below), (True, [p - below[0], n - below[1]])):
-                    if bp and (new := bp * (math.log2(bp / (bp + bn)) - base)) > gain:
-                        best, gain = Test(name, number, cut, above), new
-        if best is None:
-            break
-        rule += (best,)
-    return rule
+def per_rule(rules: list[Rule], of) -> Column:
+    """The structs ``of`` (number of the rule, feature) for all features of the rules that cover the row."""
+    return F.explode(
+        F.flatten(
+            F.filter(
+                F.array(*[F.when(covered(r), F.array(*[of(i, f) for f in FEATURES])) for i, r in enumerate(rules)]),
+                lambda x: x.isNotNull(),
+            )
+        )
+    )
+
+
+def thresholds(rows: DataFrame, rules: list[Rule], cuts: int) -> dict[tuple[int, str], list[float]]:
+    """Values of the bad rows each rule covers, by rule and feature, sorted."""
+    points = sorted({0.0, 1.0, *TAILS, *[1 - x for x in TAILS], *[i / (cuts + 1) for i in range(1, cuts + 1)]})
+    found = (
+        rows.where("_bad")
+        .select(
+            per_rule(
+                rules,
+                lambda i, f: F.struct(F.lit(i).alias("rule"), F.lit(f).alias("feature"), F.col(f).alias("value")),
+            ).alias("_at")
+        )
+        .groupBy("_at.rule", "_at.feature")
+        .agg(
+            F.percentile_approx("_at.value", points, 10_000).alias("values"),
+            F.min(F.when(F.col("_at.value") > 0, F.col("_at.value"))).alias("above_zero"),
+        )
+        .collect()
+    )
+    out: dict[tuple[int, str], list[float]] = {(i, f): [] for i in range(len(rules)) for f in FEATURES}
+    for r in found:
+        out[r["rule"], r["feature"]] = sorted({*r["values"], r["above_zero"]} - {None})
+    return out
+
+
+def bin_of(value: Column, edges: list[float]) -> Column:
+    """Twice the number of edges below the value, and one more if it is an edge."""
+    if not edges:
+        return F.lit(0)
+    table = F.array(*map(F.lit, edges))
+    halves = F.array(*[F.lit(1 << k) for k in reversed(range(len(edges).bit_length()))])
+    below = F.aggregate(
+        halves, F.lit(0), lambda at, x: F.when(F.get(table, at + x - 1) < value, at + x).otherwise(at)
+    )
+    return F.aggregate(
+        F.array(below), F.lit(0), lambda _, at: 2 * at + F.when(F.get(table, at) == value, 1).otherwise(0)
+    )
 
 
-def histogram(rows: DataFrame, edges: dict[str, list[float]]) -> dict[str, dict[int, tuple[int, int]]]:
-    """Bad and good rows per feature and bin."""
-    pairs = F.array(
-        *[F.struct(F.lit(name).alias("feature"), F.col(f"_bin_{name}").alias("bin")) for name in edges]
+def histogram(
+    rows: DataFrame, rules: list[Rule], edges: dict[tuple[int, str], list[float]]
+) -> dict[tuple[int, str], dict[int, tuple[int, int]]]:
+    """Bad and good rows per rule, feature and bin."""
+    at = per_rule(
+        rules,
+        lambda i, f: F.struct(
+            F.lit(i).alias("rule"), F.lit(f).alias("feature"), bin_of(F.col(f), edges[i, f]).alias("bin")
+        ),
     )
     counted = (
-        rows.select("_bad", F.explode(pairs).alias("_at"))
-        .groupBy("_at.feature", "_at.bin")
+        rows.select("_bad", at.alias("_at"))
+        .groupBy("_at.rule", "_at.feature", "_at.bin")
         .agg(F.count_if("_bad").alias("p"), F.count_if(~F.col("_bad")).alias("n"))
     )
-    out: dict[str, dict[int, tuple[int, int]]] = {}
+    out: dict[tuple[int, str], dict[int, tuple[int, int]]] = {}
     for r in counted.collect():
-        out.setdefault(r["feature"], {})[r["bin"]] = (r["p"], r["n"])
+        out.setdefault((r["rule"], r["feature"]), {})[r["bin"]] = (r["p"], r["n"])
     return out
 
 
-def pruned(rows: DataFrame, rule: Rule, precision: float, least: int) -> Rule:
-    """The best prefix of a rule on the pruning rows; empty if none is precise enough."""
-    if not rule:
-        return ()
-    covered = [both([t.on_bins() for t in rule[: k + 1]]) for k in range(len(rule))]
+def confirmed(rows: DataFrame, rules: list[Rule], precision: float, least: int) -> Rule:
+    """The first rule with a prefix precise enough on the pruning rows, cut to the best; else empty."""
+    prefixes = [[rule[: k + 1] for k in range(len(rule))] for rule in rules]
     got = rows.agg(
-        *[F.count_if(c & (F.col("_bad") == kind)).alias(f"{kind}{k}") for k, c in enumerate(covered) for kind in (True, False)]
+        *[
+            F.count_if(covered(x) & (F.col("_bad") == kind)).alias(f"{kind}{i}_{k}")
+            for i, some in enumerate(prefixes)
+            for k, x in enumerate(some)
+            for kind in (True, False)
+        ]
     ).first()
-    best: tuple[float, Rule] = (-2.0, ())
-    for k in range(len(rule)):
-        p, n = got[f"True{k}"], got[f"False{k}"]
-        if p >= least and p >= precision * (p + n) and (p - n) / (p + n) > best[0]:
-            best = ((p - n) / (p + n), rule[: k + 1])
-    return best[1]
+    for i, some in enumerate(prefixes):
+        best: tuple[float, Rule] = (-2.0, ())
+        for k, prefix in enumerate(some):
+            p, n = got[f"True{i}_{k}"], got[f"False{i}_{k}"]
+            if p >= least and p >= precision * (p + n) and (p - n) / (p + n) > best[0]:
+                best = ((p - n) / (p + n), prefix)
+        if best[1]:
+            return best[1]
+    return ()
 
 
 def verdict(rules: Sequence[Rule]) -> Column:

@@ -128,6 +128,52 @@ def test_rules_find_planted_thresholds(spark):
     assert {t.feature for r in rules for t in r} >= {"symbol_share"}
 
 
+def planted_rules(spark, rows, bad, **options):
+    """The rules for rows of 100 words, 300 letters and 10 lines; other counts are 0 unless given."""
+    base = {"n_words": 100, "word_chars": 300, "n_lines": 10}
+    names = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_marks", "n_digits")
+    rows = rows.select("id", *[rows[c] if c in rows.columns else F.lit(base.get(c, 0)).alias(c) for c in names])
+    return rows, learn_rules(rows.withColumn("_bad", F.expr(bad)), **options)
+
+
+def test_rules_find_rare_kinds(spark):
+    """Repeated lines in one of 200 texts, all others without any."""
+    from parley.llm.quality_rules import verdict
+
+    rare = "id % 200 = 7"
+    rows, rules = planted_rules(
+        spark,
+        spark.range(8000).select(
+            "id",
+            F.expr(f"if({rare}, 3 + id % 5, 0)").alias("n_dup_lines"),
+            F.pmod(F.xxhash64("id"), F.lit(90)).alias("n_upper"),
+            F.pmod(F.xxhash64("id", F.lit(1)), F.lit(3000)).cast("long").alias("n_repeat_words"),
+        ),
+        rare,
+    )
+    assert rows.where(verdict(rules) == F.expr(rare)).count() == 0
+
+
+def test_rules_go_on(spark):
+    """Nine separate ranges of bad rows, and some with digits."""
+    from parley.llm.quality_rules import verdict
+
+    bad = "(n_upper div 10) % 2 = 1 or n_digits > 0"
+    rows, rules = planted_rules(
+        spark,
+        spark.range(6000).select(
+            "id",
+            F.pmod(F.xxhash64("id"), F.lit(180)).alias("n_upper"),
+            F.expr("if(id % 200 = 3, 9, 0)").alias("n_digits"),
+            F.pmod(F.xxhash64("id", F.lit(1)), F.lit(3000)).cast("long").alias("n_repeat_words"),
+        ),
+        bad,
+        max_tests=2,
+    )
+    assert len(rules) > 8
+    assert rows.where(verdict(rules) == F.expr(bad)).count() < 0.02 * 6000
+
+
 def test_exact_groups_awkward(awkward, empty):
     rows = exact_groups(awkward).collect()
     assert len(rows) == len(ROWS)
