@@ -9,6 +9,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,61 +21,86 @@ LETTERS = r"\p{L}+"
 ORDERS = (4, 3, 2, 1)
 #: Words whose scores a task remembers; when full, the memory starts anew.
 REMEMBERED = 1 << 17
+#: Parts of the hash of an id by which rows are sampled.
+PLACES = 1 << 40
+
+
+#: Share of the probability that names a language does not have get together.
+UNSEEN = 0.01
+
+
+@dataclass
+class Scores:
+    """Log frequencies of names; only those above the one all absent names share are stored.
+
+    Name ``i`` has ``values`` above ``floor`` in the languages ``columns`` at
+    ``starts[i]`` to ``starts[i + 1]``.
+    """
+
+    row: dict[str, int]
+    starts: np.ndarray
+    columns: np.ndarray
+    values: np.ndarray
+    floor: float
+
+    def mean(self, rows: list[int], languages: int) -> np.ndarray:
+        out = np.zeros(languages)
+        for r in rows:
+            a, b = self.starts[r], self.starts[r + 1]
+            out[self.columns[a:b]] += self.values[a:b]
+        return self.floor + out / len(rows)
 
 
 @dataclass
 class Model:
-    """Per language log frequencies of words and of n-grams, as rows of one matrix each."""
+    """Per language log frequencies of words and of n-grams."""
 
     languages: list[str]
     prior: np.ndarray
-    words: dict[str, int]
-    word_scores: np.ndarray
-    grams: dict[str, int]
-    gram_scores: np.ndarray
+    words: Scores
+    grams: Scores
 
     def score(self, word: str) -> np.ndarray:
         """Known word: its log frequencies. Else the mean over its n-grams of the longest known order."""
-        row = self.words.get(word)
+        row = self.words.row.get(word)
         if row is not None:
-            return self.word_scores[row]
+            return self.words.mean([row], len(self.languages))
         marked = f"\x02{word}\x03"
         for n in ORDERS:
             rows = [
                 r
                 for i in range(len(marked) - n + 1)
-                if (r := self.grams.get(marked[i : i + n])) is not None
+                if (r := self.grams.row.get(marked[i : i + n])) is not None
             ]
             if rows:
-                return self.gram_scores[rows].mean(axis=0)
+                return self.grams.mean(rows, len(self.languages))
         return np.zeros(len(self.languages))
 
 
-#: Share of the probability that names a language does not have get together.
-UNSEEN = 0.01
-
-
-def log_frequencies(
-    counts: list[tuple[str, str, int]], languages: list[str], totals: dict[str, int]
-) -> tuple[dict[str, int], np.ndarray]:
-    """Rows of log frequencies; what a language has not has the same small one in all of them."""
-    names = sorted({c[1] for c in counts})
-    row = {name: i for i, name in enumerate(names)}
-    table = np.zeros((len(names), len(languages)))
-    column = {lang: j for j, lang in enumerate(languages)}
-    for lang, name, n in counts:
-        table[row[name], column[lang]] = n
+def log_frequencies(counts: pa.Table, totals: dict[str, int], languages: list[str]) -> Scores:
+    """The counts of names per language as log frequencies; ``counts`` has lang, name and n."""
+    kinds = counts.column("name").combine_chunks().dictionary_encode()
+    rows = np.asarray(kinds.indices)
+    names = kinds.dictionary.to_pylist()
+    order = np.argsort(rows, kind="stable")
+    column = pc.index_in(counts.column("lang").combine_chunks(), pa.array(languages, pa.string()))
+    columns = np.asarray(column)[order]
     whole = np.array([max(1, totals.get(x, 0)) for x in languages], dtype=float)
-    return row, np.log((1 - UNSEEN) * table / whole + UNSEEN / max(1, len(names)))
+    absent = UNSEEN / max(1, len(names))
+    shares = np.asarray(counts.column("n").combine_chunks())[order] / whole[columns]
+    return Scores(
+        {name: i for i, name in enumerate(names)},
+        np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(names)))]),
+        columns,
+        np.log((1 - UNSEEN) * shares + absent) - np.log(absent),
+        float(np.log(absent)),
+    )
 
 
 def learn(
     docs: DataFrame,
     train: Column,
     sample_rows: int = 20_000,
-    word_share: int = 10_000,
-    gram_share: int = 5_000,
-    language_share: int = 200,
     gram_letters: int = 64,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -81,20 +108,28 @@ def learn(
 ) -> Model | None:
     """A model of the rows where ``train`` holds and text and language are not null.
 
-    It is fitted on a sample of about ``sample_rows`` such rows, chosen by a hash
-    of the id. A word is known if it makes up at least one in ``word_share`` of a
-    language's words, an n-gram one in ``gram_share`` of that order's, a language
-    one in ``language_share`` of the sampled rows; so a language has at most
-    ``word_share`` words and four times ``gram_share`` n-grams, and the model that
-    reaches the driver and the tasks is bounded. Words of more than ``gram_letters``
-    letters teach no n-grams. None without such rows.
+    Rows are counted per language over all data. A language is fitted on all its
+    rows, or if it has more, on about ``sample_rows`` of them chosen by a hash of
+    the id, of which there is always one; so every language is learned, however
+    rare. Every word and n-gram of the sampled rows is known; their number is
+    bounded by the rows. Words of more than ``gram_letters`` letters teach no
+    n-grams. How frequent a language is comes from the counts of all rows. None
+    without such rows.
     """
     rows = docs.where(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    n = rows.count()
-    if not n:
+    place = F.pmod(F.xxhash64(id_col), F.lit(PLACES))
+    found = rows.groupBy(F.col(lang_col).alias("lang")).agg(
+        F.count("*").alias("n"), F.min(place).alias("first")
+    )
+    count = {r["lang"]: (r["n"], r["first"]) for r in found.collect()}
+    if not count:
         return None
-    part = 1 << 20
-    rows = rows.where(F.pmod(F.xxhash64(id_col), F.lit(part)) < min(part, -(-sample_rows * part // n)))
+    languages = sorted(count)
+    below = [max(count[x][1] + 1, -(-sample_rows * PLACES // count[x][0])) for x in languages]
+    limits = F.create_map(
+        *[x for lang, n in zip(languages, below, strict=True) for x in (F.lit(lang), F.lit(n).cast("long"))]
+    )
+    rows = rows.where(place < F.element_at(limits, F.col(lang_col)))
     words = pinned(
         rows.select(
             F.col(lang_col).alias("lang"),
@@ -103,10 +138,6 @@ def learn(
         .groupBy("lang", "word")
         .agg(F.count("*").alias("n"))
     )
-    sampled = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
-    enough = sum(sampled.values()) / language_share
-    languages = sorted(lang for lang, k in sampled.items() if k >= enough)
-    words = words.where(F.col("lang").isin(languages))
     marked = F.concat(F.lit("\x02"), F.col("word"), F.lit("\x03"))
     cut = [
         F.transform(
@@ -123,25 +154,22 @@ def learn(
         .groupBy("lang", "gram")
         .agg(F.count("*").alias("n"))
     )
-    word_table = known(words.withColumnRenamed("word", "name"), F.lit(0), word_share)
-    gram_table = known(grams.withColumnRenamed("gram", "name"), F.length("name"), gram_share)
-    total = sum(sampled[x] for x in languages)
+    total = sum(n for n, _ in count.values())
     return Model(
         languages,
-        np.log([sampled[x] / total for x in languages]),
-        *log_frequencies(word_table[0], languages, word_table[1]),
-        *log_frequencies(gram_table[0], languages, gram_table[1]),
+        np.log([count[x][0] / total for x in languages]),
+        log_frequencies(*known(words.withColumnRenamed("word", "name"), F.lit(0)), languages),
+        log_frequencies(*known(grams.withColumnRenamed("gram", "name"), F.length("name")), languages),
     )
 
 
-def known(counts: DataFrame, kind: Column, share: int) -> tuple[list[tuple[str, str, int]], dict[str, int]]:
-    """The names frequent enough in their language, and the largest sum of counts per language."""
+def known(counts: DataFrame, kind: Column) -> tuple[pa.Table, dict[str, int]]:
+    """All names with their counts, and the largest sum of counts per language."""
     sums = [tuple(r) for r in counts.groupBy("lang", kind.alias("kind")).agg(F.sum("n")).collect()]
-    least = F.lit(None).cast("double")
-    for lang, order, n in sums:
-        least = F.when((F.col("lang") == lang) & (kind == order), n / share).otherwise(least)
-    kept = [(r["lang"], r["name"], r["n"]) for r in counts.where(F.col("n") >= least).collect()]
-    return kept, {lang: max(n for x, _, n in sums if x == lang) for lang, _, _ in sums}
+    totals: dict[str, int] = {}
+    for lang, _, n in sums:
+        totals[lang] = max(n, totals.get(lang, 0))
+    return counts.select("lang", "name", "n").toArrow(), totals
 
 
 def language_of(text: Column, model: Model | None) -> Column:

@@ -228,6 +228,26 @@ def test_unseen_words_fall_back_to_ngrams(spark):
     assert [r.lang_pred for r in predict(ask, model).orderBy("doc_id").collect()][:2] == ["de", "en"]
 
 
+def test_rare_languages_are_learned(spark):
+    """One in 1,000 rows is Icelandic, and a word is one in 30,000 of the English ones."""
+    docs = spark.range(4000).select(
+        F.col("id").alias("doc_id"),
+        F.expr(
+            "case when id % 1000 = 7 then 'þetta er íslenska' when id = 11 then 'ceterum' "
+            "else 'where which when this that these those other' end"
+        ).alias("text"),
+        F.expr("if(id % 1000 = 7, 'is', 'en')").alias("lang"),
+    )
+    ask = spark.createDataFrame([(1, "þetta er"), (2, "which ceterum")], "doc_id long, text string")
+    for sample in (100, 20_000):
+        model = learn(docs, F.lit(True), sample_rows=sample)
+        assert model.languages == ["en", "is"]
+        assert [r.lang_pred for r in predict(ask, model).orderBy("doc_id").collect()] == ["is", "en"]
+    assert "ceterum" in model.words.row
+    same = docs.withColumn("doc_id", F.lit(None).cast("long"))
+    assert learn(same, F.lit(True), sample_rows=1).languages == ["en", "is"]
+
+
 PAGES = [
     (5, "https://www.Example.org/b?x=1#top", "<p>same</p>"),
     (2, "http://example.org/a", "<p>same</p>"),
