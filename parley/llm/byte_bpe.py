@@ -158,9 +158,14 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 def encode(
-    docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    path: str,
+    pattern: str,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    with_text: bool = False,
 ) -> DataFrame:
-    """One row per input row: id and ``ids``, the token ids of the whole text.
+    """One row per input row: id and ``ids``, the token ids of the whole text; ``text`` too if asked.
 
     The vocabulary file is read by the driver and broadcast; its size is that of
     the file (a few MB), whatever the corpus.
@@ -172,6 +177,7 @@ def encode(
     spark = docs.sparkSession
     ranks = spark.sparkContext.broadcast(read_ranks(path))
     kind = dict(docs.dtypes)[id_col]
+    names = ["id", "ids", "text"] if with_text else ["id", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_memory()
@@ -185,13 +191,14 @@ def encode(
                     lists = pa.ListArray.from_arrays(
                         pa.array(offsets, pa.int32()), pa.array(values, pa.int32())
                     )
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).slice(at, len(lists)), lists], ["id", "ids"]
-                    )
+                    columns = [batch.column(0).slice(at, len(lists)), lists]
+                    if with_text:
+                        columns.append(texts.slice(at, len(lists)))
+                    yield pa.RecordBatch.from_arrays(columns, names)
                     at, values, offsets = i + 1, [], [0]
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    out = rows.mapInArrow(run, f"id {kind}, ids array<int>")
+    out = rows.mapInArrow(run, f"id {kind}, ids array<int>" + (", text string" if with_text else ""))
     return out.withColumnRenamed("id", id_col)
 
 

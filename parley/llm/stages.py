@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm.byte_bpe import encode
+from parley.llm.byte_bpe import decode, encode
 from parley.llm.common import fold_of
 from parley.llm.exact_dedup import without_copies
 from parley.llm.jaccard_join import near_groups
@@ -46,9 +46,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte-level BPE: id, token ids and their number."""
+    """Byte-level BPE: id, token ids and their number; fails if ids don't decode to their whole text."""
     path, pattern = vocabulary()
-    return encode(docs, path, pattern).select("doc_id", "ids", F.size("ids").alias("n_tokens"))
+    coded = decode(encode(docs, path, pattern, with_text=True), path)
+    whole = F.col("decoded").eqNullSafe(F.coalesce("text", F.lit("")).cast("binary"))
+    ids = F.when(whole, F.col("ids")).otherwise(F.raise_error(F.lit("token ids do not decode to their text")))
+    return coded.select("doc_id", ids.alias("ids")).select("doc_id", "ids", F.size("ids").alias("n_tokens"))
 
 
 STAGES = [

@@ -467,3 +467,17 @@ def test_likelihoods_sum_to_one():
 def test_prose_is_clean(awkward):
     rows = {r.doc_id: r for r in predict(awkward, learn(awkward, F.lit(True))).collect()}
     assert rows[1].score > 0.5 and PROSE
+
+
+def test_stage_decodes(spark, awkward, monkeypatch):
+    """The last stage gives all rows, and fails when a token is missing."""
+    from parley.llm import stages
+
+    whole = stages.encode_texts(spark, awkward, "")
+    assert whole.columns == ["doc_id", "ids", "n_tokens"] and len(whole.collect()) == len(ROWS)
+    real = stages.encode
+    monkeypatch.setattr(
+        stages, "encode", lambda *a, **b: real(*a, **b).withColumn("ids", F.expr("slice(ids, 2, size(ids))"))
+    )
+    with pytest.raises(Exception, match="do not decode"):
+        stages.encode_texts(spark, awkward, "").collect()
