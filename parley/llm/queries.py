@@ -11,12 +11,15 @@ from parley.llm.byte_bpe import decode, encode
 from parley.llm.common import fold_of, table
 from parley.llm.exact_dedup import exact_groups
 from parley.llm.hmm_lm import score_texts
+from parley.llm.importance import resample
 from parley.llm.jaccard_join import near_groups
 from parley.llm.language_id import learn, predict
+from parley.llm.license_scan import scan, summary
 from parley.llm.mixing import copy_counts
 from parley.llm.quality_rules import judge
 from parley.llm.sharding import kd_shards
 from parley.llm.suffix_dedup import repeated_passages
+from parley.llm.vector_codes import compress
 from parley.llm.warc import archive_pages
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -207,3 +210,101 @@ def byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
 @query("op10_hmm_scores")
 def hmm_scores(spark: SparkSession, sf: str) -> DataFrame:
     return score_texts(table(spark, sf, "documents"), folds=7, left_out=2, states=4, rounds=2)
+
+
+def sql_codes(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Lloyd's rounds written out one by one; every part meets every entry."""
+    steps = [
+        """kept AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x)::BIGINT) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"""parts AS MATERIALIZED (
+  SELECT vec_id, p, v[p * (len(v) // {parts}) + 1 : (p + 1) * (len(v) // {parts})] AS x
+  FROM kept, range({parts}) AS r(p))""",
+        f"""b0 AS MATERIALIZED (
+  SELECT p, k, x AS c FROM parts JOIN (
+    SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS k FROM kept ORDER BY vec_id LIMIT {entries}
+  ) USING (vec_id))""",
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (
+  SELECT vec_id, p, any_value(x) AS x, min(256 * list_sum(list_transform(list_zip(x, c),
+         lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT + k) AS best
+  FROM parts JOIN b{r} USING (p) GROUP BY vec_id, p)""")
+        if r < rounds:
+            steps.append(f"""b{r + 1} AS MATERIALIZED (
+  SELECT p, k, coalesce(new, c) AS c FROM b{r} LEFT JOIN (
+    SELECT p, k, list(m ORDER BY i) AS new FROM (
+      SELECT p, best % 256 AS k, i, floor(sum(x[i])::DOUBLE / count(*))::BIGINT AS m
+      FROM (SELECT p, best, x, unnest(range(1, len(x) + 1)) AS i FROM a{r}) GROUP BY ALL)
+    GROUP BY p, k) USING (p, k))""")
+    return f"""WITH {", ".join(steps)},
+books AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, k)) AS h FROM b{rounds}),
+codes AS (
+  SELECT vec_id, lower(string_agg(printf('%02x', (best % 256)::INT), '' ORDER BY p)) AS code,
+         sum(best // 256)::BIGINT AS error
+  FROM a{rounds} GROUP BY vec_id)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+       h AS codebooks_sha256
+FROM codes JOIN kept USING (vec_id), books"""
+
+
+@query("op11_vector_codes", sql_codes())
+def vector_codes(spark: SparkSession, sf: str) -> DataFrame:
+    return compress(table(spark, sf, "embeddings"), parts=8, entries=16, rounds=6, scale=4096)
+
+
+@query("op12_license_scan")
+def license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return summary(scan(table(spark, sf, "documents")))
+
+
+#: Words between ASCII characters that are neither digits nor a-z, of a lower-cased text.
+SQL_NAMES = (
+    f"regexp_extract_all(translate(text, '{UPPER}', '{UPPER.lower()}'), "
+    r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+SQL_IMPORTANCE = f"""
+WITH RECURSIVE steps AS (
+  SELECT i, i AS c, 0 AS k FROM range(256) AS r(i)
+  UNION ALL
+  SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM steps WHERE k < 8),
+crc AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM steps WHERE k = 8),
+docs AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, coalesce({SQL_NAMES}, []) AS words FROM documents),
+own AS MATERIALIZED (SELECT r, unnest(words) AS word FROM docs),
+aim AS MATERIALIZED (SELECT unnest({SQL_NAMES}) AS word FROM benchmark),
+names AS MATERIALIZED (
+  SELECT word, xor(4294967295, list_reduce(
+           [4294967295::BIGINT] || list_transform(regexp_extract_all(hex(encode(word)), '..'),
+                                                  lambda x: ('0x' || x)::BIGINT),
+           lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]))) % 10000 AS bucket
+  FROM (SELECT word FROM own UNION SELECT word FROM aim), crc),
+gains AS MATERIALIZED (
+  SELECT bucket, floor(1000 * ln(((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM own) + 10000)::DOUBLE)
+           / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT count(*) FROM aim) + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM (SELECT bucket, count(*) AS s FROM own JOIN names USING (word) GROUP BY bucket)
+  FULL JOIN (SELECT bucket, count(*) AS t FROM aim JOIN names USING (word) GROUP BY bucket) USING (bucket)),
+weights AS (
+  SELECT r, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight
+  FROM own JOIN names USING (word) JOIN gains USING (bucket) GROUP BY r),
+scored AS MATERIALIZED (
+  SELECT doc_id, len(words)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln(
+           (('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT::DOUBLE + 0.5::DOUBLE)
+           / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM docs LEFT JOIN weights USING (r)),
+drawn AS (
+  SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (
+              PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features) END AS place
+  FROM scored)
+SELECT doc_id, n_features, weight, score,
+       CASE WHEN place <= (SELECT 10 * count(*) // 100 FROM scored WHERE n_features >= 20) THEN place END AS rank
+FROM drawn
+"""
+
+
+@query("op13_importance_resampling", SQL_IMPORTANCE)
+def importance_resampling(spark: SparkSession, sf: str) -> DataFrame:
+    return resample(table(spark, sf, "documents"), table(spark, sf, "benchmark"), most=1, seed=2024)

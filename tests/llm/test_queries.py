@@ -34,7 +34,7 @@ def test_query_matches_sql(spark, sf, name):
 
 def test_every_operator_has_one_query():
     found = [n.split("_")[0] for n in corpus.queries()]
-    assert sorted(found) == sorted(f"op{i}" for i in range(1, 11))
+    assert sorted(found) == sorted(f"op{i}" for i in range(1, 14))
     assert "pipeline" in driver.queries()
 
 
