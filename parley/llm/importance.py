@@ -44,10 +44,12 @@ def features(text: pa.Array, most: int) -> tuple[np.ndarray, pa.Array, np.ndarra
     full = np.asarray(pc.greater(pc.binary_length(words), 0))
     rows, words = rows[full], words.filter(pa.array(full))
     found, names = [rows], [words]
-    run = words
+    run, space = words, pa.scalar(" ", words.type)
     for n in range(2, most + 1):
+        if len(words) < n:
+            break
         whole = rows[n - 1 :] == rows[: len(rows) - n + 1]
-        run = pc.binary_join_element_wise(run.slice(0, max(0, len(words) - n + 1)), words.slice(n - 1), " ")
+        run = pc.binary_join_element_wise(run.slice(0, len(words) - n + 1), words.slice(n - 1), space)
         found.append(rows[n - 1 :][whole])
         names.append(run.filter(pa.array(whole)))
     counts = np.bincount(rows, minlength=len(text))
