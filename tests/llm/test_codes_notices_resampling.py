@@ -314,6 +314,22 @@ def test_resampling_matches_plain_version(spark, awkward, monkeypatch, options):
     assert in_order(found.collect()) == in_order(plain_resample(docs, target, **options))
 
 
+def test_words_of_blocks_of_a_batch(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(importance, "BLOCK_BYTES", 30)
+    texts = ["Aäx bc d", None, "", "ÉÉ ß", "x" * 99, "Gg hß 1-2"] * 5
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    found, counts = [], []
+    for block in importance.blocks_of(iter([batch.slice(1), batch])):
+        _, names, n = importance.features(block.column("text"), 1)
+        found += names.to_pylist()
+        counts += n.tolist()
+    expected = [NAMES.findall(plain.lower(t)) for t in texts[1:] + texts]
+    assert found == [w for ws in expected for w in ws]
+    assert counts == [len(ws) for ws in expected]
+
+
 def test_resampling_of_empty_tables(spark, empty, awkward):
     assert importance.resample(empty, empty).count() == 0
     found = importance.resample(awkward, empty, least_words=1, percent=100)
