@@ -88,13 +88,16 @@ def exact_groups(
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that stay, one of each group, with all their columns.
 
-    Rows are found again by id and text hash; helper columns have names that start
-    with ``_kept`` and go again.
+    Rows are found again by id and text hash. They are carried as one value, so
+    columns of any name stay.
     """
     groups = exact_groups(docs, id_col, text_col, **options).where("kept")
-    stay = groups.select(F.col(id_col).alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
+    stay = groups.select(F.col(id_col).alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
     norm = ascii_lower(F.coalesce(docs[text_col], F.lit("")))
-    rows = docs.withColumn("_kept_text_sha", F.sha2(norm, 256))
-    same = rows[id_col].eqNullSafe(stay["_kept_id"]) & (F.col("_kept_text_sha") == F.col("_kept_sha"))
-    found = rows.join(stay, same, "left_semi")
-    return found.dropDuplicates([id_col, "_kept_text_sha"]).drop("_kept_text_sha")
+    rows = docs.select(
+        F.struct(*[docs[c] for c in docs.columns]).alias("row"),
+        docs[id_col].alias("id"),
+        F.sha2(norm, 256).alias("sha"),
+    )
+    same = rows["id"].eqNullSafe(stay["kept_id"]) & (rows["sha"] == stay["kept_sha"])
+    return rows.join(stay, same, "left_semi").dropDuplicates(["id", "sha"]).select("row.*")

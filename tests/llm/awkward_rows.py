@@ -15,6 +15,11 @@ SCHEMA = T.StructType(
         T.StructField("_id", T.LongType()),
         T.StructField("ids", T.StringType()),
         T.StructField("shard", T.StringType()),
+        T.StructField("_language", T.StringType()),
+        T.StructField("_kept_text_sha", T.StringType()),
+        T.StructField("_stays", T.LongType()),
+        T.StructField("row", T.StringType()),
+        T.StructField("key", T.StringType()),
     ]
 )
 
@@ -25,7 +30,7 @@ PROSE = (
 
 
 def row(doc_id, text, lang="en", source="a"):
-    return (doc_id, text, lang, source, len(text or ""), "x", "y", 7, "z", "s")
+    return (doc_id, text, lang, source, len(text or ""), "x", "y", 7, "z", "s", "l", "h", 8, "r", "k")
 
 
 ROWS = [

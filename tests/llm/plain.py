@@ -84,3 +84,54 @@ def base_scores(rows, folds=7, left_out=2):
         i: (out[i], len(ws), sum(counts[w] > 0 for w in ws), sum(math.log10((counts[w] + 1) / whole) for w in ws))
         for i, ws in tokens.items()
     }
+
+
+def languages(learned, texts, unseen=0.01):
+    """Word-first backoff with dicts: language and share of the likelihood per text."""
+    letters = re.compile(r"[^\W\d_]+")
+    learned = [(t, x) for t, x in learned if t is not None and x is not None]
+    names = sorted({x for _, x in learned})
+    prior = Counter(x for _, x in learned)
+    words = {x: Counter() for x in names}
+    for t, x in learned:
+        words[x].update(letters.findall(t.lower()))
+    grams = {x: Counter() for x in names}
+    for x in names:
+        for w in words[x]:
+            marked = f"\x02{w}\x03"
+            grams[x].update(marked[i : i + n] for n in (1, 2, 3, 4) for i in range(len(marked) - n + 1))
+
+    def scorer(counts, kinds):
+        total = {x: max([1] + [sum(c for k, c in counts[x].items() if len(k) == n) for n in kinds]) for x in names}
+        if kinds == [0]:
+            total = {x: max(1, sum(counts[x].values())) for x in names}
+        every = set().union(*counts.values())
+        absent = unseen / max(1, len(every))
+        return every, lambda k: [math.log((1 - unseen) * counts[x][k] / total[x] + absent) for x in names]
+
+    known_words, of_word = scorer(words, [0])
+    known_grams, of_gram = scorer(grams, [1, 2, 3, 4])
+
+    def score(w):
+        if w in known_words:
+            return of_word(w)
+        marked = f"\x02{w}\x03"
+        for n in (4, 3, 2, 1):
+            found = [marked[i : i + n] for i in range(len(marked) - n + 1)]
+            found = [of_gram(g) for g in found if g in known_grams]
+            if found:
+                return [sum(column) / len(found) for column in zip(*found)]
+        return [0.0] * len(names)
+
+    out = []
+    for t in texts:
+        counts = Counter(letters.findall((t or "").lower()))
+        if not counts:
+            out.append(("und", 0.0))
+            continue
+        total = [math.log(prior[x] / len(learned)) for x in names]
+        for w, n in counts.items():
+            total = [a + n * b for a, b in zip(total, score(w))]
+        best = max(total)
+        out.append((names[total.index(best)], 1 / sum(math.exp(a - best) for a in total)))
+    return out

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import plain
 from awkward_rows import PROSE, ROWS
-from parley.llm import blocks, jaccard_join, suffix_dedup
+from parley.llm import blocks, jaccard_join, language_id, stages, suffix_dedup
 from parley.llm.byte_bpe import Encoder, decode, encode, read_ranks
 from parley.llm.exact_dedup import exact_groups, without_copies
 from parley.llm.graph import components
@@ -243,7 +243,8 @@ def test_rare_languages_are_learned(spark):
         model = learn(docs, F.lit(True), sample_rows=sample)
         assert model.languages == ["en", "is"]
         assert [r.lang_pred for r in predict(ask, model).orderBy("doc_id").collect()] == ["is", "en"]
-    assert "ceterum" in model.words.row
+    codes = language_id.code_points("ceterum")
+    assert model.words.find(language_id.word_keys(codes, np.array([0]), np.array([7]))) >= 0
     same = docs.withColumn("doc_id", F.lit(None).cast("long"))
     assert learn(same, F.lit(True), sample_rows=1).languages == ["en", "is"]
 
@@ -471,8 +472,6 @@ def test_prose_is_clean(awkward):
 
 def test_stage_decodes(spark, awkward, monkeypatch):
     """The last stage gives all rows, and fails when a token is missing."""
-    from parley.llm import stages
-
     whole = stages.encode_texts(spark, awkward, "")
     assert whole.columns == ["doc_id", "ids", "n_tokens"] and len(whole.collect()) == len(ROWS)
     real = stages.encode
@@ -481,3 +480,66 @@ def test_stage_decodes(spark, awkward, monkeypatch):
     )
     with pytest.raises(Exception, match="do not decode"):
         stages.encode_texts(spark, awkward, "").collect()
+
+
+def test_stages_keep_columns(spark, awkward, empty):
+    """No stage but the last loses a column or a value, whatever the names; empty tables stay empty."""
+    for name, stage in stages.STAGES[:-1]:
+        out = stage(spark, awkward, "")
+        assert out.schema.fieldNames() == awkward.schema.fieldNames(), name
+        given = {tuple(r) for r in awkward.collect()}
+        assert {tuple(r) for r in out.collect()} <= given, name
+        assert stage(spark, empty, "").count() == 0, name
+
+
+def test_near_copies_without_or_with_shared_ids(spark):
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(words[a : a + 60]) for a in range(0, 300, 60)]
+    near = texts[0] + " end"
+    rows = [(None, texts[0]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (6, near), (5, None), (7, near), (5, texts[2])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = stages.drop_near_copies(spark, docs, "")
+    expected = [(None, texts[1]), (5, None), (5, texts[2]), (5, texts[3]), (6, near)]
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    assert sorted(map(tuple, kept.collect()), key=key) == sorted(expected, key=key)
+
+
+@pytest.mark.parametrize("letters", [40, 1 << 19])
+def test_language_matches_plain_backoff(spark, sf, awkward, monkeypatch, letters):
+    monkeypatch.setattr(language_id, "BLOCK_LETTERS", letters)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    docs = docs.unionByName(awkward.select("doc_id", "text", "lang").where("doc_id <> 11 or text is null"))
+    rows = [tuple(r) for r in docs.collect()]
+    learned = [(t, x) for i, t, x in rows if i is not None and i % 3]
+    expected = plain.languages(learned, [t for _, t, _ in rows])
+    model = learn(docs, F.col("doc_id") % 3 != 0)
+    found = {(r[0], r[1]): (r["lang_pred"], r["score"]) for r in docs.select("doc_id", "text", language_id.language_of(F.col("text"), model).alias("x")).select("doc_id", "text", "x.*").collect()}
+    for (i, t, _), (name, score) in zip(rows, expected):
+        assert found[i, t][0] == name and found[i, t][1] == pytest.approx(score, abs=1e-4), (i, name)
+
+
+def test_unspaced_scripts(spark):
+    """Words of 120 letters teach their n-grams, however long they are."""
+    draw = random.Random(2)
+    thai, lao = [chr(c) for c in range(0x0E01, 0x0E2F)], [chr(c) for c in range(0x0E81, 0x0EAF) if chr(c).isalpha()]
+
+    def run(letters):
+        return "".join(draw.choices(letters, k=120))
+
+    rows = [(run(thai), "th") for _ in range(200)] + [(run(lao), "lo") for _ in range(40)]
+    rows += [("where which when this that these those other", "en")] * 400
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string")
+    ask = spark.createDataFrame([(1, run(thai)), (2, run(lao)), (3, "which other")], "doc_id long, text string")
+    found = predict(ask, learn(docs, F.lit(True))).orderBy("doc_id").collect()
+    assert [r["lang_pred"] for r in found] == ["th", "lo", "en"] and all(r["score"] > 0.5 for r in found)
+
+
+def test_word_keys_tell_words_apart():
+    words = [f"{a}{b}" for a in "abcdefghij" for b in ("", *"klmnopqrstuvwxyz")] + ["ab" * 9, "ba" * 9, "a" * 99]
+    codes = language_id.code_points(" ".join(words))
+    starts, ends = language_id.letter_runs(codes)
+    keys = language_id.word_keys(codes, starts, ends)
+    assert len(set(keys.tolist())) == len(set(words)) == len(keys)
+    for w, k in zip(words, keys):
+        own = language_id.code_points(w)
+        assert language_id.word_keys(own, np.array([0]), np.array([len(w)])).tolist() == [k]
