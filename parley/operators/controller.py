@@ -16,7 +16,6 @@ from parley.operators.sequence import (
     Names,
     fold,
     framed,
-    largest_group,
     table_fold,
     with_position,
 )
@@ -71,7 +70,6 @@ def ewma_latency(
     order: Names,
     latency: str,
     target: float = TARGET_MS,
-    largest: int | None = None,
     limit: int = FOLD_ROWS,
     dense: str | None = None,
 ) -> DataFrame:
@@ -84,7 +82,6 @@ def ewma_latency(
         [latency, *kept],
         smoothing(latency, target),
         after="ewma",
-        largest=largest,
         limit=limit,
         dense=dense,
     )
@@ -161,20 +158,12 @@ def response_mode(
     target: float = TARGET_MS,
     upper: float = UPPER,
     lower: float = LOWER,
-    largest: int | None = None,
     limit: int = FOLD_ROWS,
-    **window: int,
 ) -> DataFrame:
     """Turn number, smoothed latency, p80 and the mode after each turn."""
-    largest = largest_group(df, keys) if largest is None else largest
-    dense = None
-    if largest > limit:
-        df = with_position(df, keys, order, "_turn", largest, **window)
-        dense = "_turn"
-    smooth = ewma_latency(df, keys, order, latency, target, largest, limit, dense)
-    scored = rolling_p80(
-        smooth, keys, order, latency, position="_at", largest=largest, dense=dense, **window
-    )
+    numbered = with_position(df, keys, order, "_turn")
+    smooth = ewma_latency(numbered, keys, order, latency, target, limit, "_turn")
+    scored = rolling_p80(smooth, keys, order, latency, position="_at", dense="_turn")
     signal = F.greatest("ewma", "p80")
     asked = (
         F.when(F.col("_at") < WARM_UP, _NO_SIGNAL)
@@ -189,9 +178,8 @@ def response_mode(
         order,
         values,
         hysteresis("_asked"),
-        largest=largest,
         limit=limit,
-        dense="_at" if dense else None,
+        dense="_at",
     )
     return rows.select(
         *keys,

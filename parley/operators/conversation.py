@@ -12,7 +12,7 @@ from parley.operators.sequence import (
     fold,
     framed,
     join_on,
-    largest_group,
+    key_rows,
     last_known,
     running_sum,
     with_position,
@@ -79,7 +79,7 @@ def suffix_starts(
     position: str,
     words: str,
     min_words: int,
-    largest: int,
+    sized: DataFrame,
     **window: int,
 ) -> DataFrame:
     """``conv, position`` and ``_from``: where the shortest run of newest
@@ -89,22 +89,24 @@ def suffix_starts(
     than there are up to this one, so both kinds of sums are merged in order
     and each message takes the last beginning it meets.
     """
-    summed = running_sum(
-        df, [conv], [position], F.col(words), "_before", largest, dense=position, **window
+    summed = running_sum(df, [conv], [position], F.col(words), "_before", sized=sized, **window)
+    begin = F.struct(
+        F.col("_before").alias("_at"), F.lit(0).alias("_asks"), F.col(position).alias("_start")
     )
-    begins = summed.select(
-        conv, F.col("_before").alias("_at"), F.lit(0).alias("_asks"), F.col(position).alias("_start")
-    )
-    asks = summed.select(
-        conv,
+    ask = F.struct(
         (F.col("_before") + F.col(words) - min_words).alias("_at"),
         F.lit(1).alias("_asks"),
-        position,
+        F.lit(None).cast("long").alias("_start"),
     )
-    merged = begins.unionByName(asks, allowMissingColumns=True)
-    order = ["_at", "_asks", F.coalesce("_start", position)]
+    merged = summed.select(conv, position, F.inline(F.array(begin, ask)))
     filled = last_known(
-        merged, [conv], order, F.col("_start"), "_from", 2 * largest, **window
+        merged,
+        [conv],
+        ["_at", "_asks", position],
+        F.col("_start"),
+        "_from",
+        sized=sized.withColumn("_n", F.col("_n") * 2),
+        **window,
     )
     return filled.filter("_asks = 1").select(conv, position, "_from")
 
@@ -177,7 +179,6 @@ def topic_segments(
     message: str = "text",
     min_words: int = TOPIC_WORDS,
     advance: str = "length",
-    largest: int | None = None,
     limit: int = FOLD_ROWS,
     **window: int,
 ) -> DataFrame:
@@ -190,10 +191,10 @@ def topic_segments(
     """
     if advance not in ("length", "end"):
         raise ValueError(f"advance must be 'length' or 'end', not {advance!r}")
-    largest = largest_group(df, [conv]) if largest is None else largest
+    sized = key_rows(df, [conv])
     counted = df.select(conv, turn, text.word_count(F.col(message)).alias("_words"))
-    numbered = with_position(counted, [conv], [turn], "end_pos", largest, **window)
-    placed = suffix_starts(numbered, conv, "end_pos", "_words", min_words, largest, **window)
+    numbered = with_position(counted, [conv], [turn], "end_pos", sized=sized, **window)
+    placed = suffix_starts(numbered, conv, "end_pos", "_words", min_words, sized, **window)
     measured = placed.select(
         conv,
         "end_pos",
@@ -206,13 +207,12 @@ def topic_segments(
         ["end_pos"],
         ["start_pos", "_length"],
         lag_fold("_length", advance),
-        largest=largest,
         limit=limit,
         dense="end_pos",
     )
     found = lags.filter(F.col("_length") <= F.col("_before") + 1)
     return with_position(
-        found.select(conv, "start_pos", "end_pos"), [conv], ["end_pos"], "segment", largest, **window
+        found.select(conv, "start_pos", "end_pos"), [conv], ["end_pos"], "segment", sized=sized, **window
     )
 
 

@@ -12,7 +12,6 @@ from parley.operators.sequence import (
     Names,
     fold,
     framed,
-    largest_group,
     with_position,
 )
 
@@ -63,9 +62,7 @@ def emotion_decay(
     decay_rate: float = DECAY_RATE,
     start: str | None = None,
     classes: int = len(FACE_EMOTIONS),
-    largest: int | None = None,
     limit: int = FOLD_ROWS,
-    **window: int,
 ) -> DataFrame:
     """Decayed scores after each observation.
 
@@ -73,36 +70,28 @@ def emotion_decay(
     dt in seconds since the row before; the first row counts from ``start``, or
     from itself if there is none.
     """
-    largest = largest_group(df, keys) if largest is None else largest
-    dense = None
-    if largest > limit:
-        df = with_position(df, keys, order, "_at", largest, **window)
-        dense = "_at"
+    numbered = with_position(df, keys, order, "_at")
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
     origin = F.unix_micros(F.col(start).cast("timestamp")) if start else micros
     timed = framed(
-        df.withColumn("_us", micros),
+        numbered.withColumn("_us", micros),
         keys,
         order,
         1,
         0,
         lambda w: {"_dt": (F.col("_us") - F.coalesce(F.lag("_us").over(w), origin)) / 1e6},
-        largest=largest,
-        dense=dense,
-        **window,
+        dense="_at",
     )
     weighted = timed.withColumn("_alpha", 1.0 - F.exp(-decay_rate * F.col("_dt")))
-    kept = [dense] if dense else []
     rows = fold(
         weighted,
         keys,
         order,
-        ["_alpha", observed, *kept],
+        ["_alpha", observed, "_at"],
         decay("_alpha", observed, classes),
         after="scores",
-        largest=largest,
         limit=limit,
-        dense=dense,
+        dense="_at",
     )
     return rows.select(*keys, *order, "scores")
 

@@ -55,7 +55,6 @@ def stage_deltas(
     order: Names,
     component: str = "component",
     time: str = "time",
-    largest: int | None = None,
     **limits: int,
 ) -> DataFrame:
     """The same from stage rows: each stage to the next, and first to last.
@@ -70,7 +69,6 @@ def stage_deltas(
         0,
         1,
         lambda w: {"_next": F.lead(F.struct("_c", "_t")).over(w)},
-        largest=largest,
         **limits,
     )
     deltas = nexts.filter(F.col("_next").isNotNull()).select(

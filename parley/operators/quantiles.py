@@ -1,10 +1,9 @@
 """Exact quantiles with linear interpolation, by group.
 
-Spark's ``percentile`` keeps every distinct value of a group in one buffer.
-That is used while an estimate of the distinct count stays under a limit.
-Above it, equal values are first counted together, the counts are summed in
-value order across range partitions, and the two values around each wanted
-rank are picked out: no group is ever in one place.
+One plan for any number of values: equal values are counted together with
+partial counts, the counts are summed in value order within blocks of a group,
+and the two values around each wanted rank are picked out. No group is ever in
+one buffer, and no estimate decides.
 """
 
 from __future__ import annotations
@@ -12,27 +11,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley.operators.sequence import Names, join_on, running_sum
-
-DISTINCT_VALUES = 200_000
-
-
-def most_distinct(df: DataFrame, by: Names, value: str) -> int:
-    """Estimate of the largest number of distinct values in a group."""
-    counts = df.groupBy(*by).agg(F.approx_count_distinct(value).alias("_n"))
-    return counts.agg(F.max("_n")).first()[0] or 0
+from parley.operators.sequence import BLOCK_ROWS, Names, join_on, running_sum
 
 
 def quantiles(
-    df: DataFrame,
-    by: Names,
-    value: str,
-    wanted: dict[str, float],
-    distinct: int | None = None,
-    limit: int = DISTINCT_VALUES,
+    df: DataFrame, by: Names, value: str, wanted: dict[str, float], limit: int = BLOCK_ROWS
 ) -> DataFrame:
     """One row per group with a column per entry of ``wanted``; nulls ignored."""
-    return aggregate_with_quantiles(df, by, value, {}, wanted, distinct, limit)
+    return aggregate_with_quantiles(df, by, value, {}, wanted, limit)
 
 
 def aggregate_with_quantiles(
@@ -41,25 +27,16 @@ def aggregate_with_quantiles(
     value: str,
     others: dict[str, Column],
     wanted: dict[str, float],
-    distinct: int | None = None,
-    limit: int = DISTINCT_VALUES,
+    limit: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Quantiles beside other aggregates of the rows whose value is not null."""
     # Without groups there is one row either way, and aggregates skip nulls.
     present = df.filter(F.col(value).isNotNull()) if by else df
-    distinct = most_distinct(present, by, value) if distinct is None else distinct
-    aggregates = [c.alias(name) for name, c in others.items()]
-    if distinct <= limit:
-        levels = F.array(*[F.lit(float(p)) for p in wanted.values()])
-        found = present.groupBy(*by).agg(*aggregates, F.percentile(value, levels).alias("_q"))
-        picked = [F.element_at("_q", i + 1).alias(name) for i, name in enumerate(wanted)]
-        return found.select(*by, *others, *picked)
-
     values = present.select(*by, F.col(value).cast("double").alias("_x"))
     found = _by_rank(values.filter(F.col("_x").isNotNull()), by, wanted, limit)
     if not others:
         return found
-    simple = present.groupBy(*by).agg(*aggregates)
+    simple = present.groupBy(*by).agg(*[c.alias(name) for name, c in others.items()])
     if by:
         return join_on(simple, found, by)
     row = found.select(F.struct(*wanted)).scalar()
@@ -68,8 +45,10 @@ def aggregate_with_quantiles(
 
 def _by_rank(values: DataFrame, by: Names, wanted: dict[str, float], limit: int) -> DataFrame:
     counts = values.groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_n"))
-    ranked = running_sum(counts, by, ["_x"], F.col("_n"), "_below", limit=limit)
-    totals = counts.groupBy(*by).agg(F.sum("_n").alias("_total"))
+    # A value a row here, so the groups' distinct values make them long.
+    sized = counts.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = running_sum(counts, by, ["_x"], F.col("_n"), "_below", limit, sized)
+    totals = values.groupBy(*by).agg(F.count(F.lit(1)).alias("_total"))
     if by:
         located = join_on(ranked, totals, by)
     else:

@@ -1,9 +1,14 @@
 """Ordered work within a key, when one key may hold a large part of all rows.
 
-Positions and running sums are exact numbers, so how they are found does not
-change them: by an ordinary window where no key has more rows than a limit, and
-else by ranges of key and order that many tasks share. One counting job
-(``largest_group``) decides; a caller who knows the answer passes ``largest``.
+There is one plan, whatever the lengths of the keys, and building it runs no job.
+Keys with many rows are cut into blocks, ranges of their order. The borders of
+the blocks are rows chosen by a hash, so every part of the plan finds the same
+ones. Their number is bounded: a block has at least ``BLOCK_ROWS`` rows and, on
+average, at least one in ``MOST_BLOCKS`` of all rows. So the tables of borders and
+of what crosses them are broadcast, and rows are shuffled once, by key and block.
+Where no key is long these tables are empty, and adaptive execution takes their
+joins out.
+
 Sequential work is cut into chunks whose borders depend on the position within
 the key alone, so a key's results are the same, bit for bit, whatever other keys
 there are.
@@ -18,23 +23,20 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from parley.session import pinned
-
-# Rows of one key that one task may sort and stream through a window.
-WINDOW_ROWS = 1_000_000
+# Least rows of a block on average, and the most blocks of a table on average.
+BLOCK_ROWS = 1 << 16
+MOST_BLOCKS = 4096
+# Borders are searched in groups of this size.
+SEARCHED = 64
 # Rows of a chunk, which is one array. A key of one chunk has no summaries to
 # compose, and chunk n starts from the same state in every plan.
 FOLD_ROWS = 256
+# Levels of chunks of chunks below the summaries of a whole key.
+FOLD_LEVELS = 2
 
 Names = list[str]
 
 
-def largest_group(df: DataFrame, keys: Names) -> int:
-    """Rows of the largest key: a partial count per task, one number out."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return counts.agg(F.max("_n")).first()[0] or 0
-
-
 def join_on(
     left: DataFrame, right: DataFrame, keys: Names, how: str = "inner"
 ) -> DataFrame:
@@ -50,58 +52,87 @@ def _columns(names: Iterable[str | Column]) -> list[Column]:
     return [F.col(n) if isinstance(n, str) else n for n in names]
 
 
+def key_rows(df: DataFrame, keys: Names) -> DataFrame:
+    """Rows of each key, as ``keys, _n``."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+
+
+def _borders(
+    df: DataFrame, keys: Names, order: Column, limit: int, sized: DataFrame | None
+) -> DataFrame:
+    """The first rows of the blocks of long keys: ``keys, _first, _heads``.
+
+    A row of a key with more rows than a block is a border if the hash of its
+    place in the order says so, one in as many as a block has rows. ``_heads``
+    are all borders of a key in order, ``_first`` every 64th of them.
+    """
+    counts = key_rows(df, keys) if sized is None else sized
+    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).scalar()
+    rows = F.greatest(F.lit(limit), F.floor(total / MOST_BLOCKS)).cast("long")
+    long = counts.withColumn("_rows", rows).where("_n > _rows").select(*keys, "_rows")
+    placed = df.select(*keys, order.alias("_o"))
+    chosen = join_on(placed, F.broadcast(long), keys).where(F.pmod(F.xxhash64("_o"), "_rows") == 0)
+    heads = chosen.groupBy(*keys).agg(F.sort_array(F.collect_set("_o")).alias("_heads"))
+    firsts = F.filter("_heads", lambda _, i: i % SEARCHED == 0)
+    return heads.select(*keys, "_heads", firsts.alias("_first"))
+
+
+def _blocked(
+    df: DataFrame,
+    keys: Names,
+    order: list[str | Column],
+    limit: int,
+    sized: DataFrame | None,
+    long_only: bool = False,
+) -> DataFrame:
+    """``df`` with ``_block``: which block of its key a row is in, null in short keys."""
+    place = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(_columns(order))])
+    borders = F.broadcast(_borders(df, keys, place, limit, sized))
+    joined = join_on(df.withColumn("_o", place), borders, keys, "inner" if long_only else "left")
+
+    def reached(heads: Column) -> Column:
+        return F.size(F.filter(heads, lambda h: h <= F.col("_o")))
+
+    group = F.greatest(reached(F.col("_first")) - 1, F.lit(0)) * SEARCHED
+    block = group + reached(F.slice("_heads", group + 1, F.lit(SEARCHED)))
+    found = F.when(F.col("_heads").isNotNull(), block)
+    return joined.withColumn("_block", found).drop("_o", "_first", "_heads")
+
+
 def running_sum(
     df: DataFrame,
     keys: Names,
     order: list[str | Column],
     value: Column,
     out: str,
-    largest: int | None = None,
-    limit: int = WINDOW_ROWS,
-    dense: str | None = None,
+    limit: int = BLOCK_ROWS,
+    sized: DataFrame | None = None,
 ) -> DataFrame:
     """Sum of ``value`` over the rows of the key that come before this one.
 
-    Large keys: the rows are range-partitioned by key and order, which spreads
-    one key over many tasks, summed within each partition, and raised by the
-    total of the key's earlier partitions. That table has one row per key and
-    partition. The partitioning is sampled, so it is pinned before it is used
-    twice. Where ``dense`` names a column with 0-based positions, these say
-    which part a row is in, and nothing has to be pinned.
+    Summed within each block, and raised by the total of the key's earlier
+    blocks. ``order`` is ascending. ``sized`` gives the rows of each key (or more)
+    as ``key_rows`` does, where they are cheaper to count elsewhere.
     """
-    largest = largest_group(df, keys) if largest is None else largest
     ordering = _columns(order)
     zero = F.lit(0)
-    if largest <= limit:
-        w = Window.partitionBy(*keys).orderBy(*ordering).rowsBetween(Window.unboundedPreceding, -1)
-        return df.withColumn(out, F.coalesce(F.sum(value).over(w), zero))
-
-    if dense:
-        ranged = df.withColumns({"_part": F.floor(F.col(dense) / limit), "_value": value})
-    else:
-        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        ranged = pinned(
-            df.repartitionByRange(parts, *_columns(keys), *ordering)
-            .withColumn("_part", F.spark_partition_id())
-            .withColumn("_value", value)
-        )
-    within = (
-        Window.partitionBy(*keys, "_part")
-        .orderBy(*ordering)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    earlier = (
-        Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    totals = ranged.groupBy(*keys, "_part").agg(F.sum("_value").alias("_total"))
-    offsets = totals.select(
-        *keys, "_part", F.coalesce(F.sum("_total").over(earlier), zero).alias("_offset")
+    before = (Window.unboundedPreceding, -1)
+    by = [*keys, "_block"]
+    rows = df.withColumn("_value", value)
+    totals = (
+        _blocked(rows, keys, order, limit, sized, long_only=True)
+        .groupBy(*by)
+        .agg(F.sum("_value").alias("_total"))
     )
-    local = ranged.withColumn("_local", F.coalesce(F.sum("_value").over(within), zero))
-    joined = join_on(local, offsets, [*keys, "_part"])
-    return joined.withColumn(out, F.col("_local") + F.col("_offset")).drop(
-        "_part", "_value", "_local", "_offset"
+    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(*before)
+    offsets = totals.select(*by, F.sum("_total").over(earlier).alias("_offset"))
+    within = Window.partitionBy(*by).orderBy(*ordering).rowsBetween(*before)
+    local = _blocked(rows, keys, order, limit, sized).withColumn(
+        "_local", F.coalesce(F.sum("_value").over(within), zero)
     )
+    joined = join_on(local, F.broadcast(offsets), by, "left")
+    raised = F.col("_local") + F.coalesce("_offset", zero)
+    return joined.withColumn(out, raised).drop("_block", "_value", "_local", "_offset")
 
 
 def with_position(
@@ -109,11 +140,11 @@ def with_position(
     keys: Names,
     order: list[str | Column],
     out: str = "_pos",
-    largest: int | None = None,
-    limit: int = WINDOW_ROWS,
+    limit: int = BLOCK_ROWS,
+    sized: DataFrame | None = None,
 ) -> DataFrame:
     """0-based position of the row within its key."""
-    counted = running_sum(df, keys, order, F.lit(1).cast("long"), out, largest, limit)
+    counted = running_sum(df, keys, order, F.lit(1).cast("long"), out, limit, sized)
     return counted.withColumn(out, F.col(out).cast("long"))
 
 
@@ -125,29 +156,21 @@ def framed(
     after: int,
     build: Callable[[WindowSpec], dict[str, Column]],
     position: str | None = None,
-    largest: int | None = None,
-    limit: int = WINDOW_ROWS,
+    limit: int = BLOCK_ROWS,
     dense: str | None = None,
+    sized: DataFrame | None = None,
 ) -> DataFrame:
     """Window columns that look at most ``before`` rows back and ``after`` ahead.
 
-    ``build`` gets the ordered window and returns the columns to add. Large
-    keys: each chunk also gets copies of the rows just outside it, so that all
-    frames are whole inside one chunk, and the copies are dropped afterwards.
-    ``position`` names a column to add with the row's 0-based position;
-    ``dense`` names one that is there already.
+    ``build`` gets the ordered window and returns the columns to add. A key is
+    cut by position; each piece also gets copies of the rows just outside it, so
+    that all frames are whole inside one piece, and the copies are dropped
+    afterwards. ``position`` names a column to add with the row's 0-based
+    position; ``dense`` names one that is there already.
     """
-    largest = largest_group(df, keys) if largest is None else largest
-    if largest <= limit:
-        w = Window.partitionBy(*keys).orderBy(*_columns(order))
-        added = build(w)
-        if position:
-            added = {position: (F.row_number().over(w) - 1).cast("long"), **added}
-        return df.withColumns(added)
-
     pos = dense or position or "_pos"
     size = max(limit, 4 * (before + after + 1))
-    numbered = df if dense else with_position(df, keys, order, pos, largest, limit)
+    numbered = df if dense else with_position(df, keys, order, pos, limit, sized)
     first = F.floor(F.greatest(F.col(pos) - after, F.lit(0)) / size)
     last = F.floor((F.col(pos) + before) / size)
     copied = numbered.withColumn("_chunk", F.explode(F.sequence(first, last)))
@@ -164,61 +187,45 @@ def last_known(
     order: list[str | Column],
     value: Column,
     out: str,
-    largest: int | None = None,
-    limit: int = WINDOW_ROWS,
+    limit: int = BLOCK_ROWS,
+    sized: DataFrame | None = None,
+    backwards: bool = False,
 ) -> DataFrame:
     """The latest non-null ``value`` up to and including this row.
 
-    With the order reversed it is the next one. Large keys: filled inside each
-    chunk, then from the last value of the chunks before.
+    ``backwards`` reads the (ascending) order from its end: the next value
+    instead. Filled inside each block, then from the last value of the blocks
+    before.
     """
-    largest = largest_group(df, keys) if largest is None else largest
-    upto = (Window.unboundedPreceding, Window.currentRow)
-    if largest <= limit:
-        w = Window.partitionBy(*keys).orderBy(*_columns(order)).rowsBetween(*upto)
-        return df.withColumn(out, F.last(value, ignorenulls=True).over(w))
-
-    numbered = with_position(df, keys, order, "_pos", largest, limit)
-    chunked = numbered.withColumns(
-        {"_chunk": F.floor(F.col("_pos") / limit), "_value": value}
-    )
-    by = [*keys, "_chunk"]
-    within = Window.partitionBy(*by).orderBy("_pos").rowsBetween(*upto)
-    earlier = (
-        Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    ends = chunked.groupBy(*by).agg(
-        F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col("_pos"))).alias("_end")
+    by = [*keys, "_block"]
+    place = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(_columns(order))])
+    rows = df.withColumn("_value", value)
+
+    def run(names: Names, ordering: list[Column], end: int) -> WindowSpec:
+        if backwards:
+            ordering = [c.desc() for c in ordering]
+        return Window.partitionBy(*names).orderBy(*ordering).rowsBetween(Window.unboundedPreceding, end)
+
+    known = F.when(F.col("_value").isNotNull(), place)
+    pick = F.min_by if backwards else F.max_by
+    ends = (
+        _blocked(rows, keys, order, limit, sized, long_only=True)
+        .groupBy(*by)
+        .agg(pick("_value", known).alias("_end"))
     )
+    earlier = run(keys, [F.col("_block")], -1)
     carried = ends.select(*by, F.last("_end", ignorenulls=True).over(earlier).alias("_carried"))
-    local = chunked.withColumn("_local", F.last("_value", ignorenulls=True).over(within))
+    within = run(by, _columns(order), Window.currentRow)
+    local = _blocked(rows, keys, order, limit, sized).withColumn(
+        "_local", F.last("_value", ignorenulls=True).over(within)
+    )
     return (
-        join_on(local, carried, by)
+        join_on(local, F.broadcast(carried), by, "left")
         .withColumn(out, F.coalesce("_local", "_carried"))
-        .drop("_pos", "_chunk", "_value", "_local", "_carried")
+        .drop("_block", "_value", "_local", "_carried")
     )
 
 
-def short_fold(
-    df: DataFrame,
-    keys: Names,
-    order: Names,
-    values: Names,
-    initial: Column,
-    step: Callable[[Column, Column], Column],
-    before: str = "_before",
-    after: str = "_after",
-) -> DataFrame:
-    """Run ``step(state, row)`` over each key's rows, one array per key.
-
-    Only for keys known to be short. Returns keys, order, values and the state
-    before and after each row. ``order`` must identify a row within its key.
-    """
-    row = F.struct(*order, *values)
-    rows = df.groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("_rows"))
-    return _unroll(rows.withColumn("_start", initial), keys, step, before, after)
-
-
 @dataclass(frozen=True)
 class Fold:
     """A sequential computation whose chunks can be summarised.
@@ -260,34 +267,41 @@ def fold(
     how: Fold,
     before: str = "_before",
     after: str = "_after",
-    largest: int | None = None,
     limit: int = FOLD_ROWS,
     dense: str | None = None,
+    sized: DataFrame | None = None,
 ) -> DataFrame:
-    """``short_fold`` for keys of any length.
-
-    A key is cut into chunks of ``limit`` rows by position. Each chunk's summary
-    is composed in parallel, the starting state of each chunk follows from the
-    summaries, and then all chunks run from their own start. If no key has a
-    second chunk, that is a short fold. ``dense`` names a column with 0-based
-    positions, if there is one.
+    """Run ``step(state, row)`` over each key's rows, of which there may be any number.
+
+    Returns keys, order, values and the state before and after each row.
+    ``order`` must identify a row within its key. A key is cut into chunks of
+    ``limit`` rows by position. Each chunk's summary is composed in parallel, the
+    starting state of each chunk follows from the summaries, and then all chunks
+    run from their own start. Keys within one chunk need no summary, so they are
+    not in those tables. ``dense`` names a column with 0-based positions, if there
+    is one.
     """
-    largest = largest_group(df, keys) if largest is None else largest
-    if largest <= limit:
-        return short_fold(df, keys, order, values, how.initial, how.step, before, after)
-
-    size = limit
     row = F.struct(*order, *values)
-    numbered = df if dense else with_position(df, keys, order, "_pos", largest)
-    chunked = numbered.withColumn("_chunk", F.floor(F.col(dense or "_pos") / size))
-    by = [*keys, "_chunk"]
-    # Read twice, for the summaries and for the states.
-    rows = pinned(chunked.groupBy(*by).agg(F.sort_array(F.collect_list(row)).alias("_rows")))
+    numbered = df if dense else with_position(df, keys, order, "_pos", sized=sized)
+    # As one value, keys may hold nulls and still join by plain equality, so that
+    # chunks stay where they were gathered.
+    key = F.struct(*keys) if keys else F.struct(F.lit(0).alias("_none"))
+    chunked = numbered.select(
+        key.alias("_key"), F.floor(F.col(dense or "_pos") / limit).alias("_chunk"), row.alias("_row")
+    )
+    by = ["_key", "_chunk"]
+    rows = chunked.groupBy(*by).agg(F.sort_array(F.collect_list("_row")).alias("_rows"))
+    several = (F.col("_chunk") > 0) | (F.size("_rows") >= limit)
     summary = F.aggregate("_rows", how.identity, how.extend).alias("_fn")
     starts = _chunk_starts(
-        rows.select(*by, summary), keys, "_chunk", how, -(-largest // size), size
+        rows.where(several).select(*by, summary), "_chunk", how, limit, FOLD_LEVELS
+    )
+    found = starts.select(*by, F.struct("_start").alias("_found"))
+    begun = rows.join(found, by, "left").withColumn(
+        "_start", F.when(F.col("_found").isNull(), how.initial).otherwise(F.col("_found._start"))
     )
-    return _unroll(join_on(rows, starts, by), by, how.step, before, after).drop("_chunk")
+    done = _unroll(begun, ["_key"], how.step, before, after)
+    return done.select(*[F.col("_key")[k].alias(k) for k in keys], *[c for c in done.columns if c != "_key"])
 
 
 def _unroll(
@@ -313,39 +327,35 @@ def _unroll(
 
 
 def _chunk_starts(
-    summaries: DataFrame, keys: Names, chunk: str, how: Fold, count: int, limit: int
+    summaries: DataFrame, chunk: str, how: Fold, limit: int, levels: int
 ) -> DataFrame:
-    """The state in which each chunk starts: ``keys, chunk, _start``.
+    """The state in which each chunk starts: ``_key, chunk, _start``.
 
-    With at most ``limit`` chunks in a key this is itself a short fold over
-    the summaries; with more, chunks of chunks are summarised first.
+    On each level ``limit`` chunks are summarised together; the last level is
+    one array for each key, of one entry for every ``limit ** (levels + 1)`` rows.
     """
     row = F.struct(F.col(chunk), F.col("_fn"))
 
     def step(state: Column, r: Column) -> Column:
         return how.apply(r["_fn"], state)
 
-    def unrolled(rows: DataFrame, by: Names) -> DataFrame:
-        return _unroll(rows, by, step, "_start", "_end").select(*keys, chunk, "_start")
+    def unrolled(rows: DataFrame) -> DataFrame:
+        return _unroll(rows, ["_key"], step, "_start", "_end").select("_key", chunk, "_start")
 
-    def sorted_rows() -> Column:
-        # Only the chunk number is compared: it is unique within its key.
-        return F.array_sort(
-            F.collect_list(row), lambda a, b: (a[chunk] - b[chunk]).cast("int")
-        ).alias("_rows")
-
-    if count <= limit:
-        rows = summaries.groupBy(*keys).agg(sorted_rows())
-        return unrolled(rows.withColumn("_start", how.initial), keys)
+    # Only the chunk number is compared: it is unique within its key.
+    gathered = F.array_sort(
+        F.collect_list(row), lambda a, b: (a[chunk] - b[chunk]).cast("int")
+    ).alias("_rows")
+    if not levels:
+        rows = summaries.groupBy("_key").agg(gathered)
+        return unrolled(rows.withColumn("_start", how.initial))
 
     parent = f"{chunk}_of"
-    by = [*keys, parent]
+    by = ["_key", parent]
     rows = (
-        summaries.withColumn(parent, F.floor(F.col(chunk) / limit))
-        .groupBy(*by)
-        .agg(sorted_rows())
+        summaries.withColumn(parent, F.floor(F.col(chunk) / limit)).groupBy(*by).agg(gathered)
     )
     composed = F.aggregate("_rows", how.identity, lambda f, r: how.compose(f, r["_fn"]))
     parents = rows.select(*by, composed.alias("_fn"))
-    starts = _chunk_starts(parents, keys, parent, how, -(-count // limit), limit)
-    return unrolled(join_on(rows, starts, by), by)
+    starts = _chunk_starts(parents, parent, how, limit, levels - 1)
+    return unrolled(rows.join(starts, by))

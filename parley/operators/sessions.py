@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions import privacy, text
 from parley.operators.sequence import (
-    FOLD_ROWS,
+    Fold,
     Names,
+    fold,
     framed,
-    largest_group,
+    key_rows,
     last_known,
-    short_fold,
 )
-from parley.session import pinned
 
 # The voices and faces there are; the first is the default.
 VOICES = ["af_bella"]
@@ -191,8 +188,7 @@ def interrupted_turns(
     )
     merged = marked.unionByName(cuts, allowMissingColumns=True)
     # Read backwards, an interrupt comes before a turn that starts with it.
-    order = [F.col("_at").desc(), F.col("_mark").desc()]
-    filled = last_known(merged, keys, order, F.col("_cut"), "_next", **how)
+    filled = last_known(merged, keys, ["_at", "_mark"], F.col("_cut"), "_next", backwards=True, **how)
     hit = F.coalesce(F.col("_next") <= F.col(end), F.lit(False))
     rows = filled.filter(F.col("_mark") == 0)
     return rows.filter(hit if interrupted else ~hit).select(*turns.columns)
@@ -218,7 +214,6 @@ def utterance_sessions(
     ts: str,
     gap_seconds: float,
     max_seconds: float | None = None,
-    largest: int | None = None,
     **window: int,
 ) -> DataFrame:
     """Voiced frames grouped into utterances that end with a silence.
@@ -226,7 +221,7 @@ def utterance_sessions(
     A frame ``gap_seconds`` or more after the one before starts an utterance;
     ``max_seconds`` cuts long ones into pieces of that length from their start.
     """
-    largest = largest_group(df, keys) if largest is None else largest
+    sized = key_rows(df, keys)
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
     frames = df.select(*keys, ts, micros.alias("_us"))
     since = framed(
@@ -236,12 +231,12 @@ def utterance_sessions(
         1,
         0,
         lambda w: {"_since": F.col("_us") - F.lag("_us").over(w)},
-        largest=largest,
+        sized=sized,
         **window,
     )
     opens = F.col("_since").isNull() | (F.col("_since") >= int(gap_seconds * 1_000_000))
     started = last_known(
-        since, keys, [ts], F.when(opens, F.col("_us")), "_start", largest, **window
+        since, keys, [ts], F.when(opens, F.col("_us")), "_start", sized=sized, **window
     )
     piece = F.lit(0)
     if max_seconds is not None:
@@ -257,108 +252,74 @@ def utterance_sessions(
     )
 
 
+# Before any time in microseconds.
+NEVER = -(1 << 62)
+
+
+def throttle(interval: int, us: str) -> Fold:
+    """The time of the last emitted row, before and after a row.
+
+    A run of rows is summarised by ``pieces``: a last emission up to ``hi`` (and
+    after the piece before) leads to ``exit``, a later one than all pieces stays.
+    Only those up to the run's ``first`` time can be met, so there are no more
+    pieces than rows in the first interval, and pieces of one exit that follow
+    each other are one.
+    """
+    kind = "struct<first:bigint,pieces:array<struct<hi:bigint,exit:bigint>>>"
+
+    def summary(first: Column, pieces: Column) -> Column:
+        following = lambda i: F.get(pieces, i + 1)["exit"]
+        joined = F.filter(pieces, lambda p, i: ~following(i).eqNullSafe(p["exit"]))
+        return F.struct(first.alias("first"), joined.alias("pieces")).cast(kind)
+
+    def highest(pieces: Column) -> Column:
+        return F.coalesce(F.get(pieces, F.size(pieces) - 1)["hi"], F.lit(NEVER))
+
+    def apply(f: Column, last: Column) -> Column:
+        return F.coalesce(F.get(F.filter(f["pieces"], lambda p: p["hi"] >= last), F.lit(0))["exit"], last)
+
+    def step(last: Column, row: Column) -> Column:
+        return F.when(row[us] - last >= interval, row[us]).otherwise(last)
+
+    def piece(hi: Column, exit_: Column) -> Column:
+        return F.struct(hi.alias("hi"), exit_.alias("exit"))
+
+    def extend(f: Column, row: Column) -> Column:
+        first = F.coalesce(f["first"], row[us])
+        low, high = highest(f["pieces"]), row[us] - interval
+        moved = F.transform(f["pieces"], lambda p: piece(p["hi"], step(p["exit"], row)))
+        new = F.filter(F.array(piece(high, row[us])), lambda p: (low < p["hi"]) & (low < first))
+        return summary(first, F.concat(moved, new))
+
+    def compose(f: Column, g: Column) -> Column:
+        first = F.coalesce(f["first"], g["first"])
+        low = highest(f["pieces"])
+        moved = F.transform(f["pieces"], lambda p: piece(p["hi"], apply(g, p["exit"])))
+
+        def begin(i: Column) -> Column:
+            return F.greatest(low, F.coalesce(F.get(g["pieces"], i - 1)["hi"], F.lit(NEVER)))
+
+        rest = F.filter(g["pieces"], lambda p, i: (p["hi"] > low) & (begin(i) < first))
+        return summary(first, F.concat(moved, rest))
+
+    nothing = F.struct(F.lit(None).cast("long").alias("first"), F.array().alias("pieces")).cast(kind)
+    return Fold(F.lit(NEVER), step, nothing, extend, compose, apply)
+
+
 def throttle_emit(
-    df: DataFrame,
-    keys: Names,
-    ts: str,
-    tie: str,
-    interval_seconds: float,
-    largest: int | None = None,
-    limit: int = FOLD_ROWS,
-    **window: int,
+    df: DataFrame, keys: Names, ts: str, tie: str, interval_seconds: float, **how: int
 ) -> DataFrame:
     """Rows at least an interval after the last emitted row; the first always is.
 
     ``(ts, tie)`` identifies a row within its key.
     """
-    largest = largest_group(df, keys) if largest is None else largest
     interval = int(interval_seconds * 1_000_000)
     rows = df.select(*keys, F.unix_micros(F.col(ts).cast("timestamp")).alias("_us"), tie)
-    if largest <= limit:
-
-        def due(last: Column, now: Column) -> Column:
-            return last.isNull() | (now - last >= interval)
-
-        states = short_fold(
-            rows,
-            keys,
-            ["_us", tie],
-            [],
-            F.lit(None).cast("long"),
-            lambda last, r: F.when(due(last, r["_us"]), r["_us"]).otherwise(last),
-        )
-        emitted = states.filter(due(F.col("_before"), F.col("_us")))
-    else:
-        emitted = _throttle_by_jumps(rows, keys, tie, interval, largest, **window)
+    states = fold(rows, keys, ["_us", tie], [], throttle(interval, "_us"), **how)
     back = F.timestamp_micros("_us")
     if dict(df.dtypes)[ts] == "timestamp_ntz":
         back = back.cast("timestamp_ntz")
-    return emitted.select(*keys, tie, back.alias(ts))
-
-
-def _throttle_by_jumps(
-    rows: DataFrame, keys: Names, tie: str, interval: int, largest: int, **window: int
-) -> DataFrame:
-    """The emitted rows of keys of any length, without walking along a key.
-
-    Each row points to the row that would be emitted after it. A row that
-    follows a pause of an interval is emitted whatever went before; from these
-    rows the pointers are followed, with pointers that double their reach in
-    each round. Rows meet by their own identity, so no key is hot, and the
-    number of rounds is the logarithm of the longest chain.
-    """
-    row = [*keys, "_us", tie]
-    here = F.struct("_us", tie)
-    since = framed(
-        rows,
-        keys,
-        ["_us", tie],
-        1,
-        0,
-        lambda w: {"_since": F.col("_us") - F.lag("_us").over(w)},
-        largest=largest,
-        **window,
-    )
-    opens = F.col("_since").isNull() | (F.col("_since") >= interval)
-    marked = since.select(*row, opens.alias("_opens"))
-
-    # Merged with the rows, each row's due time finds the first row from then on.
-    target = F.struct("_us", tie, "_opens")
-    stops = marked.select(*keys, F.col("_us").alias("_at"), F.lit(1).alias("_stop"), target.alias("_to"))
-    asks = marked.select(
-        *keys, (F.col("_us") + interval).alias("_at"), F.lit(0).alias("_stop"), here.alias("_row")
-    )
-    merged = stops.unionByName(asks, allowMissingColumns=True)
-    order = [F.col("_at").desc(), F.col("_stop").desc(), F.col(f"_to.{tie}").desc()]
-    found = last_known(merged, keys, order, F.col("_to"), "_next", 2 * largest, **window)
-    step = found.filter("_stop = 0 AND NOT _next._opens").select(
-        *keys,
-        F.col("_row._us").alias("_us"),
-        F.col(f"_row.{tie}").alias(tie),
-        F.col("_next._us").alias("_us2"),
-        F.col(f"_next.{tie}").alias(f"{tie}2"),
-    )
-
-    def follow(from_rows: DataFrame, jumps: DataFrame, at: dict[str, str]) -> DataFrame:
-        """``from_rows`` with the columns ``at`` moved along ``jumps``."""
-        away = jumps.withColumnsRenamed({"_us2": "_us3", f"{tie}2": f"{tie}3"})
-        away = away.withColumnsRenamed({k: f"_j_{k}" for k in row})
-        on = [F.col(at.get(k, k)).eqNullSafe(F.col(f"_j_{k}")) for k in row]
-        kept = [c for c in from_rows.columns if c not in at.values()]
-        return from_rows.join(away, on, "inner").select(
-            *kept, F.col("_us3").alias(at["_us"]), F.col(f"{tie}3").alias(at[tie])
-        )
-
-    reached = [marked.filter("_opens").select(*row)]
-    frontier, jumps = reached[0], pinned(step)
-    while True:
-        frontier = pinned(follow(frontier, jumps, {"_us": "_us", tie: tie}).select(*row))
-        if frontier.isEmpty():
-            break
-        reached.append(frontier)
-        frontier = reduce(DataFrame.unionByName, reached)
-        jumps = pinned(follow(jumps, jumps, {"_us": "_us2", tie: f"{tie}2"}))
-    return reduce(DataFrame.unionByName, reached)
+    return states.filter(F.col("_us") - F.col("_before") >= interval).select(*keys, tie, back.alias(ts))
 
 
 # -- stored sessions -------------------------------------------------------

@@ -11,7 +11,7 @@ from parley.operators.sequence import (
     Names,
     fold,
     framed,
-    largest_group,
+    key_rows,
     last_known,
     running_sum,
     table_fold,
@@ -155,7 +155,7 @@ def viseme_timeline(
     phoneme: str,
     duration: str,
     frame_rate: int = FRAME_RATE,
-    largest: int | None = None,
+    sized: DataFrame | None = None,
     **window: int,
 ) -> DataFrame:
     """Start and duration of each visible phoneme.
@@ -164,15 +164,15 @@ def viseme_timeline(
     phoneme. A viseme starts 10 ms early and lasts 10 ms longer; a length mark
     stretches the viseme before it to the mark's own end.
     """
-    largest = largest_group(df, keys) if largest is None else largest
+    sized = key_rows(df, keys) if sized is None else sized
     timed = cumulative_timeline(
         df.select(*keys, index, phoneme, duration), keys, [index], duration, frame_rate,
-        largest=largest, **window,
+        sized=sized, **window,
     )
     timed = with_viseme(timed, phoneme)
     shown = F.col("viseme").isNotNull()
     owned = last_known(
-        timed, keys, [index], F.when(shown, F.col(index)), "_owner", largest, **window
+        timed, keys, [index], F.when(shown, F.col(index)), "_owner", sized=sized, **window
     )
     marks = F.col("_owner").isNotNull() & (shown | (F.col(phoneme) == LENGTH_MARK))
     late_end = F.col("end_ms") + LATE_MS
@@ -265,7 +265,6 @@ def token_codes(
     keys: Names,
     order: Names,
     number: str,
-    largest: int | None = None,
     limit: int = FOLD_ROWS,
 ) -> DataFrame:
     """Audio codes out of token numbers; what is not a positive code is dropped.
@@ -287,7 +286,6 @@ def token_codes(
         [number],
         table_fold(0, FRAME_CODES, moved),
         before="place",
-        largest=largest,
         limit=limit,
     )
     coded = rows.withColumn("code", code(F.col("place"), F.col(number)))

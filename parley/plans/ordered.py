@@ -464,15 +464,16 @@ SELECT conv_id, turn, CAST(i AS INTEGER) AS i, viseme, CAST(greatest(start, 0) A
          AS vduration FROM grouped"""
 
 
-def longest_turn(spark: SparkSession, sf: str) -> int:
-    """Rows of the longest utterance, without making them."""
-    return fx.table(spark, sf, "conversations").agg(F.max(F.length("text"))).first()[0] + 2
+def utterance_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of each utterance, without making them."""
+    turns = fx.table(spark, sf, "conversations").groupBy(*UTTERANCE)
+    return turns.agg(F.sum(F.length("text") + 2).alias("_n"))
 
 
 @query("viseme_timeline", VISEME_SQL)
 def viseme_timeline(spark: SparkSession, sf: str) -> DataFrame:
     return speech.viseme_timeline(
-        phonemes(spark, sf), UTTERANCE, "i", "phoneme", "duration", largest=longest_turn(spark, sf)
+        phonemes(spark, sf), UTTERANCE, "i", "phoneme", "duration", sized=utterance_rows(spark, sf)
     )
 
 
@@ -504,7 +505,7 @@ def viseme_timeline_split_utterances(spark: SparkSession, sf: str) -> DataFrame:
 )
 def word_timeline(spark: SparkSession, sf: str) -> DataFrame:
     timed = speech.cumulative_timeline(
-        phonemes(spark, sf), UTTERANCE, ["i"], "duration", largest=longest_turn(spark, sf)
+        phonemes(spark, sf), UTTERANCE, ["i"], "duration", sized=utterance_rows(spark, sf)
     )
     turns = fx.table(spark, sf, "conversations").withColumn("phonemes", F.length("text"))
     spans = speech.word_boundaries(turns, UTTERANCE, "text", "phonemes")
