@@ -19,6 +19,7 @@ from parley.operators.sequence import (
     table_fold,
     with_position,
 )
+from parley.session import pinned
 
 # Smoothing, window, warm-up and hysteresis.
 KEEP, TAKE = 0.85, 0.15
@@ -161,7 +162,8 @@ def response_mode(
     limit: int = FOLD_ROWS,
 ) -> DataFrame:
     """Turn number, smoothed latency, p80 and the mode after each turn."""
-    numbered = with_position(df, keys, order, "_turn")
+    # Narrow rows, stored because both folds and the window read their places.
+    numbered = pinned(with_position(df.select(*keys, *order, latency), keys, order, "_turn"))
     smooth = ewma_latency(numbered, keys, order, latency, target, limit, "_turn")
     scored = rolling_p80(smooth, keys, order, latency, position="_at", dense="_turn")
     signal = F.greatest("ewma", "p80")

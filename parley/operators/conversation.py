@@ -17,6 +17,7 @@ from parley.operators.sequence import (
     running_sum,
     with_position,
 )
+from parley.session import pinned
 
 TOPIC_WORDS = 50
 CONTEXT_TURNS = 2
@@ -191,15 +192,19 @@ def topic_segments(
     """
     if advance not in ("length", "end"):
         raise ValueError(f"advance must be 'length' or 'end', not {advance!r}")
-    sized = key_rows(df, [conv])
-    counted = df.select(conv, turn, text.word_count(F.col(message)).alias("_words"))
-    numbered = with_position(counted, [conv], [turn], "end_pos", sized=sized, **window)
+    # Counts of words are costly and positions are read often, so narrow tables of
+    # whole numbers are stored on the way.
+    counted = pinned(df.select(conv, turn, text.word_count(F.col(message)).alias("_words")))
+    sized = key_rows(counted, [conv])
+    numbered = pinned(with_position(counted, [conv], [turn], "end_pos", sized=sized, **window))
     placed = suffix_starts(numbered, conv, "end_pos", "_words", min_words, sized, **window)
-    measured = placed.select(
-        conv,
-        "end_pos",
-        F.col("_from").alias("start_pos"),
-        (F.col("end_pos") - F.col("_from") + 1).cast("long").alias("_length"),
+    measured = pinned(
+        placed.select(
+            conv,
+            "end_pos",
+            F.col("_from").alias("start_pos"),
+            (F.col("end_pos") - F.col("_from") + 1).cast("long").alias("_length"),
+        )
     )
     lags = fold(
         measured,

@@ -89,6 +89,11 @@ def component_summary(df: DataFrame, by: str = "component", value: str = "latenc
     return table.select(by, "mean", "median", "std", "max").orderBy(F.desc("mean"), by)
 
 
+def sorted_means(df: DataFrame, by: str = "component", value: str = "latency_ms") -> DataFrame:
+    """The mean of every component, slowest first."""
+    return df.groupBy(by).agg(F.avg(value).alias("mean")).orderBy(F.desc("mean"), by)
+
+
 def bottleneck(
     df: DataFrame, by: str = "component", value: str = "latency_ms", include_total: bool = True
 ) -> DataFrame:
@@ -98,8 +103,7 @@ def bottleneck(
     out to find the slowest stage.
     """
     rows = df if include_total else df.filter(F.col(by) != TOTAL)
-    means = rows.groupBy(by).agg(F.avg(value).alias("mean"))
-    return means.orderBy(F.desc("mean"), by).limit(1)
+    return sorted_means(rows, by, value).limit(1)
 
 
 def distinct_components(df: DataFrame, by: str = "component") -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.operators.sequence import BLOCK_ROWS, Names, join_on, running_sum
+from parley.session import pinned
 
 
 def quantiles(
@@ -44,11 +45,12 @@ def aggregate_with_quantiles(
 
 
 def _by_rank(values: DataFrame, by: Names, wanted: dict[str, float], limit: int) -> DataFrame:
-    counts = values.groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_n"))
+    # One row per value of a group; stored, as its blocks and its sums all read it.
+    counts = pinned(values.groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_n")))
     # A value a row here, so the groups' distinct values make them long.
     sized = counts.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     ranked = running_sum(counts, by, ["_x"], F.col("_n"), "_below", limit, sized)
-    totals = values.groupBy(*by).agg(F.count(F.lit(1)).alias("_total"))
+    totals = counts.groupBy(*by).agg(F.sum("_n").alias("_total"))
     if by:
         located = join_on(ranked, totals, by)
     else:

@@ -3,11 +3,11 @@
 There is one plan, whatever the lengths of the keys, and building it runs no job.
 Keys with many rows are cut into blocks, ranges of their order. The borders of
 the blocks are rows chosen by a hash, so every part of the plan finds the same
-ones. Their number is bounded: a block has at least ``BLOCK_ROWS`` rows and, on
-average, at least one in ``MOST_BLOCKS`` of all rows. So the tables of borders and
-of what crosses them are broadcast, and rows are shuffled once, by key and block.
-Where no key is long these tables are empty, and adaptive execution takes their
-joins out.
+ones. A block has on average at least ``BLOCK_ROWS`` rows, and a key at most
+``MOST_BLOCKS`` blocks, so the tables of borders and of what crosses them have at
+most one row for ``BLOCK_ROWS`` rows (of 10**12 rows a million, some 50 MB) and are
+broadcast; rows are shuffled once, by key and block. Where no key is long these
+tables are empty, and adaptive execution takes their joins out.
 
 Sequential work is cut into chunks whose borders depend on the position within
 the key alone, so a key's results are the same, bit for bit, whatever other keys
@@ -23,16 +23,17 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-# Least rows of a block on average, and the most blocks of a table on average.
-BLOCK_ROWS = 1 << 16
+# Least rows of a block, and the most blocks of a key, both on average.
+BLOCK_ROWS = 1 << 20
 MOST_BLOCKS = 4096
 # Borders are searched in groups of this size.
 SEARCHED = 64
 # Rows of a chunk, which is one array. A key of one chunk has no summaries to
 # compose, and chunk n starts from the same state in every plan.
 FOLD_ROWS = 256
-# Levels of chunks of chunks below the summaries of a whole key.
-FOLD_LEVELS = 2
+# Levels of chunks of chunks below the summaries of a whole key, and how many more
+# chunks are summarised together than a chunk has rows.
+FOLD_LEVELS, WIDER = 1, 4
 
 Names = list[str]
 
@@ -57,46 +58,56 @@ def key_rows(df: DataFrame, keys: Names) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
 
 
-def _borders(
-    df: DataFrame, keys: Names, order: Column, limit: int, sized: DataFrame | None
-) -> DataFrame:
-    """The first rows of the blocks of long keys: ``keys, _first, _heads``.
+def _same(keys: Names) -> Column:
+    """That keys equal those of a table whose keys are called ``_r_…``; null equals null."""
+    return reduce(
+        lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys], F.lit(True)
+    )
+
+
+def _renamed(keys: Names) -> list[Column]:
+    return [F.col(k).alias(f"_r_{k}") for k in keys]
+
+
+@dataclass(frozen=True)
+class _Blocks:
+    """The blocks of a table: a broadcast table of borders, and how a row finds its block."""
+
+    borders: DataFrame
+    on: Column
+    number: Column
+
+
+def _blocks(
+    df: DataFrame, keys: Names, order: list[str | Column], limit: int, sized: DataFrame | None
+) -> _Blocks:
+    """Borders of the blocks of long keys: their keys (``_r_…``), ``_heads`` and ``_first``.
 
     A row of a key with more rows than a block is a border if the hash of its
     place in the order says so, one in as many as a block has rows. ``_heads``
-    are all borders of a key in order, ``_first`` every 64th of them.
+    are all borders of a key in order, ``_first`` every 64th of them. The number of
+    a block is null in short keys.
     """
-    counts = key_rows(df, keys) if sized is None else sized
-    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).scalar()
-    rows = F.greatest(F.lit(limit), F.floor(total / MOST_BLOCKS)).cast("long")
-    long = counts.withColumn("_rows", rows).where("_n > _rows").select(*keys, "_rows")
-    placed = df.select(*keys, order.alias("_o"))
-    chosen = join_on(placed, F.broadcast(long), keys).where(F.pmod(F.xxhash64("_o"), "_rows") == 0)
-    heads = chosen.groupBy(*keys).agg(F.sort_array(F.collect_set("_o")).alias("_heads"))
-    firsts = F.filter("_heads", lambda _, i: i % SEARCHED == 0)
-    return heads.select(*keys, "_heads", firsts.alias("_first"))
-
-
-def _blocked(
-    df: DataFrame,
-    keys: Names,
-    order: list[str | Column],
-    limit: int,
-    sized: DataFrame | None,
-    long_only: bool = False,
-) -> DataFrame:
-    """``df`` with ``_block``: which block of its key a row is in, null in short keys."""
     place = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(_columns(order))])
-    borders = F.broadcast(_borders(df, keys, place, limit, sized))
-    joined = join_on(df.withColumn("_o", place), borders, keys, "inner" if long_only else "left")
+    counts = key_rows(df, keys) if sized is None else sized
+    long = counts.where(F.col("_n") > limit).select(*_renamed(keys), F.col("_n").alias("_r_n"))
+    rows = F.greatest(F.lit(limit), F.floor(F.col("_r_n") / MOST_BLOCKS)).cast("long")
+    chosen = df.select(*keys, place.alias("_o")).join(
+        F.broadcast(long), _same(keys) & (F.pmod(F.xxhash64("_o"), rows) == 0)
+    )
+    heads = F.sort_array(F.collect_set("_o"))
+    borders = chosen.groupBy(*[f"_r_{k}" for k in keys]).agg(
+        heads.alias("_heads"), F.filter(heads, lambda _, i: i % SEARCHED == 0).alias("_first")
+    )
+    # Without keys there is a row of borders even where there are none.
+    some = borders if keys else borders.where(F.size("_heads") > 0)
 
-    def reached(heads: Column) -> Column:
-        return F.size(F.filter(heads, lambda h: h <= F.col("_o")))
+    def reached(of: Column) -> Column:
+        return F.size(F.filter(of, lambda h: h <= place))
 
     group = F.greatest(reached(F.col("_first")) - 1, F.lit(0)) * SEARCHED
-    block = group + reached(F.slice("_heads", group + 1, F.lit(SEARCHED)))
-    found = F.when(F.col("_heads").isNotNull(), block)
-    return joined.withColumn("_block", found).drop("_o", "_first", "_heads")
+    number = group + reached(F.slice("_heads", group + 1, F.lit(SEARCHED)))
+    return _Blocks(F.broadcast(some), _same(keys), F.when(F.col("_heads").isNotNull(), number))
 
 
 def running_sum(
@@ -114,25 +125,26 @@ def running_sum(
     blocks. ``order`` is ascending. ``sized`` gives the rows of each key (or more)
     as ``key_rows`` does, where they are cheaper to count elsewhere.
     """
-    ordering = _columns(order)
-    zero = F.lit(0)
     before = (Window.unboundedPreceding, -1)
-    by = [*keys, "_block"]
-    rows = df.withColumn("_value", value)
+    blocks = _blocks(df, keys, order, limit, sized)
     totals = (
-        _blocked(rows, keys, order, limit, sized, long_only=True)
-        .groupBy(*by)
-        .agg(F.sum("_value").alias("_total"))
+        df.join(blocks.borders, blocks.on)
+        .groupBy(*[f"_r_{k}" for k in keys], blocks.number.alias("_r__block"))
+        .agg(F.sum(value).alias("_total"))
     )
-    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(*before)
-    offsets = totals.select(*by, F.sum("_total").over(earlier).alias("_offset"))
-    within = Window.partitionBy(*by).orderBy(*ordering).rowsBetween(*before)
-    local = _blocked(rows, keys, order, limit, sized).withColumn(
-        "_local", F.coalesce(F.sum("_value").over(within), zero)
+    earlier = Window.partitionBy(*[f"_r_{k}" for k in keys]).orderBy("_r__block").rowsBetween(*before)
+    offsets = totals.select(
+        *[f"_r_{k}" for k in keys], "_r__block", F.sum("_total").over(earlier).alias("_offset")
     )
-    joined = join_on(local, F.broadcast(offsets), by, "left")
-    raised = F.col("_local") + F.coalesce("_offset", zero)
-    return joined.withColumn(out, raised).drop("_block", "_value", "_local", "_offset")
+    by = [*keys, "_block"]
+    within = Window.partitionBy(*by).orderBy(*_columns(order)).rowsBetween(*before)
+    rows = df.join(blocks.borders, blocks.on, "left").select(
+        *df.columns, blocks.number.alias("_block"), value.alias("_value")
+    )
+    local = rows.select(*df.columns, "_block", F.coalesce(F.sum("_value").over(within), F.lit(0)).alias("_local"))
+    raised = F.col("_local") + F.coalesce("_offset", F.lit(0))
+    kept = [c for c in df.columns if c != out]
+    return local.join(F.broadcast(offsets), _same(by), "left").select(*kept, raised.alias(out))
 
 
 def with_position(
@@ -144,8 +156,7 @@ def with_position(
     sized: DataFrame | None = None,
 ) -> DataFrame:
     """0-based position of the row within its key."""
-    counted = running_sum(df, keys, order, F.lit(1).cast("long"), out, limit, sized)
-    return counted.withColumn(out, F.col(out).cast("long"))
+    return running_sum(df, keys, order, F.lit(1).cast("long"), out, limit, sized)
 
 
 def framed(
@@ -197,32 +208,33 @@ def last_known(
     instead. Filled inside each block, then from the last value of the blocks
     before.
     """
-    by = [*keys, "_block"]
     place = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(_columns(order))])
-    rows = df.withColumn("_value", value)
+    upto = Window.unboundedPreceding
+    blocks = _blocks(df, keys, order, limit, sized)
 
     def run(names: Names, ordering: list[Column], end: int) -> WindowSpec:
         if backwards:
             ordering = [c.desc() for c in ordering]
-        return Window.partitionBy(*names).orderBy(*ordering).rowsBetween(Window.unboundedPreceding, end)
+        return Window.partitionBy(*names).orderBy(*ordering).rowsBetween(upto, end)
 
-    known = F.when(F.col("_value").isNotNull(), place)
     pick = F.min_by if backwards else F.max_by
+    others = [f"_r_{k}" for k in keys]
     ends = (
-        _blocked(rows, keys, order, limit, sized, long_only=True)
-        .groupBy(*by)
-        .agg(pick("_value", known).alias("_end"))
+        df.join(blocks.borders, blocks.on)
+        .groupBy(*others, blocks.number.alias("_r__block"))
+        .agg(pick(value, F.when(value.isNotNull(), place)).alias("_end"))
     )
-    earlier = run(keys, [F.col("_block")], -1)
-    carried = ends.select(*by, F.last("_end", ignorenulls=True).over(earlier).alias("_carried"))
-    within = run(by, _columns(order), Window.currentRow)
-    local = _blocked(rows, keys, order, limit, sized).withColumn(
-        "_local", F.last("_value", ignorenulls=True).over(within)
+    earlier = run(others, [F.col("_r__block")], -1)
+    carried = ends.select(*others, "_r__block", F.last("_end", ignorenulls=True).over(earlier).alias("_carried"))
+    by = [*keys, "_block"]
+    rows = df.join(blocks.borders, blocks.on, "left").select(
+        *df.columns, blocks.number.alias("_block"), value.alias("_value")
     )
-    return (
-        join_on(local, F.broadcast(carried), by, "left")
-        .withColumn(out, F.coalesce("_local", "_carried"))
-        .drop("_block", "_value", "_local", "_carried")
+    within = run(by, _columns(order), Window.currentRow)
+    local = rows.select(*df.columns, "_block", F.last("_value", ignorenulls=True).over(within).alias("_local"))
+    kept = [c for c in df.columns if c != out]
+    return local.join(F.broadcast(carried), _same(by), "left").select(
+        *kept, F.coalesce("_local", "_carried").alias(out)
     )
 
 
@@ -294,7 +306,7 @@ def fold(
     several = (F.col("_chunk") > 0) | (F.size("_rows") >= limit)
     summary = F.aggregate("_rows", how.identity, how.extend).alias("_fn")
     starts = _chunk_starts(
-        rows.where(several).select(*by, summary), "_chunk", how, limit, FOLD_LEVELS
+        rows.where(several).select(*by, summary), "_chunk", how, WIDER * limit, FOLD_LEVELS
     )
     found = starts.select(*by, F.struct("_start").alias("_found"))
     begun = rows.join(found, by, "left").withColumn(
@@ -332,7 +344,7 @@ def _chunk_starts(
     """The state in which each chunk starts: ``_key, chunk, _start``.
 
     On each level ``limit`` chunks are summarised together; the last level is
-    one array for each key, of one entry for every ``limit ** (levels + 1)`` rows.
+    one array for each key, of one entry for every ``limit`` chunks (262,144 rows).
     """
     row = F.struct(F.col(chunk), F.col("_fn"))
 

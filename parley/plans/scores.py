@@ -487,7 +487,7 @@ def component_summary(spark: SparkSession, sf: str) -> DataFrame:
     FROM ({SUMMARY}) ORDER BY mean DESC, component""",
 )
 def sorted_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return fx.rounded(profiling.component_summary(deltas(spark, sf)).select("component", "mean"), 4, "mean")
+    return fx.rounded(profiling.sorted_means(deltas(spark, sf)), 4, "mean")
 
 
 @query(
