@@ -32,8 +32,9 @@ class Encoder:
     find-first-sets away. The queue is empty again after every pre-token.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = REMEMBERED) -> None:
         self.ranks = ranks
+        self.remembered = remembered
         self.find = regex.compile(pattern).findall
         size = max(ranks.values()) + 1
         self.bitmap = [0] * ((size >> LOW) + 1)
@@ -133,22 +134,23 @@ class Encoder:
             if ids is None:
                 ids = tuple(self.merge(piece.encode("utf-8")))
                 if len(piece) <= 64:
-                    if len(memory) >= REMEMBERED:
+                    if len(memory) >= self.remembered:
                         memory.clear()
                     memory[piece] = ids
             out += ids
         return out
 
 
-_encoders: dict[tuple[str, str], Encoder] = {}
+_encoders: dict[tuple[str, str, int], Encoder] = {}
 
 
-def encoder_of(ranks, path: str, pattern: str) -> Encoder:
+def encoder_of(ranks, path: str, pattern: str, remembered: int) -> Encoder:
     """The worker's encoder for a vocabulary, kept between tasks with what it remembers."""
-    if (path, pattern) not in _encoders:
+    key = path, pattern, remembered
+    if key not in _encoders:
         _encoders.clear()
-        _encoders[path, pattern] = Encoder(ranks.value, pattern)
-    return _encoders[path, pattern]
+        _encoders[key] = Encoder(ranks.value, pattern, remembered)
+    return _encoders[key]
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -164,9 +166,12 @@ def encode(
     id_col: str = "doc_id",
     text_col: str = "text",
     with_text: bool = False,
+    remembered: int = REMEMBERED,
 ) -> DataFrame:
     """One row per input row: id and ``ids``, the token ids of the whole text; ``text`` too if asked.
 
+    A worker keeps the ids of up to ``remembered`` pre-tokens; the results don't depend on it.
+
     The vocabulary file is read by the driver and broadcast; its size is that of
     the file (a few MB), whatever the corpus.
 
@@ -181,7 +186,7 @@ def encode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_memory()
-        encoder = encoder_of(ranks, path, pattern)
+        encoder = encoder_of(ranks, path, pattern, remembered)
         for batch in batches:
             texts, at, values, offsets = batch.column(1), 0, [], [0]
             for i in range(len(texts)):

@@ -81,7 +81,8 @@ def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     stays empty. Columns but id and text are not read.
     """
     path, pattern = vocabulary()
-    coded = decode(encode(docs, path, pattern, with_text=True), path)
+    # Encoding and decoding have workers of their own at the same time, so each keeps less.
+    coded = decode(encode(docs, path, pattern, with_text=True, remembered=1 << 17), path)
     whole = F.col("decoded").eqNullSafe(F.coalesce("text", F.lit("")).cast("binary"))
     ids = F.when(whole, F.col("ids")).otherwise(F.raise_error(F.lit("token ids do not decode to their text")))
     return coded.select("doc_id", ids.alias("ids")).select("doc_id", "ids", F.size("ids").alias("n_tokens"))
