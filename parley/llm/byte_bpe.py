@@ -42,6 +42,9 @@ class Encoder:
         self.bits = [1 << i for i in range(max(MASK + 1, len(self.bitmap)))]
         self.pairs = [ranks.get(bytes((i >> 8, i & 255)), -1) for i in range(1 << 16)]
         self.memory: dict[str, tuple[int, ...]] = {}
+        self.tokens = [b""] * size
+        for token, rank in ranks.items():
+            self.tokens[rank] = token
 
     def merge(self, piece: bytes) -> list[int]:
         """Token ids of one pre-token, by about n log n steps.
@@ -141,6 +144,11 @@ class Encoder:
         return out
 
 
+    def gives(self, ids: list[int], text: str) -> bool:
+        """Whether token ids decode to a text."""
+        return b"".join(map(self.tokens.__getitem__, ids)) == text.encode("utf-8")
+
+
 _encoders: dict[tuple[str, str, int], Encoder] = {}
 
 
@@ -165,10 +173,12 @@ def encode(
     pattern: str,
     id_col: str = "doc_id",
     text_col: str = "text",
-    with_text: bool = False,
+    checked: bool = False,
     remembered: int = REMEMBERED,
 ) -> DataFrame:
-    """One row per input row: id and ``ids``, the token ids of the whole text; ``text`` too if asked.
+    """One row per input row: id and ``ids``, the token ids of the whole text.
+
+    With ``checked`` the ids are decoded again, and ``whole`` says if they give the text.
 
     A worker keeps the ids of up to ``remembered`` pre-tokens; the results don't depend on it.
 
@@ -182,28 +192,32 @@ def encode(
     spark = docs.sparkSession
     ranks = spark.sparkContext.broadcast(read_ranks(path))
     kind = dict(docs.dtypes)[id_col]
-    names = ["id", "ids", "text"] if with_text else ["id", "ids"]
+    names = ["id", "ids", "whole"] if checked else ["id", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_memory()
         encoder = encoder_of(ranks, path, pattern, remembered)
         for batch in batches:
-            texts, at, values, offsets = batch.column(1), 0, [], [0]
+            texts, at, values, offsets, whole = batch.column(1), 0, [], [0], []
             for i in range(len(texts)):
-                values += encoder.encode(texts[i].as_py() or "")
+                text = texts[i].as_py() or ""
+                ids = encoder.encode(text)
+                if checked:
+                    whole.append(encoder.gives(ids, text))
+                values += ids
                 offsets.append(len(values))
                 if len(values) > BATCH_IDS or i == len(texts) - 1:
                     lists = pa.ListArray.from_arrays(
                         pa.array(offsets, pa.int32()), pa.array(values, pa.int32())
                     )
                     columns = [batch.column(0).slice(at, len(lists)), lists]
-                    if with_text:
-                        columns.append(texts.slice(at, len(lists)))
+                    if checked:
+                        columns.append(pa.array(whole))
                     yield pa.RecordBatch.from_arrays(columns, names)
-                    at, values, offsets = i + 1, [], [0]
+                    at, values, offsets, whole = i + 1, [], [0], []
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    out = rows.mapInArrow(run, f"id {kind}, ids array<int>" + (", text string" if with_text else ""))
+    out = rows.mapInArrow(run, f"id {kind}, ids array<int>" + (", whole boolean" if checked else ""))
     return out.withColumnRenamed("id", id_col)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm.byte_bpe import decode, encode
+from parley.llm.byte_bpe import encode
 from parley.llm.common import fold_of, numbered
 from parley.llm.exact_dedup import without_copies
 from parley.llm.jaccard_join import near_groups
@@ -81,10 +81,10 @@ def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     stays empty. Columns but id and text are not read.
     """
     path, pattern = vocabulary()
-    # Encoding and decoding have workers of their own at the same time, so each keeps less.
-    coded = decode(encode(docs, path, pattern, with_text=True, remembered=1 << 17), path)
-    whole = F.col("decoded").eqNullSafe(F.coalesce("text", F.lit("")).cast("binary"))
-    ids = F.when(whole, F.col("ids")).otherwise(F.raise_error(F.lit("token ids do not decode to their text")))
+    # One worker encodes and decodes, beside those of earlier stages, so it keeps less.
+    coded = encode(docs, path, pattern, checked=True, remembered=1 << 16)
+    broken = F.raise_error(F.lit("token ids do not decode to their text"))
+    ids = F.when(F.col("whole"), F.col("ids")).otherwise(broken)
     return coded.select("doc_id", ids.alias("ids")).select("doc_id", "ids", F.size("ids").alias("n_tokens"))
 
 

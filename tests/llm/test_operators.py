@@ -476,10 +476,15 @@ def test_stage_decodes(spark, awkward, monkeypatch):
     assert whole.columns == ["doc_id", "ids", "n_tokens"] and len(whole.collect()) == len(ROWS)
     real = stages.encode
     monkeypatch.setattr(
-        stages, "encode", lambda *a, **b: real(*a, **b).withColumn("ids", F.expr("slice(ids, 2, size(ids))"))
+        stages, "encode", lambda *a, **b: real(*a, **b).withColumn("whole", F.col("whole") & (F.size("ids") < 99))
     )
     with pytest.raises(Exception, match="do not decode"):
         stages.encode_texts(spark, awkward, "").collect()
+    path, pattern = vocabulary()
+    coder = Encoder(read_ranks(path), pattern)
+    ids = coder.encode("Été à la plage \U0001f600")
+    assert coder.gives(ids, "Été à la plage \U0001f600") and coder.gives([], "")
+    assert not coder.gives(ids[1:], "Été à la plage \U0001f600") and not coder.gives(ids + [0], "Été à la plage \U0001f600")
 
 
 def test_stages_keep_columns(spark, awkward, empty):
