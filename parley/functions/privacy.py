@@ -3,7 +3,8 @@
 Entities are masked one type at a time in the order of ``ENTITIES``; each
 match becomes ``<ENTITY_TYPE>``, so a later pattern cannot match inside an
 earlier one's replacement. Patterns use no look-around and no Unicode classes.
-Names and places need a model; plug one in with ``operators.models``.
+Names and places need a model; plug one in with ``operators.models`` and mask what
+it found with ``mask_spans``.
 """
 
 from __future__ import annotations
@@ -112,3 +113,88 @@ def _bound(text: Column, entity: str) -> Column:
     The one-element array binds its value, which is used several times.
     """
     return F.transform(F.array(text), lambda t: mask_entity(t, entity))[0]
+
+
+# -- given spans -----------------------------------------------------------
+
+SPANS = "array<struct<start: int, end: int, entity: string>>"
+UNNAMED = "MASKED"
+
+
+def settled_spans(spans: Column, length: Column, best: str = "length") -> Column:
+    """Spans without overlaps, in order, that cover what the given ones cover.
+
+    ``spans`` is an array of ``struct<start, end, entity, score>``; places count
+    characters from 0 and ``end`` is exclusive. The longest span comes first, or
+    with ``best="score"`` the one with the highest score; then the other of the two,
+    the start and the name of the entity decide. A later span keeps what no earlier
+    one covers: nothing if it lies inside one, one end if they overlap, and two
+    pieces if a better span lies inside it. Spans are cut to the text; empty ones and
+    those without a start or an end go. A missing score is 0.
+
+    Each span meets those already kept, so the work grows with the square of the
+    spans of one text.
+    """
+    if best not in ("length", "score"):
+        raise ValueError(f"best is length or score, not {best}")
+
+    def ranked(span: Column) -> Column:
+        start = F.greatest(span["start"].cast("int"), F.lit(0))
+        end = F.least(span["end"].cast("int"), length)
+        ranks = [start - end, -F.coalesce(span["score"].cast("double"), F.lit(0.0))]
+        first, second = ranks if best == "length" else reversed(ranks)
+        return F.struct(
+            first.alias("first"),
+            second.alias("second"),
+            start.alias("start"),
+            end.alias("end"),
+            F.coalesce(span["entity"], F.lit(UNNAMED)).alias("entity"),
+        )
+
+    def uncovered(span: Column, over: Column) -> Column:
+        starts = F.concat(F.array(span["start"]), F.transform(over, lambda k: k["end"]))
+        ends = F.concat(F.transform(over, lambda k: k["start"]), F.array(span["end"]))
+        gaps = F.zip_with(
+            starts,
+            ends,
+            lambda a, b: F.struct(a.alias("start"), b.alias("end"), span["entity"].alias("entity")),
+        )
+        return F.filter(gaps, lambda g: g["start"] < g["end"])
+
+    def add(kept: Column, span: Column) -> Column:
+        over = F.array_sort(
+            F.filter(kept, lambda k: (k["start"] < span["end"]) & (k["end"] > span["start"]))
+        )
+        return F.concat(kept, F.flatten(F.transform(F.array(over), lambda o: uncovered(span, o))))
+
+    given = F.filter(spans, lambda s: s["start"].isNotNull() & s["end"].isNotNull())
+    some = F.filter(F.transform(given, ranked), lambda s: s["start"] < s["end"])
+    return F.array_sort(F.aggregate(F.array_sort(some), F.array().cast(SPANS), add))
+
+
+def mask_spans(text: Column, spans: Column, best: str = "length") -> Column:
+    """``text`` with each settled span (see ``settled_spans``) replaced by its entity.
+
+    The spans come from elsewhere: a model, a list, people. Without spans the text
+    stays; a null text stays null.
+    """
+
+    def rebuilt(given: Column, settled: Column) -> Column:
+        ends = F.concat(F.array(F.lit(0)), F.transform(settled, lambda s: s["end"]))
+        starts = F.concat(F.transform(settled, lambda s: s["start"]), F.array(F.length(given)))
+        between = F.zip_with(ends, starts, lambda a, b: F.substr(given, a + 1, b - a))
+        marks = F.transform(settled, lambda s: F.concat(F.lit("<"), s["entity"], F.lit(">")))
+        pieces = F.zip_with(between, marks, lambda t, m: F.concat(t, F.coalesce(m, F.lit(""))))
+        return F.array_join(pieces, "")
+
+    def masked(pair: Column) -> Column:
+        settled = settled_spans(pair["spans"], F.length(pair["text"]), best)
+        return F.transform(F.array(settled), lambda s: rebuilt(pair["text"], s))[0]
+
+    # One-element arrays bind values that are used several times, as in ``_bound``.
+    pair = F.array(F.struct(text.alias("text"), spans.alias("spans")))
+    given = F.transform(
+        pair,
+        lambda p: F.when(p["text"].isNotNull() & (F.size(p["spans"]) > 0), masked(p)).otherwise(p["text"]),
+    )
+    return given[0]

@@ -9,6 +9,7 @@ from parley.functions import prompts, text
 from parley.operators.sequence import (
     FOLD_ROWS,
     Fold,
+    as_of,
     fold,
     framed,
     join_on,
@@ -255,18 +256,25 @@ def live_prompt(
     conv: str = "conv_id",
     turn: str = "turn",
     message: str = "text",
+    at: str | None = None,
+    tie: str | None = None,
+    **how: int,
 ) -> DataFrame:
-    """The prompt of each user turn.
+    """The prompt of each user turn, with the mode and the emotion of that moment.
 
     ``contexts`` comes from ``context_turns``; ``situations`` has one row per
-    conversation, ``modes`` and ``emotions`` one per turn. What is missing is
+    conversation. ``modes`` and ``emotions`` are changes over time: a turn gets the
+    latest one that is not after it by ``at`` (the turn, unless another column of all
+    three tables is named; ``tie`` settles changes of one time). What is missing is
     left out; the mode is then ``medium``.
     """
-    joined = (
-        contexts.join(situations.select(conv, "situation"), conv, "left")
-        .join(modes.select(conv, turn, "mode"), [conv, turn], "left")
-        .join(emotions.select(conv, turn, "emotion"), [conv, turn], "left")
-    )
+    at = at or turn
+    told = contexts.join(situations.select(conv, "situation"), conv, "left")
+    # Only the moments are merged with the changes; the texts stay where they are.
+    moment = list(dict.fromkeys([conv, turn, at]))
+    moments = pinned(contexts.select(*moment).distinct())
+    for changes, value in ((modes, "mode"), (emotions, "emotion")):
+        told = join_on(told, as_of(moments, changes, [conv], at, value, tie, **how), moment)
     prompt = prompts.build_prompt(
         F.col("situation"),
         F.col(message),
@@ -274,4 +282,4 @@ def live_prompt(
         F.coalesce("mode", F.lit("medium")),
         extra_turns=F.col("extra_turns"),
     )
-    return joined.select(conv, turn, prompt.alias("prompt"))
+    return told.select(conv, turn, prompt.alias("prompt"))

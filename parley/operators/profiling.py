@@ -16,14 +16,38 @@ TOTAL = "total"
 WATERFALL = "array<struct<component: string, time: double>>"
 
 
+def _parsed(payload: str) -> Column:
+    return F.from_json(F.col(payload), f"struct<waterfall: {WATERFALL}>")["waterfall"]
+
+
 def parse_waterfall(df: DataFrame, payload: str, keep: Names) -> DataFrame:
-    """Stage rows out of a JSON payload ``{"waterfall": [...]}``."""
-    parsed = F.from_json(F.col(payload), f"struct<waterfall: {WATERFALL}>")
-    return df.select(*keep, F.posexplode(parsed["waterfall"]).alias("pos", "_s")).select(
+    """Stage rows out of a JSON payload ``{"waterfall": [...]}``.
+
+    Payloads without stages give no rows; ``waterfall_rejects`` has them.
+    """
+    return df.select(*keep, F.posexplode(_parsed(payload)).alias("pos", "_s")).select(
         *keep, "pos", F.col("_s.component").alias("component"), F.col("_s.time").alias("time")
     )
 
 
+def waterfall_rejects(df: DataFrame, payload: str, keep: Names) -> DataFrame:
+    """The rows that ``parse_waterfall`` gets no stages from, with the payload and a reason.
+
+    ``no payload`` is a null one, ``malformed`` no JSON, ``no stages`` a payload
+    without a waterfall, with an empty one, or with one of another form.
+    """
+    text, stages = F.col(payload), F.col("_stages")
+    reason = (
+        F.when(text.isNull(), "no payload")
+        .when(F.try_parse_json(text).isNull(), "malformed")
+        .otherwise("no stages")
+    )
+    parsed = df.select(*keep, payload, _parsed(payload).alias("_stages"))
+    return parsed.where(stages.isNull() | (F.size(stages) == 0)).select(
+        *keep, payload, reason.alias("reason")
+    )
+
+
 def waterfall_deltas(waterfall: Column) -> Column:
     """Deltas of one waterfall array, the total last. No shuffle."""
     count = F.size(waterfall)

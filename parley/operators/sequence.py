@@ -23,6 +23,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from parley.session import pinned
+
 # Least rows of a block, and the most blocks of a key, both on average.
 BLOCK_ROWS = 1 << 20
 MOST_BLOCKS = 4096
@@ -238,6 +240,47 @@ def last_known(
     )
 
 
+def as_of(
+    df: DataFrame,
+    changes: DataFrame,
+    keys: Names,
+    at: str,
+    value: str,
+    tie: str | None = None,
+    out: str | None = None,
+    limit: int = BLOCK_ROWS,
+) -> DataFrame:
+    """Each row with the ``value`` of its key's latest change that is not after it.
+
+    ``changes`` holds ``keys``, ``at``, ``value`` and, where a key may change twice
+    at the same time, ``tie``, whose largest value is the latest. Rows and changes are
+    merged in order of ``at`` and filled, so no row meets more than one change and
+    a busy key is cut into blocks. A change to null is a change: rows after it
+    have null, as have rows before the first one and rows without a time. Null keys
+    are equal. Changes without a time are never the latest. The changes (narrow rows)
+    are stored, as the plan reads them several times; ``df`` is read as often.
+    """
+    rows = df.select(
+        *keys, F.col(at).alias("_at"), F.lit(1).alias("_mark"), F.struct(*df.columns).alias("_row")
+    )
+    timed = changes.where(F.col(at).isNotNull())
+    rank = F.col(tie) if tie else F.lit(0)
+    marks = pinned(
+        timed.select(
+            *keys,
+            F.col(at).alias("_at"),
+            F.lit(0).alias("_mark"),
+            rank.alias("_tie"),
+            F.struct(F.col(value).alias("v")).alias("_change"),
+        )
+    )
+    merged = rows.unionByName(marks, allowMissingColumns=True)
+    order = ["_at", "_mark", "_tie"]
+    filled = last_known(merged, keys, order, F.col("_change"), "_latest", limit)
+    kept = [F.col("_row")[c].alias(c) for c in df.columns if c != (out or value)]
+    return filled.where("_mark = 1").select(*kept, F.col("_latest.v").alias(out or value))
+
+
 @dataclass(frozen=True)
 class Fold:
     """A sequential computation whose chunks can be summarised.

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.functions.labels import FACE_EMOTIONS
 from parley.functions.prompts import TOPIC_ANSWER, TOPIC_QUESTION
+from parley.operators import controller, emotion
 from parley.operators import conversation as ops
 from parley.plans import fixtures as fx
+from parley.plans import ordered
 from parley.plans.registry import query
 
 PAIRS_SQL = f"WITH {fx.PAIRS} SELECT conv_id, turn, user_text, assistant_text FROM pairs"
@@ -104,29 +105,47 @@ def render_conversation(spark: SparkSession, sf: str) -> DataFrame:
     return ops.render_conversation(messages, ops.topic_segments(messages))
 
 
-_FACES = "[" + ", ".join(f"'{c}'" for c in FACE_EMOTIONS) + "]"
-
-
-@query(
-    "live_prompt",
-    f"""WITH {fx.DIALOGUES}, {CONTEXT}, shown AS (
-      SELECT conv_id, turn, text, extra, situation,
-             CASE WHEN conv_id % 2 = 0 THEN {_FACES}[(conv_id + turn) % 7 + 1] END AS emotion,
-             CASE conv_id % 3 WHEN 0 THEN 'short' WHEN 1 THEN 'long' ELSE 'medium' END AS mode
-      FROM contexts LEFT JOIN situations USING (conv_id) WHERE role = 'user')
-    SELECT conv_id, turn,
-           {fx.prompt_sql("coalesce(situation, '')", "text", "emotion", "mode", extra="extra")} AS prompt
-    FROM shown""",
-)
-def live_prompt(spark: SparkSession, sf: str) -> DataFrame:
-    messages = fx.messages(spark, sf)
-    conv, turn = F.col("conv_id"), F.col("turn")
-    mode = F.when(conv % 3 == 0, "short").when(conv % 3 == 1, "long")
-    faces = F.array(*[F.lit(c) for c in FACE_EMOTIONS])
-    face = F.element_at(faces, ((conv + turn) % 7 + 1).cast("int"))
+# A conversation is the session of the user with its number; its turns are three
+# days apart.
+TURN_TIME = "TIMESTAMP '2024-01-01' + to_hours(conv_id % 24) + to_days(CAST(3 * turn AS INTEGER))"
+PROMPTED = f"""{fx.DIALOGUES}, {CONTEXT}, modes AS ({ordered.MODE_SQL}), emotions AS ({ordered.TOP_SQL}),
+    timed AS (SELECT *, {TURN_TIME} AS at FROM contexts WHERE role = 'user'),
+    paces AS (SELECT user_id, ts, mode FROM events JOIN modes USING (user_id, event_id)),
+    moods AS (SELECT user_id, ts, emotion FROM events JOIN emotions USING (user_id, event_id)),
+    shown AS (
+      SELECT t.conv_id, t.turn, t.text, t.extra, s.situation, p.mode, m.emotion
+      FROM timed t ASOF LEFT JOIN paces p ON p.user_id = t.conv_id AND t.at >= p.ts
+      ASOF LEFT JOIN moods m ON m.user_id = t.conv_id AND t.at >= m.ts
+      LEFT JOIN situations s ON s.conv_id = t.conv_id)"""
+PROMPT = fx.prompt_sql("coalesce(situation, '')", "text", "emotion", "coalesce(mode, 'medium')", extra="extra")
+
+
+def prompted(spark: SparkSession, sf: str, **how: int) -> DataFrame:
+    contexts = ops.context_turns(fx.messages(spark, sf))
+    hours = F.make_dt_interval(3 * F.col("turn").cast("int"), (F.col("conv_id") % 24).cast("int"))
+    start = F.lit("2024-01-01").cast("timestamp_ntz")
+    owner = F.col("user_id").alias("conv_id")
+    paces = controller.response_mode(fx.turns(spark, sf), ["user_id"], fx.TURN_ORDER, "latency_ms")
+    moods = ordered.scores(spark, sf)
     return ops.live_prompt(
-        ops.context_turns(messages),
+        contexts.withColumn("ts", start + hours),
         fx.situations(spark, sf),
-        messages.filter(conv % 3 != 2).select("conv_id", "turn", mode.alias("mode")),
-        messages.filter(conv % 2 == 0).select("conv_id", "turn", face.alias("emotion")),
+        paces.select(owner, *fx.TURN_ORDER, "mode"),
+        moods.select(owner, *fx.TURN_ORDER, emotion.dominant_emotion(F.col("scores")).alias("emotion")),
+        at="ts",
+        tie="event_id",
+        **how,
     )
+
+
+LIVE_SQL = f"WITH {PROMPTED} SELECT conv_id, turn, {PROMPT} AS prompt FROM shown"
+
+
+@query("live_prompt", LIVE_SQL)
+def live_prompt(spark: SparkSession, sf: str) -> DataFrame:
+    return prompted(spark, sf)
+
+
+@query("live_prompt_split", LIVE_SQL)
+def live_prompt_split(spark: SparkSession, sf: str) -> DataFrame:
+    return prompted(spark, sf, limit=4)

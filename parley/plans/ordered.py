@@ -190,13 +190,13 @@ def emotion_decay_split_sessions(spark: SparkSession, sf: str) -> DataFrame:
     return spread(scores(spark, sf, limit=16))
 
 
-@query(
-    "dominant_emotion",
-    f"""WITH RECURSIVE {DECAY}, top AS (
+TOP_SQL = f"""WITH RECURSIVE {DECAY}, top AS (
       SELECT *, greatest({", ".join(FACE_EMOTIONS)}) AS best FROM decayed)
     SELECT user_id, event_id, CASE {" ".join(f"WHEN {c} = best THEN '{c}'" for c in FACE_EMOTIONS)}
-      END AS emotion FROM top""",
-)
+      END AS emotion FROM top"""
+
+
+@query("dominant_emotion", TOP_SQL)
 def dominant_emotion(spark: SparkSession, sf: str) -> DataFrame:
     return scores(spark, sf).select(
         "user_id", "event_id", emotion.dominant_emotion(F.col("scores")).alias("emotion")

@@ -56,12 +56,12 @@ def token_weighted_perplexity(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # Sixteen vectors make a pair: odd ones the hypothesis, even ones the reference.
-EMBEDDING_PAIRS = """sides AS (
+EMBEDDING_PAIRS = """tokens AS (
   SELECT vec_id // 16 AS pair, vec_id % 2 AS hyp, vec_id, CAST(embedding AS DOUBLE[]) AS v
   FROM embeddings),
 cosines AS (
   SELECT h.pair, h.vec_id AS hyp_id, r.vec_id AS ref_id, list_cosine_similarity(h.v, r.v) AS c
-  FROM sides h JOIN sides r ON r.pair = h.pair AND h.hyp = 1 AND r.hyp = 0),
+  FROM tokens h JOIN tokens r ON r.pair = h.pair AND h.hyp = 1 AND r.hyp = 0),
 scored AS (
   SELECT pair, p AS precision, r AS recall, CASE WHEN p + r <> 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f1
   FROM (SELECT pair, avg(c) AS p FROM (SELECT pair, max(c) AS c FROM cosines GROUP BY pair, hyp_id)
@@ -361,10 +361,8 @@ def union_model_results(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-COMPARISON = f"""WITH RECURSIVE {TOKEN_TIMES}, perplexities AS ({PERPLEXITY}),
-latencies AS (SELECT model, avg(e2e) AS mean_e2e FROM profiled GROUP BY model),
-factors AS (SELECT event_type AS model, sum(value) / sum(event_id % 60 + 1) AS rtf FROM events GROUP BY 1),
-{{f1}}"""
+MODELS = ["click", "error", "purchase", "signup", "view"]
+MODEL_LIST = "[" + ", ".join(f"'{m}'" for m in MODELS) + "]"
 MODEL_F1 = """guesses AS (
   SELECT event_type AS model, event_id % 4 AS ref, (event_id // 3) % 4 AS pred FROM events),
 refs AS (SELECT model, ref AS class, count(*) AS r FROM guesses GROUP BY ALL),
@@ -373,50 +371,105 @@ hits AS (SELECT model, ref AS class, count(*) AS tp FROM guesses WHERE ref = pre
 f1s AS (
   SELECT model, avg(2.0 * coalesce(tp, 0) / (coalesce(r, 0) + coalesce(p, 0))) AS macro_f1
   FROM refs FULL JOIN preds USING (model, class) LEFT JOIN hits USING (model, class) GROUP BY model)"""
-COMPARISON = COMPARISON.format(f1=MODEL_F1)
+# The tables of scores; conversations and pairs of vectors belong to models in turn.
+COMPARISON = f"""WITH RECURSIVE {TOKEN_TIMES}, {EDITS}, {EMBEDDING_PAIRS}, perplexities AS ({PERPLEXITY}),
+latencies AS (SELECT model, avg(e2e) AS mean_e2e FROM profiled GROUP BY model),
+factors AS (SELECT event_type AS model, sum(value) / sum(event_id % 60 + 1) AS rtf FROM events GROUP BY 1),
+matches AS (SELECT {MODEL_LIST}[pair % 5 + 1] AS model, avg(f1) AS match_f1 FROM scored GROUP BY 1),
+errors AS (SELECT {MODEL_LIST}[conv_id % 5 + 1] AS model, sum(edits) / sum(ref_words) AS wer FROM edits GROUP BY 1),
+{MODEL_F1},
+comparison AS (
+  SELECT * FROM perplexities FULL JOIN f1s USING (model) FULL JOIN factors USING (model)
+  FULL JOIN latencies USING (model) FULL JOIN matches USING (model) FULL JOIN errors USING (model))"""
+
 
+def model_of(number: F.Column) -> F.Column:
+    return F.element_at(F.array(*[F.lit(m) for m in MODELS]), (number % len(MODELS) + 1).cast("int"))
 
-def comparison(spark: SparkSession, sf: str) -> DataFrame:
-    rows = events(spark, sf)
-    model = F.col("event_type").alias("model")
-    guesses = rows.select(
-        model,
+
+def model_f1(spark: SparkSession, sf: str) -> DataFrame:
+    guesses = events(spark, sf).select(
+        F.col("event_type").alias("model"),
         (F.col("event_id") % 4).alias("ref"),
         (F.floor(F.col("event_id") / 3) % 4).alias("pred"),
     )
-    timings = rows.select(model, "value", (F.col("event_id") % 60 + 1).alias("audio"))
-    return ops.model_comparison(
-        [
-            perplexities(spark, sf).drop("tokens"),
-            ops.macro_f1(guesses, ["model"], "ref", "pred").drop("classes"),
-            ops.real_time_factor(timings, ["model"], "value", "audio"),
-            ops.ttft_e2e_profile(token_times(spark, sf), ["model"]).select("model", "mean_e2e"),
-        ]
+    return ops.macro_f1(guesses, ["model"], "ref", "pred").select("model", "macro_f1")
+
+
+def model_rtf(spark: SparkSession, sf: str) -> DataFrame:
+    timings = events(spark, sf).select(
+        F.col("event_type").alias("model"), "value", (F.col("event_id") % 60 + 1).alias("audio")
     )
+    return ops.real_time_factor(timings, ["model"], "value", "audio")
+
+
+def model_latency(spark: SparkSession, sf: str) -> DataFrame:
+    return ops.ttft_e2e_profile(token_times(spark, sf), ["model"]).select("model", "mean_e2e")
+
+
+def model_match(spark: SparkSession, sf: str) -> DataFrame:
+    pairs = embedding_pairs(spark, sf).withColumn("model", model_of(F.col("pair")))
+    return ops.embedding_match_score(pairs, ["model"]).select("model", F.col("f1").alias("match_f1"))
+
+
+def model_wer(spark: SparkSession, sf: str) -> DataFrame:
+    pairs = ref_hyp_join(spark, sf).withColumn("model", model_of(F.col("conv_id")))
+    return ops.word_error_rate(pairs, ["model"], "ref", "hyp").select("model", "wer")
+
+
+SCORES = {"perplexity": 6, "macro_f1": 6, "rtf": 6, "mean_e2e": 5, "match_f1": 6, "wer": 6}
+SCORED = {
+    "perplexity": lambda spark, sf: perplexities(spark, sf).drop("tokens"),
+    "macro_f1": model_f1,
+    "rtf": model_rtf,
+    "mean_e2e": model_latency,
+    "match_f1": model_match,
+    "wer": model_wer,
+}
 
 
-SCORES = {"perplexity": 6, "macro_f1": 6, "rtf": 6, "mean_e2e": 5}
-ROUNDED_SCORES = ", ".join(f"round({c}, {d}) AS {c}" for c, d in SCORES.items())
+def comparison(spark: SparkSession, sf: str, scores: list[str]) -> DataFrame:
+    return ops.model_comparison([SCORED[name](spark, sf) for name in scores])
+
+
+def rounded_scores_sql(names: list[str]) -> str:
+    return ", ".join(f"round({c}, {SCORES[c]}) AS {c}" for c in names)
 
 
 @query(
     "model_comparison",
-    f"""{COMPARISON} SELECT model, {ROUNDED_SCORES} FROM perplexities JOIN f1s USING (model)
-    JOIN factors USING (model) JOIN latencies USING (model)""",
+    f"{COMPARISON} SELECT model, {rounded_scores_sql(list(SCORES))} FROM comparison",
 )
 def model_comparison(spark: SparkSession, sf: str) -> DataFrame:
-    table = comparison(spark, sf)
+    table = comparison(spark, sf, list(SCORES))
     return table.withColumns({c: F.round(c, d) for c, d in SCORES.items()})
 
 
-@query(
-    "model_tradeoff",
-    f"""{COMPARISON} SELECT model, round(perplexity, 6) AS perplexity, round(macro_f1, 6) AS macro_f1
-    FROM perplexities JOIN f1s USING (model)""",
-)
+def tradeoff_sql(cost: str, quality: str) -> str:
+    return (
+        f"{COMPARISON} SELECT model, {rounded_scores_sql([cost, quality])} FROM comparison"
+        f" WHERE {cost} IS NOT NULL OR {quality} IS NOT NULL"
+    )
+
+
+def tradeoff(spark: SparkSession, sf: str, cost: str, quality: str) -> DataFrame:
+    table = ops.tradeoff(comparison(spark, sf, [cost, quality]), cost, quality)
+    return table.withColumns({c: F.round(c, SCORES[c]) for c in (cost, quality)})
+
+
+@query("model_tradeoff", tradeoff_sql("perplexity", "macro_f1"))
 def model_tradeoff(spark: SparkSession, sf: str) -> DataFrame:
-    table = ops.tradeoff(comparison(spark, sf), "perplexity", "macro_f1")
-    return fx.rounded(table, 6, "perplexity", "macro_f1")
+    return tradeoff(spark, sf, "perplexity", "macro_f1")
+
+
+@query("latency_match_tradeoff", tradeoff_sql("mean_e2e", "match_f1"))
+def latency_match_tradeoff(spark: SparkSession, sf: str) -> DataFrame:
+    return tradeoff(spark, sf, "mean_e2e", "match_f1")
+
+
+@query("speech_tradeoff", tradeoff_sql("wer", "rtf"))
+def speech_tradeoff(spark: SparkSession, sf: str) -> DataFrame:
+    return tradeoff(spark, sf, "wer", "rtf")
 
 
 # -- profile ---------------------------------------------------------------
@@ -432,6 +485,25 @@ def parse_waterfall(spark: SparkSession, sf: str) -> DataFrame:
     return profiling.parse_waterfall(payloads(spark, sf), "payload", ["event_id"])
 
 
+@query(
+    "waterfall_rejects",
+    """SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'malformed' WHEN event_id % 11 = 0 THEN 'no stages'
+      ELSE 'no payload' END AS reason
+    FROM events WHERE event_id % 7 = 0 OR event_id % 11 = 0 OR event_id % 13 = 0""",
+)
+def waterfall_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    rows = payloads(spark, sf)
+    event = F.col("event_id")
+    broken = (
+        F.when(event % 7 == 0, F.expr("left(payload, length(payload) - 2)"))
+        .when(event % 11 == 0, F.lit('{"waterfall": []}'))
+        .when(event % 13 != 0, F.col("payload"))
+    )
+    return profiling.waterfall_rejects(
+        rows.withColumn("payload", broken), "payload", ["event_id"]
+    ).drop("payload")
+
+
 def waterfall_array() -> F.Column:
     def stage(name: str, late: float) -> F.Column:
         return F.struct(F.lit(name).alias("component"), (F.col("value") + late).alias("time"))

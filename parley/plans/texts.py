@@ -139,6 +139,63 @@ def mask_pii(spark: SparkSession, sf: str) -> DataFrame:
     return fx.texts(spark, sf, "documents").select("doc_id", privacy.mask_pii(F.col("text")).alias("text"))
 
 
+# Six spans a text, by arithmetic on its id and length: some overlap, touch, lie in
+# each other, are empty or reach past the end.
+SPAN_NAMES = ["PERSON", "LOCATION", "DATE_TIME", "NRP", "ORGANIZATION", "PERSON"]
+SPANNED = f"""given AS (
+  SELECT doc_id, length(text) AS n, k, {SPAN_NAMES}[k + 1] AS entity,
+         (doc_id * 7 + k * k * 11) % (length(text) + 1) AS start,
+         least((doc_id * 7 + k * k * 11) % (length(text) + 1) + (doc_id + 13 * k) % 40, length(text)) AS stop,
+         ((doc_id * 31 + k * 17) % 100) / 100 AS score
+  FROM documents, range(6) AS r(k)),
+places AS (
+  SELECT DISTINCT doc_id, p FROM (
+    SELECT doc_id, start AS p FROM given UNION ALL SELECT doc_id, stop FROM given
+    UNION ALL SELECT doc_id, 0 FROM documents UNION ALL SELECT doc_id, length(text) FROM documents)),
+parts AS (
+  SELECT doc_id, p AS a, lead(p) OVER (PARTITION BY doc_id ORDER BY p) AS b FROM places
+  QUALIFY b IS NOT NULL),
+owned AS (
+  SELECT parts.doc_id, a, b, arg_min((k, entity), (RANKS, start, entity)) FILTER (WHERE k IS NOT NULL) AS best
+  FROM parts LEFT JOIN given
+    ON given.doc_id = parts.doc_id AND start < stop AND start <= a AND stop >= b
+  GROUP BY ALL),
+pieces AS (
+  SELECT d.doc_id, a, CASE WHEN best IS NULL THEN substr(text, a + 1, b - a)
+    WHEN best[1] IS NOT DISTINCT FROM lag(best[1]) OVER (PARTITION BY d.doc_id ORDER BY a) THEN ''
+    ELSE '<' || best[2] || '>' END AS piece
+  FROM owned o JOIN documents d ON d.doc_id = o.doc_id)
+SELECT doc_id, coalesce(string_agg(piece, '' ORDER BY a), any_value(text)) AS text
+FROM documents LEFT JOIN pieces USING (doc_id) GROUP BY doc_id"""
+
+
+def span_masked(spark: SparkSession, sf: str, best: str) -> DataFrame:
+    doc, size = F.col("doc_id"), F.length("text")
+
+    def span(k: int, entity: str) -> F.Column:
+        start = (doc * 7 + k * k * 11) % (size + 1)
+        return F.struct(
+            start.alias("start"),
+            (start + (doc + 13 * k) % 40).alias("end"),
+            F.lit(entity).alias("entity"),
+            ((doc * 31 + k * 17) % 100 / 100).alias("score"),
+        )
+
+    spans = F.array(*[span(k, entity) for k, entity in enumerate(SPAN_NAMES)])
+    given = fx.texts(spark, sf, "documents").select("doc_id", "text", spans.alias("spans"))
+    return given.select("doc_id", privacy.mask_spans(F.col("text"), F.col("spans"), best).alias("text"))
+
+
+@query("mask_spans", "WITH " + SPANNED.replace("RANKS", "start - stop, -score"))
+def mask_spans(spark: SparkSession, sf: str) -> DataFrame:
+    return span_masked(spark, sf, "length")
+
+
+@query("mask_spans_by_score", "WITH " + SPANNED.replace("RANKS", "-score, start - stop"))
+def mask_spans_by_score(spark: SparkSession, sf: str) -> DataFrame:
+    return span_masked(spark, sf, "score")
+
+
 def found_sql(entity: str, pattern: str) -> str:
     matches = f"regexp_extract_all(text, '{pattern}')"
     if entity == "CREDIT_CARD":

@@ -317,3 +317,24 @@ def test_classify_emotion(spark):
     assert out == ["joy", "anger", "neutral", "neutral"]
 
 
+
+
+def test_waterfall_rejects_and_stages_make_up_all_payloads(spark):
+    good = '{"waterfall": [{"component": "stt_out", "time": 1.5}]}'
+    data = [
+        (0, good),
+        (1, None),
+        (2, good[:-2]),
+        (3, "{}"),
+        (4, '{"waterfall": []}'),
+        (5, '{"waterfall": "late"}'),
+        (6, ""),
+        (7, good),
+    ]
+    df = spark.createDataFrame(data, "id int, payload string")
+    stages = profiling.parse_waterfall(df, "payload", ["id"]).collect()
+    assert sorted(tuple(r) for r in stages) == [(i, 0, "stt_out", 1.5) for i in (0, 7)]
+    rejects = profiling.waterfall_rejects(df, "payload", ["id"]).collect()
+    assert {r.id: r.reason for r in rejects} == {
+        1: "no payload", 2: "malformed", 3: "no stages", 4: "no stages", 5: "no stages", 6: "malformed"
+    }

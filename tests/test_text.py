@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -188,3 +189,63 @@ def test_hints_are_part_of_every_match():
         for entity, pattern in privacy.ENTITIES.items():
             if re.search(pattern, found):
                 assert re.search(privacy.HINTS[entity], found), (entity, found, masked)
+
+
+def mask_by_place(text, spans, best):
+    """Each character belongs to the best span over it; runs of one owner are one mark."""
+    if text is None:
+        return None
+    some = [
+        (max(s, 0), min(e, len(text)), name or "MASKED", score or 0.0)
+        for s, e, name, score in spans or []
+        if s is not None and e is not None
+    ]
+
+    def rank(i):
+        start, end, name, score = some[i]
+        first, second = start - end, -score
+        return (first, second, start, end, name, i) if best == "length" else (second, first, start, end, name, i)
+
+    out, last = "", None
+    for place, letter in enumerate(text):
+        over = [i for i, s in enumerate(some) if s[0] <= place < s[1]]
+        owner = min(over, key=rank) if over else None
+        if owner is None:
+            out += letter
+        elif owner != last:
+            out += f"<{some[owner][2]}>"
+        last = owner
+    return out
+
+
+SPAN_CASES = [
+    ("Ann met Bob in Łódź", [(0, 3, "PERSON", 0.9), (8, 11, "PERSON", 0.5), (15, 19, "LOCATION", 0.8)]),
+    ("overlapping", [(0, 6, "A", 0.1), (4, 9, "B", 0.9)]),
+    ("touching", [(0, 3, "A", 0.5), (3, 5, "A", 0.5)]),
+    ("nested spans", [(0, 12, "OUTER", 0.2), (3, 6, "INNER", 0.9)]),
+    ("between two", [(0, 5, "A", 0.5), (6, 11, "B", 0.5), (4, 8, "C", 0.1)]),
+    ("same place", [(0, 4, "B", 0.5), (0, 4, "A", 0.5), (0, 4, "C", 0.7)]),
+    ("empty and past", [(2, 2, "E", 1.0), (5, 3, "R", 1.0), (-4, 1, "N", 1.0), (12, 99, "P", 1.0)]),
+    ("no name or score", [(0, 2, None, None), (None, 4, "A", 1.0), (1, None, "A", 1.0)]),
+    ("\U0001f600 astral \U0001f600", [(0, 1, "FACE", 1.0), (9, 10, "FACE", 1.0)]),
+    ("none", []),
+    ("null", None),
+    ("", [(0, 1, "A", 1.0)]),
+    (None, [(0, 1, "A", 1.0)]),
+]
+
+
+@pytest.mark.parametrize("best", ["length", "score"])
+def test_mask_spans(spark, best):
+    rng = random.Random(5)
+    cases = SPAN_CASES + [
+        ("abcdefghijklmnopqrst", [
+            (s := rng.randrange(20), s + rng.randrange(8), f"E{k}", rng.randrange(10) / 10) for k in range(rng.randrange(9))
+        ])
+        for _ in range(200)
+    ]
+    schema = "id int, text string, spans array<struct<start: int, end: int, entity: string, score: double>>"
+    df = spark.createDataFrame([(i, *case) for i, case in enumerate(cases)], schema)
+    out = df.select("id", privacy.mask_spans(F.col("text"), F.col("spans"), best).alias("m")).collect()
+    got = {r.id: r.m for r in out}
+    assert [got[i] for i in range(len(cases))] == [mask_by_place(*case, best) for case in cases]
