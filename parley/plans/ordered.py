@@ -243,7 +243,7 @@ def throttle_emit_split_sessions(spark: SparkSession, sf: str) -> DataFrame:
     return throttled(spark, sf, limit=2)
 
 
-def utterances_sql(hours: int, pieces: str = "0") -> str:
+def utterances_sql(hours: int, pieces: str = "0", shown: str = "") -> str:
     return f"""WITH gaps AS (
       SELECT user_id, ts, coalesce(ts - lag(ts) OVER w >= INTERVAL {hours} HOUR, true) AS opens
       FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
@@ -252,7 +252,7 @@ def utterances_sql(hours: int, pieces: str = "0") -> str:
         PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS start
       FROM gaps)
     SELECT user_id, CAST({pieces} AS BIGINT) AS piece, min(ts) AS start_ts, max(ts) AS end_ts,
-           count(*) AS frames
+           count(*) AS frames{shown}
     FROM started GROUP BY user_id, start, piece"""
 
 

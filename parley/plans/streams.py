@@ -1,6 +1,6 @@
 """Streaming forms, run to the end of the input and read back.
 
-The tables are written as a few files in time order, one per micro-batch, so
+The tables are written as files in time order, a few for each micro-batch, so
 that state has to survive from batch to batch.
 """
 
@@ -20,17 +20,24 @@ from parley.session import new_folder
 from parley.sources import files, sinks
 from parley.streaming import operators as ops
 
-BATCHES = 3
+BATCHES, FILES = 3, 4
 
 
 def as_stream(spark: SparkSession, df: DataFrame, batch: Column) -> DataFrame:
-    """``df`` as a stream of ``BATCHES`` files; ``batch`` numbers rows from 0."""
+    """``df`` as a stream of ``BATCHES`` groups of files; ``batch`` numbers rows from 0.
+
+    Rows are dealt evenly to ``FILES`` files a batch, so that a trigger of as many
+    files takes one batch.
+    """
     path = new_folder(spark, "stream-in")
     numbered = df.withColumn("_batch", F.least(batch, F.lit(BATCHES - 1)))
     for i in range(BATCHES):
-        part = numbered.filter(F.col("_batch") == i).drop("_batch").coalesce(1)
-        part.write.mode("append").parquet(f"{path}/batch={i}")
-    reader = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1)
+        folder = f"{path}/batch={i}"
+        numbered.filter(F.col("_batch") == i).drop("_batch").repartition(FILES).write.parquet(folder)
+        files = len(spark.read.schema(df.schema).parquet(folder).inputFiles())
+        if files != FILES:
+            raise RuntimeError(f"batch {i} has {files} files, not {FILES}")
+    reader = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", FILES)
     return reader.parquet(f"{path}/*")
 
 
@@ -138,6 +145,28 @@ def stream_utterance_sessions(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start_ts", "end_ts")})
 
 
+@query(
+    "stream_utterance_sessions_capped",
+    f"""SELECT user_id, piece, start_ts, end_ts, frames
+    FROM ({ordered.utterances_sql(2, ordered.PIECES, ", start")})
+    WHERE least(end_ts + INTERVAL 2 HOUR, start + to_hours(5 * (piece + 1)))
+      <= (SELECT max(ts) FROM events) - INTERVAL 1 MINUTE""",
+)
+def stream_utterance_sessions_capped(spark: SparkSession, sf: str) -> DataFrame:
+    """The pieces whose time or silence is over by the watermark."""
+    rows = finished(
+        spark,
+        event_stream(
+            spark,
+            sf,
+            lambda events: ops.capped_utterances(
+                events, ["user_id"], "ts", 2 * ordered.HOUR, 5 * ordered.HOUR, "1 minute"
+            ),
+        ),
+    )
+    return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start_ts", "end_ts")})
+
+
 @query("stream_topic_segments", conv_plans.SEGMENTS_SQL)
 def stream_topic_segments(spark: SparkSession, sf: str) -> DataFrame:
     stream = as_stream(spark, fx.messages(spark, sf), F.floor(F.col("turn") / 2))
@@ -168,13 +197,17 @@ def stream_messages(spark: SparkSession, sf: str) -> DataFrame:
     return finished(spark, spoken.select("event_id", "data.user_id", "data.value"))
 
 
-CUTS_SQL = """SELECT DISTINCT t.user_id, t.event_id FROM events t JOIN events i
-  ON i.user_id = t.user_id AND i.event_type = 'error' AND t.event_type = 'click'
-  AND i.ts BETWEEN t.ts AND t.ts + INTERVAL 8 HOUR"""
+TOLD = """turns AS (
+  SELECT user_id, event_id, ts AS start_ts, ts + INTERVAL 8 HOUR AS end_ts, EXISTS (
+    SELECT 1 FROM events i WHERE i.user_id = t.user_id AND i.event_type = 'error'
+      AND i.ts BETWEEN t.ts AND t.ts + INTERVAL 8 HOUR) AS hit
+  FROM events t WHERE event_type = 'click'),
+passed AS (
+  SELECT least(max(ts) FILTER (WHERE event_type = 'click'), max(ts) FILTER (WHERE event_type = 'error'))
+    - INTERVAL 1 MINUTE AS now FROM events)"""
 
 
-@query("stream_interrupted_turns", CUTS_SQL)
-def stream_interrupted_turns(spark: SparkSession, sf: str) -> DataFrame:
+def told_turns(spark: SparkSession, sf: str, interrupted: bool) -> DataFrame:
     def shape(events: DataFrame) -> DataFrame:
         turns = events.filter("event_type = 'click'").select(
             "user_id",
@@ -184,11 +217,24 @@ def stream_interrupted_turns(spark: SparkSession, sf: str) -> DataFrame:
         )
         cuts = events.filter("event_type = 'error'").select("user_id", "ts")
         return ops.interrupted_turns(
-            turns, cuts, "user_id", "start_ts", "end_ts", "ts", "1 minute", "8 HOURS"
+            turns, cuts, ["user_id"], "event_id", "start_ts", "end_ts", "ts", "1 minute", interrupted
         )
 
-    hits = finished(spark, event_stream(spark, sf, shape))
-    return hits.select("user_id", "event_id").distinct()
+    return finished(spark, event_stream(spark, sf, shape)).select("user_id", "event_id")
+
+
+@query("stream_interrupted_turns", f"WITH {TOLD} SELECT user_id, event_id FROM turns WHERE hit")
+def stream_interrupted_turns(spark: SparkSession, sf: str) -> DataFrame:
+    return told_turns(spark, sf, interrupted=True)
+
+
+@query(
+    "stream_interrupted_turns_kept",
+    f"WITH {TOLD} SELECT user_id, event_id FROM turns, passed WHERE NOT hit AND end_ts <= now",
+)
+def stream_interrupted_turns_kept(spark: SparkSession, sf: str) -> DataFrame:
+    """The kept turns that are over by the watermark."""
+    return told_turns(spark, sf, interrupted=False)
 
 
 @query(

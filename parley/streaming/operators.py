@@ -212,32 +212,121 @@ def utterance_sessions(
     )
 
 
+def awaited(
+    df: DataFrame,
+    keys: Names,
+    schema: str,
+    state: str,
+    make: Callable[[tuple | None], Any],
+) -> DataFrame:
+    """Pass each key's rows through a tracker that settles them by the stream's time.
+
+    ``df`` has a watermark. Arrow batches of a key are fed one after the other. What
+    the tracker holds comes out when the watermark passes it, by a timer if the key
+    has no new rows; then its state goes.
+    """
+    columns = StructType.fromDDL(schema).names
+
+    def run(
+        key: tuple, batches: Iterator[pd.DataFrame], saved: GroupState
+    ) -> Iterator[pd.DataFrame]:
+        tracker = make(saved.get if saved.exists else None)
+        if not saved.hasTimedOut:
+            for rows in batches:
+                tracker.feed(rows)
+        now = saved.getCurrentWatermarkMs()
+        result = tracker.settled(now * 1000)
+        due = tracker.due()
+        if due is not None:
+            saved.update(tracker.dump())
+            saved.setTimeoutTimestamp(max(due // 1000, now + 1))
+        elif saved.exists:
+            saved.remove()
+        if len(result):
+            yield result.assign(**dict(zip(keys, key, strict=True)))[columns]
+
+    return df.groupBy(*keys).applyInPandasWithState(
+        run, schema, state, "append", GroupStateTimeout.EventTimeTimeout
+    )
+
+
+def capped_utterances(
+    df: DataFrame, keys: Names, ts: str, gap_seconds: float, max_seconds: float, delay: str
+) -> DataFrame:
+    """Utterances with a maximum length, as ``sessions.utterance_sessions`` cuts them.
+
+    A piece comes out when its time or the silence after it is over. Frames may come
+    in any order within ``delay``; the state of a key holds those of that time and
+    one open piece, and goes with the silence. Frames without a time are left out.
+    """
+    event = F.col(ts).cast("timestamp")
+    rows = df.where(event.isNotNull()).select(*keys, event.alias("_at"), _micros(ts).alias("_us"))
+    gap, longest = int(gap_seconds * 1_000_000), int(max_seconds * 1_000_000)
+    pieces = awaited(
+        rows.withWatermark("_at", delay),
+        keys,
+        _ddl(rows, keys) + ", piece long, _start long, _stop long, frames long",
+        trackers.UtteranceTracker.state,
+        lambda saved: trackers.UtteranceTracker(saved, gap, longest),
+    )
+    return pieces.select(
+        *keys,
+        "piece",
+        F.timestamp_micros("_start").alias("start_ts"),
+        F.timestamp_micros("_stop").alias("end_ts"),
+        "frames",
+    )
+
+
 def interrupted_turns(
     turns: DataFrame,
     interrupts: DataFrame,
-    key: str,
+    keys: Names,
+    turn: str,
     start: str,
     end: str,
     ts: str,
     delay: str,
-    longest: str,
+    interrupted: bool = False,
 ) -> DataFrame:
-    """Turns with an interrupt between their start and end, once per interrupt.
-
-    ``longest`` bounds a turn's length, which lets old state be dropped. Turns
-    have a unique id, so a consumer can reduce repeats.
+    """Turns in whose time, ends included, no interrupt falls; or the others.
+
+    Gives ``keys``, the turn's id, its start and its end. A kept turn comes out when
+    the stream's time has passed its end, however long it is; an interrupted one with
+    its first interrupt. State is held for turns that are not over and for interrupts
+    not older than the stream's time, which is the slower of both streams' less
+    ``delay``. Rows without a start, an end or a time are left out. The id is kept as
+    text meanwhile, so it has a type that text can be cast to.
     """
-    left = turns.withColumn(start, F.col(start).cast("timestamp")).withWatermark(start, delay)
-    right = interrupts.select(
-        F.col(key).alias("_key"), F.col(ts).cast("timestamp").alias("_cut")
-    ).withWatermark("_cut", delay)
-    during = (
-        (F.col(key) == F.col("_key"))
-        & (F.col("_cut") >= F.col(start))
-        & (F.col("_cut") <= F.col(end).cast("timestamp"))
-        & (F.col("_cut") <= F.col(start) + F.expr(f"INTERVAL {longest}"))
+    spans = turns.where(F.col(start).isNotNull() & F.col(end).isNotNull()).select(
+        *keys,
+        F.col(start).cast("timestamp").alias("_at"),
+        _micros(start).alias("_us"),
+        _micros(end).alias("_end_us"),
+        F.lit(False).alias("_cut"),
+        F.col(turn).cast("string").alias("_turn"),
+    )
+    cuts = interrupts.where(F.col(ts).isNotNull()).select(
+        *keys,
+        F.col(ts).cast("timestamp").alias("_at"),
+        _micros(ts).alias("_us"),
+        F.lit(0).cast("long").alias("_end_us"),
+        F.lit(True).alias("_cut"),
+        F.lit(None).cast("string").alias("_turn"),
+    )
+    told = awaited(
+        spans.withWatermark("_at", delay).unionByName(cuts.withWatermark("_at", delay)),
+        keys,
+        _ddl(spans, keys) + ", _turn string, _start long, _stop long, _hit boolean",
+        trackers.InterruptTracker.state,
+        trackers.InterruptTracker,
+    )
+    return told.where(F.col("_hit") if interrupted else ~F.col("_hit")).select(
+        *keys,
+        F.col("_turn").cast(dict(turns.dtypes)[turn]).alias(turn),
+        F.timestamp_micros("_start").alias(start),
+        F.timestamp_micros("_stop").alias(end),
     )
-    return left.join(right, during, "inner").drop("_key")
 
 
 def run_to_table(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:

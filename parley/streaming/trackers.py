@@ -3,11 +3,16 @@
 A tracker takes the rows of its key in order (``feed``) and keeps a few
 numbers, which ``dump`` gives as a tuple and the constructor takes back. Each
 does the same as the batch operator it is named after.
+
+The last two wait for the stream's time: ``feed`` takes rows in any order,
+``settled`` gives what can no longer change once all rows up to a time are known,
+and ``due`` the next time that settles something, or None if nothing is left.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import deque
 from typing import Any
 
@@ -175,3 +180,108 @@ class PairTracker:
 
     def dump(self) -> tuple:
         return self.open
+
+
+class InterruptTracker:
+    """``interrupted_turns``: turns that are not over, and the interrupts since then.
+
+    A turn with an interrupt settles at once, any other at its end. An interrupt is
+    kept until the stream's time has passed it: turns that start by then are known.
+    """
+
+    state = "turns array<struct<turn: string, start: long, end: long>>, cuts array<long>"
+
+    def __init__(self, saved: tuple | None):
+        turns, cuts = saved or ([], [])
+        self.turns: list[tuple[Any, int, int]] = [tuple(t) for t in turns]
+        self.cuts = [int(c) for c in cuts]
+
+    def feed(self, rows: pd.DataFrame) -> None:
+        cuts = rows["_cut"].to_numpy(dtype=bool)
+        self.cuts.extend(int(us) for us in rows.loc[cuts, "_us"])
+        turns = rows.loc[~cuts]
+        self.turns.extend(zip(*[turns[c].tolist() for c in ("_turn", "_us", "_end_us")], strict=True))
+
+    def settled(self, now: int) -> pd.DataFrame:
+        self.cuts.sort()
+        results, left = [], []
+        for turn, start, end in self.turns:
+            place = bisect_left(self.cuts, start)
+            cut = place < len(self.cuts) and self.cuts[place] <= end
+            if cut or end <= now:
+                results.append((turn, start, end, cut))
+            else:
+                left.append((turn, start, end))
+        self.turns = left
+        self.cuts = self.cuts[bisect_left(self.cuts, now) :]
+        return pd.DataFrame(results, columns=["_turn", "_start", "_stop", "_hit"])
+
+    def due(self) -> int | None:
+        times = [end for _, _, end in self.turns] + self.cuts[-1:]
+        return min(times, default=None)
+
+    def dump(self) -> tuple:
+        return (self.turns, self.cuts)
+
+
+class UtteranceTracker:
+    """``utterance_sessions``: frames the stream's time has not passed, and the open piece.
+
+    ``start`` and ``last`` are the first and last frame of the utterance, ``first`` and
+    ``frames`` the first frame and the frames of its piece that is not out yet.
+    """
+
+    state = "waiting array<long>, start long, last long, piece long, first long, frames long"
+
+    def __init__(self, saved: tuple | None, gap: int, longest: int):
+        self.gap, self.longest = gap, longest
+        waiting, self.start, self.last, self.piece, self.first, self.frames = saved or ([], None, None, 0, None, 0)
+        self.waiting = [int(us) for us in waiting]
+        self.out: list[tuple[int, int, int, int]] = []
+
+    def feed(self, rows: pd.DataFrame) -> None:
+        self.waiting.extend(rows["_us"].tolist())
+
+    def close_piece(self) -> None:
+        if self.frames:
+            self.out.append((self.piece, self.first, self.last, self.frames))
+        self.first, self.frames = None, 0
+
+    def add(self, us: int) -> None:
+        if self.start is not None and us - self.last >= self.gap:
+            self.close_piece()
+            self.start = None
+        if self.start is None:
+            self.start, self.piece = us, 0
+        piece = (us - self.start) // self.longest
+        if piece != self.piece:
+            self.close_piece()
+        self.piece, self.last = piece, us
+        self.first = us if self.first is None else self.first
+        self.frames += 1
+
+    def settled(self, now: int) -> pd.DataFrame:
+        self.out = []
+        for us in sorted(us for us in self.waiting if us <= now):
+            self.add(us)
+        self.waiting = [us for us in self.waiting if us > now]
+        if self.start is not None and self.last + self.gap <= now:
+            self.close_piece()
+            self.start = None
+        elif self.frames and self.piece_end() <= now:
+            self.close_piece()
+        return pd.DataFrame(self.out, columns=["piece", "_start", "_stop", "frames"])
+
+    def piece_end(self) -> int:
+        return self.start + (self.piece + 1) * self.longest
+
+    def due(self) -> int | None:
+        times = list(self.waiting)
+        if self.start is not None:
+            times.append(self.last + self.gap)
+        if self.frames:
+            times.append(self.piece_end())
+        return min(times, default=None)
+
+    def dump(self) -> tuple:
+        return (self.waiting, self.start, self.last, self.piece, self.first, self.frames)

@@ -168,3 +168,68 @@ def test_throttle_state_survives(spark):
     assert first.feed(pd.DataFrame({"_us": [0, 5, 10]}))["_us"].tolist() == [0, 10]
     again = trackers.ThrottleTracker(first.dump(), 10)
     assert again.feed(pd.DataFrame({"_us": [19, 20]}))["_us"].tolist() == [20]
+
+
+@pytest.fixture(scope="module")
+def spoken(spark):
+    """Turns and interrupts of a busy and two quiet sessions: (part, k, id, us, end_us), end_us 0 for an interrupt."""
+    rng = random.Random(14)
+    rows = []
+    for key, n in {"hot": 120, "b": 4, None: 20}.items():
+        for i in range(n):
+            at = rng.randrange(1000)
+            length = rng.choice([0, 5, 40, 600])
+            rows.append((at // 250, key, 2**60 + len(rows), at, at + length if rng.random() < 0.6 else -1))
+    rows += [(0, "edge", 1, 10, 20), (0, "edge", 2, 20, -1), (1, "edge", 3, 300, 310), (1, "edge", 4, 311, -1)]
+    schema = "part int, k string, id long, at long, stop long"
+    return spark.createDataFrame(rows, schema).withColumns(
+        {c: F.timestamp_seconds(F.col(o) + DAY) for c, o in {"ts": "at", "over": "stop"}.items()}
+    )
+
+
+@pytest.mark.parametrize("interrupted", [False, True])
+def test_turns_come_out_when_they_are_over_or_interrupted(spark, spoken, interrupted):
+    def split(df):
+        return df.where("stop >= 0").drop("part"), df.where("stop < 0").select("k", "ts")
+
+    parts = [f"part = {i}" for i in range(4)]
+    names = dict(keys=["k"], start="ts", end="over", ts="ts", interrupted=interrupted)
+    stream = streams.interrupted_turns(
+        *split(stream_of(spark, spoken, parts)), turn="id", delay="1 second", **names
+    )
+    turns, cuts = split(spoken)
+    now = min(d.agg(F.max("ts")).first()[0] for d in (turns, cuts))
+    batch = sessions.interrupted_turns(turns, cuts, **names).select("k", "id", "ts", "over")
+    if not interrupted:
+        batch = batch.where(F.col("over") + F.expr("INTERVAL 1 SECOND") <= F.lit(now))
+    assert batch.count() > 5
+    same(finished(spark, stream), batch)
+
+
+def test_state_of_turns_goes(spark, spoken):
+    """After a last row far ahead nothing is held but that row."""
+    far = spark.createDataFrame([(4, "b", 7, 90_000, 90_001), (4, "b", 8, 90_000, -1)], spoken.schema[:5])
+    later = far.withColumns({c: F.timestamp_seconds(F.col(o) + DAY) for c, o in {"ts": "at", "over": "stop"}.items()})
+    stream = stream_of(spark, spoken.unionByName(later), [f"part = {i}" for i in range(5)])
+    out = streams.interrupted_turns(
+        stream.where("stop >= 0"), stream.where("stop < 0"), ["k"], "id", "ts", "over", "ts", "1 second"
+    )
+    query = streams.run_to_table(out, new_folder(spark, "out"), new_folder(spark, "state"))
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 1
+
+
+@pytest.mark.parametrize("cap", [70, 1000])
+def test_capped_utterances_equal_the_batch_form(spark, turns, cap):
+    voiced = turns.filter("t % 5 <> 0")
+    out = finished(
+        spark,
+        streams.capped_utterances(stream_of(spark, voiced, PARTS), ["k"], "ts", 30, cap, "1 second"),
+    )
+    batch = sessions.utterance_sessions(voiced, ["k"], "ts", 30, cap)
+    batch = batch.withColumn("piece", F.col("piece").cast("long"))
+    end = voiced.agg(F.max("ts")).first()[0]
+    over = batch.filter(F.col("end_ts") + F.expr("INTERVAL 31 SECONDS") <= F.lit(end))
+    got = {tuple(r) for r in out.select(*sorted(out.columns)).collect()}
+    assert {tuple(r) for r in over.select(*sorted(over.columns)).collect()} <= got
+    assert got <= {tuple(r) for r in batch.select(*sorted(batch.columns)).collect()}
+    assert out.count() == len(got)
