@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm.common import ascii_lower
@@ -56,6 +56,7 @@ def exact_groups(
             "_n",
             F.sha2("_text", 256).alias("_sha"),
             F.when(F.col("_text") != F.col("_kept_text"), F.col("_text")).alias("_other"),
+            F.monotonically_increasing_id().alias("_row"),
         )
     )
     collided = compared.where("_other is not null").select("_hash").distinct()
@@ -71,10 +72,18 @@ def exact_groups(
     single = keys.join(repeated, "_hash", "left_anti").select(
         "_id", "_hash", F.col("_id").alias("_keep"), F.lit(1).cast("long").alias("_n"), "_sha"
     )
-    same_row = Window.partitionBy("_hash", "_sha", "_id").orderBy("_n")
-    grouped = sound.unionByName(mixed).withColumn(
-        "_kept",
-        F.col("_id").eqNullSafe(F.col("_keep")) & (F.row_number().over(same_row) == 1),
+    # Of rows that repeat id and text the first one is marked, found by a partial
+    # minimum: no task numbers the rows of a group. As one value, the key does not
+    # tie the aggregate to the partitioning by hash of the joins before it.
+    grouped = sound.unionByName(mixed)
+    marked = (
+        grouped.where(F.col("_id").eqNullSafe(F.col("_keep")))
+        .groupBy(F.struct("_hash", "_sha", "_id").alias("_same"))
+        .agg(F.min("_row").alias("_row"))
+        .select("_row", F.lit(True).alias("_first"))
+    )
+    grouped = grouped.join(marked, "_row", "left").select(
+        "_id", "_hash", "_keep", "_n", "_sha", F.coalesce("_first", F.lit(False)).alias("_kept")
     )
     return grouped.unionByName(single.withColumn("_kept", F.lit(True))).select(
         F.col("_id").alias(id_col),
