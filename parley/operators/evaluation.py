@@ -6,7 +6,8 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +25,8 @@ LATENCY_LEVELS = {
 }
 # Token vectors of one side that are compared in one go.
 TOKEN_BLOCK = 256
+# Cosines that are computed in one product of several pairs.
+CUBE_CELLS = 1 << 20
 
 
 def ref_hyp_join(refs: DataFrame, hyps: DataFrame, on: Names) -> DataFrame:
@@ -47,8 +50,8 @@ def embedding_match_pairs(
 
     ``side`` is ``hyp`` or ``ref``. Each hypothesis token takes its best cosine
     with a reference token (precision) and the other way round (recall). The
-    tokens of a side are packed in blocks; each pair of blocks is one matrix
-    product, which yields only the best cosine per token. A pair with tokens on
+    tokens of a side are packed in blocks; the pairs of blocks of a batch are padded to
+    one size and multiplied together, which yields only the best cosine per token. A pair with tokens on
     one side only scores 0.
     """
     packed = tokens.groupBy(*pair, side, F.floor(F.col(index) / block).alias("_block")).agg(
@@ -64,7 +67,7 @@ def embedding_match_pairs(
     kinds = {f.name: f.dataType.simpleString() for f in tokens.schema.fields}
     schema = ", ".join([*[f"{p} {kinds[p]}" for p in pair], "side string, i long, best double"])
     best = (
-        both.mapInPandas(lambda batches: _best_cosines(batches, pair), schema)
+        both.mapInArrow(lambda batches: _best_cosines(batches, pair), schema)
         .groupBy(*pair, "side", "i")
         .agg(F.max("best").alias("best"))
     )
@@ -84,25 +87,45 @@ def embedding_match_pairs(
     return scores.withColumn("f1", F.when(p + r != 0, 2 * p * r / (p + r)).otherwise(0.0))
 
 
-def _unit(vectors: np.ndarray) -> np.ndarray:
-    matrix = np.stack([np.asarray(v, dtype="float64") for v in vectors])
+def _unit_vectors(column: pa.ListArray) -> np.ndarray:
+    """All token vectors of a column of lists of vectors, one row each, of length 1."""
+    tokens = column.flatten()
+    values = tokens.flatten().to_numpy(zero_copy_only=False).astype("float64")
+    matrix = values.reshape(len(tokens), -1)
     norms = np.linalg.norm(matrix, axis=1, keepdims=True)
     return matrix / np.where(norms == 0, 1.0, norms)
 
 
-def _best_cosines(batches: Iterator[pd.DataFrame], pair: Names) -> Iterator[pd.DataFrame]:
+def _padded(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors of each pair as one layer of a cube, and which rows of it are tokens."""
+    counts = pc.list_value_length(column).to_numpy()
+    places = np.arange(counts.max())
+    real = places < counts[:, None]
+    starts = np.cumsum(counts) - counts
+    rows = np.where(real, starts[:, None] + places, 0)
+    return _unit_vectors(column)[rows], real
+
+
+def _best_cosines(batches: Iterator[pa.RecordBatch], pair: Names) -> Iterator[pa.RecordBatch]:
+    names = [*pair, "side", "i", "best"]
     for batch in batches:
-        parts: list[dict] = []
-        for row in batch.to_dict("records"):
-            cosines = _unit(row["_hyp_v"]) @ _unit(row["_ref_v"]).T
-            for name, best in (("hyp", cosines.max(axis=1)), ("ref", cosines.max(axis=0))):
-                parts.append({"row": row, "side": name, "i": row[f"_{name}_i"], "best": best})
-        sizes = [len(p["i"]) for p in parts]
-        columns = {k: np.repeat([p["row"][k] for p in parts], sizes) for k in pair}
-        columns["side"] = np.repeat([p["side"] for p in parts], sizes)
-        for name in ("i", "best"):
-            columns[name] = np.concatenate([p[name] for p in parts]) if parts else []
-        yield pd.DataFrame(columns)
+        longest = [pc.max(pc.list_value_length(batch[f"_{n}_v"])).as_py() or 1 for n in ("hyp", "ref")]
+        step = max(1, CUBE_CELLS // (longest[0] * longest[1]))
+        for first in range(0, batch.num_rows, step):
+            part = batch.slice(first, step)
+            hyps, is_hyp = _padded(part["_hyp_v"])
+            refs, is_ref = _padded(part["_ref_v"])
+            cosines = hyps @ refs.transpose(0, 2, 1)
+            best = {
+                "hyp": np.where(is_ref[:, None, :], cosines, -np.inf).max(axis=2)[is_hyp],
+                "ref": np.where(is_hyp[:, :, None], cosines, -np.inf).max(axis=1)[is_ref],
+            }
+            for side, real in (("hyp", is_hyp), ("ref", is_ref)):
+                pairs = part.select(pair).take(pa.array(np.nonzero(real)[0]))
+                columns = [pairs[k] for k in pair]
+                sides = pa.repeat(pa.scalar(side), len(pairs))
+                places = part[f"_{side}_i"].flatten().cast(pa.int64())
+                yield pa.RecordBatch.from_arrays([*columns, sides, places, pa.array(best[side])], names)
 
 
 def embedding_match_score(pairs: DataFrame, by: Names) -> DataFrame:

@@ -17,9 +17,12 @@ SUMMARY = [
 ]
 
 
-def sink_jsonl_splits(df: DataFrame, path: str, split: str = "split") -> None:
-    """One folder of JSON lines per split; text is written as is, not escaped."""
-    df.write.mode("overwrite").partitionBy(split).option("ignoreNullFields", "false").json(path)
+def sink_jsonl_splits(df: DataFrame, path: str, split: str = "split", mode: str = "error") -> None:
+    """One folder of JSON lines per split; text is written as is, not escaped.
+
+    A path that exists is an error, unless ``mode`` says otherwise.
+    """
+    df.write.mode(mode).partitionBy(split).option("ignoreNullFields", "false").json(path)
 
 
 def new_session_rows(summary: DataFrame, key: str) -> DataFrame:
