@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from parley.functions.text import strip
+from parley.sources.records import split_csv
 
 DIALOGUE = "Situation string, emotion string, empathetic_dialogues string, labels string"
 
@@ -25,36 +30,64 @@ def scan_dialogues(
 ) -> DataFrame:
     """Dialogue CSV with a header: the columns of ``schema`` by name, then any others as text.
 
-    With ``line_breaks`` quoted fields may hold them, and a file is one task's
-    work; without, large files are split.
+    With ``line_breaks`` quoted fields may hold them. Large files are split either
+    way; without, no borders of records have to be found.
     """
-    rows = spark.read.csv(path, header=True, multiLine=line_breaks, escape='"')
+    rows = split_csv(spark, path) if line_breaks else spark.read.csv(path, header=True, escape='"')
     wanted = StructType.fromDDL(schema)
     others = [F.col(f"`{c}`") for c in rows.columns if c not in wanted.names]
     return rows.select(*[F.col(f"`{f.name}`").cast(f.dataType) for f in wanted], *others)
 
 
-def in_file_order(df: DataFrame) -> tuple[DataFrame, list[str]]:
-    """``df`` with columns that order its rows as they stand in the files."""
-    placed = df.withColumns(
-        {
-            "_file": F.col("_metadata.file_path"),
-            "_block": F.col("_metadata.file_block_start"),
-            "_row": F.monotonically_increasing_id(),
-        }
-    )
-    return placed, ["_file", "_block", "_row"]
+def first_rows(read: Callable[[str | list[str]], DataFrame], path: str, n: int) -> DataFrame:
+    """The first ``n`` rows of the files at ``path``, in the order of their names.
+
+    Rows are counted in one file, then in two more, four more, until there are enough;
+    later files are not opened. Of the file in which the n-th row lies, splits before it
+    are taken whole and only the last is ordered.
+    """
+    df = read(path)
+    file, split = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+    # A read without columns counts blank lines, which are no rows.
+    counted = [F.count(F.lit(1)).alias("n"), F.max(F.hash(*[F.col(f"`{c}`") for c in df.columns]))]
+    # ``file:///x`` in the list is ``file:/x`` in the metadata.
+    names = sorted(x.replace(":///", ":/", 1) for x in df.inputFiles())
+    before, ahead = 0, 1
+    for i in range(len(names) + 1):
+        if i == len(names):
+            return df
+        if i == ahead - 1:
+            now = read([_literal(x) for x in names[i : i + ahead]])
+            rows_of = {r.file: r.n for r in now.groupBy(file.alias("file")).agg(*counted).collect()}
+            ahead *= 2
+        rows = rows_of.get(names[i], 0)
+        if before + rows >= n:
+            break
+        before += rows
+    last = read(_literal(names[i]))
+    splits = last.groupBy(split.alias("split")).agg(*counted).collect()
+    for r in sorted(splits):
+        if before + r.n >= n:
+            break
+        before += r.n
+    ends = last.where(split == r.split).withColumn("_row", F.monotonically_increasing_id())
+    out = ends.orderBy("_row").limit(n - before).drop("_row")
+    if r.split:
+        out = last.where(split < r.split).unionByName(out)
+    return read([_literal(x) for x in names[:i]]).unionByName(out) if i else out
+
+
+def _literal(uri: str) -> str:
+    """A listed file as a path to read: not encoded, and no pattern."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(uri))
 
 
 def scan_jsonl(
     spark: SparkSession, path: str, schema: str, max_samples: int | None = None
 ) -> DataFrame:
     """JSON lines; with ``max_samples`` the first so many in file order."""
-    df = spark.read.schema(schema).json(path)
-    if not max_samples:
-        return df
-    placed, order = in_file_order(df)
-    return placed.orderBy(*order).limit(max_samples).drop(*order)
+    read = spark.read.schema(schema).json
+    return first_rows(read, path, max_samples) if max_samples else read(path)
 
 
 def single_text_column(

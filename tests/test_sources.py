@@ -1,5 +1,6 @@
 import json
 from pathlib import Path
+from random import Random
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from parley.operators import sessions
 from parley.session import new_folder, shared_folder
 from parley.sources import files, sinks
+from parley.sources import records as records_module
 
 
 def write(path: Path, text: str) -> str:
@@ -45,6 +47,82 @@ def test_jsonl_limit_in_file_order(spark, tmp_path):
     assert len(texts(files.single_text_column(spark, path, "text", one_more=False))) == 100
 
 
+def test_first_rows_open_no_later_file(spark, tmp_path):
+    folder = tmp_path / "with [blank] 100% é"
+    folder.mkdir()
+    for name, first in (("a", 0), ("b", 100), ("c", 200)):
+        write(folder / f"{name}.jsonl", "\n".join(json.dumps({"t": i}) + "\n" for i in range(first, first + 100)))
+    (folder / "d.jsonl.gz").write_bytes(b"no archive")
+    (tmp_path / "x").mkdir()
+    path = str(tmp_path / "with*")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    spark.conf.set("spark.sql.files.openCostInBytes", "100")
+    try:
+        for n in (1, 30, 99, 100, 101, 150, 200, 260, 300):
+            out = files.scan_jsonl(spark, path, "t long", n)
+            assert sorted(r.t for r in out.collect()) == list(range(n)), n
+            assert "Sort [" not in out._jdf.queryExecution().executedPlan().toString()
+        with pytest.raises(Exception, match="(?i)gzip"):
+            files.scan_jsonl(spark, path, "t long", 301).collect()
+        few = files.scan_jsonl(spark, path.replace("with*", "with*/[a-c]*"), "t long", 301)
+        assert few.count() == 300
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+@pytest.mark.parametrize("size", [7, 40, 200, 100_000])
+def test_split_csv_reads_what_the_whole_reader_reads(spark, tmp_path, size):
+    for name in ("a", "b"):
+        lines = ["\n" * (name == "b") + "a b,c,`d`"]
+        for i in range(12):
+            records = ['plain,"b",c', '"one, ""two""",x,"\nthree"",y"', '"a\n\nb\nc",,"\n"', '5" pipe,6" pipe,"""\n"""', '"","""",",\n,"', "", '"été","line\n,two",end', '"' + "long, \n" * 90 + '",1,2', "short"]
+            Random(i).shuffle(records)
+            lines += records
+        write(tmp_path / f"{name}.csv", "\n".join(lines) + "\n" * (name == "a"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        whole = spark.read.csv(str(tmp_path), header=True, multiLine=True, escape='"')
+        split = records_module.split_csv(spark, str(tmp_path))
+        assert split.columns == whole.columns == ["a b", "c", "`d`"]
+        order = lambda df: sorted(map(repr, df.collect()))
+        assert order(split) == order(whole) and split.count() == 12 * 8 * 2
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > (1 if size < 1000 else 0)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_ends_of_lines_in_quotes(spark):
+    lines = ['a', '', '"', '""', '"""', 'a"', 'a,"', ',""",', '"a","b', '"a"x"', '"a"x,"', '",', '","', 'x","y"']
+    df = spark.createDataFrame([(x,) for x in lines], "v string")
+    got = df.select("v", *[records_module.ends_quoted(F.col("v"), q) for q in (False, True)]).collect()
+
+    def ends(line, quoted):
+        at_start, i = not quoted, 0
+        while i < len(line):
+            if quoted and line[i] == '"':
+                if line[i + 1 : i + 2] == '"':
+                    i += 1
+                else:
+                    quoted = False
+            elif not quoted and line[i] == '"' and at_start:
+                quoted = True
+            at_start = not quoted and line[i] == ","
+            i += 1
+        return quoted
+
+    assert [tuple(r) for r in got] == [(x, ends(x, False), ends(x, True)) for x in lines]
+
+
+def test_csv_line_ends_of_two_characters(spark, tmp_path):
+    path = write(tmp_path / "w.csv", "")
+    Path(path).write_bytes(b'x,y\r\n1,"a\r\nb"\r\n\r\n"2",c\r\n')
+    got = records_module.split_csv(spark, path).collect()
+    assert sorted(tuple(r) for r in got) == [("1", "a\r\nb"), ("2", "c")]
+
+
 def test_transcript_lines(spark, tmp_path):
     path = write(tmp_path / "a.trans.txt", "1-0 HE HOPED  SO \n1-1 STUFF IT\n\n")
     out = files.scan_transcripts(spark, path, "audio/").orderBy("audio").collect()
