@@ -209,7 +209,7 @@ def byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("op10_hmm_scores")
 def hmm_scores(spark: SparkSession, sf: str) -> DataFrame:
-    return score_texts(table(spark, sf, "documents"), folds=7, left_out=2, states=4, rounds=2)
+    return score_texts(table(spark, sf, "documents"), folds=7, left_out=2, states=4)
 
 
 def sql_codes(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:

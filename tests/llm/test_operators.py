@@ -437,32 +437,40 @@ def test_language_model_awkward(awkward, empty):
 
 
 def test_likelihoods_sum_to_one():
-    """Forward probabilities of all sequences of a length make one; the cut passes agree with plain ones."""
+    """Probabilities of all texts of a length make one; expected counts are those of all paths."""
     from itertools import product
 
-    from parley.llm.hmm_lm import CLASSES, Markov, expected, log_likelihoods
+    from parley.llm.hmm_lm import Lanes, Markov, expect, forward
 
     rng = np.random.default_rng(0)
-    emit = np.zeros((CLASSES, 2))
-    emit[:3] = rng.random((3, 2))
-    step = rng.random((2, 2))
-    model = Markov(np.array([0.3, 0.7]), step / step.sum(1, keepdims=True), emit / emit.sum(0))
-    every = [np.array(x, np.uint16) for x in product(range(3), repeat=4)]
-    assert np.exp(log_likelihoods(model, [x.tobytes() for x in every])).sum() == pytest.approx(1)
-    one = np.array([0, 2, 1, 1, 0], np.uint16)
-    paths = list(product(range(2), repeat=5))
-    weight = []
-    for p in paths:
-        w = model.start[p[0]] * model.emit[one[0], p[0]]
-        for t in range(1, 5):
-            w *= model.step[p[t - 1], p[t]] * model.emit[one[t], p[t]]
-        weight.append(w)
-    weight = np.array(weight) / sum(weight)
-    sums = expected(model, one[None, :], np.array([5]))
-    steps = sums[2:6].reshape(2, 2)
-    for a, b in product(range(2), repeat=2):
-        n = sum(w * sum(p[t - 1] == a and p[t] == b for t in range(1, 5)) for p, w in zip(paths, weight))
-        assert steps[a, b] == pytest.approx(n)
+    model = Markov(np.array([0.3, 0.7]), np.array([[0.8, 0.2], [0.4, 0.6]]), np.array([5.0, 4.0]), 9, 3, 1)
+    dealt = np.array([[3.0, 1.0], [1.5, 2.5], [0.5, 0.5], [0.0, 0.0]])
+    emit = model.emissions(np.array([4, 4, 1, 0]), dealt)
+    assert emit.sum(0) == pytest.approx([1, 1])
+    every = [np.array(x, np.uint16) for x in product(range(4), repeat=4)]
+    lanes = Lanes.of(every)
+    logs = np.bincount(lanes.row, weights=np.log(forward(model, emit, lanes)[2]))
+    assert np.exp(logs).sum() == pytest.approx(1)
+    texts = [rng.integers(0, 4, n).astype(np.uint16) for n in (6, 5, 5, 1)]
+    by_token, starts, steps, total = np.zeros((4, 2)), np.zeros(2), np.zeros((2, 2)), 0.0
+    for text in texts:
+        paths = list(product(range(2), repeat=len(text)))
+        weight = []
+        for p in paths:
+            w = model.start[p[0]] * emit[text[0], p[0]]
+            for t in range(1, len(text)):
+                w *= model.step[p[t - 1], p[t]] * emit[text[t], p[t]]
+            weight.append(w)
+        total += np.log(sum(weight))
+        for p, w in zip(paths, np.array(weight) / sum(weight), strict=True):
+            starts[p[0]] += w
+            for t, x in enumerate(text):
+                by_token[x, p[t]] += w
+                if t:
+                    steps[p[t - 1], p[t]] += w
+    own, sums = expect(model, emit, Lanes.of(texts))
+    assert own == pytest.approx(by_token)
+    assert sums == pytest.approx([*starts, *steps.ravel(), *by_token.sum(0), total, 17])
 
 
 def test_prose_is_clean(awkward):

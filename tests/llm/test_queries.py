@@ -3,9 +3,12 @@
 import hashlib
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 import __spark_entry__ as driver
+from parley.llm import hmm_lm
 from parley.llm import queries as corpus
 from parley.plans.check import comparable, connect
 
@@ -105,6 +108,14 @@ def test_language_model(spark, sf, documents):
     held = [r for r in rows if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
     assert all(r.score < 0 for r in rows)
+    texts = [(r.doc_id, [*plain.WORD.findall(plain.lower(r.text or "")), None]) for r in documents]
+    words = sorted({w for _, x in texts for w in x[:-1]})
+    keys = [hmm_lm.END_KEY, *[int(k[0]) for w in words for _, k, _ in hmm_lm.tokens(pa.table({"text": [w]}))]]
+    lean = dict(zip([None, *words], hmm_lm.leanings(np.array(keys, np.uint64), 4).tolist(), strict=True))
+    scores, rounds = plain.hidden_markov(texts, lean, 0.05, hmm_lm.STAYS)
+    assert rounds > 2
+    for r in rows:
+        assert r.score == pytest.approx(scores[r.doc_id], rel=1e-5)
 
 
 def test_pipeline(spark, sf, documents):
