@@ -137,60 +137,65 @@ def languages(learned, texts, unseen=0.01):
     return out
 
 
-def hidden_markov(texts, lean, tolerance, stays):
-    """log10 probabilities of texts, (id, words) each, one text and one word after the other."""
+def hidden_markov(texts, class_of, first, classes, parts, tolerance):
+    """log10 probabilities of texts, (id, words) each, one text and one word after the other.
+
+    ``class_of`` gives the class of a word and its count; ``first`` start, step and
+    emissions before the first round.
+    """
     taught = [zlib.crc32(str(i).encode()) % 7 != 2 for i, _ in texts]
     counts = Counter(w for t, (_, words) in zip(taught, texts) if t for w in words)
-    once = sum(c == 1 for c in counts.values())
-    whole = sum(counts.values()) + len(counts) + once + 1
-    k = len(next(iter(lean.values())))
-    states = range(k)
-    dealt = {w: [c * x for x in lean[w]] for w, c in counts.items()}
-    start = [1 / k] * k
-    step = [[stays if a == b else (1 - stays) / (k - 1) for b in states] for a in states]
-
-    def emission(w, dealt, total):
-        share = (counts[w] + 1 if counts[w] else once + 1) / whole
-        own = dealt.get(w, [0.0] * k)
-        return [(own[s] + (len(counts) + 1) * share) / (total[s] + len(counts) + 1) for s in states]
-
-    def forward(words, emit):
+    kind = {w: class_of(w, counts[w]) for _, words in texts for w in words}
+    unseen = classes - 2
+    weight = [0.0] * classes
+    for w, c in counts.items():
+        weight[kind[w]] += c + 1
+    weight[unseen] += 1
+    share = [x + 1e-3 for x in weight]
+    share[unseen] += sum(c for w, c in counts.items() if kind[w] < parts)
+    share = [x / sum(share) for x in share]
+    start, step, emit = first(share)
+    states = range(len(start))
+
+    def forward(words):
         rows, logs = [], 0.0
         for t, w in enumerate(words):
             moved = [sum(rows[-1][0][a] * step[a][s] for a in states) for s in states] if t else start
-            row = [x * e for x, e in zip(moved, emit[w])]
+            row = [x * e for x, e in zip(moved, emit[kind[w]])]
             logs += math.log(sum(row))
             rows.append(([x / sum(row) for x in row], sum(row)))
         return rows, logs
 
-    reached, rounds = float("-inf"), 0
-    while True:
-        total = [sum(x[s] for x in dealt.values()) for s in states]
-        emit = {w: emission(w, dealt, total) for w in lean}
-        if rounds and gain <= tolerance:
-            break
+    reached, gain, rounds = -math.inf, math.inf, 0
+    while gain > tolerance:
         rounds += 1
         logs, n = 0.0, 0
-        new = {w: [0.0] * k for w in counts}
-        starts, steps = [1e-2] * k, [[1e-2] * k for _ in states]
+        new = [[x] * len(states) for x in share]
+        starts, steps = [1e-2] * len(states), [[1e-2] * len(states) for _ in states]
         for t, (_, words) in zip(taught, texts):
             if not t:
                 continue
-            rows, own = forward(words, emit)
+            rows, own = forward(words)
             logs, n = logs + own, n + len(words)
-            back = [1.0] * k
+            back = [1.0] * len(states)
             for i in range(len(words) - 1, -1, -1):
                 row, size = rows[i]
                 for s in states:
-                    new[words[i]][s] += row[s] * back[s]
+                    new[kind[words[i]]][s] += row[s] * back[s]
                     starts[s] += row[s] * back[s] if i == 0 else 0.0
-                ahead = [emit[words[i]][s] * back[s] / size for s in states]
+                ahead = [emit[kind[words[i]]][s] * back[s] / size for s in states]
                 for a in states if i else ():
                     for b in states:
                         steps[a][b] += rows[i - 1][0][a] * step[a][b] * ahead[b]
                 back = [sum(step[a][b] * ahead[b] for b in states) for a in states]
         gain, reached = logs / n - reached, logs / n
+        for s in states:
+            new[unseen][s] += sum(x[s] for x in new[:parts])
         start = [x / sum(starts) for x in starts]
         step = [[x / sum(row) for x in row] for row in steps]
-        dealt = new
-    return {i: forward(words, emit)[1] / math.log(10) for i, words in texts}, rounds
+        total = [sum(x[s] for x in new) for s in states]
+        emit = [[x[s] / total[s] for s in states] for x in new]
+    inside = {w: math.log10((counts[w] + 1) / weight[kind[w]]) for w in kind}
+    return {
+        i: forward(words)[1] / math.log(10) + sum(inside[w] for w in words) for i, words in texts
+    }, rounds

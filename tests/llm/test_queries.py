@@ -110,12 +110,21 @@ def test_language_model(spark, sf, documents):
     assert all(r.score < 0 for r in rows)
     texts = [(r.doc_id, [*plain.WORD.findall(plain.lower(r.text or "")), None]) for r in documents]
     words = sorted({w for _, x in texts for w in x[:-1]})
-    keys = [hmm_lm.END_KEY, *[int(k[0]) for w in words for _, k, _ in hmm_lm.tokens(pa.table({"text": [w]}))]]
-    lean = dict(zip([None, *words], hmm_lm.leanings(np.array(keys, np.uint64), 4).tolist(), strict=True))
-    scores, rounds = plain.hidden_markov(texts, lean, 0.05, hmm_lm.STAYS)
+    key = {w: k[0] for w in words for _, k, _ in hmm_lm.tokens(pa.table({"text": [w]}))}
+    key[None] = hmm_lm.END_KEY
+
+    def class_of(word, count):
+        return int(hmm_lm.classes_of(np.array([key[word]], np.uint64), np.array([count]))[0])
+
+    def first(share):
+        emit = np.array(share)[:, None] * np.random.default_rng(7).uniform(0.5, 1.5, (len(share), 4))
+        step = np.full((4, 4), 0.01) + 0.96 * np.eye(4)
+        return [0.25] * 4, step.tolist(), (emit / emit.sum(0)).tolist()
+
+    scores, rounds = plain.hidden_markov(texts, class_of, first, hmm_lm.CLASSES, hmm_lm.PARTS, 0.05)
     assert rounds > 2
     for r in rows:
-        assert r.score == pytest.approx(scores[r.doc_id], rel=1e-5)
+        assert r.score == pytest.approx(scores[r.doc_id], rel=1e-9)
 
 
 def test_pipeline(spark, sf, documents):
