@@ -7,7 +7,9 @@ ones. A block has on average at least ``BLOCK_ROWS`` rows, and a key at most
 ``MOST_BLOCKS`` blocks, so the tables of borders and of what crosses them have at
 most one row for ``BLOCK_ROWS`` rows (of 10**12 rows a million, some 50 MB) and are
 broadcast; rows are shuffled once, by key and block. Where no key is long these
-tables are empty, and adaptive execution takes their joins out.
+tables are empty, and adaptive execution takes their joins out. A caller's ``limit``
+below ``SENT_ROWS`` makes tables that grow with the rows: these are never hinted as
+broadcasts, and rows are shuffled by key to meet them.
 
 Sequential work is cut into chunks whose borders depend on the position within
 the key alone, so a key's results are the same, bit for bit, whatever other keys
@@ -28,8 +30,11 @@ from parley.session import pinned
 # Least rows of a block, and the most blocks of a key, both on average.
 BLOCK_ROWS = 1 << 20
 MOST_BLOCKS = 4096
-# Borders are searched in groups of this size.
-SEARCHED = 64
+# Least rows of a block whose tables (borders, totals) are broadcast. With smaller blocks they
+# grow with the rows, so they are joined by a shuffle, and adaptive execution broadcasts small ones.
+SENT_ROWS = 1 << 16
+# Steps of the search among the borders of a key, which reaches twice the most blocks.
+SEARCH_STEPS = [1 << i for i in range(12, -1, -1)]
 # Rows of a chunk, which is one array. A key of one chunk has no summaries to
 # compose, and chunk n starts from the same state in every plan.
 FOLD_ROWS = 256
@@ -71,82 +76,117 @@ def _renamed(keys: Names) -> list[Column]:
     return [F.col(k).alias(f"_r_{k}") for k in keys]
 
 
-@dataclass(frozen=True)
-class _Blocks:
-    """The blocks of a table: a broadcast table of borders, and how a row finds its block."""
-
-    borders: DataFrame
-    on: Column
-    number: Column
+def _sent(table: DataFrame, limit: int) -> DataFrame:
+    """A table of at most a row for ``limit`` rows, broadcast where that makes it small."""
+    return F.broadcast(table) if limit >= SENT_ROWS else table
 
 
-def _blocks(
-    df: DataFrame, keys: Names, order: list[str | Column], limit: int, sized: DataFrame | None
-) -> _Blocks:
-    """Borders of the blocks of long keys: their keys (``_r_…``), ``_heads`` and ``_first``.
+def _with_blocks(
+    df: DataFrame,
+    keys: Names,
+    order: list[str | Column],
+    limit: int = BLOCK_ROWS,
+    sized: DataFrame | None = None,
+) -> DataFrame:
+    """``df`` with the number of the row's block in its key (``_block``), null in short keys.
 
     A row of a key with more rows than a block is a border if the hash of its
     place in the order says so, one in as many as a block has rows. ``_heads``
-    are all borders of a key in order, ``_first`` every 64th of them. The number of
-    a block is null in short keys.
+    are all borders of a key in order. ``_long`` tells that the key has blocks.
     """
     place = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(_columns(order))])
     counts = key_rows(df, keys) if sized is None else sized
     long = counts.where(F.col("_n") > limit).select(*_renamed(keys), F.col("_n").alias("_r_n"))
-    rows = F.greatest(F.lit(limit), F.floor(F.col("_r_n") / MOST_BLOCKS)).cast("long")
-    chosen = df.select(*keys, place.alias("_o")).join(
-        F.broadcast(long), _same(keys) & (F.pmod(F.xxhash64("_o"), rows) == 0)
-    )
+    # One row in limit, and of a key with very many rows one in _r_n / MOST_BLOCKS.
+    rows = df.select(*keys, place.alias("_o")).where(F.pmod(F.xxhash64("_o"), F.lit(limit)) == 0)
+    times = F.greatest(F.lit(1), F.floor(F.col("_r_n") / (MOST_BLOCKS * limit))).cast("long")
+    again = F.pmod(F.xxhash64(F.lit(1), "_o"), times) == 0
+    chosen = rows.join(_sent(long, limit), _same(keys)).where(again)
     heads = F.sort_array(F.collect_set("_o"))
-    borders = chosen.groupBy(*[f"_r_{k}" for k in keys]).agg(
-        heads.alias("_heads"), F.filter(heads, lambda _, i: i % SEARCHED == 0).alias("_first")
-    )
+    steps = F.filter(F.array(*map(F.lit, SEARCH_STEPS)), lambda step: step <= F.size(heads))
+    borders = chosen.groupBy(*[f"_r_{k}" for k in keys]).agg(heads.alias("_heads"), steps.alias("_steps"))
     # Without keys there is a row of borders even where there are none.
     some = borders if keys else borders.where(F.size("_heads") > 0)
 
-    def reached(of: Column) -> Column:
-        return F.size(F.filter(of, lambda h: h <= place))
+    def reached(at: Column, step: Column) -> Column:
+        return F.when(F.get("_heads", at + step - 1) <= place, at + step).otherwise(at)
 
-    group = F.greatest(reached(F.col("_first")) - 1, F.lit(0)) * SEARCHED
-    number = group + reached(F.slice("_heads", group + 1, F.lit(SEARCHED)))
-    return _Blocks(F.broadcast(some), _same(keys), F.when(F.col("_heads").isNotNull(), number))
+    # Binary search: the borders that are not after the row.
+    number = F.aggregate("_steps", F.lit(0), reached)
+    cut = F.col("_heads").isNotNull()
+    return df.join(_sent(some, limit), _same(keys), "left").select(
+        *df.columns, F.when(cut, number).alias("_block"), cut.alias("_long")
+    )
 
 
-def running_sum(
+def scanned(
     df: DataFrame,
     keys: Names,
     order: list[str | Column],
-    value: Column,
-    out: str,
+    sums: dict[str, Column] | None = None,
+    fills: dict[str, Column] | None = None,
     limit: int = BLOCK_ROWS,
     sized: DataFrame | None = None,
+    backwards: bool = False,
 ) -> DataFrame:
-    """Sum of ``value`` over the rows of the key that come before this one.
+    """Running sums and fills over the same order, in one pass over the blocks of a key.
 
-    Summed within each block, and raised by the total of the key's earlier
-    blocks. ``order`` is ascending. ``sized`` gives the rows of each key (or more)
-    as ``key_rows`` does, where they are cheaper to count elsewhere.
+    ``sums`` are over the rows before this one, ``fills`` the latest non-null value up to and
+    including this row; each block's are raised or filled from the key's earlier blocks.
+    ``order`` is ascending; fills may read it ``backwards`` instead. ``sized`` gives the rows of
+    each key (or more) as ``key_rows`` does, where they are cheaper to count elsewhere.
     """
-    before = (Window.unboundedPreceding, -1)
-    blocks = _blocks(df, keys, order, limit, sized)
-    totals = (
-        df.join(blocks.borders, blocks.on)
-        .groupBy(*[f"_r_{k}" for k in keys], blocks.number.alias("_r__block"))
-        .agg(F.sum(value).alias("_total"))
+    sums, fills = sums or {}, fills or {}
+    place = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(_columns(order))])
+    others, by = [f"_r_{k}" for k in keys], [*keys, "_block"]
+    rows = _with_blocks(df, keys, order, limit, sized)
+
+    def run(names: Names, ordering: list[Column]) -> WindowSpec:
+        if backwards:
+            ordering = [c.desc() for c in ordering]
+        return Window.partitionBy(*names).orderBy(*ordering)
+
+    before, upto = (Window.unboundedPreceding, -1), (Window.unboundedPreceding, Window.currentRow)
+    pick = F.min_by if backwards else F.max_by
+    # On ``_long`` the join becomes an inner one, which goes where there are no borders. It may then
+    # be turned round to stream the borders, so tables that are not broadcast stay on their side.
+    inner = rows.where("_long" if limit >= SENT_ROWS else "_block is not null")
+    ends = inner.groupBy(*_renamed(by)).agg(
+        *[F.sum(v).alias(f"_e_{n}") for n, v in sums.items()],
+        *[pick(v, F.when(v.isNotNull(), place)).alias(f"_e_{n}") for n, v in fills.items()],
     )
-    earlier = Window.partitionBy(*[f"_r_{k}" for k in keys]).orderBy("_r__block").rowsBetween(*before)
-    offsets = totals.select(
-        *[f"_r_{k}" for k in keys], "_r__block", F.sum("_total").over(earlier).alias("_offset")
+    earlier = run(others, [F.col("_r__block")]).rowsBetween(*before)
+    carried = ends.select(
+        *_columns([f"_r_{k}" for k in by]),
+        *[F.sum(f"_e_{n}").over(earlier).alias(f"_c_{n}") for n in sums],
+        *[F.last(f"_e_{n}", ignorenulls=True).over(earlier).alias(f"_c_{n}") for n in fills],
     )
-    by = [*keys, "_block"]
-    within = Window.partitionBy(*by).orderBy(*_columns(order)).rowsBetween(*before)
-    rows = df.join(blocks.borders, blocks.on, "left").select(
-        *df.columns, blocks.number.alias("_block"), value.alias("_value")
+    values = [v.alias(f"_v_{n}") for n, v in (sums | fills).items()]
+    within = run(by, _columns(order))
+    local = rows.select(*df.columns, "_block", *values).select(
+        *df.columns,
+        "_block",
+        *[F.coalesce(F.sum(f"_v_{n}").over(within.rowsBetween(*before)), F.lit(0)).alias(f"_l_{n}") for n in sums],
+        *[F.last(f"_v_{n}", ignorenulls=True).over(within.rowsBetween(*upto)).alias(f"_l_{n}") for n in fills],
     )
-    local = rows.select(*df.columns, "_block", F.coalesce(F.sum("_value").over(within), F.lit(0)).alias("_local"))
-    raised = F.col("_local") + F.coalesce("_offset", F.lit(0))
-    kept = [c for c in df.columns if c != out]
-    return local.join(F.broadcast(offsets), _same(by), "left").select(*kept, raised.alias(out))
+    return local.join(_sent(carried, limit), _same(by), "left").select(
+        *[c for c in df.columns if c not in sums and c not in fills],
+        *[(F.col(f"_l_{n}") + F.coalesce(f"_c_{n}", F.lit(0))).alias(n) for n in sums],
+        *[F.coalesce(f"_l_{n}", f"_c_{n}").alias(n) for n in fills],
+    )
+
+
+def running_sum(
+    df: DataFrame,
+    keys: Names,
+    order: list[str | Column],
+    value: Column,
+    out: str,
+    limit: int = BLOCK_ROWS,
+    sized: DataFrame | None = None,
+) -> DataFrame:
+    """Sum of ``value`` over the rows of the key that come before this one, as in ``scanned``."""
+    return scanned(df, keys, order, sums={out: value}, limit=limit, sized=sized)
 
 
 def with_position(
@@ -204,40 +244,12 @@ def last_known(
     sized: DataFrame | None = None,
     backwards: bool = False,
 ) -> DataFrame:
-    """The latest non-null ``value`` up to and including this row.
+    """The latest non-null ``value`` up to and including this row, as in ``scanned``.
 
     ``backwards`` reads the (ascending) order from its end: the next value
-    instead. Filled inside each block, then from the last value of the blocks
-    before.
+    instead.
     """
-    place = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(_columns(order))])
-    upto = Window.unboundedPreceding
-    blocks = _blocks(df, keys, order, limit, sized)
-
-    def run(names: Names, ordering: list[Column], end: int) -> WindowSpec:
-        if backwards:
-            ordering = [c.desc() for c in ordering]
-        return Window.partitionBy(*names).orderBy(*ordering).rowsBetween(upto, end)
-
-    pick = F.min_by if backwards else F.max_by
-    others = [f"_r_{k}" for k in keys]
-    ends = (
-        df.join(blocks.borders, blocks.on)
-        .groupBy(*others, blocks.number.alias("_r__block"))
-        .agg(pick(value, F.when(value.isNotNull(), place)).alias("_end"))
-    )
-    earlier = run(others, [F.col("_r__block")], -1)
-    carried = ends.select(*others, "_r__block", F.last("_end", ignorenulls=True).over(earlier).alias("_carried"))
-    by = [*keys, "_block"]
-    rows = df.join(blocks.borders, blocks.on, "left").select(
-        *df.columns, blocks.number.alias("_block"), value.alias("_value")
-    )
-    within = run(by, _columns(order), Window.currentRow)
-    local = rows.select(*df.columns, "_block", F.last("_value", ignorenulls=True).over(within).alias("_local"))
-    kept = [c for c in df.columns if c != out]
-    return local.join(F.broadcast(carried), _same(by), "left").select(
-        *kept, F.coalesce("_local", "_carried").alias(out)
-    )
+    return scanned(df, keys, order, fills={out: value}, limit=limit, sized=sized, backwards=backwards)
 
 
 def as_of(
