@@ -94,14 +94,16 @@ def _with_blocks(
     place in the order says so, one in as many as a block has rows. ``_heads``
     are all borders of a key in order. ``_long`` tells that the key has blocks.
     """
-    place = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(_columns(order))])
+    # A row without a place is before the first border, as nulls are first in order.
+    parts = _columns(order)
+    place = parts[0] if len(parts) == 1 else F.struct(*[c.alias(f"o{i}") for i, c in enumerate(parts)])
     counts = key_rows(df, keys) if sized is None else sized
-    long = counts.where(F.col("_n") > limit).select(*_renamed(keys), F.col("_n").alias("_r_n"))
+    busy = counts.where(F.col("_n") > limit).select(*_renamed(keys), F.col("_n").alias("_r_n"))
     # One row in limit, and of a key with very many rows one in _r_n / MOST_BLOCKS.
     rows = df.select(*keys, place.alias("_o")).where(F.pmod(F.xxhash64("_o"), F.lit(limit)) == 0)
     times = F.greatest(F.lit(1), F.floor(F.col("_r_n") / (MOST_BLOCKS * limit))).cast("long")
     again = F.pmod(F.xxhash64(F.lit(1), "_o"), times) == 0
-    chosen = rows.join(_sent(long, limit), _same(keys)).where(again)
+    chosen = rows.join(_sent(busy, limit), _same(keys)).where(again)
     heads = F.sort_array(F.collect_set("_o"))
     steps = F.filter(F.array(*map(F.lit, SEARCH_STEPS)), lambda step: step <= F.size(heads))
     borders = chosen.groupBy(*[f"_r_{k}" for k in keys]).agg(heads.alias("_heads"), steps.alias("_steps"))
@@ -114,8 +116,12 @@ def _with_blocks(
     # Binary search: the borders that are not after the row.
     number = F.aggregate("_steps", F.lit(0), reached)
     cut = F.col("_heads").isNotNull()
+    # A filter on borders alone makes the join an inner one, which goes where there are no borders.
+    # It may be turned round to stream the borders, so tables that are not broadcast are kept
+    # on their side by a condition on the row too (a short key it lets through has no block).
+    long = cut if limit >= SENT_ROWS else F.when(cut, True).otherwise(F.xxhash64(place) == 0)
     return df.join(_sent(some, limit), _same(keys), "left").select(
-        *df.columns, F.when(cut, number).alias("_block"), cut.alias("_long")
+        *df.columns, F.when(cut, number).alias("_block"), long.alias("_long")
     )
 
 
@@ -148,10 +154,7 @@ def scanned(
 
     before, upto = (Window.unboundedPreceding, -1), (Window.unboundedPreceding, Window.currentRow)
     pick = F.min_by if backwards else F.max_by
-    # On ``_long`` the join becomes an inner one, which goes where there are no borders. It may then
-    # be turned round to stream the borders, so tables that are not broadcast stay on their side.
-    inner = rows.where("_long" if limit >= SENT_ROWS else "_block is not null")
-    ends = inner.groupBy(*_renamed(by)).agg(
+    ends = rows.where("_long").groupBy(*_renamed(by)).agg(
         *[F.sum(v).alias(f"_e_{n}") for n, v in sums.items()],
         *[pick(v, F.when(v.isNotNull(), place)).alias(f"_e_{n}") for n, v in fills.items()],
     )
