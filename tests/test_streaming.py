@@ -233,3 +233,30 @@ def test_capped_utterances_equal_the_batch_form(spark, turns, cap):
     assert {tuple(r) for r in over.select(*sorted(over.columns)).collect()} <= got
     assert got <= {tuple(r) for r in batch.select(*sorted(batch.columns)).collect()}
     assert out.count() == len(got)
+
+
+def test_keys_are_put_in_order_without_sorting_frames(monkeypatch):
+    """A key has a few rows in a batch, so what pandas costs for each frame is the cost of a stream."""
+    import pandas as pd
+
+    times = pd.to_datetime([3, 1, 2, 1], unit="s")
+    rows = pd.DataFrame({"ts": times, "id": [1, 9, 3, 4], "v": list("abcd")})
+    expected = rows.sort_values(["ts", "id"], ignore_index=True)
+    text = rows.sort_values(["v"], ascending=False)
+    monkeypatch.setattr(pd.DataFrame, "sort_values", None)
+    got = streams.in_order(rows, ["ts", "id"])
+    assert got.equals(expected) and streams.in_order(got, ["ts", "id"]) is got
+    monkeypatch.undo()
+    assert streams.in_order(text, ["v"])["v"].tolist() == list("abcd")
+
+
+def test_keys_that_settle_nothing_make_no_frames():
+    import pandas as pd
+
+    rows = pd.DataFrame({"_cut": [True], "_turn": [None], "_us": [5], "_end_us": [0]})
+    tables = []
+    for tracker in (trackers.InterruptTracker(None), trackers.InterruptTracker(None)):
+        tracker.feed(rows)
+        tables.append(tracker.settled(0))
+        assert tracker.dump() == ([], [5])
+    assert tables[0] is tables[1] and not len(tables[0])
