@@ -504,12 +504,13 @@ def viseme_timeline_split_utterances(spark: SparkSession, sf: str) -> DataFrame:
     FROM spans s JOIN places x ON x.conv_id = s.conv_id AND x.turn = s.turn""",
 )
 def word_timeline(spark: SparkSession, sf: str) -> DataFrame:
-    timed = speech.cumulative_timeline(
-        phonemes(spark, sf), UTTERANCE, ["i"], "duration", sized=utterance_rows(spark, sf)
-    )
     turns = fx.table(spark, sf, "conversations").withColumn("phonemes", F.length("text"))
     spans = speech.word_boundaries(turns, UTTERANCE, "text", "phonemes")
-    return speech.word_timeline(timed, spans, UTTERANCE, "i")
+    marked = speech.with_word_ends(phonemes(spark, sf), spans, UTTERANCE, "i", "duration")
+    # A word has a letter and two ends, and what parts it from the next, so at most twice the rows.
+    sized = utterance_rows(spark, sf).withColumn("_n", F.col("_n") * 2)
+    timed = speech.cumulative_timeline(marked, UTTERANCE, speech.word_ends_first("i"), "duration", sized=sized)
+    return speech.word_timeline(timed, None, UTTERANCE, "i")
 
 
 # -- quantiles without a group in one place --------------------------------
