@@ -9,7 +9,9 @@ most one row for ``BLOCK_ROWS`` rows (of 10**12 rows a million, some 50 MB) and
 broadcast; rows are shuffled once, by key and block. Where no key is long these
 tables are empty, and adaptive execution takes their joins out. A caller's ``limit``
 below ``SENT_ROWS`` makes tables that grow with the rows: these are never hinted as
-broadcasts, and rows are shuffled by key to meet them.
+broadcasts, and rows are shuffled by key to meet them. Where the order is a count of the
+rows, blocks are ranges of it: no row looks for its block or meets a table, as what
+is carried into a block is a row of it (``scanned_places``).
 
 Sequential work is cut into chunks whose borders depend on the position within
 the key alone, so a key's results are the same, bit for bit, whatever other keys
@@ -179,6 +181,68 @@ def scanned(
     )
 
 
+def _range_start(place: Column, limit: int) -> Column:
+    """The first place of the block of a place.
+
+    Blocks are ``limit`` places wide, and from ``MOST_BLOCKS`` of them on twice as wide each
+    time the place doubles, so that a key has ``MOST_BLOCKS`` blocks, and half as many more
+    for each doubling. All starts are multiples of the width.
+    """
+    at = place.cast("long")
+    far = F.call_function("div", at, F.lit(limit * MOST_BLOCKS).cast("long"))
+    wide = F.call_function("shiftleft", F.lit(limit).cast("long"), F.length(F.bin(far)))
+    return at - F.pmod(at, F.when(far > 0, wide).otherwise(limit))
+
+
+def scanned_places(
+    df: DataFrame,
+    keys: Names,
+    place: str,
+    sums: dict[str, Column] | None = None,
+    fills: dict[str, Column] | None = None,
+    limit: int = BLOCK_ROWS,
+) -> DataFrame:
+    """``scanned`` where ``place``, a whole number, counts the rows of a key.
+
+    Rows are shuffled once, by key and block, together with a row for each block that holds
+    what the earlier ones leave it. Gaps in the places only make blocks smaller. The result also
+    has the start of the block (``_block``) and the row's own values (``_v_…``), and its rows lie by
+    key and block, in order.
+    """
+    sums, fills = sums or {}, fills or {}
+    by, at = [*keys, "_block"], F.col(place)
+    rows = df.withColumn("_block", _range_start(at, limit))
+    # Rows without a place are the first block.
+    known = F.coalesce(at.cast("long"), F.lit(-(1 << 63)))
+    ends = rows.groupBy(*by).agg(
+        *[F.sum(v).alias(n) for n, v in sums.items()],
+        *[F.max_by(v, F.when(v.isNotNull(), known)).alias(n) for n, v in fills.items()],
+    )
+    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(
+        *by,
+        F.struct(
+            *[F.sum(n).over(earlier).alias(n) for n in sums],
+            *[F.last(n, ignorenulls=True).over(earlier).alias(n) for n in fills],
+        ).alias("_carried"),
+    ).where(reduce(lambda a, b: a | b, [F.col("_carried")[n].isNotNull() for n in [*sums, *fills]]))
+    # What is carried has no place, so it is the first row of its block.
+    held = rows.unionByName(carried, allowMissingColumns=True).repartition(*by)
+    own = F.col("_carried").isNull()
+    values = {n: F.when(own, v).otherwise(F.col("_carried")[n]) for n, v in (sums | fills).items()}
+    within = Window.partitionBy(*by).orderBy(place)
+    before = within.rowsBetween(Window.unboundedPreceding, -1)
+    upto = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    kept = [c for c in df.columns if c not in values]
+    valued = held.select(*kept, "_block", *[v.alias(f"_v_{n}") for n, v in values.items()])
+    # A row without a place that is not carried is in the block without a start.
+    return valued.select(
+        "*",
+        *[F.coalesce(F.sum(f"_v_{n}").over(before), F.lit(0)).alias(n) for n in sums],
+        *[F.last(f"_v_{n}", ignorenulls=True).over(upto).alias(n) for n in fills],
+    ).where(at.isNotNull() | F.col("_block").isNull())
+
+
 def running_sum(
     df: DataFrame,
     keys: Names,
